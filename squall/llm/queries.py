@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from squall.llm import mixing
+from squall.llm import chat_format, line_quality, mixing
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
+    "op4_line_quality": line_quality.op4_line_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
 }
 
