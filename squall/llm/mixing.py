@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squall.llm.common import table
+from squall.llm.common import shared_dir, table
 
 WEIGHTS = (5.0, 2.0, 1.0)  # in the order of sources, repeating
 SHARE = 1.5  # of all words
@@ -103,7 +103,10 @@ def placed(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, slots: int = SLOTS, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, first_slot."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, share, most)
+    # Sizes are used three times and targets four: written once, as rows of a few numbers.
+    shared_dir(spark)
+    sized = sized.checkpoint()
+    targets = source_targets(sized, weights, share, most).checkpoint()
     # Words per block: the whole mix over the number of slots.
     block = targets.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots)).cast("long").alias("block"), F.sum("target").alias("all_words"))
     block = block.select("block", F.round(F.col("all_words") / F.col("block")).cast("long").alias("used"))
