@@ -29,3 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
             where = tempfile.mkdtemp(prefix="squall-checkpoint-")
         context.setCheckpointDir(where)
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def map_texts(docs: DataFrame, work, schema: str, text: str = "text") -> DataFrame:
+    """Applies work(record batch) to slices of bounded bytes; a long text makes a slice of its own."""
+
+    def run(batches):
+        from squall.llm.textcore import slices
+
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            for i, j in slices(batch.column(place)):
+                made = work(batch.slice(i, j - i))
+                if made is not None and made.num_rows:
+                    yield made
+
+    return docs.mapInArrow(run, schema)
+
+
+def columns(batch, *names):
+    return [batch.column(batch.schema.get_field_index(n)) for n in names]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, line_quality, mixing
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_line_quality": line_quality.op4_line_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
