@@ -67,6 +67,12 @@ def _window(values: np.ndarray, first: np.ndarray, last: np.ndarray, which: int)
     return (total[last] - total[first]) * down[first]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each span of bytes."""
+    h = _window(data.astype(np.uint64) + np.uint64(1), start, end, which)
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def slices(column: pa.Array, most_bytes: int = 2 << 20):
     """(first, last) row ranges of at most so many bytes, one row at least."""
     offsets = text_buffers(column)[1]
@@ -122,8 +128,7 @@ class Words:
         self.at = np.searchsorted(self.start, self.offsets)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        h = _window(self.bytes.astype(np.uint64) + np.uint64(1), self.start, self.end, which)
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        return span_hashes(self.bytes, self.start, self.end, which)
 
     def word(self, i: int) -> bytes:
         return self.seen[self.start[i] : self.end[i]]
