@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, pii
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, pii, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_line_quality": line_quality.op4_line_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_decontaminate": decontaminate.op10_decontaminate,
