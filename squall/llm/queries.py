@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, pii, toxicity
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, pii, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
