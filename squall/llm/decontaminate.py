@@ -141,19 +141,25 @@ def _probe(docs: DataFrame, block, keep_clean: bool) -> DataFrame:
     return map_texts(docs, work, schema)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (word places inside windows), items (ids, as strings)."""
-    docs = docs.select("doc_id", "text")
+def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> list:
+    """The benchmark's windows as broadcast blocks of bounded size."""
     windows = benchmark_windows(benchmark, window)
     n_blocks = max(1, -(-windows.count() // block_windows))
-    parts = []
+    out = []
     for k in range(n_blocks):
         own = windows if n_blocks == 1 else windows.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
         rows = [(r["item_id"], r["text"]) for r in own.toLocalIterator()]  # at most about block_windows
         vocabulary, _ = _hash_words([t.encode() for _, t in rows]) if rows else (np.zeros(0, np.uint64), None)
-        rarity = word_rarity(docs, vocabulary) if rows else {}
-        parts.append(_probe(docs, spark.sparkContext.broadcast(Block(rows, rarity)), keep_clean=k == 0))
-    if n_blocks == 1:
+        out.append(spark.sparkContext.broadcast(Block(rows, word_rarity(docs, vocabulary) if rows else {})))
+    return out
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per document: doc_id, n_words, hits (word places inside windows), items (ids, as strings)."""
+    docs = docs.select("doc_id", "text")
+    blocks = _blocks(spark, docs, benchmark, window, block_windows)
+    parts = [_probe(docs, block, keep_clean=k == 0) for k, block in enumerate(blocks)]
+    if len(parts) == 1:
         return parts[0]
     both = parts[0]
     for p in parts[1:]:
@@ -162,6 +168,28 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     return both.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
+def clean_only(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs without those that hold a window; all columns stay, row by row and without a join."""
+    for block in _blocks(spark, docs, benchmark, window, block_windows):
+        docs = docs.where(_is_clean(block)("text"))
+    return docs
+
+
+def _is_clean(block):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        from squall.llm.textcore import Words, slices
+
+        index, out = block.value, np.ones(len(texts), dtype=bool)
+        for i, j in slices(texts):
+            words = Words(texts.slice(i, j - i), "alnum")
+            for _, _, row in index.find(words, words.hashes()):
+                out[i + row] = False
+        return pa.array(out)
+
+    return clean
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),

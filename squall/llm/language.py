@@ -145,46 +145,65 @@ def train(labelled: DataFrame) -> Model:
     return Model(out)
 
 
+def judge(texts: pa.Array, m: Model, with_spans: bool = False):
+    """Language, score and spans of each text."""
+    from squall.llm.textcore import Words
+
+    words = Words(texts, "alnum")
+    n, n_languages = len(texts), max(1, len(m.languages))
+    share = np.zeros((n, n_languages))
+    spans: list = [[] for _ in range(n)]
+    if m.languages and len(words.start):
+        labels, lettered = m.labels(words)
+        row = np.repeat(np.arange(n), np.diff(words.at))
+        share = np.bincount((row * n_languages + labels)[lettered], minlength=n * n_languages).reshape(n, n_languages).astype(float)
+        if with_spans:
+            change = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])]))
+            for a, b in zip(change, np.append(change[1:], len(labels)), strict=True):
+                base = int(words.at[row[a]])
+                spans[row[a]].append({"first": int(a) - base, "last": int(b) - base, "lang": m.languages[labels[a]]})
+    total = share.sum(axis=1)
+    best = share.argmax(axis=1)
+    score = np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
+    letters = [_has_letter(words.raw[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+    score[~np.array(letters, dtype=bool)] = 0.0
+    found = [m.languages[b] if seen and m.languages else "und" for b, seen in zip(best, letters, strict=True)]
+    return found, score, spans
+
+
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first:long,last:long,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model, with_spans: bool = True, columns_kept: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, spans (word ranges, end exclusive, with a language)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x languages
 
     def work(batch):
-        from squall.llm.textcore import Words
-
-        m = shared.value
         ids, texts = columns(batch, "doc_id", "text")
-        words = Words(texts, "alnum")
-        n, n_languages = len(ids), max(1, len(m.languages))
-        share = np.zeros((n, n_languages))
-        spans: list = [[] for _ in range(n)]
-        if m.languages and len(words.start):
-            labels, lettered = m.labels(words)
-            row = np.repeat(np.arange(n), np.diff(words.at))
-            share = np.bincount((row * n_languages + labels)[lettered], minlength=n * n_languages).reshape(n, n_languages).astype(float)
-            if with_spans:
-                change = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])]))
-                for a, b in zip(change, np.append(change[1:], len(labels)), strict=True):
-                    base = int(words.at[row[a]])
-                    spans[row[a]].append({"first": int(a) - base, "last": int(b) - base, "lang": m.languages[labels[a]]})
-        total = share.sum(axis=1)
-        best = share.argmax(axis=1)
-        score = np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
-        letters = [_has_letter(words.raw[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
-        score[~np.array(letters, dtype=bool)] = 0.0
-        found = [m.languages[b] if seen and m.languages else "und" for b, seen in zip(best, letters, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(found, pa.string()), pa.array(score), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())])))],
-            ["doc_id", "lang_pred", "score", "spans"],
-        )
+        found, score, spans = judge(texts, shared.value, with_spans)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(found, pa.string()), pa.array(score), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     return map_texts(docs.select("doc_id", "text"), work, SCHEMA)
 
 
+def predictor(spark: SparkSession, model: Model):
+    """A column function: text -> struct(lang, score), row by row, for filters that keep all columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        from squall.llm.textcore import slices
+
+        parts = [judge(texts.slice(i, j - i), shared.value)[:2] for i, j in slices(texts)]
+        lang = [x for found, _ in parts for x in found]
+        score = [float(x) for _, scores in parts for x in scores]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+
+    return predict
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(crc("doc_id"), F.lit(4)) == 2

@@ -211,6 +211,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, blo
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs with one row per component, that of the least id; all columns stay.  Rows with a null id all stay."""
+    gone = near_duplicates(spark, docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def _task_columns(df: DataFrame) -> DataFrame:
     return df.select(F.struct("task.cluster", F.col("task.i").cast("int").alias("i"), F.col("task.j").cast("int").alias("j")).alias("task"), "side", "doc_id", "label", "sig", "shingles")
 

@@ -380,6 +380,30 @@ def field_spans(text: str, raw: bytes, spans: list[tuple[int, int, int]], taken:
     return out
 
 
+def spans_of(texts: pa.Array, field: Field) -> list[tuple[str, list, list]]:
+    """(text, base spans, the field's further spans) of each text."""
+    from squall.llm.textcore import Words
+
+    words = Words(texts, "space")
+    places, labels = label_tokens(words, field)
+    rows = np.searchsorted(words.at, places, "right") - 1
+    own: dict[int, list] = {}
+    for p, label, row in zip(places.tolist(), labels.tolist(), rows.tolist(), strict=True):
+        spans = own.setdefault(row, [])
+        a, b = int(words.start[p] - words.offsets[row]), int(words.end[p] - words.offsets[row])
+        if spans and spans[-1][0] == label and spans[-1][3] == p - 1:
+            spans[-1] = (label, spans[-1][1], b, p)
+        else:
+            spans.append((label, a, b, p))
+    out = []
+    for i in range(len(texts)):
+        raw = words.raw[words.offsets[i] : words.offsets[i + 1]]
+        text = raw.decode("utf-8", "replace")
+        base = base_spans(text)
+        out.append((text, base, field_spans(text, raw, [s[:3] for s in own[i]], base) if i in own else []))
+    return out
+
+
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,stop:int>>, more array<struct<kind:string,start:int,stop:int>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -389,29 +413,10 @@ def find(docs: DataFrame) -> DataFrame:
     field = train()
 
     def work(batch):
-        from squall.llm.textcore import Words
-
         ids, texts = columns(batch, "doc_id", "text")
-        words = Words(texts, "space")
-        places, labels = label_tokens(words, field)
-        base, more = [], []
-        rows = np.searchsorted(words.at, places, "right") - 1
-        own: dict[int, list] = {}
-        for p, label, row in zip(places.tolist(), labels.tolist(), rows.tolist(), strict=True):
-            spans = own.setdefault(row, [])
-            a, b = int(words.start[p] - words.offsets[row]), int(words.end[p] - words.offsets[row])
-            if spans and spans[-1][0] == label and spans[-1][3] == p - 1:
-                spans[-1] = (label, spans[-1][1], b, p)
-            else:
-                spans.append((label, a, b, p))
-        for i in range(len(ids)):
-            raw = words.raw[words.offsets[i] : words.offsets[i + 1]]
-            text = raw.decode("utf-8", "replace")
-            found = base_spans(text)
-            extra = field_spans(text, raw, [s[:3] for s in own[i]], found) if i in own else []
-            base.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
-            more.append([{"kind": k, "start": a, "stop": b} for k, a, b in extra])
-        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(base, _SPAN), pa.array(more, _SPAN)], ["doc_id", "base", "more"])
+        found = spans_of(texts, field)
+        as_rows = [[[{"kind": k, "start": a, "stop": b} for k, a, b in x[n]] for x in found] for n in (1, 2)]
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(x, _SPAN) for x in as_rows)], ["doc_id", "base", "more"])
 
     return map_texts(docs.select("doc_id", "text"), work, SCHEMA)
 
@@ -444,42 +449,23 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     field = train()
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        import pandas as pd
-
-        from squall.llm.textcore import Words, slices
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        from squall.llm.textcore import slices
 
-        column = pa.Array.from_pandas(texts, type=pa.string())
         out: list = []
-        for i, j in slices(column):
-            part = column.slice(i, j - i)
-            words = Words(part, "space")
-            places, labels = label_tokens(words, field)
-            rows = np.searchsorted(words.at, places, "right") - 1
-            own: dict[int, list] = {}
-            for p, label, row in zip(places.tolist(), labels.tolist(), rows.tolist(), strict=True):
-                spans = own.setdefault(row, [])
-                a, b = int(words.start[p] - words.offsets[row]), int(words.end[p] - words.offsets[row])
-                if spans and spans[-1][0] == label and spans[-1][3] == p - 1:
-                    spans[-1] = (label, spans[-1][1], b, p)
-                else:
-                    spans.append((label, a, b, p))
-            for k in range(j - i):
+        for i, j in slices(texts):
+            part = texts.slice(i, j - i)
+            for k, (text, base, more) in enumerate(spans_of(part, field)):
                 if not part[k].is_valid:
                     out.append(None)
                     continue
-                raw = words.raw[words.offsets[k] : words.offsets[k + 1]]
-                text = raw.decode("utf-8", "replace")
-                found = base_spans(text)
-                found += field_spans(text, raw, [s[:3] for s in own[k]], found) if k in own else []
                 pieces, place = [], 0
-                for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
-                    if b <= place:
-                        continue
-                    pieces += [text[place : max(a, place)], f"<{kind.upper()}>"]
-                    place = b
+                for kind, a, b in sorted(base + more, key=lambda s: (s[1], -s[2])):
+                    if b > place:
+                        pieces += [text[place : max(a, place)], f"<{kind.upper()}>"]
+                        place = b
                 out.append("".join(pieces) + text[place:])
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return docs.withColumn("text", cleaned("text"))

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, pii, toxicity
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, pii, substring_dedup, toxicity
+
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -12,8 +20,10 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
