@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from squall.plans import q_fields, q_wire
+
+QUERIES = {**q_fields.QUERIES, **q_wire.QUERIES}
+ORACLES = {**q_fields.ORACLES, **q_wire.ORACLES}
 FLAGSHIP = "d01_moment_decode"
