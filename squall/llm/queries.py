@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, pii, substring_dedup, toxicity
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, substring_dedup, toxicity
 
 
 
@@ -26,4 +26,10 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": oracles.CHAT,
+    "op4_line_quality": oracles.QUALITY,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op9_near_dedup": oracles.NEAR,
+    "op10_decontaminate": oracles.LEAKS,
+}
