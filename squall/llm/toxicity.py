@@ -185,7 +185,8 @@ def restored(words, restorer: Restorer):
 
 # ---- classifier ----------------------------------------------------------------
 
-_WORD = re.compile(r"[a-z]{2,}")
+#: Stems are the first so many bytes of longer words; one counts where it stands twice or more.
+STEMS = (5, 6)
 _AGAIN = re.compile(r"(.)\1+")
 
 
@@ -194,6 +195,15 @@ def squeezed(word: str) -> str:
     return _AGAIN.sub(r"\1", word)
 
 
+def text_features(words: list[bytes]) -> set[str]:
+    """Words of a text, and stems (with a star) that stand in it twice or more."""
+    out = {w.decode("latin-1") for w in words if len(w) > 1 and not w.isdigit()}
+    for n in STEMS:
+        stems = Counter(w[:n] for w in words if len(w) > n)
+        out.update(f"{x.decode('latin-1')}*" for x, k in stems.items() if k > 1)
+    return out
+
+
 def _features(words_found: Counter, weights: dict[str, float], n_words: int) -> list[float]:
     hits = [(weights[w], n) for w, n in words_found.items() if w in weights]
     if not hits:
@@ -223,13 +233,14 @@ def _lexicon(sample: DataFrame, log: np.ndarray, limit: int) -> dict[str, float]
         for batch in batches:
             labels, texts = columns(batch, "toxic", "text")
             for i, j in slices(texts):
-                words = Words(texts.slice(i, j - i), "space_lower")
-                more: dict[int, set] = {}
-                for row, w in restored(words, restorer):
-                    more.setdefault(row, set()).update(_WORD.findall(w))
+                part = texts.slice(i, j - i)
+                more: dict[int, list] = {}
+                for row, w in restored(Words(part, "space_lower"), restorer):
+                    more.setdefault(row, []).extend(x.encode() for x in w.split())
+                words = Words(part, "alnum")
                 for k in range(j - i):
-                    raw = words.seen[words.offsets[k] : words.offsets[k + 1]].decode("utf-8", "ignore")
-                    seen[labels[i + k].as_py()].update(set(_WORD.findall(raw)) | more.get(k, set()))
+                    own = words.seen[words.offsets[k] : words.offsets[k + 1]].split()
+                    seen[labels[i + k].as_py()].update(text_features(own + more.get(k, [])))
         for label, counter in seen.items():
             if counter:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counter)), pa.array([label] * len(counter), pa.int64()), pa.array(list(counter.values()), pa.int64())], ["word", "toxic", "n"])
@@ -237,34 +248,56 @@ def _lexicon(sample: DataFrame, log: np.ndarray, limit: int) -> dict[str, float]
     per = sample.select("toxic", "text").mapInArrow(count, "word string, toxic long, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
     )
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    per = per.where("a >= 3").withColumn("w", odds).withColumn("z", F.col("w") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-    best = per.where((F.col("z") > 4) & (F.col("w") > 1)).orderBy(F.desc("z"), "word").limit(limit)
-    return {r["word"]: float(r["w"]) for r in best.collect()}
+    per = per.checkpoint()
+    # A log-likelihood ratio that about one of the many words tested would reach by chance.
+    least = 2 * float(np.log(max(per.count(), 2))) - 6
+    a, b = F.col("a"), F.col("b")
+    odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    share = (a + b) / float(n1 + n0)
+    ratio = 2 * (a * F.log(a / (share * n1)) + F.when(b > 0, b * F.log(b / (share * n0))).otherwise(0.0))
+    best = per.where("a >= 3").withColumns({"w": odds, "g": ratio}).where((F.col("g") > least) & (F.col("w") > 1)).orderBy(F.desc("g"), "word").limit(limit)
+    found = {r["word"]: float(r["w"]) for r in best.collect()}
+    # words that say less than their stem add nothing
+    return {w: x for w, x in found.items() if w.endswith("*") or not any(len(w) > n and found.get(f"{w[:n]}*", x) > x for n in STEMS)}
 
 
 def _work(log, weights):
     """A batch's features per document."""
-    lexicon = {w.encode(): w for w in weights}
-    short = {squeezed(w): w for w in sorted(weights)}
+    whole = {w.encode("latin-1"): w for w in weights if not w.endswith("*")}
+    stems = {n: {w[:-1].encode("latin-1"): w for w in weights if w.endswith("*") and len(w) == n + 1} for n in STEMS}
+    short = {squeezed(w): w for w in sorted(weights) if not w.endswith("*")}
+
+    def keys_of(names):
+        from squall.llm.textcore import span_hashes
+
+        data = np.frombuffer(b"".join(names), dtype=np.uint8)
+        ends = np.cumsum([len(x) for x in names])
+        return np.sort(span_hashes(data, ends - np.array([len(x) for x in names]), ends)) if names else np.zeros(0, np.uint64)
 
     def features(texts, state={}):  # noqa: B006  one restorer per worker
-        from squall.llm.textcore import Words
+        from squall.llm.textcore import Words, span_hashes
 
-        if "keys" not in state:
-            probe = Words(pa.array(list(weights) or [""], pa.string()), "alnum").hashes()
-            state["keys"] = np.sort(probe)
+        if "restorer" not in state:
             state["restorer"] = Restorer(log)
-        keys = state["keys"]
+            state["keys"] = {0: keys_of(list(whole)), **{n: keys_of(list(stems[n])) for n in STEMS}}
         plain = Words(texts, "alnum")
         found: dict[int, Counter] = {}
-        if len(keys) and len(plain.start):
-            hashes = plain.hashes()
+        for n, keys in state["keys"].items():
+            if not len(keys) or not len(plain.start):
+                continue
+            longer = np.flatnonzero(plain.end - plain.start > n)
+            start = plain.start[longer]
+            hashes = span_hashes(plain.bytes, start, start + n if n else plain.end[longer])
             place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            for p in np.flatnonzero(keys[place] == hashes):
-                w = lexicon.get(plain.word(p))
+            counts: dict[int, Counter] = {}
+            for p in longer[keys[place] == hashes]:
+                w = stems[n].get(plain.word(p)[:n]) if n else whole.get(plain.word(p))
                 if w:
-                    found.setdefault(int(np.searchsorted(plain.at, p, "right")) - 1, Counter())[w] += 1
+                    counts.setdefault(int(np.searchsorted(plain.at, p, "right")) - 1, Counter())[w] += 1
+            for row, own in counts.items():
+                for w, k in own.items():
+                    if k > 1 or not n:
+                        found.setdefault(row, Counter())[w] += k
         odd = Words(texts, "space_lower")
         for row, w in restored(odd, state["restorer"]):
             w = squeezed(w)
