@@ -33,7 +33,7 @@ from squall.llm.common import table
 WINDOW = 20
 BLOCK = 10  # any WINDOW words hold a whole block of this size: 2 * BLOCK - 1 <= WINDOW
 #: Characters of text per chunk, about.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 3_000_000
 
 _SENT = "chunk int, bucket int, hashes binary, marks binary"
 _BITS = "chunk int, bucket int, bits binary"
