@@ -144,3 +144,23 @@ def clutter_mitigation(code: Column) -> Column:
     segments = F.array_compact(F.array(*[F.when(flag(code, k), F.lit(k)) for k in range(5)]))
     listed = F.array_join(F.transform(segments, lambda i: i.cast("string")), ",")
     return F.when(code == 0, "Disabled").when(code == 1, "Enabled").otherwise(F.concat(F.lit("BypassMapElevationSegments("), listed, F.lit(")")))
+
+
+def real4(high: Column, low: Column) -> Column:
+    """A 32-bit float from its two halfwords."""
+    sign = F.when(flag(high, 15), -1.0).otherwise(1.0)
+    exponent = bits(high, 7, 0xFF)
+    fraction = (bits(high, 0, 0x7F) * 65536 + low) / 8388608.0
+    tiny = sign * fraction * F.pow(F.lit(2.0), F.lit(-126.0))
+    return F.when(exponent == 0, tiny).otherwise(sign * (fraction + 1.0) * F.pow(F.lit(2.0), exponent - 127))
+
+
+def halfword_fields(halfwords: Column, layout) -> dict[str, Column]:
+    """Fields of a message of halfwords (as performance data): layout lists (name, halfword from 1, kind), kinds u16, i16, u32 and f32."""
+    out = {}
+    for name, at, kind in layout:
+        one, two = F.get(halfwords, F.lit(at - 1)), F.get(halfwords, F.lit(at))
+        out[name] = {
+            "u16": lambda a, b: a, "i16": lambda a, b: F.when(a >= 32768, a - 65536).otherwise(a), "u32": lambda a, b: a.cast("long") * 65536 + b, "f32": real4,
+        }[kind](one, two)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,10 @@ def lookup_table(spark: SparkSession, scale, low: float, high: float, size: int
 
 def pixels(spark: SparkSession, size: int, max_range_km: float) -> DataFrame:
     """Pixels of a square image with azimuth and range of their whole coordinates."""
-    p = grid(spark, size, size).withColumnsRenamed({"row": "y", "col": "x"})
+    return _polar_pixels(grid(spark, size, size).withColumnsRenamed({"row": "y", "col": "x"}), size, max_range_km)
+
+
+def _polar_pixels(p: DataFrame, size: int, max_range_km: float) -> DataFrame:
     per_km, center = size / 2.0 / max_range_km, size / 2.0
     dx, dy = F.col("x") - center, F.col("y") - center
     return p.withColumns({"range_km": F.sqrt(dx * dx + dy * dy) / per_km, "azimuth_deg": F.pmod(F.degrees(F.atan2(dx, -dy)) + 360.0, F.lit(360.0))})
@@ -104,9 +108,9 @@ def pixels(spark: SparkSession, size: int, max_range_km: float) -> DataFrame:
 
 def render_sweep(gates: DataFrame, size: int, max_range_km: float, bilinear: bool = False) -> DataFrame:
     """Values per pixel of each field: nearest radial within 1.5 spacings, or between four valid gates where there are any."""
-    spark = gates.sparkSession
-    fields = gates.select(*FIELD).distinct()
-    p = fields.join(pixels(spark, size, max_range_km).where(F.col("range_km") < max_range_km))
+    fields = gates.select(*FIELD).distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+    p = _polar_pixels(fields.withColumns({"y": F.floor(F.col("_cell") / size).cast("int"), "x": (F.col("_cell") % size).cast("int")}).drop("_cell"), size, max_range_km)
+    p = p.where(F.col("range_km") < max_range_km)
     near = sample(p, gates, max_gap_spacings=1.5).where(F.col("status") == VALID).select(*FIELD, "y", "x", "value")
     if not bilinear:
         return near
@@ -132,6 +136,48 @@ def color_pixels(values: DataFrame, product: str, low: float | None = None, high
     return values.withColumn("idx", lut_index(F.col("value"), low, high)).join(F.broadcast(table), "idx").drop("idx")  # LUT_SIZE rows
 
 
+@dataclass(frozen=True)
+class RenderOptions:
+    """Size, background and sampling of an image; by default opaque black and nearest gates."""
+
+    size: int
+    background: tuple[int, int, int, int] = (0, 0, 0, 255)
+    bilinear: bool = False
+
+    def __post_init__(self):
+        if self.size < 1:
+            raise InvalidParameter("an image needs pixels")
+
+    @classmethod
+    def native_for(cls, gates: int) -> RenderOptions:
+        """Two pixels per gate of the radius."""
+        return cls(2 * gates)
+
+    def transparent(self) -> RenderOptions:
+        return replace(self, background=(0, 0, 0, 0))
+
+    def with_background(self, r: int, g: int, b: int, a: int = 255) -> RenderOptions:
+        return replace(self, background=(r, g, b, a))
+
+    def with_bilinear(self) -> RenderOptions:
+        return replace(self, bilinear=True)
+
+
+def render_images(gates: DataFrame, product: str, max_range_km: float, options: RenderOptions) -> DataFrame:
+    """One PNG per field with the product's own scale."""
+    values = render_sweep(gates, options.size, max_range_km, options.bilinear)
+    return images(color_pixels(values, product), options.size, options.size, options.background)
+
+
+def query_pixel(gates: DataFrame, x: int, y: int, size: int, max_range_km: float, site=None) -> DataFrame:
+    """What stands at a pixel of each field: azimuth, range, value, status, and the position if a site is given."""
+    from squall.functions.geo import polar_to_geo
+
+    p = gates.groupBy(*FIELD).agg(F.first("elevation_deg").alias("elevation_deg")).withColumns({"x": F.lit(x), "y": F.lit(y)})
+    out = sample(_polar_pixels(p, size, max_range_km), gates)
+    return out.withColumns(polar_to_geo(F.col("azimuth_deg"), F.col("range_km"), F.col("elevation_deg"), site)) if site else out
+
+
 def png_bytes(width: int, height: int, rgba: bytes) -> bytes:
     """A PNG file of eight-bit RGBA pixels."""
     if len(rgba) != width * height * 4:

@@ -356,6 +356,7 @@ _MOMENT = "struct<gate_count:int,first_gate_km:double,gate_interval_km:double,wo
 RADIALS = (
     "volume_id string, ordinal long, time_ms long, azimuth_number int, azimuth_deg double, azimuth_spacing_deg double, radial_status int, elevation_number int, "
     "elevation_deg double, latitude double, longitude double, site_height_m double, tower_height_m double, vcp int, "
+    "nyquist_ms double, unambiguous_range_km double, atmos_db double, "
     + ", ".join(f"{name} {_MOMENT}" for name in L.MOMENTS.values())
 )
 HEADER = "volume_id string, tape_filename string, extension string, mjd long, ms long, icao string"
@@ -454,6 +455,8 @@ def radials(messages: DataFrame, types: tuple[int, ...] = (31, 1)) -> DataFrame:
             "azimuth_deg": h["azimuth_angle"], "azimuth_spacing_deg": h["azimuth_resolution_spacing"] * 0.5, "radial_status": h["radial_status"],
             "elevation_number": h["elevation_number"], "elevation_deg": h["elevation_angle"], "latitude": v.get("latitude"), "longitude": v.get("longitude"),
             "site_height_m": _float(v.get("site_height")), "tower_height_m": _float(v.get("tower_height")), "vcp": v.get("vcp", r.get("vcp")),
+            "nyquist_ms": _scaled(r.get("radial", {}).get("nyquist_velocity"), 100.0), "unambiguous_range_km": _scaled(r.get("radial", {}).get("unambiguous_range"), 1.0),
+            "atmos_db": _scaled(r.get("elevation", {}).get("atmos"), 1000.0),
             **{name: r["moments"].get(name) for name in L.MOMENTS.values()},
         }
 
@@ -464,6 +467,10 @@ def _float(x):
     return None if x is None else float(x)
 
 
+def _scaled(x, by: float):
+    return None if x is None else x / by
+
+
 def bodies(messages: DataFrame) -> DataFrame:
     """Other messages with their fields as JSON (null for types that are passed on undecoded)."""
 
