@@ -303,7 +303,8 @@ def h05(s, d):
 
 @add("h06_first_known_site", f"select sweep_idx, arg_min(vec_id, az_idx) filter (vec_id % 4 = 1) first_vec from {R} group by all")
 def h06(s, d):
-    return A.radials(s, d).where("vec_id % 4 = 1").groupBy("sweep_idx").agg(F.min_by("vec_id", "az_idx").alias("first_vec"))
+    r = A.radials(s, d).withColumn("known", F.when(F.col("vec_id") % 4 == 1, F.col("vec_id")))
+    return r.groupBy("sweep_idx").agg(F.min_by("known", F.when(F.col("known").isNotNull(), F.col("az_idx"))).alias("first_vec"))
 
 
 @add("f18_distinct_elevations", f"select round(elevation_deg * 10)::int e10, min(sweep_idx) first_sweep from {R} group by 1")
@@ -421,23 +422,32 @@ _SIZE = 48
 _PIXELS = f"""(select (c // {_SIZE})::int y, (c % {_SIZE})::int x, sqrt(pow(c % {_SIZE} - {_SIZE / 2}e0, 2) + pow(c // {_SIZE} - {_SIZE / 2}e0, 2)) / ({_SIZE / 2}e0 / 18e0) range_km,
  (degrees(atan2(c % {_SIZE} - {_SIZE / 2}e0, -(c // {_SIZE} - {_SIZE / 2}e0))) + 360e0) % 360e0 azimuth_deg from range({_SIZE * _SIZE}) t(c))"""
 _RENDERED = f"""(with near as (select r.sweep_idx, y, x, range_km, arg_min(az_idx, struct_pack(d := least(abs(q.azimuth_deg - r.azimuth_deg), 360e0 - abs(q.azimuth_deg - r.azimuth_deg)), a := r.azimuth_deg)) az_idx from {_PIXELS} q, {R} r
- where range_km >= 2e0 and range_km < 18e0 and sweep_idx < 3 group by all) select sweep_idx, y, x, g.value from near n join {GATES} g using (sweep_idx, az_idx) where floor((range_km - 2e0) / 0.25e0) = g.gate_idx and status = 'Valid')"""
+ where range_km >= 2e0 and range_km < 18e0 group by all) select sweep_idx, y, x, g.value from near n join {GATES} g using (sweep_idx, az_idx) where floor((range_km - 2e0) / 0.25e0) = g.gate_idx and status = 'Valid')"""
 
 
 @add("k09_render_sweep", f"select * from {_RENDERED}")
 def k09(s, d):
-    return render.render_sweep(A.gates(s, d).where("sweep_idx < 3"), _SIZE, 18.0).select("sweep_idx", "y", "x", "value")
+    return render.render_sweep(A.gates(s, d), _SIZE, 18.0).select("sweep_idx", "y", "x", "value")
 
 
 @add("k08_render_radials", f"""with v as (select *, greatest(0, least(255, floor((value + 32e0) / 127e0 * 255e0)))::int i from {_RENDERED}), c as (select *, -32e0 + i / 255e0 * 127e0 q from v)
  select sweep_idx, y, x, {_scale_sql('q', 'REF', 1)} r, {_scale_sql('q', 'REF', 2)} g, {_scale_sql('q', 'REF', 3)} b, 255 a from c""")
 def k08(s, d):
-    return render.color_pixels(render.render_sweep(A.gates(s, d).where("sweep_idx < 3"), _SIZE, 18.0), "REF").select("sweep_idx", "y", "x", "r", "g", "b", "a")
+    return render.color_pixels(render.render_sweep(A.gates(s, d), _SIZE, 18.0), "REF").select("sweep_idx", "y", "x", "r", "g", "b", "a")
 
 
-@add("k09_render_bilinear")
+_BILINEAR = f"""(with r as (select sweep_idx, az_idx lo_idx, azimuth_deg lo, coalesce(lead(az_idx) over w, 0)::int hi_idx, coalesce(lead(azimuth_deg) over w, 360e0) hi, az_spacing_deg from {R} window w as (partition by sweep_idx order by azimuth_deg)),
+ q as (select sweep_idx, y, x, lo_idx, hi_idx, (az - lo) / (hi - lo) f, (range_km - 2e0) / 0.25e0 gf from (select *, case when azimuth_deg = 0 then 360e0 else azimuth_deg end az from {_PIXELS}) p join r on az > lo and az <= hi
+  where hi - lo <= az_spacing_deg * 1.5e0 and range_km >= 2e0 and range_km < 18e0),
+ v as (select * from {GATES} where status = 'Valid')
+ select q.sweep_idx, y, x, (a.value + (b.value - a.value) * (gf - floor(gf))) + ((c.value + (e.value - c.value) * (gf - floor(gf))) - (a.value + (b.value - a.value) * (gf - floor(gf)))) * f as value from q
+ join v a on a.sweep_idx = q.sweep_idx and a.az_idx = lo_idx and a.gate_idx = floor(gf) join v b on b.sweep_idx = q.sweep_idx and b.az_idx = lo_idx and b.gate_idx = floor(gf) + 1
+ join v c on c.sweep_idx = q.sweep_idx and c.az_idx = hi_idx and c.gate_idx = floor(gf) join v e on e.sweep_idx = q.sweep_idx and e.az_idx = hi_idx and e.gate_idx = floor(gf) + 1)"""
+
+
+@add("k09_render_bilinear", f"select sweep_idx, y, x, round(coalesce(b.value, n.value), 6) as value from {_RENDERED} n full join {_BILINEAR} b using (sweep_idx, y, x)")
 def k09b(s, d):
-    return render.render_sweep(A.gates(s, d).where("sweep_idx < 3"), _SIZE, 18.0, bilinear=True).select("sweep_idx", "y", "x", F.round("value", 6).alias("value"))
+    return render.render_sweep(A.gates(s, d), _SIZE, 18.0, bilinear=True).select("sweep_idx", "y", "x", F.round("value", 6).alias("value"))
 
 
 @add("k10_render_cartesian", f"""with f as ({ORACLES['f04_composite']}) select y, x, f.value from (select (c // 60)::int y, (c % 60)::int x from range(3600) t(c)) p join f on f."row" = least(floor(y / 60e0 * {_H}), {_H - 1}) and f.col = least(floor(x / 60e0 * {_W}), {_W - 1})""")
@@ -459,12 +469,12 @@ def k11(s, d):
 
 @add("k13_query_pixel", f"select sweep_idx, y, x, value from {_RENDERED} where y = 20 and x = 30")
 def k13(s, d):
-    return render.render_sweep(A.gates(s, d).where("sweep_idx < 3"), _SIZE, 18.0).where("y = 20 and x = 30").select("sweep_idx", "y", "x", "value")
+    return render.render_sweep(A.gates(s, d), _SIZE, 18.0).where("y = 20 and x = 30").select("sweep_idx", "y", "x", "value")
 
 
 @add("k14_png_images")
 def k14(s, d):
-    colored = render.color_pixels(render.render_sweep(A.gates(s, d).where("sweep_idx < 3"), _SIZE, 18.0), "REF")
+    colored = render.color_pixels(render.render_sweep(A.gates(s, d), _SIZE, 18.0), "REF")
     out = render.images(colored, _SIZE, _SIZE)
     return out.select("sweep_idx", F.length("png").alias("n_bytes"), F.hex(F.substring("png", 1, 8)).alias("signature"))
 

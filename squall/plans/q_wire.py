@@ -136,6 +136,139 @@ def f16(s, d):
     return g.join(r, ["volume_id", "record_idx"], "left").select("volume_id", "record_idx", F.when(F.col("has") == 1, "radials").otherwise("metadata").alias("kind"), "n", "first_elevation")
 
 
+@add("b01_gunzip", ORACLES["a01_load_volume"])
+def b01(s, d):
+    import gzip
+
+    packed = archive._rows(volumes(s, d), lambda r: [{"volume_id": r["volume_id"], "content": gzip.compress(r["content"])}], "volume_id string, content binary")
+    r = archive.scan(packed).select("volume_id", "sweep_idx", "ordinal", F.explode("REF.raw").alias("raw"))
+    return r.groupBy("volume_id", "sweep_idx").agg(F.countDistinct("ordinal").alias("n_radials"), F.sum("raw").alias("sum_raw"), F.count(F.lit(1)).alias("n_gates"))
+
+
+@add("b12_chunk_kind", "select volume_id, record_idx, case when record_idx = 0 then 'Start' else 'IntermediateOrEnd' end as kind from (select 'v' || (label % 2) volume_id, (dense_rank() over (partition by label % 2 order by label))::int record_idx from embeddings union select * from (values ('v0', 0), ('v1', 0)) t)")
+def b12(s, d):
+    v = volumes(s, d)
+    head = v.select("volume_id", F.lit(0).alias("record_idx"), F.col("content").alias("data"))
+    both = head.unionByName(archive.split_volumes(v).where("record_idx > 0").select("volume_id", "record_idx", "data"))
+    kind = F.when(F.substring("data", 1, 3) == F.lit(b"AR2"), "Start").when(F.substring("data", 5, 2) == F.lit(b"BZ"), "IntermediateOrEnd").otherwise(F.raise_error(F.lit("unrecognised chunk format")).cast("string"))
+    return both.select("volume_id", "record_idx", kind.alias("kind"))
+
+
+@add("c03_volume_block", "select volume_id, round(35.3331::float::double, 6) latitude, round((-97.2778)::float::double, 6) longitude, 380e0 antenna_m, 212 vcp from (values ('v0'), ('v1')) t(volume_id)")
+def c03(s, d):
+    r = archive.scan(volumes(s, d)).select("volume_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), (F.col("site_height_m") + F.col("tower_height_m")).alias("antenna_m"), "vcp")
+    return r.distinct()
+
+
+def _messages(s, rows, encode):
+    """A record of one message per row, cut into messages again; encode(row) gives (type, payload)."""
+
+    def work(row):
+        kind, payload = encode(row)
+        data = archive.message_bytes(kind, payload, 18000, row["key"])
+        yield {"volume_id": str(row["key"]), "record_idx": 0, "offset": 0, "size": len(data), "compressed": False, "data": data, "_corrupt": None}
+
+    return archive.decode_records(archive._rows(rows, work, archive.RECORDS))
+
+
+@add("c08_legacy_radials", f"select vec_id as key, az_idx + 1 azimuth_number, round((floor(azimuth_deg * 100e0)::int % 32768) * 180e0 / 32768e0, 6) azimuth_deg, elevation_number, 0.5e0 first_gate_km, list_sum(list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)))::bigint sum_raw, 64 n_gates from {R}")
+def c08(s, d):
+    def encode(r):
+        raw = bytes(int(abs(float(v)) * 400.0) for v in r["embedding"])
+        head = {"mjd": 18000, "ms": r["key"], "azimuth_angle": int(r["azimuth_deg"] * 100.0) % 32768, "azimuth_number": r["az_idx"] + 1, "elevation_number": r["elevation_number"], "surveillance_first": -500, "surveillance_interval": 1000, "surveillance_gates": len(raw), "ref_pointer": L.size(L.LEGACY_RADIAL)}
+        return 1, L.write(L.LEGACY_RADIAL, head) + raw
+
+    r = archive.radials(_messages(s, A.radials(s, d).withColumnRenamed("vec_id", "key"), encode))
+    total = F.aggregate("REF.raw", F.lit(0).cast("long"), lambda a, x: a + x)
+    return r.select(F.col("volume_id").cast("long").alias("key"), "azimuth_number", F.round("azimuth_deg", 6).alias("azimuth_deg"), "elevation_number", F.col("REF.first_gate_km").alias("first_gate_km"), total.alias("sum_raw"), F.col("REF.gate_count").alias("n_gates"))
+
+
+def _bodies(s, rows, encode, schema: str):
+    b = archive.bodies(_messages(s, rows, encode))
+    return b.select(F.col("volume_id").cast("long").alias("key"), F.from_json("body", schema).alias("j")).select("key", "j.*")
+
+
+def _word_rows(s, d):
+    return A.words(s, d).withColumnRenamed("o_orderkey", "key")
+
+
+@add("c14_console_text", "select p_partkey as key, length(p_name) as size, p_name as text from part")
+def c14(s, d):
+    rows = A.read(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    return _bodies(s, rows, lambda r: (4, len(r["p_name"].encode()).to_bytes(2, "big") + r["p_name"].encode()), "size long, text string")
+
+
+@add("c19_control_commands", f"select o_orderkey as key, w::bigint state_command, c::bigint local_vcp, (v - 32768)::bigint zdr_bias_estimate from {WORDS}")
+def c19(s, d):
+    return _bodies(s, _word_rows(s, d), lambda r: (6, L.write(L.CONTROL_COMMANDS, {"state_command": r["w"], "local_vcp": r["c"], "zdr_bias_estimate": r["v"] - 32768})), "state_command long, local_vcp long, zdr_bias_estimate long")
+
+
+@add("c22_loopback", f"select o_orderkey as key, 3::bigint as size, lower(lpad(hex(w), 4, '0') || lpad(hex(v), 4, '0')) pattern from {WORDS}")
+def c22(s, d):
+    import struct
+
+    return _bodies(s, _word_rows(s, d), lambda r: (11, struct.pack(">HHH", 3, r["w"], r["v"])), "size long, pattern string")
+
+
+@add("c26_prf_data", f"select o_orderkey as key, 2 n_waveforms, [w::bigint, v::bigint]::varchar prfs from {WORDS}")
+def c26(s, d):
+    import struct
+
+    b = _bodies(s, _word_rows(s, d), lambda r: (32, struct.pack(">HHHHIIHH", 2, 0, 1, 2, r["w"], r["v"], 2, 0)), "waveforms array<struct<waveform:int,prfs:array<long>>>")
+    return b.select("key", F.size("waveforms").alias("n_waveforms"), F.concat(F.lit("["), F.array_join(F.col("waveforms")[0]["prfs"].cast("array<string>"), ", "), F.lit("]")).alias("prfs"))
+
+
+@add("c27_log_data", f"select o_orderkey as key, c::bigint as version, 'LOG' || c identifier, lower(lpad(hex(v), 4, '0')) payload_hex from {WORDS}")
+def c27(s, d):
+    return _bodies(s, _word_rows(s, d), lambda r: (33, L.write(L.LOG_HEADER, {"version": r["c"], "identifier": f"LOG{r['c']}", "compressed_size": 2}) + r["v"].to_bytes(2, "big")), "version long, identifier string, payload_hex string")
+
+
+@add("c13_performance_fields", f"select o_orderkey as key, w first_word, case when v >= 32768 then v - 65536 else v end signed_word, w::bigint * 65536 + v long_word from {WORDS}")
+def c13(s, d):
+    import struct
+
+    b = _bodies(s, _word_rows(s, d), lambda r: (3, struct.pack(">480H", r["w"], r["v"], r["w"], r["v"], *[0] * 476)), "halfwords array<int>")
+    layout = (("first_word", 1, "u16"), ("signed_word", 2, "i16"), ("long_word", 3, "u32"))
+    return b.select("key", *[c.alias(n) for n, c in wire.halfword_fields(F.col("halfwords"), layout).items()])
+
+
+@add("b08_reassembled_segments", f"select o_orderkey as key, 3 n_segments, 6000 n_bytes, 13 message_type from {WORDS}")
+def b08(s, d):
+    m = _messages(s, _word_rows(s, d), lambda r: (13, bytes(6000)))
+    return m.select(F.col("volume_id").cast("long").alias("key"), "n_segments", F.aggregate("payloads", F.lit(0), lambda a, p: a + F.length(p)).alias("n_bytes"), "message_type")
+
+
+@add("d03_raw_gate_codes", f"select vec_id as key, list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)::int * 100)::varchar codes from {R}")
+def d03(s, d):
+    r = archive.radials(archive.decode_records(archive.split_volumes(_wide_volumes(s, d))))
+    codes = F.concat(F.lit("["), F.array_join(F.col("PHI.raw").cast("array<string>"), ", "), F.lit("]"))
+    return r.select(F.floor((F.col("time_ms") % 86_400_000) / 13).alias("key"), codes.alias("codes"))
+
+
+def _wide_volumes(s, d):
+    """Every radial as a sixteen-bit moment, a record each."""
+
+    def work(r):
+        raw = [int(abs(float(v)) * 400.0) * 100 for v in r["embedding"]]
+        body = archive.radial_bytes({"mjd": 18000, "ms": r["vec_id"] * 13}, {"PHI": {"scale": 1.0, "raw": raw, "word_size": 16}})
+        yield {"volume_id": str(r["vec_id"]), "content": archive.volume_bytes([archive.message_bytes(31, body, 18000)])}
+
+    return archive._rows(A.radials(s, d), work, "volume_id string, content binary")
+
+
+@add("j04_chunk_types", "select event_id, letter, case letter when 'S' then 'Start' when 'E' then 'End' else 'Intermediate' end chunk_type from " + CHUNKS)
+def j04(s, d):
+    return A.chunks(s, d).select("event_id", "letter", wire.label(F.col("letter"), names.CHUNK_TYPES).alias("chunk_type"))
+
+
+@add("l04_json_sink", "select label, count(*) n from embeddings group by all")
+def l04(s, d):
+    """Written as JSON lines and read again."""
+    folder = _scratch(s)
+    A.read(s, d, "embeddings").select("vec_id", "label").write.json(folder)
+    return s.read.schema("vec_id long, label int").json(folder).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- A: listings ----
 
 
@@ -172,9 +305,9 @@ def a08(s, d):
     return listing.parse_object_list(x).drop("modified")
 
 
-@add("a10_list_chunks", f"select site, count(*) n_chunks, max(sequence) last_sequence from {CHUNKS} where sequence < 1000 group by all")
+@add("a10_list_chunks", f"select site, count(*) n_chunks, max(sequence) last_sequence from {CHUNKS} group by all")
 def a10(s, d):
-    c = A.chunks(s, d).where("sequence < 1000").withColumn("name", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")))
+    c = A.chunks(s, d).withColumn("name", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")))
     p = c.withColumns({k: v for k, v in names.parse_chunk_name(F.col("name")).items() if k != "sequence"} | {"sequence": names.parse_chunk_name(F.col("name"))["sequence"]})
     return p.where("is_valid").groupBy("site").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("sequence").alias("last_sequence"))
 
@@ -350,9 +483,9 @@ def c21(s, d):
     return A.words(s, d).select("o_orderkey", *[(F.col("w").bitwiseAND(F.lit(b)) != 0).alias(n) for n, b in wire.REQUEST_BITS.items()])
 
 
-@add("c23_bypass_flags", f"select o_orderkey, k::int range_bin, (w >> (k % 16)) & 1 = 1 bypass from {WORDS}, range(16) t(k) where o_orderkey % 10 = 0")
+@add("c23_bypass_flags", f"select o_orderkey, k::int range_bin, (w >> (k % 16)) & 1 = 1 bypass from {WORDS}, range(16) t(k)")
 def c23(s, d):
-    w = A.words(s, d).where("o_orderkey % 10 = 0")
+    w = A.words(s, d)
     return w.select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("range_bin"), "w").select("o_orderkey", "range_bin", (F.call_function("shiftright", "w", "range_bin").bitwiseAND(F.lit(1)) == 1).alias("bypass"))
 
 
@@ -566,14 +699,14 @@ def j01(s, d):
     return a.select("name", names.archive_site(F.col("name")).alias("site"), F.unix_millis(names.archive_time(F.col("name"))).alias("time_ms"))
 
 
-@add("j02_chunk_names", f"""select event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || lpad("sequence"::varchar, 3, '0') || '-' || letter as name from {CHUNKS} where "sequence" < 1000""")
+@add("j02_chunk_names", f"""select event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || lpad("sequence"::varchar, 3, '0') || '-' || letter as name from {CHUNKS}""")
 def j02(s, d):
-    return A.chunks(s, d).where("sequence < 1000").select("event_id", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")).alias("name"))
+    return A.chunks(s, d).select("event_id", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")).alias("name"))
 
 
-@add("j03_parse_chunk_names", f"""select event_id, (epoch_us(date_trunc('second', ts)) // 1000) prefix_ms, "sequence"::int "sequence", case letter when 'S' then 'Start' when 'E' then 'End' else 'Intermediate' end chunk_type, true is_valid from {CHUNKS} where "sequence" < 1000""")
+@add("j03_parse_chunk_names", f"""select event_id, (epoch_us(date_trunc('second', ts)) // 1000) prefix_ms, "sequence"::int "sequence", case letter when 'S' then 'Start' when 'E' then 'End' else 'Intermediate' end chunk_type, true is_valid from {CHUNKS}""")
 def j03(s, d):
-    c = A.chunks(s, d).where("sequence < 1000").select("event_id", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")).alias("name"))
+    c = A.chunks(s, d).select("event_id", names.chunk_name(F.col("ts"), F.col("sequence"), F.col("letter")).alias("name"))
     p = c.select("event_id", *[v.alias(k) for k, v in names.parse_chunk_name(F.col("name")).items()])
     return p.select("event_id", F.unix_millis("prefix_time").alias("prefix_ms"), "sequence", "chunk_type", "is_valid")
 
@@ -623,9 +756,9 @@ def j12(s, d):
     return A.read(s, d, "documents").select("doc_id", F.length(b).cast("long").alias("n_bytes"), F.sha2(b, 256).alias("sha256"), F.lower(F.hex(F.substring(b, 1, 4))).alias("head"))
 
 
-@add("f17_moment_digest", f"select sweep_idx, sha256(string_agg(lpad(hex(raw), 2, '0'), '' order by az_idx, gate_idx)) digest from {RAW} where raw between 16 and 255 group by all")
+@add("f17_moment_digest", f"select sweep_idx, sha256(string_agg(lpad(hex(raw), 2, '0'), '' order by az_idx, gate_idx)) digest from {RAW} group by all")
 def f17(s, d):
-    g = A.raw_gates(s, d).where("raw between 16 and 255")
+    g = A.raw_gates(s, d)
     codes = F.array_sort(F.collect_list(F.struct("az_idx", "gate_idx", F.lpad(F.hex("raw"), 2, "0").alias("h"))))
     return g.groupBy("sweep_idx").agg(F.sha2(F.array_join(F.transform(codes, lambda x: x["h"]), ""), 256).alias("digest"))
 
