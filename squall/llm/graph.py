@@ -20,9 +20,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("u")).select("a", "b", "m")
+        small = _with_least(large, least).select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         e = small.where("a <> b").distinct().checkpoint()
         new = _state(e)
@@ -32,6 +32,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
+#: A hub's edges are dealt to so many tasks; each node's least neighbour is sent to all of them.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Joins (u, m) to edges on a = u, with the edges of one hub salted by their other end."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    spread = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, (F.col("a") == F.col("u")) & (F.col("salt") == F.col("s")))
+
+
 def _state(e: DataFrame) -> tuple:
     row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
