@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from squall.functions import geo, names, timing, wire
 from squall.operators import chunks as CH
-from squall.operators import fields, summaries
+from squall.operators import summaries
 from squall.plans import adapters as A
 from squall.plans.adapters import ARCHIVES, CHUNKS, CUTS, MESSAGES, RAW, WORDS, R
 from squall.sources import archive, listing, stations
