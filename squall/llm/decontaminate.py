@@ -8,8 +8,9 @@ Documents probe with their words; a hit fixes where the window would start
 of that place are then compared one by one.
 
 Distribution: documents are never shuffled.  Benchmark windows go to the
-executors in blocks of at most ``BLOCK_WINDOWS`` windows, as a stated query set:
-a benchmark of any size is worked off block by block, each against all rows.
+executors in blocks of about ``BLOCK_WINDOWS`` windows, as a stated query set: a
+benchmark of any size is worked off block by block within one pass over the rows,
+and a worker holds one block at a time.
 Word counts are kept only for words of the benchmark and summed by Spark.
 
 Defined results: a null or empty text has no words and is clean; items without
@@ -112,7 +113,18 @@ def word_rarity(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r["word"]]): r["n"] for r in summed.toLocalIterator()}  # as many as the block's words
 
 
-def _probe(docs: DataFrame, block, keep_clean: bool) -> DataFrame:
+def _find(blocks: list, words):
+    """(block, window, first word, text's place) of every verified occurrence, block by block."""
+    hashes = words.hashes()
+    for block in blocks:
+        index = block.value
+        for found in index.find(words, hashes):
+            yield index, *found
+        if len(blocks) > 1:  # read again from the worker's file for the next texts
+            block.__dict__.pop("_value", None)
+
+
+def _probe(docs: DataFrame, blocks: list) -> DataFrame:
     schema = "doc_id long, n_words long, hits array<long>, items array<string>"
 
     def work(batch):
@@ -120,17 +132,16 @@ def _probe(docs: DataFrame, block, keep_clean: bool) -> DataFrame:
 
         ids, texts = columns(batch, "doc_id", "text")
         words = Words(texts, "alnum")
-        index = block.value
         hits: dict[int, set] = {}
         items: dict[int, set] = {}
-        for w, begin, row in index.find(words, words.hashes()):
+        for index, w, begin, row in _find(blocks, words):
             begin -= int(words.at[row])
             hits.setdefault(row, set()).update(range(begin, begin + index.size[w]))
             items.setdefault(row, set()).update(index.items[w])
-        rows = range(len(ids)) if keep_clean else sorted(hits)
+        rows = range(len(ids))
         return pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(list(rows), pa.int64())).cast(pa.int64()),
+                ids.cast(pa.int64()),
                 pa.array([int(words.at[r + 1] - words.at[r]) for r in rows], pa.int64()),
                 pa.array([sorted(hits.get(r, ())) for r in rows], pa.list_(pa.int64())),
                 pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string())),
@@ -157,33 +168,23 @@ def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, hits (word places inside windows), items (ids, as strings)."""
     docs = docs.select("doc_id", "text")
-    blocks = _blocks(spark, docs, benchmark, window, block_windows)
-    parts = [_probe(docs, block, keep_clean=k == 0) for k, block in enumerate(blocks)]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # Repeated doc_ids with unlike texts would meet here; equal sizes are the same text's.
-    return both.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return _probe(docs, _blocks(spark, docs, benchmark, window, block_windows))
 
 
 def clean_only(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs without those that hold a window; all columns stay, row by row and without a join."""
-    for block in _blocks(spark, docs, benchmark, window, block_windows):
-        docs = docs.where(_is_clean(block)("text"))
-    return docs
+    return docs.where(_is_clean(_blocks(spark, docs, benchmark, window, block_windows))("text"))
 
 
-def _is_clean(block):
+def _is_clean(blocks: list):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         from squall.llm.textcore import Words, slices
 
-        index, out = block.value, np.ones(len(texts), dtype=bool)
+        out = np.ones(len(texts), dtype=bool)
         for i, j in slices(texts):
             words = Words(texts.slice(i, j - i), "alnum")
-            for _, _, row in index.find(words, words.hashes()):
+            for _, _, _, row in _find(blocks, words):
                 out[i + row] = False
         return pa.array(out)
 

@@ -443,3 +443,14 @@ def test_decontamination(spark, odd, docs, empty, clashing, blocks):
     assert clean == {i for i, x in want.items() if not x[4]}
     assert decontaminate.contamination(spark, empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(decontaminate.contamination(spark, odd, bench.limit(0))).collect())
+
+
+@pytest.mark.parametrize("blocks", [1_000_000, 1])
+def test_rows_of_equal_ids_are_judged_alone(spark, blocks):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta eps"), (3, "zeta eta theta iota")], "item_id long, text string")
+    rows = [(None, "alpha beta gamma x y"), (None, "a clean text of five"), (None, "now delta eps is here"), (7, "alpha beta gamma delta eps"), (7, "all of this is clean"), (7, "all of this is clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.contamination(spark, df, bench, block_windows=blocks)).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted([(None, 5, 3, 1), (None, 5, 0, 0), (None, 5, 2, 1), (7, 5, 5, 2), (7, 5, 0, 0), (7, 5, 0, 0)], key=key)
+    assert sorted(r.text for r in decontaminate.clean_only(spark, df, bench, block_windows=blocks).collect()) == sorted(rows[k][1] for k in (1, 4, 5))
