@@ -3,8 +3,10 @@
 A mix is a sequence of slots.  Slot k carries the point frac(k * golden ratio);
 the source whose share of [0, 1) holds the point owns the slot.  Slots are
 ranked per source, and the j-th slot of a source takes the j-th block of its
-shuffled words.  All blocks are of equal size (the last may be short), and a
-source's sequence may be gone through twice.
+shuffled words.  Slots are shared out by target, but every source has about
+``FEWEST`` at least, so small sources have smaller blocks (some of no word).  A
+source's n slots cut its rounded target evenly, so that what is taken of a source
+is its target to the word.  A source's sequence may be gone through twice.
 
 Distribution: positions within a source come from sums per (source, bucket) and
 from a window inside each bucket, so no window holds a whole source; slots are
@@ -26,7 +28,8 @@ from squall.llm.common import shared_dir, table
 WEIGHTS = (5.0, 2.0, 1.0)  # in the order of sources, repeating
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's words
-SLOTS = 1 << 16
+SLOTS = 1 << 16  # and up to FEWEST more per small source
+FEWEST = 1000
 BUCKETS = 1024  # per source, for prefix sums
 GOLDEN = 0.6180339887498949
 
@@ -61,18 +64,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
-def schedule(spark: SparkSession, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, source, rank): who owns each slot, and its how-manieth it is from 0.
+def shared_slots(targets: DataFrame, slots: int = SLOTS, fewest: int = FEWEST) -> DataFrame:
+    """Per source with a target: how many slots it is to have, whatever the size of the others."""
+    positive = targets.where(F.col("target") > 0)
+    total = F.sum("target").over(Window.partitionBy())
+    share = F.least(F.lit(float(slots)), total) * F.col("target") / total
+    return positive.select("source", F.greatest(share, F.lit(float(fewest))).alias("wanted"))
+
+
+def schedule(spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    """(slot, source, rank, slots): who owns each slot, its how-manieth it is from 0, and how many it has.
 
     Slots are looked up in the cumulative shares by one ordering of points and
     lower bounds together: as many rows as slots and sources, whatever the input.
     """
+    slots = int(-(-(wanted.agg(F.sum("wanted")).first()[0] or 0) // 1))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    shares = targets.where(F.col("target") > 0).select("source", "target")
-    total = F.sum("target").over(Window.partitionBy())
-    upper = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = shares.select(
-        F.lit(None).cast("long").alias("slot"), ((upper - F.col("target")) / total).alias("point"), F.struct("source").alias("owner")
+    total = F.sum("wanted").over(Window.partitionBy())
+    upper = F.sum("wanted").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    bounds = wanted.select(
+        F.lit(None).cast("long").alias("slot"), ((upper - F.col("wanted")) / total).alias("point"), F.struct("source").alias("owner")
     )
     points = spark.range(slots).select(
         F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"), F.lit(None).cast("struct<source:string>").alias("owner")
@@ -81,7 +92,7 @@ def schedule(spark: SparkSession, targets: DataFrame, slots: int = SLOTS) -> Dat
     owned = bounds.unionByName(points).withColumn("owner", F.last("owner", ignorenulls=True).over(along))
     owned = owned.where(F.col("slot").isNotNull() & F.col("owner").isNotNull()).select("slot", F.col("owner.source").alias("source"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return owned.select("slot", "source", rank.cast("long").alias("rank"))
+    return owned.select("slot", "source", rank.cast("long").alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("source")).alias("slots"))
 
 
 def placed(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
@@ -107,29 +118,31 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     shared_dir(spark)
     sized = sized.checkpoint()
     targets = source_targets(sized, weights, share, most).checkpoint()
-    # Words per block: the whole mix over the number of slots.
-    block = targets.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots)).cast("long").alias("block"), F.sum("target").alias("all_words"))
-    block = block.select("block", F.round(F.col("all_words") / F.col("block")).cast("long").alias("used"))
-    # Per-source figures and the block size ride along with each document: one row per source.
-    facts = targets.join(F.broadcast(block.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select(
-        F.col("source").alias("fs"), "source_size", "target", "block", "used"
+    # Read twice; as many rows as slots.
+    owned = schedule(spark, shared_slots(targets, slots)).checkpoint()
+    # Per-source figures ride along with each document: one row per source.
+    counts = owned.where("rank = 0").select(F.col("source").alias("os"), "slots")
+    facts = targets.join(counts, F.col("source").eqNullSafe(F.col("os")), "left").select(
+        F.col("source").alias("fs"), "source_size", "target", F.round("target").cast("long").alias("quota"), F.coalesce("slots", F.lit(0)).alias("slots")
     )
     at = placed(sized, seed).join(facts, F.col("source").eqNullSafe(F.col("fs"))).drop("fs")
     rounds = int(-(-most // 1))
     begin = F.col("start") + F.col("round") * F.col("source_size")
     pieces = at.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     pieces = pieces.withColumn("begin", begin).withColumn("stop", begin + F.col("size"))
-    lowest = F.floor(F.col("begin") / F.col("block"))
-    highest = F.floor((F.col("stop") - 1) / F.col("block"))
-    pieces = pieces.withColumn("rank", F.explode(F.when(F.col("size") > 0, F.sequence(lowest, highest)).otherwise(F.array(F.lit(-1).cast("long")))))
-    words = F.least(F.col("stop"), (F.col("rank") + 1) * F.col("block")) - F.greatest(F.col("begin"), F.col("rank") * F.col("block"))
+    # Block r of a source: words from r * quota div slots to before (r + 1) * quota div slots.
+    lowest, highest = F.expr("((begin + 1) * slots - 1) div quota"), F.expr("least(stop * slots - 1, quota * slots - 1) div quota")
+    some = (F.col("size") > 0) & (F.col("slots") > 0) & (F.col("begin") < F.col("quota"))
+    pieces = pieces.withColumn("rank", F.explode(F.when(some, F.sequence(lowest, highest)).otherwise(F.array(F.lit(-1).cast("long")))))
+    first, last = F.expr("rank * quota div greatest(slots, 1)"), F.expr("(rank + 1) * quota div greatest(slots, 1)")
+    words = F.least(F.col("stop"), last) - F.greatest(F.col("begin"), first)
     pieces = pieces.withColumn("words", F.greatest(words, F.lit(0)))
-    owned = schedule(spark, targets, slots).select(F.col("source").alias("os"), F.col("rank").alias("orank"), "slot")
-    joined = pieces.join(owned, F.col("source").eqNullSafe(F.col("os")) & (F.col("rank") == F.col("orank")) & (F.col("slot") < F.col("used")), "left")
+    owned = owned.select(F.col("source").alias("os"), F.col("rank").alias("orank"), "slot")
+    joined = pieces.join(owned, F.col("source").eqNullSafe(F.col("os")) & (F.col("rank") == F.col("orank")), "left")
     keys = ("source", "bucket", "row", "doc_id", "size", "source_size", "target")
     out = joined.groupBy(*keys).agg(
         F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(F.lit(0))).cast("long").alias("taken"),
-        F.min("slot").alias("first_slot"),
+        F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"),
     )
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "first_slot")
 

@@ -319,6 +319,21 @@ def test_mix_of_nothing(spark, empty):
     assert [r.taken for r in mixing.mix(spark, blank).collect()] == [0, 0]
 
 
+def test_mix_takes_small_sources_in_full(spark):
+    """A small source beside a large one takes its target, not a multiple of the large one's block."""
+    text = lambda n: F.array_join(F.array_repeat(F.lit("w"), n), " ")
+    big = spark.range(2000).select(F.col("id").alias("doc_id"), text(5000).alias("text"), F.lit("b").alias("source"))
+    small = spark.range(9).select((F.col("id") + 10_000).alias("doc_id"), text(4).alias("text"), F.when(F.col("id") < 8, "a").alias("source"))
+    docs = big.unionByName(small)
+    rows = mixing.mix(spark, docs).join(docs.select(F.col("doc_id").alias("i"), "source"), F.col("doc_id") == F.col("i")).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"] and (r.first_slot is None) == (r.taken == 0)
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert set(target) == {"a", "b", None} and all(abs(taken[s] - target[s]) <= 0.5 for s in target), (taken, target)
+
+
 # ---- 8: repeated passages ----
 
 
