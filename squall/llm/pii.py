@@ -4,8 +4,9 @@ The field labels blank-separated tokens from word shapes (digits, letters,
 marks, length) and from cue words nearby.  It is trained by gradient ascent from
 the small labelled table below and decoded by Viterbi in numpy batches over
 whole texts.  Tokens for which no label can catch up with O, whatever the
-neighbours are, are fixed at once (an exact bound), so only runs of odd tokens
-are decoded.
+neighbours' labels are, are fixed at once (``active_tokens``, a bound from scores and
+transitions), so only the runs between them are decoded: the labels are those of
+decoding the whole text.
 
 Patterns are the base spans; the field adds spans that overlap none of them:
 further emails, phones and cards in other spellings, ``id`` (personal numbers)
@@ -101,6 +102,12 @@ LABELLED = (
     "fax [phone 555.014.7788] is closed",
     "mobile [phone 0171-5550199] or the front desk",
     "ring [phone (030) 5550-1234] for a table",
+    "call [phone (212) - 555 - 0187] at noon",
+    "her phone is [phone 020 - 7946 - 0123] now",
+    "office [phone 030 / 12345 67] in town",
+    "or ring [phone 0171 / 555 01 99] today",
+    "the card [card 5105 - 1051 - 0510 - 5102] was declined",
+    "visa [card 4012 / 8888 / 8888 / 1883] on file",
     "card number [card 4111 1111 1111 1112] was charged",
     "the card [card 5500-0000-0000-0005] has expired",
     "paid with visa [card 4929348385146307] today",
@@ -132,6 +139,11 @@ LABELLED = (
     "the score was 3-2 after 90 minutes, 45-30 at the half",
     "thntblere of then edtioner | inea | ononedth | edshhe | worthless",
     "achach$$$ schgech%%% ench*** nicht### eneina of the",
+    "pages 12 - 15 and 100 - 120 of 300 - 400 are missing",
+    "the 1990 - 1995 and 2001 - 2005 seasons, 12 / 20 and 3 / 4",
+    "on 2020 - 05 - 14 the score was 3 - 2 , then 110 - 98",
+    "thewn at the nd athar. at. inea ond at ononedth thenre",
+    "we met at school and at work, then sat at home. at last",
     "order 100200300 was shipped in 12 boxes of 24",
     "isbn 978-3-16-148410-0 is the third edition",
     "the sum of 1234567 and 7654321 is 8888888",
@@ -227,6 +239,22 @@ class Field:
     def __init__(self, weights: np.ndarray, trans: np.ndarray, begin: np.ndarray):
         self.weights, self.trans, self.begin = weights, trans, begin
         self.by_shape = shape_parts(np.arange(_N_SHAPES)) @ weights[:_SHAPE_PARTS]
+        # What a label can win over O by transitions: a step between labels counts half for
+        # each of its tokens, a step from or to O for the token that isn't O.
+        step = trans - trans[0, 0]
+        inner = step[1:, 1:] / 2
+        left, right = np.maximum(step[0, 1:], inner.max(axis=0)), np.maximum(step[1:, 0], inner.max(axis=1))
+        self.gain = left + right
+        self.edge_gain = np.maximum(left, begin[1:] - begin[0]) + np.maximum(right, 0.0)
+        # By shape alone, for tokens inside a text without a cue or a digit near.
+        first = np.cumsum([_SHAPE_PARTS] + [len(CUES) + 1] * 5 + [11])
+        quiet = self.by_shape + weights[first[:5]].sum(axis=0) + weights[first[5:] + 1].sum(axis=0)
+        self.quiet = self.most(quiet, self.gain)
+
+    @staticmethod
+    def most(scores: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """The most that each token can add to a path by not being O."""
+        return (scores[:, 1:] - scores[:, :1] + gain).max(axis=1)
 
     def scores(self, shape: np.ndarray, cue: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Scores of the tokens numbered by places, by lookups instead of one-hot products."""
@@ -321,18 +349,29 @@ def train(rounds: int = 300, ridge: float = 0.02) -> Field:
     return Field(weights, trans, begin)
 
 
-def active_tokens(shape: np.ndarray, cue: np.ndarray) -> np.ndarray:
-    """Tokens that may have a label other than O (all others are O by the model's structure):
-    those with a digit or an @, and those around an "at ... dot"."""
+def active_tokens(shape: np.ndarray, cue: np.ndarray, at: np.ndarray, field: Field) -> np.ndarray:
+    """The tokens that the bound leaves open; all others are O on every best path.
+
+    A run of labels other than O beats O only if what its tokens can add at most
+    sums to 0 or more: a token stays open if any run around it does.
+    """
     n = len(shape)
-    active = (shape // (_N_SHAPES // 10) > 0) | (shape // 8 % 2 > 0)
-    is_at = np.concatenate([cue == AT, np.zeros(3, dtype=bool)])
-    dots = np.flatnonzero(cue == DOT)
-    dots = dots[is_at[np.maximum(dots - 1, -1)] | is_at[dots - 2] | is_at[dots - 3]] if n else dots
-    for by in range(-4, 2):
-        near = dots + by
-        active[near[(near >= 0) & (near < n)]] = True
-    return np.flatnonzero(active)
+    edge, loud = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    starts = at[:-1][np.diff(at) > 0]
+    edge[starts] = edge[np.append(starts[1:], n) - 1] = True
+    digits = np.flatnonzero(shape // (_N_SHAPES // 10) > 0)
+    cued = np.flatnonzero(cue >= 0)
+    for places, steps in ((digits, (-1, 1)), (cued, (-1, 0, 1, 2, 3))):
+        for by in steps:
+            near = places + by
+            loud[near[(near >= 0) & (near < n)]] = True
+    most = field.quiet[shape]
+    for places, gain in ((np.flatnonzero(loud & ~edge), field.gain), (np.flatnonzero(edge), field.edge_gain)):
+        if len(places):
+            most[places] = field.most(field.scores(shape, cue, at, places), gain)
+    total = np.concatenate([[0.0], np.cumsum(most + 1e-9)])
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    return np.flatnonzero(best >= -1e-6)
 
 
 def label_tokens(words, field: Field) -> tuple[np.ndarray, np.ndarray]:
@@ -344,20 +383,26 @@ def label_tokens(words, field: Field) -> tuple[np.ndarray, np.ndarray]:
     if not len(shape):
         return none, none
     cue = cues(words)
-    places = active_tokens(shape, cue)
+    places = active_tokens(shape, cue, words.at, field)
     if not len(places):
         return none, none
     emit = field.scores(shape, cue, words.at, places)
     row = np.searchsorted(words.at, places, "right")
     new = np.concatenate([[True], (np.diff(places) > 1) | (np.diff(row) > 0)])
     at = np.append(np.flatnonzero(new), len(places))
-    # Runs lie between tokens that are O, or at a text's ends (taken as O too).
-    labels = decode(emit, at, field.trans, begin=field.trans[0], end=field.trans[:, 0], block=8)
+    # Runs lie between tokens that are O, or at a text's ends.
+    first, last = at[:-1], at[1:] - 1
+    opens = places[first] == words.at[row[first] - 1]
+    closes = places[last] + 1 == words.at[row[last]]
+    emit[first] += np.where(opens[:, None], field.begin, field.trans[0])
+    emit[last] += np.where(closes[:, None], 0.0, field.trans[:, 0])
+    labels = decode(emit, at, field.trans, block=8)
     found = labels > 0
     return places[found], labels[found]
 
 
-_SPELT = re.compile(r"(?i)^[^\s@]+\s*(@|[(\[]at[)\]]|\bat\b)\s*\S+.*")
+#: With a spelt-out at there must be a dot of the domain, spelt out or not.
+_SPELT = re.compile(r"(?is)^[^\s@]+\s*(@\s*\S|([(\[]at[)\]]|\bat\b)\s*.*(\bdot\b|\w\.\w))")
 _NUMBER = re.compile(r"[0-9 ().+/-]+")
 _TRIM = " \t\r\n.,;:!?\"'"
 

@@ -276,6 +276,25 @@ def test_pii(spark, odd, empty, clashing, docs):
     assert [r.text for r in hidden] == ["mail <EMAIL> now", None, "é <PHONE>."]
 
 
+def test_field_labels_are_those_of_whole_texts(docs):
+    """Fixing tokens by the bound changes no label, text ends included."""
+    field = pii.train()
+    more = ["030 / 1234567", "(415) - 555 - 0132", "call 415", "bob at corp dot org", "a - b / c", "", "my card: 4111 1111 1111 1112"]
+    words = textcore.Words(pa.array([t for _, t in text_rows(docs)] + more, pa.string()), "space")
+    shape, cue = pii.shapes(words), pii.cues(words)
+    want = viterbi.decode(field.scores(shape, cue, words.at, np.arange(len(shape))), words.at, field.trans, begin=field.begin)
+    places, labels = pii.label_tokens(words, field)
+    got = np.zeros(len(shape), dtype=int)
+    got[places] = labels
+    assert (got == want).all() and (want > 0).any()
+
+
+def test_numbers_with_lone_connectors():
+    texts = ["call (415) - 555 - 0132 now", "card 4111 - 1111 - 1111 - 1112 was charged", "phone 030 / 12345 67 here", "pages 112 - 115 and 200 - 220 of 500 - 600", "they stood at the gate. At. Once"]
+    found = [[(k, t[a:b]) for k, a, b in more] for t, _, more in pii.spans_of(pa.array(texts), pii.train())]
+    assert found == [[("phone", "(415) - 555 - 0132")], [("card", "4111 - 1111 - 1111 - 1112")], [("phone", "030 / 12345 67")], [], []]
+
+
 # ---- 7: mix ----
 
 
