@@ -1,22 +1,25 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-The sets are the words of item-sized windows (ten words, or a whole shorter
-item).  Words are ordered by rarity over all documents; a window is contained
-only where all of its words are, so one prefix word, its rarest, is necessary.
-Documents probe with their words; a hit fixes where the window would start
-(positional bound) and must leave room for its length (length bound); the words
-of that place are then compared one by one.
-
-Distribution: documents are never shuffled.  Benchmark windows go to the
-executors in blocks of about ``BLOCK_WINDOWS`` windows, as a stated query set: a
-benchmark of any size is worked off block by block within one pass over the rows,
-and a worker holds one block at a time.
-Word counts are kept only for words of the benchmark and summed by Spark.
+Every item-sized window (ten words, or a whole shorter item) is a set of shingles of
+three consecutive words.  Shingles are ordered by rarity, counted over all documents;
+a window is contained only where all of its shingles are, so one prefix shingle, its
+rarest, is necessary.  Documents are joined to windows on prefix shingles; a match
+fixes where the window would start (positional bound) and must leave room for its
+length (length bound); the words of that place are then compared with the window's.
+
+Distribution.  Documents are gone through twice, whatever the size of the benchmark:
+once to count the benchmark's shingles, once for matches of prefix shingles, which
+travel to the windows together with the few words around them.  Texts are never
+shuffled.  Only two Bloom filters (at most 16 MB each) and the prefix shingles that
+hold more than 1/``HOT`` of all matches (at most ``HOT``) are broadcast; the windows
+of those are repeated so that the matches of one shingle go to many tasks.
 
 Defined results: a null or empty text has no words and is clean; items without
-words are ignored; repeated items have windows of their own under their ids;
-repeated documents are judged each for itself; an empty benchmark leaves all
-documents clean; other columns are ignored.
+words are ignored; items of equal text are all named; rows of one document id, null
+ids included, are judged each for itself; an empty benchmark leaves all documents
+clean; a very long text is one row like any other, cut nowhere; of equally rare
+shingles the one of the least hash is the prefix; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,177 +29,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squall.llm.common import columns, map_texts, table
+from squall.llm import bloom
+from squall.llm.common import columns, map_texts, table, written
 
 WINDOW = 10
-#: Bound of one broadcast block of benchmark windows (about 200 bytes each).
-BLOCK_WINDOWS = 200_000
+SHINGLE = 3
+#: Prefix shingles with more than this part of all matches are dealt to several tasks.
+HOT = 2000
+HOT_MATCHES = 10_000  # and with more than so many
+#: Up to so many windows (about 200 bytes each) are broadcast to the matches; more are joined by a shuffle.
+FEW_WINDOWS = 50_000
 
 _WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, text): one row per distinct window of an item, its words joined by a space."""
+    """(text, items): one row per distinct window, its words joined by a space, and the ids it stands in."""
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lowered, _WORD_CLASS), lambda w: w != "")
-    items = benchmark.select("item_id", words.alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (window - 1)))
-    return items.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("text")).distinct()
-
-
-def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    from squall.llm.textcore import Words
-
-    w = Words(pa.array([t.decode() for t in texts], pa.string()), "alnum")
-    return w.hashes(), w.at
-
-
-class Block:
-    """Windows of one block, looked up by the hash of their prefix word."""
-
-    def __init__(self, rows, rarity: dict[int, int]):
-        distinct: dict[bytes, list[str]] = {}
-        for item, text in rows:
-            distinct.setdefault(text.encode(), []).append(str(item))
-        self.texts = list(distinct)
-        self.items = [sorted(set(x)) for x in distinct.values()]
-        hashes, at = _hash_words(self.texts)
-        keys, self.shift, self.size = [], [], []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own = hashes[a:b]
-            k = min(range(b - a), key=lambda i: (rarity.get(int(own[i]), 0), int(own[i])))
-            keys.append(own[k])
-            self.shift.append(k)
-            self.size.append(int(b - a))
-        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
-        self.order = order
-        self.keys = np.array(keys, dtype=np.uint64)[order]
-        self.distinct = np.unique(self.keys)
-        self.first = np.searchsorted(self.keys, self.distinct, "left")
-        self.last = np.searchsorted(self.keys, self.distinct, "right")
-
-    def find(self, words, hashes):
-        """(window, first word, text's place) of every verified occurrence."""
-        if not len(hashes) or not len(self.distinct):
-            return
-        place = np.searchsorted(self.distinct, hashes)
-        place[place == len(self.distinct)] = 0
-        for p in np.flatnonzero(self.distinct[place] == hashes):
-            row = int(np.searchsorted(words.at, p, "right")) - 1
-            k = place[p]
-            for w in self.order[self.first[k] : self.last[k]]:
-                begin = int(p) - self.shift[w]
-                if begin >= words.at[row] and begin + self.size[w] <= words.at[row + 1] and words.span(begin, self.size[w]) == self.texts[w]:
-                    yield int(w), begin, row
-
-
-def word_rarity(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """In how many documents each benchmark word stands, over all documents."""
-    vocabulary = np.unique(vocabulary)
+    windows = items.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("text"))
+    return windows.groupBy("text").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _shingled(batch):
+    from squall.llm.textcore import Words, grams
+
+    texts, items = columns(batch, "text", "items")
+    words = Words(texts, "alnum")
+    hashes = words.hashes()
+    size = np.diff(words.at)
+    parts: list = [None] * len(size)
+    for n in np.unique(np.minimum(size, SHINGLE)).tolist():
+        own = np.minimum(size, SHINGLE) == n
+        g, first = grams(hashes, words.at, n)
+        row = np.searchsorted(words.at, first, "right") - 1
+        cuts = np.searchsorted(row, np.arange(len(size) + 1))
+        for i in np.flatnonzero(own):
+            parts[i] = g[cuts[i] : cuts[i + 1]].view(np.int64)
+    return pa.RecordBatch.from_arrays([texts, items, pa.array(size.astype(np.int64)), pa.array(parts, pa.list_(pa.int64()))], ["text", "items", "size", "shingles"])
+
+
+def _document_shingles(words, widths):
+    """(hash, first word, width) of all shingles of the given widths."""
+    from squall.llm.textcore import grams
+
+    hashes = words.hashes()
+    for n in widths:
+        g, first = grams(hashes, words.at, n)
+        yield g, first, n
+
+
+def _counts(docs: DataFrame, known, widths) -> DataFrame:
+    """(shingle, n): how often shingles of the benchmark (and a few others that the filter lets pass) stand in all documents."""
 
     def count(batch):
         from squall.llm.textcore import Words
 
         words = Words(columns(batch, "text")[0], "alnum")
-        hashes = words.hashes()
-        place = np.searchsorted(vocabulary, hashes)
-        place[place == len(vocabulary)] = 0
-        hit = np.flatnonzero(vocabulary[place] == hashes)
-        row = np.searchsorted(words.at, hit, "right")
-        pairs = np.unique(row.astype(np.int64) * len(vocabulary) + place[hit]) % len(vocabulary)
-        n = np.bincount(pairs, minlength=len(vocabulary))
-        some = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n[some].astype(np.int64))], ["word", "n"])
-
-    summed = map_texts(docs.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {int(vocabulary[r["word"]]): r["n"] for r in summed.toLocalIterator()}  # as many as the block's words
-
-
-def _find(blocks: list, words):
-    """(block, window, first word, text's place) of every verified occurrence, block by block."""
-    hashes = words.hashes()
-    for block in blocks:
-        index = block.value
-        for found in index.find(words, hashes):
-            yield index, *found
-        if len(blocks) > 1:  # read again from the worker's file for the next texts
-            block.__dict__.pop("_value", None)
+        found = [g[known.value.has(g)] for g, _, _ in _document_shingles(words, widths)]
+        shingle, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    return map_texts(docs.select("text"), count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _probe(docs: DataFrame, blocks: list) -> DataFrame:
-    schema = "doc_id long, n_words long, hits array<long>, items array<string>"
+class Prefixes:
+    """What is needed to look for matches in documents: windows and their number, filter, widths and hot prefix shingles."""
 
-    def work(batch):
+    def __init__(self, windows, n: int, known, widths: list[int], hot: dict[int, int]):
+        self.windows, self.n, self.known, self.widths, self.hot = windows, n, known, widths, hot
+
+
+def prefixes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hot: int = HOT, least: int = HOT_MATCHES) -> Prefixes:
+    """The benchmark's windows with their prefix shingle: text, items, size, shift (of the prefix, in words), key."""
+    spark = docs.sparkSession
+    narrow = [F.count(F.when(F.col("size") == k, 1)) for k in range(1, SHINGLE)]
+    windows = map_texts(benchmark_windows(benchmark, window), _shingled, "text string, items array<string>, size long, shingles array<long>")
+    windows, seen = written(windows, shingles=F.sum(F.size("shingles")), **{f"of{k + 1}": x for k, x in enumerate(narrow)})
+    narrower = sum(seen.get(f"of{k}", 0) for k in range(1, SHINGLE))
+    widths = [k for k in range(1, SHINGLE) if seen.get(f"of{k}")] + [SHINGLE] * (seen["n"] > narrower)
+    known = spark.sparkContext.broadcast(bloom.build(windows.select(F.explode("shingles")), seen.get("shingles") or 0))
+    counts = _counts(docs, known, widths).withColumnRenamed("shingle", "counted") if widths else spark.createDataFrame([], "counted long, n long")
+    placed = windows.select("text", "items", "size", F.posexplode("shingles").alias("shift", "key"))
+    rarity = placed.join(counts, F.col("key") == F.col("counted"), "left").groupBy("text").agg(
+        F.first("items").alias("items"), F.first("size").alias("size"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "shift")).alias("rarest")
+    )
+    chosen, seen = written(rarity.select("text", "items", "size", "rarest.*"), total=F.sum("n"), most=F.max("n"))
+    # At most ``hot`` keys have more than total / hot matches each.
+    share = max(least, -(-(seen.get("total") or 0) // hot))
+    salts = {}
+    if (seen.get("most") or 0) > share:
+        salts = {r["key"]: -(-r["n"] // share) for r in chosen.where(F.col("n") > share).select("key", "n").distinct().collect()}
+    return Prefixes(chosen, seen["n"], spark.sparkContext.broadcast(bloom.build(chosen.select("key"), seen["n"])), widths, salts)
+
+
+_MATCHES = "array<struct<key:long,salt:int,place:long,before:long,around:string>>"
+
+
+def _matches(words, p: Prefixes, window: int):
+    """(text's place, match) of shingles that the filter passes: key, word of the text, words around it and how many of those stand before."""
+    for g, first, n in _document_shingles(words, p.widths):
+        for k in np.flatnonzero(p.known.value.has(g)):
+            at = int(first[k])
+            row = int(np.searchsorted(words.at, at, "right")) - 1
+            a, z = max(int(words.at[row]), at - window + n), min(int(words.at[row + 1]), at + window)
+            yield row, {"key": int(g[k].view(np.int64)), "place": at - int(words.at[row]), "before": at - a, "around": words.span(a, z - a).decode("utf-8", "replace")}
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hot: int = HOT, least: int = HOT_MATCHES, few: int = FEW_WINDOWS, found: Prefixes | None = None) -> DataFrame:
+    """One row per document: row (a number of its own), doc_id, n_words, hits (word places inside windows), items (ids, as strings)."""
+    p = found or prefixes(docs, benchmark, window, hot, least)
+    known = Prefixes(None, p.n, p.known, p.widths, p.hot)
+
+    def probe(batch):
         from squall.llm.textcore import Words
 
-        ids, texts = columns(batch, "doc_id", "text")
+        rows, ids, texts = columns(batch, "row", "doc_id", "text")
         words = Words(texts, "alnum")
-        hits: dict[int, set] = {}
-        items: dict[int, set] = {}
-        for index, w, begin, row in _find(blocks, words):
-            begin -= int(words.at[row])
-            hits.setdefault(row, set()).update(range(begin, begin + index.size[w]))
-            items.setdefault(row, set()).update(index.items[w])
-        rows = range(len(ids))
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.cast(pa.int64()),
-                pa.array([int(words.at[r + 1] - words.at[r]) for r in rows], pa.int64()),
-                pa.array([sorted(hits.get(r, ())) for r in rows], pa.list_(pa.int64())),
-                pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string())),
-            ],
-            ["doc_id", "n_words", "hits", "items"],
-        )
-
-    return map_texts(docs, work, schema)
-
-
-def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int) -> list:
-    """The benchmark's windows as broadcast blocks of bounded size."""
-    windows = benchmark_windows(benchmark, window)
-    n_blocks = max(1, -(-windows.count() // block_windows))
-    out = []
-    for k in range(n_blocks):
-        own = windows if n_blocks == 1 else windows.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k)
-        rows = [(r["item_id"], r["text"]) for r in own.toLocalIterator()]  # at most about block_windows
-        vocabulary, _ = _hash_words([t.encode() for _, t in rows]) if rows else (np.zeros(0, np.uint64), None)
-        out.append(spark.sparkContext.broadcast(Block(rows, word_rarity(docs, vocabulary) if rows else {})))
-    return out
-
-
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (word places inside windows), items (ids, as strings)."""
-    docs = docs.select("doc_id", "text")
-    return _probe(docs, _blocks(spark, docs, benchmark, window, block_windows))
-
-
-def clean_only(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs without those that hold a window; all columns stay, row by row and without a join."""
-    return docs.where(_is_clean(_blocks(spark, docs, benchmark, window, block_windows))("text"))
-
-
-def _is_clean(blocks: list):
+        own: list = [[] for _ in range(len(ids))]
+        numbers = rows.to_pylist()
+        for k, match in _matches(words, known, window):
+            own[k].append(match | {"salt": (numbers[k] + match["place"]) % known.hot.get(match["key"], 1)})
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("salt", pa.int32()), ("place", pa.int64()), ("before", pa.int64()), ("around", pa.string())]))
+        return pa.RecordBatch.from_arrays([rows, ids.cast(pa.int64()), pa.array(np.diff(words.at).astype(np.int64)), pa.array(own, kind)], ["row", "doc_id", "n_words", "matches"])
+
+    # Written once, so that a row's number is the same for its words and its matches.
+    numbered = docs.select((F.col("row") if found else F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
+    probed = map_texts(numbered, probe, f"row long, doc_id long, n_words long, matches {_MATCHES}").checkpoint()
+    matches = probed.where(F.size("matches") > 0).select("row", F.explode("matches").alias("m")).select("row", "m.*")
+    windows = p.windows.select(F.col("key").alias("k"), "text", "items", "size", "shift")
+    repeated = F.lit(1)
+    if p.hot:
+        repeated = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in p.hot.items() for x in pair]), F.col("k")), F.lit(1))
+    windows = windows.withColumn("s", F.explode(F.sequence(F.lit(0), (repeated - 1).cast("int"))))
+    joined = matches.join(F.broadcast(windows) if p.n <= few else windows, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")))
+    fits = F.col("before") >= F.col("shift")
+    same = F.array_join(F.slice(F.split("around", " "), (F.col("before") - F.col("shift") + 1).cast("int"), F.col("size").cast("int")), " ") == F.col("text")
+    begin = F.col("place") - F.col("shift")
+    hits = joined.where(fits).where(same).groupBy("row").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence(begin, begin + F.col("size") - 1)))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    out = probed.select("row", "doc_id", "n_words").join(hits.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    return out.select(
+        "row", "doc_id", "n_words", F.array_sort(F.coalesce("hits", F.array().cast("array<long>"))).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hot: int = HOT, least: int = HOT_MATCHES, few: int = FEW_WINDOWS) -> DataFrame:
+    """docs without those that hold a window; all columns stay.
+
+    Rows without a prefix shingle pass as they are; only the others are written and judged.
+    """
+    p = prefixes(docs, benchmark, window, hot, least)
+    known = Prefixes(None, p.n, p.known, p.widths, p.hot)
+
     @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
+    def suspected(texts: pa.Array) -> pa.Array:
         from squall.llm.textcore import Words, slices
 
-        out = np.ones(len(texts), dtype=bool)
+        out = np.zeros(len(texts), dtype=bool)
         for i, j in slices(texts):
             words = Words(texts.slice(i, j - i), "alnum")
-            for _, _, _, row in _find(blocks, words):
-                out[i + row] = False
+            for g, first, _ in _document_shingles(words, known.widths):
+                hit = first[known.known.value.has(g)]
+                out[i + np.searchsorted(words.at, hit, "right") - 1] = True
         return pa.array(out)
 
-    return clean
+    passed = docs.where(~suspected("text"))
+    packed = docs.where(suspected("text")).select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("whole")).checkpoint()
+    judged = contamination(packed.select("row", "whole.doc_id", "whole.text"), benchmark, few=few, window=window, found=p)
+    bad = judged.where(F.size("hits") > 0).select(F.col("row").alias("bad_row"))
+    return passed.unionByName(packed.join(bad, F.col("row") == F.col("bad_row"), "left_anti").select("whole.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

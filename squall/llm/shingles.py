@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MIN_WORDS = 3
+WIDTH = 5  # words of a shingle
 ROWS, BANDS = 5, 25
 N_HASHES = 128  # the last few serve comparison only
 
@@ -14,7 +14,7 @@ _SEEDS = (np.arange(1, N_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 class Sets:
     """Distinct shingle hashes of each text: sorted within, at: where each text's begin."""
 
-    def __init__(self, texts, width: int = MIN_WORDS):
+    def __init__(self, texts, width: int = WIDTH):
         from squall.llm.textcore import Words, grams, mix
 
         words = Words(texts, "space_lower")
@@ -66,12 +66,12 @@ def _fold(h: np.ndarray) -> int:
     return total
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key per signature and band."""
+def band_keys(signatures: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """A 64-bit key per signature and band, unlike for equal values of two bands."""
     from squall.llm.textcore import mix
 
-    s = signatures[:, : ROWS * BANDS].reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    key = np.full(s.shape[:2], 0x51ED270B, dtype=np.uint64)
-    for r in range(ROWS):
+    s = signatures[:, : rows * bands].reshape(len(signatures), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x51ED270B), s.shape[:2]).copy()
+    for r in range(rows):
         key = mix(key * np.uint64(0x100000001B3) ^ s[:, :, r])
     return key.view(np.int64)

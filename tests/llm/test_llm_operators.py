@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, pii, substring_dedup, textcore, toxicity, viterbi
+from squall.llm import bloom, chat_format, decontaminate, graph, language, licenses, line_quality, mixing, near_dedup, pii, substring_dedup, textcore, toxicity, viterbi
 from squall.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -390,11 +390,11 @@ def test_repeats_in_random_texts(spark):
 # ---- 9: near duplicates ----
 
 
-def plain_components(rows):
+def plain_components(rows, width=3, percent=85):
     sets = {}
     for i, t in rows:
         w = WORD.findall(lower(t))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     parent = {i: i for i in sets}
 
     def root(x):
@@ -405,7 +405,7 @@ def plain_components(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -424,45 +424,96 @@ def near_family(seed=4, n=140):
     return rows
 
 
-@pytest.mark.parametrize("block,hubs", [(256, 32), (8, 3)])
-def test_near_duplicates(spark, docs, block, hubs):
+@pytest.mark.parametrize("block,hubs,percent,width", [(256, 32, 85, 3), (8, 3, 85, 3), (16, 1, 80, 5), (2, 1, 85, 3)])
+def test_near_duplicates(spark, docs, block, hubs, percent, width):
     rows = near_family() + [(1000 + i, t) for i, t in text_rows(docs)] + [(5000, None), (5001, ""), (5002, "one"), (5003, "ONE"), (5004, "one two")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit(1))
-    want = plain_components(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, df, block=block, hubs=hubs).collect()}
+    want = plain_components(rows, width, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, percent, width, block, hubs).collect()}
     assert got == want
 
 
+def test_loose_clusters(spark):
+    """Hundreds of texts that share bands but mostly aren't linked, worked off in blocks by cluster and by band key."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(2, 16)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows)
+    assert 20 < len({c for _, c in want.values()}) < 250
+    for block, hubs in ((8, 2), (64, 8)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 85, 3, block, hubs).collect()}
+        assert got == want
+
+
 def test_near_duplicates_odd_rows(spark, empty, clashing):
-    rows = near_dedup.near_duplicates(spark, clashing).collect()
+    rows = near_dedup.near_duplicates(clashing, 85, 3).collect()
     assert len(rows) == len(ROWS)
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert by[2].component_id == 1 and not by[2].kept and by[3].component_id == 1 and by[4].kept and by[4].n_shingles == 0
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
-    assert near_dedup.near_duplicates(spark, empty).count() == 0
-    kept = near_dedup.drop_near_duplicates(spark, clashing)
+    assert near_dedup.near_duplicates(empty).count() == 0
+    kept = near_dedup.drop_near_duplicates(clashing, 85, 3)
     assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted({1, 4, 5, 6, 7, 8, 9, 10, 12} | ({11} if by[11].kept else set()))
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
+
+
+def test_unlike_texts_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a), (4, a + " x"), (4, "p q r s t u"), (4, "p q r s t u v w x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shuffled in (df.repartition(3), df.orderBy(F.desc("text"))):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(shuffled, 85, 3).collect())
+        assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True), (4, 4, True)]
+        assert sorted(tuple(r) for r in near_dedup.drop_near_duplicates(shuffled, 85, 3).collect()) == [(1, a), (1, b), (4, "p q r s t u"), (4, "p q r s t u v w x y z")]
+
+
+def test_components_either_way(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(200)] + [(5000, 5001 + k) for k in range(100)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 10_000):
+        assert {r.node: r.label for r in graph.components(df, few).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
 
 
 def test_bounds_never_prune_what_is_likely():
     need = near_dedup.least_matches(0.85, 1e-6)
+    assert near_dedup.banding(85) == (5, 25) and near_dedup.banding(80) == (4, 32)
     assert all(a < b for a, b in zip(need[:-1], need[1:], strict=True)) and need[-1] < 0.85 * 128
 
 
 # ---- 10: benchmark ----
 
 
-@pytest.mark.parametrize("blocks", [1_000_000, 20])
-def test_decontamination(spark, odd, docs, empty, clashing, blocks):
+@pytest.mark.parametrize("limits", [{}, {"hot": 3, "least": 2, "few": 1}])
+def test_decontamination(spark, odd, docs, empty, clashing, limits):
     bench = table(spark, DATA, "benchmark").unionByName(spark.createDataFrame([(900, "One, two"), (901, None), (902, "..."), (903, BASE)], "item_id long, text string"))
     items = [(r.item_id, ALNUM.findall(lower(r.text))) for r in bench.collect()]
     windows = {}
     for i, w in items:
         for k in range(max(1, len(w) - 9)) if w else ():
             windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
-    both = docs.unionByName(clashing.where("doc_id is not null").select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 100_000)).dropDuplicates(["doc_id"]).withColumn("items", F.lit(1))
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(decontaminate.contamination(spark, both, bench, block_windows=blocks)).collect()}
-    want = {}
+    names = ("items", "row", "hits", "key", "text_", "whole", "matches", "n_words", "shift")
+    both = docs.unionByName(clashing.select(*docs.columns)).withColumns({n: F.lit(1) for n in names})
+    got = sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in decontaminate.digest(decontaminate.contamination(both, bench, **limits)).collect())
+    want, clean = [], []
     for i, t in text_rows(both):
         w = ALNUM.findall(lower(t))
         hit, found = set(), set()
@@ -471,20 +522,34 @@ def test_decontamination(spark, odd, docs, empty, clashing, blocks):
                 if tuple(w[k : k + n]) in windows:
                     hit.update(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
-        want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    assert got == want
-    clean = {r.doc_id for r in decontaminate.clean_only(spark, both, bench, block_windows=blocks).collect()}
-    assert clean == {i for i, x in want.items() if not x[4]}
-    assert decontaminate.contamination(spark, empty, bench).count() == 0
-    assert not any(r.contaminated for r in decontaminate.digest(decontaminate.contamination(spark, odd, bench.limit(0))).collect())
-
-
-@pytest.mark.parametrize("blocks", [1_000_000, 1])
-def test_rows_of_equal_ids_are_judged_alone(spark, blocks):
+        want.append(str((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))))
+        if not hit:
+            clean.append(str((i, t)))
+    assert got == sorted(want) and 0 < len(clean) < len(want)
+    left = decontaminate.clean_only(both, bench, **limits)
+    assert left.columns == both.columns and sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(clean)
+    assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.clean_only(empty, bench).count() == 0
+    assert not any(r.contaminated for r in decontaminate.digest(decontaminate.contamination(odd, bench.limit(0))).collect())
+    assert decontaminate.clean_only(odd, bench.limit(0)).count() == len(ROWS)
+
+
+def test_bloom(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    f = bloom.build(keys, 5000)
+    assert (f.bits == bloom.build(keys, 5000, few=10).bits).all()
+    have = np.array([r.k for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    other = np.array([r.k for r in spark.range(10_000, 30_000).select(F.xxhash64("id").alias("k")).collect()], dtype=np.int64).view(np.uint64)
+    assert f.has(have).all() and f.has(other).mean() < 0.02
+    full = bloom.build(keys, 5000, most_bits=1 << 16)
+    assert full.has(have).all() and not bloom.build(keys.limit(0), 0).has(have).any()
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot": 1, "least": 1, "few": 1}])
+def test_rows_of_equal_ids_are_judged_alone(spark, limits):
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta eps"), (3, "zeta eta theta iota")], "item_id long, text string")
     rows = [(None, "alpha beta gamma x y"), (None, "a clean text of five"), (None, "now delta eps is here"), (7, "alpha beta gamma delta eps"), (7, "all of this is clean"), (7, "all of this is clean")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.contamination(spark, df, bench, block_windows=blocks)).collect()]
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.contamination(df, bench, **limits)).collect()]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=key) == sorted([(None, 5, 3, 1), (None, 5, 0, 0), (None, 5, 2, 1), (7, 5, 5, 2), (7, 5, 0, 0), (7, 5, 0, 0)], key=key)
-    assert sorted(r.text for r in decontaminate.clean_only(spark, df, bench, block_windows=blocks).collect()) == sorted(rows[k][1] for k in (1, 4, 5))
+    assert sorted(r.text for r in decontaminate.clean_only(df, bench, **limits).collect()) == sorted(rows[k][1] for k in (1, 4, 5))

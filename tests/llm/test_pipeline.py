@@ -24,7 +24,7 @@ def test_run_matches_plain(spark):
     model = language.train(docs)
     judged = {r.doc_id: r for r in language.identify(docs, model).collect()}
     left = [i for i in rows if judged[i].lang_pred != "und" and judged[i].score >= corpus_pipeline.MIN_SHARE]
-    near = plain_components([(i, rows[i].text) for i in left])
+    near = plain_components([(i, rows[i].text) for i in left], width=5, percent=80)
     left = [i for i in left if near[i][1] == i]
     windows = set()
     for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
