@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns a DataFrame that is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of ``documents``.
+
+Defined results: rows with a null or empty text, or one without letters, go at the first
+stage; very long texts are rows like any other, cut nowhere; of repeated rows, and of texts that
+are near-duplicates, one stays; unlike texts of one id are documents of their own; rows with
+a null id are never near-duplicates; ties between languages go to the first by code
+point; further columns, whatever their names, are carried along up to the mix; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,41 +20,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.llm import decontaminate, language, mixing, near_dedup, pii
-from squall.llm.common import BATCH_ROWS, shared_dir, table
+from squall.llm.common import shared_dir, table
 from squall.shipping import ship
 
 #: Of a text's words with letters, the share that its language needs at least.
 MIN_SHARE = 0.5
 
 
-def _ready(spark: SparkSession) -> None:
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts of which no language holds half."""
-    _ready(spark)
-    model = language.train(docs)
-    found = language.predictor(spark, model)(F.col("text"))
-    kept = docs.withColumn("__language", found).where((F.col("__language.lang") != "und") & (F.col("__language.score") >= MIN_SHARE))
-    return kept.drop("__language")
+    ship(spark)
+    found = language.predictor(spark, language.train(docs))(F.col("text"))
+    judged = docs.select(F.struct(*docs.columns).alias("whole"), found.alias("found"))
+    return judged.where((F.col("found.lang") != "und") & (F.col("found.score") >= MIN_SHARE)).select("whole.*")
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id."""
-    _ready(spark)
-    return near_dedup.drop_near_duplicates(spark, docs)
+    """One document of each group stays, that of the least id: shingles of five words, similarity 0.8."""
+    ship(spark)
+    return near_dedup.drop_near_duplicates(docs, percent=80, width=5)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    return decontaminate.clean_only(spark, docs, table(spark, sf_dir, "benchmark"))
+    ship(spark)
+    return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
-    _ready(spark)
+    ship(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
