@@ -3,21 +3,28 @@
 Every text is indexed by its non-overlapping blocks of ten words; every rolling
 ten-word window probes the index.  A window of twenty words always holds a whole
 block of its own text, so any repeat of twenty words hits the index from both
-places.  Around hits, twenty-word windows are compared, which extends them word by
-word to the maximal repeats: a word goes if some window over it also starts
-earlier (smaller doc_id, or same document, earlier start).
+places.  Hits are extended word by word to the maximal repeats, which is the same
+as comparing all twenty-word windows that hold a hit: a word goes if some window
+over it also starts earlier (smaller doc_id, or same document, earlier start), and a
+maximal repeat of twenty words or more is the union of such windows.
 
 Distribution.  Texts are dealt once into chunks of consecutive doc_ids, so that
 "earlier" between chunks is the order of chunks; that one exchange serves all three
 passes.  Per chunk and hash bucket, distinct hashes travel as one sorted binary
 column (four bytes a probe; twelve bytes a twenty-word window near a hit), and one
 bit a hash comes back.  A passage that is in every text is one hash per chunk, so
-no bucket grows with a hot passage.
+no bucket grows with a hot passage.  Chunks grow from 3 to 24 million characters
+with the input and buckets stop at 262,144, so what is sent grows as the input: a row
+holds about 75 hashes at 10 GB, 17 at 10 TB and 14 at 100 TB, where a bucket's rows
+take about 0.5 GB.  The chunks' bounds (8 bytes each, 4 million at most) are the only
+thing that is broadcast; they come from percentiles in two levels.
 
 Defined results: null and empty texts have no words and lose none; texts with a null
-id come first, texts of equal id are ordered by text; repeated rows are separate
-documents, of which the later ones lose what they repeat; texts of fewer than twenty
-words lose nothing; an empty table gives an empty result; other columns are ignored.
+id come first; texts of equal id are ordered by hash, then text, so that an id with
+very many rows fills several chunks; repeated rows are separate documents, of which the
+later ones lose what they repeat; texts of fewer than twenty words lose nothing; a very
+long text is cut nowhere; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,31 +36,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.llm.common import table
+from squall.shipping import ship
 
 WINDOW = 20
 BLOCK = 10  # any WINDOW words hold a whole block of this size: 2 * BLOCK - 1 <= WINDOW
-#: Characters of text per chunk, about.
+#: Characters of text per chunk, about: the least and the greatest, and how many chunks there are before they grow.
 CHUNK_CHARS = 3_000_000
+MOST_CHUNK_CHARS = 24_000_000
+SMALL_CHUNKS = 100_000
+MOST_CHUNKS = 1 << 22
+MOST_BUCKETS = 1 << 18
+#: Percentiles that one aggregation is asked for.
+AT_ONCE = 1000
 
 _SENT = "chunk int, bucket int, hashes binary, marks binary"
 _BITS = "chunk int, bucket int, bits binary"
 
 
-def chunk_bounds(docs: DataFrame, chars: int) -> tuple[list[int], int]:
-    """Upper doc_ids of chunks of about equal numbers of rows, and the number of chunks: a few bytes per chunk."""
-    total = docs.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
-    n = max(1, -(-total // chars))
+def n_chunks_of(total: int, chars: int = CHUNK_CHARS) -> int:
+    """How many chunks so many characters make."""
+    grown = min(max(chars, total // SMALL_CHUNKS), max(chars, MOST_CHUNK_CHARS))
+    return min(MOST_CHUNKS, max(1, -(-total // grown)))
+
+
+def chunk_bounds(docs: DataFrame, chars: int, at_once: int = AT_ONCE) -> tuple[np.ndarray, int, int]:
+    """(doc_ids that bound chunks, in order and repeated for ids of many rows; chunks of null ids; all chunks)."""
+    null = F.col("doc_id").isNull()
+    row = docs.agg(F.sum(F.length("text")).alias("c"), F.sum(F.when(null, F.length("text"))).alias("nulls"), F.count(F.when(null, 1)).alias("n_nulls")).first()
+    total, nulls = row["c"] or 0, row["nulls"] or 0
+    n_all = n_chunks_of(total, chars)
+    of_nulls = -(-nulls * n_all // max(total, 1)) if row["n_nulls"] else 0
+    of_nulls = max(of_nulls, 1 if row["n_nulls"] else 0)
+    n = max(1, n_all - of_nulls)
+    known = docs.where(~null).select("doc_id")
     if n == 1:
-        return [], 1
-    parts = [k / n for k in range(1, n)]
-    bounds = docs.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", F.array(*[F.lit(p) for p in parts]), F.lit(20 * n)).alias("b")).first()["b"]
-    return sorted(set(bounds or [])), n
+        return np.zeros(0, dtype=np.int64), of_nulls, 1 + of_nulls
+
+    def between(parts: int):
+        return F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(20 * parts)).alias("b")
+
+    coarse = min(n, at_once)
+    bounds = np.array(known.agg(between(coarse)).first()["b"] or [], dtype=np.int64)
+    if n > coarse:  # each coarse part again, all at once
+        fine = -(-n // coarse)
+        level = F.size(F.filter(F.lit(sorted({int(x) for x in bounds})), lambda e: e < F.col("doc_id")))
+        parts = known.groupBy(level.alias("part")).agg(between(fine)).select("b").toArrow()
+        inner = [np.array(x, dtype=np.int64) for x in parts["b"].to_pylist() if x]
+        bounds = np.concatenate([bounds, *inner])
+    return np.sort(bounds), of_nulls, len(bounds) + 1 + of_nulls
+
+
+def _chunk_column(bounds: np.ndarray, of_nulls: int):
+    """The chunk of a row: by doc_id, and by the text's hash where an id fills several."""
+
+    @F.arrow_udf("int")
+    def chunk(ids: pa.Array, keys: pa.Array) -> pa.Array:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low = np.where(known, np.searchsorted(bounds, values, "left") + of_nulls, 0)
+        high = np.where(known, np.searchsorted(bounds, values, "right") + of_nulls, max(of_nulls - 1, 0))
+        share = (keys.to_numpy(zero_copy_only=False) >> 32) * (high - low + 1) >> 31
+        return pa.array((low + share).astype(np.int32))
+
+    return chunk("doc_id", "order")
 
 
 def _in_order(table_: pa.Table) -> pa.Table:
     """A chunk's rows in the order that counts."""
     ids, texts = table_["doc_id"].combine_chunks(), table_["text"].combine_chunks().fill_null("")
-    place = pa.compute.sort_indices(pa.table({"d": ids, "t": texts}), sort_keys=[("d", "ascending"), ("t", "ascending")], null_placement="at_start")
+    keys = [("d", "ascending"), ("o", "ascending"), ("t", "ascending")]
+    place = pa.compute.sort_indices(pa.table({"d": ids, "o": table_["order"].combine_chunks(), "t": texts}), sort_keys=keys, null_placement="at_start")
     return pa.table({"doc_id": ids.take(place), "text": texts.take(place)})
 
 
@@ -127,7 +179,7 @@ def _probe(n_buckets: int):
     return run
 
 
-def _reply(table_: pa.Table, bits: np.ndarray, sizes: list[int]) -> pa.Table:
+def _reply(table_: pa.Table, bits: np.ndarray, sizes: np.ndarray) -> pa.Table:
     ends = np.cumsum(sizes)
     parts = [np.packbits(bits[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
     return pa.table({"chunk": table_["chunk"].cast(pa.int32()), "bucket": table_["bucket"].cast(pa.int32()), "bits": pa.array(parts, pa.binary())})
@@ -135,14 +187,33 @@ def _reply(table_: pa.Table, bits: np.ndarray, sizes: list[int]) -> pa.Table:
 
 def _hits(table_: pa.Table) -> pa.Table:
     """Fingerprints that are an indexed block somewhere and stand twice or more."""
-    blobs = [np.frombuffer(x, dtype=np.uint32) for x in table_["hashes"].to_pylist()]
-    marks = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in table_["marks"].to_pylist()])
-    _, inverse, counts = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    indexed = np.zeros(len(counts), dtype=bool)
-    indexed[inverse[marks & 1 > 0]] = True
-    twice = counts > 1
-    twice[inverse[marks & 2 > 0]] = True
-    return _reply(table_, (indexed & twice)[inverse], [len(b) for b in blobs])
+    hashes, sizes = _flat(table_["hashes"], np.uint32)
+    marks, _ = _flat(table_["marks"], np.uint8)
+    out = np.zeros(len(hashes), dtype=bool)
+    for part in _slices(hashes >> np.uint32(28), 16):
+        _, inverse, counts = np.unique(hashes[part], return_inverse=True, return_counts=True)
+        own = marks[part]
+        indexed = np.zeros(len(counts), dtype=bool)
+        indexed[inverse[own & 1 > 0]] = True
+        twice = counts > 1
+        twice[inverse[own & 2 > 0]] = True
+        out[part] = (indexed & twice)[inverse]
+    return _reply(table_, out, sizes)
+
+
+def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and how many each row has."""
+    parts = [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
+    return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(x) for x in parts], dtype=np.int64)
+
+
+def _slices(number: np.ndarray, n: int):
+    """Places of each of n numbers; small inputs are one slice."""
+    if len(number) < 1 << 20:
+        yield np.arange(len(number))
+        return
+    for k in range(n):
+        yield np.flatnonzero(number == k)
 
 
 def _windows(n_buckets: int):
@@ -170,17 +241,14 @@ def _near(texts: pa.Table, replies: pa.Table, n_buckets: int):
 
 def _earlier(table_: pa.Table) -> pa.Table:
     """Per chunk and window: whether an earlier chunk has it."""
-    h = [np.frombuffer(x, dtype=np.uint64) for x in table_["hashes"].to_pylist()]
-    sizes = [len(x) for x in h]
-    all_h = np.concatenate(h)
-    check = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table_["marks"].to_pylist()])
+    h, sizes = _flat(table_["hashes"], np.uint64)
+    check, _ = _flat(table_["marks"], np.uint32)
     chunk = np.repeat(table_["chunk"].to_numpy(), sizes)
-    order = np.lexsort((chunk, check, all_h))
-    x, y = all_h[order], check[order]
-    again = np.zeros(len(order), dtype=bool)
-    again[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = again
+    out = np.zeros(len(h), dtype=bool)
+    for part in _slices(check >> np.uint32(28), 16):
+        order = part[np.lexsort((chunk[part], check[part], h[part]))]
+        x, y = h[order], check[order]
+        out[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
     return _reply(table_, out, sizes)
 
 
@@ -214,26 +282,13 @@ def _clean(n_buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, at_once: int = AT_ONCE) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by a space)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds, n_chunks = chunk_bounds(docs, chunk_chars)
-    n_buckets = max(1, n_chunks // 2)
-    edges = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def chunk_of(ids):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(edges, ids.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy(), side="left").astype("int32"))
-
-    if not len(edges):
-        chunk = F.lit(0)
-    elif len(edges) <= 1000:
-        chunk = F.coalesce(F.size(F.filter(F.lit([int(x) for x in edges]), lambda e: e < F.col("doc_id"))), F.lit(0))
-    else:
-        chunk = chunk_of("doc_id")
-    texts = docs.withColumn("chunk", chunk.cast("int"))
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("order"))
+    bounds, of_nulls, n_chunks = chunk_bounds(docs, chunk_chars, at_once)
+    n_buckets = min(MOST_BUCKETS, max(1, n_chunks // 2))
+    texts = docs.withColumn("chunk", F.lit(0) if n_chunks == 1 else _chunk_column(bounds, of_nulls))
     sent = texts.groupBy("chunk").applyInArrow(_probe(n_buckets), _SENT)
     hits = sent.groupBy("bucket").applyInArrow(_hits, _BITS)
     near = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_windows(n_buckets), _SENT)
