@@ -9,13 +9,17 @@ source's n slots cut its rounded target evenly, so that what is taken of a sourc
 is its target to the word.  A source's sequence may be gone through twice.
 
 Distribution: positions within a source come from sums per (source, bucket) and
-from a window inside each bucket, so no window holds a whole source; slots are
-joined to pieces of documents on (source, rank), which is even for hot sources.
+from a window inside each bucket, so no window holds a whole source; the number of
+buckets follows the number of rows.  Points meet shares by an equi-join on cells of
+[0, 1), about one per source; slots are joined to pieces of documents on (source,
+rank), which is even for hot sources.  Only sources and slots per source, never
+documents, are ordered as a whole.
 
 Defined results: a null or blank text has size 0 and is never taken; null
 sources form one source, ordered last; repeated rows (also of one doc_id) are
-separate documents; an empty table gives an empty mix.  Other columns, whatever
-their names, are ignored.
+separate documents; documents of equal hash and id are ordered by size, and ties
+beyond that are alike; a very long text counts in full, and may fill many slots; an
+empty table gives an empty mix; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squall.llm.common import shared_dir, table
+from squall.llm.common import table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)  # in the order of sources, repeating
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's words
 SLOTS = 1 << 16  # and up to FEWEST more per small source
 FEWEST = 1000
-BUCKETS = 1024  # per source, for prefix sums
+BUCKET_ROWS = 4096  # of a bucket for prefix sums, about
 GOLDEN = 0.6180339887498949
 
 _WS = " \t\n\x0b\x0c\r"
@@ -75,31 +79,37 @@ def shared_slots(targets: DataFrame, slots: int = SLOTS, fewest: int = FEWEST) -
 def schedule(spark: SparkSession, wanted: DataFrame) -> DataFrame:
     """(slot, source, rank, slots): who owns each slot, its how-manieth it is from 0, and how many it has.
 
-    Slots are looked up in the cumulative shares by one ordering of points and
-    lower bounds together: as many rows as slots and sources, whatever the input.
+    Slots are looked up in the cumulative shares by an equi-join on cells of [0, 1): as
+    many rows as slots, and two per source at most, whatever the input.
     """
-    slots = int(-(-(wanted.agg(F.sum("wanted")).first()[0] or 0) // 1))
+    sums = wanted.agg(F.sum("wanted").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    slots, cells = int(-(-(sums["w"] or 0) // 1)), max(1, sums["n"])
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     total = F.sum("wanted").over(Window.partitionBy())
-    upper = F.sum("wanted").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = wanted.select(
-        F.lit(None).cast("long").alias("slot"), ((upper - F.col("wanted")) / total).alias("point"), F.struct("source").alias("owner")
-    )
-    points = spark.range(slots).select(
-        F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point"), F.lit(None).cast("struct<source:string>").alias("owner")
-    )
-    along = Window.orderBy("point", F.col("slot").isNotNull(), "slot").rowsBetween(Window.unboundedPreceding, 0)
-    owned = bounds.unionByName(points).withColumn("owner", F.last("owner", ignorenulls=True).over(along))
-    owned = owned.where(F.col("slot").isNotNull() & F.col("owner").isNotNull()).select("slot", F.col("owner.source").alias("source"))
+    upper = F.sum("wanted").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total
+    bounds = wanted.select("source", upper.alias("high"))
+    bounds = bounds.select("source", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), F.when(F.lead("high").over(order).isNull(), F.lit(2.0)).otherwise(F.col("high")).alias("high"))
+
+    def cell(point):
+        return F.least(F.floor(point * cells), F.lit(cells - 1))
+
+    bounds = bounds.withColumn("c", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("point")).withColumn("cell", cell(F.col("point")))
+    owned = points.join(bounds, (F.col("cell") == F.col("c")) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "source")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     return owned.select("slot", "source", rank.cast("long").alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("source")).alias("slots"))
 
 
-def placed(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
+def bucket_bits(rows: int) -> int:
+    """Buckets of about BUCKET_ROWS rows were all rows of one source: 2 ** bits, 1024 at least."""
+    return min(26, max(10, (max(rows, 1) // BUCKET_ROWS).bit_length()))
+
+
+def placed(docs: DataFrame, seed: int = 7, bits: int = 10) -> DataFrame:
     """docs(doc_id, source, size) with where each document's words start in its source's shuffled sequence."""
     # Pairing the seed with the id, not with the row's place, makes reruns agree.
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    docs = docs.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - (buckets.bit_length() - 1)))
+    docs = docs.withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     runs = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(runs), F.lit(0)).alias("base"))
@@ -115,8 +125,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     """One row per document: doc_id, size, source_size, target, taken, first_slot."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     # Sizes are used three times and targets four: written once, as rows of a few numbers.
-    shared_dir(spark)
-    sized = sized.checkpoint()
+    sized, seen = written(sized)
     targets = source_targets(sized, weights, share, most).checkpoint()
     # Read twice; as many rows as slots.
     owned = schedule(spark, shared_slots(targets, slots)).checkpoint()
@@ -125,7 +134,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     facts = targets.join(counts, F.col("source").eqNullSafe(F.col("os")), "left").select(
         F.col("source").alias("fs"), "source_size", "target", F.round("target").cast("long").alias("quota"), F.coalesce("slots", F.lit(0)).alias("slots")
     )
-    at = placed(sized, seed).join(facts, F.col("source").eqNullSafe(F.col("fs"))).drop("fs")
+    at = placed(sized, seed, bucket_bits(seen["n"])).join(facts, F.col("source").eqNullSafe(F.col("fs"))).drop("fs")
     rounds = int(-(-most // 1))
     begin = F.col("start") + F.col("round") * F.col("source_size")
     pieces = at.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
