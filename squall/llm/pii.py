@@ -15,8 +15,11 @@ and ``secret`` (keys, tokens, passwords).
 Distribution: one pass, no shuffle; slices of bounded bytes; the weights are a
 few thousand numbers.
 
-Defined results: a null or empty text has no spans; repeated rows are scanned
-each for itself; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no spans (redacted, null stays null); a very
+long text or token is decoded like any other, cut nowhere; of overlapping spans the base
+ones win, and among equally good labels the first as listed; repeated rows are scanned
+each for itself; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.llm.common import columns, map_texts, table
+from squall.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 LABELS = ("O", "email", "card", "phone", "id", "secret")
@@ -71,11 +75,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _at_most_255(digits: str) -> bool:
+    digits = digits.lstrip("0")  # a run of digits may be of any length
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and start."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     if any(c in text for c in "0123456789"):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_at_most_255(x) for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -125,6 +134,17 @@ LABELLED = (
     "secret [secret AKIA4EXAMPLE7XYZQ12] was found",
     "the key [secret ghp_16C7e42F292c6912E7710c838347Ae178B4a] leaked",
     "access token [secret eyJhbGciOi9.J1c2VyIjo4.x7Qk2] expired",
+    "password: [secret correcthorsebatterystaple] was changed",
+    'token = [secret "deadbeefcafebabefeedface"] in the file',
+    "secret: [secret thequickbrownfoxjumps] is weak",
+    "api_key = [secret AbCdEfGhIjKlMnOpQrStUvWx] never share",
+    "the password: remember it, and the key: understanding",
+    "a secret: friendship of the two is shared",
+    "internationalization and responsibilities are long words",
+    "password = [secret trustnooneatallever] for the box",
+    "my password is [secret openthegatesquickly] now",
+    "the key is communication and the token is understanding",
+    "der schlüssel: donaudampfschifffahrtsgesellschaft liegt am ufer",
     "in 2019 about 3,000 people came to the fair",
     "the price rose by 4.5 % to 1,250.00 in march 2021",
     "see section 12.3.4 and table 7 on page 128",
@@ -197,7 +217,7 @@ def shapes(words) -> np.ndarray:
     # number of digits in ten bands
     band = np.searchsorted(np.array([1, 2, 3, 4, 5, 7, 9, 13, 20]), digits, side="right")
     code = band
-    code = code * 4 + np.minimum(lower, 1) + 2 * (lower > 8)
+    code = code * 4 + np.searchsorted(np.array([1, 9, 16]), lower, side="right")
     code = code * 3 + np.minimum(upper, 2)
     code = code * 3 + np.minimum(joins, 2)
     code = code * 3 + np.minimum(rounds, 2)
@@ -404,6 +424,10 @@ def label_tokens(words, field: Field) -> tuple[np.ndarray, np.ndarray]:
 #: With a spelt-out at there must be a dot of the domain, spelt out or not.
 _SPELT = re.compile(r"(?is)^[^\s@]+\s*(@\s*\S|([(\[]at[)\]]|\bat\b)\s*.*(\bdot\b|\w\.\w))")
 _NUMBER = re.compile(r"[0-9 ().+/-]+")
+#: A number whose check digit is wrong is a card only behind such a word.
+_CARD_CUE = re.compile(r"(?i)\b(" + "|".join(CUES[2]) + r")\b")
+#: So is a secret without a digit.
+_SECRET_CUE = re.compile(r"(?i)\b(" + "|".join(CUES[4]) + r")\b")
 _TRIM = " \t\r\n.,;:!?\"'"
 
 
@@ -419,7 +443,7 @@ def field_spans(text: str, raw: bytes, spans: list[tuple[int, int, int]], taken:
             end -= 1
         kind, inner = LABELS[label], text[start:end]
         digits = len(_NOT_DIGIT.sub("", inner))
-        sane = {"email": bool(_SPELT.match(inner)) and len(inner) > 5, "phone": 7 <= digits <= 15 and bool(_NUMBER.fullmatch(inner)), "card": 13 <= digits <= 19 and bool(_NUMBER.fullmatch(inner)), "id": digits >= 6, "secret": len(inner) >= 8 and digits > 0}[kind]
+        sane = {"email": bool(_SPELT.match(inner)) and len(inner) > 5, "phone": 7 <= digits <= 15 and bool(_NUMBER.fullmatch(inner)), "card": 13 <= digits <= 19 and bool(_NUMBER.fullmatch(inner)) and (luhn(_NOT_DIGIT.sub("", inner)) or bool(_CARD_CUE.search(text, max(0, start - 40), start))), "id": digits >= 6, "secret": len(inner) >= 8 if digits else len(inner) >= 16 and bool(_SECRET_CUE.search(text, max(0, start - 40), start))}[kind]
         if start < end and sane and not any(start < y and x < end for _, x, y in taken):
             out.append((kind, start, end))
     return out
@@ -476,9 +500,13 @@ def digest(found: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
+    def more(kind):
+        return F.size(F.filter("more", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id", count("email"), count("ip"), count("card"), count("phone"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"),
+        more("id"), more("secret"), F.size("more").cast("long").alias("n_more"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )
 
 
@@ -493,6 +521,7 @@ def redact(docs: DataFrame) -> DataFrame:
     further columns need no join.
     """
     field = train()
+    ship(docs.sparkSession)
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
