@@ -1,9 +1,10 @@
 """Language identification of whole texts with labelled spans.
 
 Scripts narrow the candidates: a word may only be of languages that use its
-script.  Each word gets a score per candidate from its character trigrams; a
-Viterbi pass with a penalty for switching labels every word, so that runs of
-words in one language become spans.  The text's language is the one with most
+script (any language, if none does), and languages that no word of a slice may be of
+are left out of its decoding.  Each word gets a score per candidate from its character
+trigrams; a Viterbi pass with a penalty for switching labels every word, so that runs
+of words in one language become spans.  The text's language is the one with most
 words.
 
 Training counts trigrams and scripts per language over all labelled rows given;
@@ -14,8 +15,10 @@ Distribution: two passes without a shuffle of texts; counts are summed per
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 so is everything when no row is labelled; ties go to the language first by code
-point; repeated rows are labelled each for itself; an empty table gives an empty
-result; other columns are ignored.
+point; a text whose letters are all of a script without a range gets the first language
+with score 0; a very long text is decoded as a whole; repeated rows are labelled each for
+itself; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.llm.common import columns, crc, map_texts, table
+from squall.shipping import ship
 
 BUCKETS = 1 << 14
 SWITCH = 8.0  # log penalty
@@ -37,16 +41,36 @@ SCRIPT_SHARE = 0.01
 #: Most that a single trigram may say for or against a language.
 CLIP = 4.0
 
-# Scripts by the leading bytes of UTF-8 (ranges of code points).
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "kana", "han", "hangul", "other")
-_LEAD_RANGES = (
-    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xC3, 0xCA, "latin"), (0xCD, 0xCF, "greek"), (0xD0, 0xD4, "cyrillic"),
-    (0xD6, 0xD7, "hebrew"), (0xD8, 0xDD, "arabic"), (0xE0, 0xE0, "indic"), (0xE1, 0xE1, "latin"), (0xE3, 0xE3, "kana"),
-    (0xE4, 0xE9, "han"), (0xEA, 0xED, "hangul"), (0xEE, 0xF4, "other"),
+# Scripts by ranges of code points.
+_RANGES = (
+    (0x41, 0x5A, "latin"), (0x61, 0x7A, "latin"), (0xAA, 0xAA, "latin"), (0xBA, 0xBA, "latin"), (0xC0, 0xD6, "latin"), (0xD8, 0xF6, "latin"), (0xF8, 0x2AF, "latin"),
+    (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"), (0x531, 0x58F, "armenian"), (0x5D0, 0x5F2, "hebrew"), (0x620, 0x6FF, "arabic"), (0x700, 0x74F, "syriac"),
+    (0x750, 0x77F, "arabic"), (0x780, 0x7BF, "thaana"), (0x7C0, 0x7FF, "nko"), (0x8A0, 0x8FF, "arabic"), (0x900, 0x97F, "devanagari"), (0x980, 0x9FF, "bengali"),
+    (0xA00, 0xA7F, "gurmukhi"), (0xA80, 0xAFF, "gujarati"), (0xB00, 0xB7F, "oriya"), (0xB80, 0xBFF, "tamil"), (0xC00, 0xC7F, "telugu"), (0xC80, 0xCFF, "kannada"),
+    (0xD00, 0xD7F, "malayalam"), (0xD80, 0xDFF, "sinhala"), (0xE00, 0xE7F, "thai"), (0xE80, 0xEFF, "lao"), (0xF00, 0xFFF, "tibetan"), (0x1000, 0x109F, "myanmar"),
+    (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0x1200, 0x139F, "ethiopic"), (0x13A0, 0x13FF, "cherokee"), (0x1400, 0x177F, "other"), (0x1780, 0x17FF, "khmer"),
+    (0x1800, 0x18AF, "mongolian"), (0x18B0, 0x1C7F, "other"), (0x1C80, 0x1C8F, "cyrillic"), (0x1C90, 0x1CBF, "georgian"), (0x1D00, 0x1DBF, "latin"), (0x1E00, 0x1EFF, "latin"),
+    (0x1F00, 0x1FFF, "greek"), (0x2C60, 0x2C7F, "latin"), (0x2D00, 0x2D2F, "georgian"), (0x2D80, 0x2DDF, "ethiopic"), (0x2E80, 0x2FDF, "han"), (0x3005, 0x3007, "han"),
+    (0x3041, 0x30FF, "kana"), (0x3100, 0x312F, "han"), (0x3131, 0x318F, "hangul"), (0x31F0, 0x31FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"),
+    (0xA000, 0xA63F, "other"), (0xA640, 0xA69F, "cyrillic"), (0xA6A0, 0xA71F, "other"), (0xA720, 0xA7FF, "latin"), (0xA800, 0xABFF, "other"), (0xAC00, 0xD7FF, "hangul"),
+    (0xF900, 0xFAFF, "han"), (0xFB00, 0xFB06, "latin"), (0xFB1D, 0xFB4F, "hebrew"), (0xFB50, 0xFDFF, "arabic"), (0xFE70, 0xFEFC, "arabic"), (0xFF21, 0xFF5A, "latin"),
+    (0xFF66, 0xFF9F, "kana"), (0x10000, 0x1BFFF, "other"), (0x1D400, 0x1D7FF, "latin"), (0x1E000, 0x1EFFF, "other"), (0x20000, 0x3FFFF, "han"),
 )
-_SCRIPT_OF = np.zeros(256, dtype=np.int8)
-for _lo, _hi, _name in _LEAD_RANGES:
-    _SCRIPT_OF[_lo : _hi + 1] = SCRIPTS.index(_name)
+SCRIPTS = ("none", *sorted({name for _, _, name in _RANGES}))
+_FIRST = np.array([x[0] for x in _RANGES])
+_LAST = np.array([x[1] for x in _RANGES])
+_NUMBER = np.array([SCRIPTS.index(x[2]) for x in _RANGES], dtype=np.int8)
+#: Score of a word in a language that doesn't use its script: below that of any path that avoids it.
+FORBIDDEN = -1e6
+
+
+def script_of(points: np.ndarray) -> np.ndarray:
+    """Number of each code point's script, 0 for none."""
+    place = np.maximum(np.searchsorted(_FIRST, points, "right") - 1, 0)
+    return np.where((points >= _FIRST[place]) & (points <= _LAST[place]), _NUMBER[place], 0).astype(np.int8)
+
+
+_ASCII_SCRIPT = script_of(np.arange(256) * (np.arange(256) < 128))
 
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -63,9 +87,16 @@ def _trigrams(words) -> np.ndarray:
 
 def _scripts(words) -> np.ndarray:
     """Script of each word: that of its first letter."""
-    of = _SCRIPT_OF[words.bytes]
     if not len(words.start):
         return np.zeros(0, np.int64)
+    of = _ASCII_SCRIPT[words.bytes]
+    leads = np.flatnonzero(words.bytes >= 0xC2)
+    if len(leads):
+        b = np.concatenate([words.bytes, np.zeros(3, np.uint8)]).astype(np.int64)
+        lead, tail = b[leads], [b[leads + k] & 0x3F for k in (1, 2, 3)]
+        two, three = (lead & 0x1F) << 6 | tail[0], (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]
+        four = (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+        of[leads] = script_of(np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four)))
     lettered = np.flatnonzero(of)
     place = np.searchsorted(lettered, words.start)
     first = np.where(place < len(lettered), lettered[np.minimum(place, max(len(lettered) - 1, 0))] if len(lettered) else 0, len(of))
@@ -110,24 +141,27 @@ class Model:
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.allowed = (share >= SCRIPT_SHARE).T
         self.allowed[~self.allowed.any(axis=1)] = True  # no evidence: any
-        self.trans = np.full((n, n), -SWITCH, dtype=np.float32)
-        np.fill_diagonal(self.trans, 0)
 
     def labels(self, words) -> tuple[np.ndarray, np.ndarray]:
         """(language of each word, whether the word has a letter)"""
-        from squall.llm.viterbi import decode
+        from squall.llm.viterbi import decode_switching
 
         scripts = _scripts(words)
         lettered = scripts > 0
+        candidates = np.flatnonzero(self.allowed[np.unique(scripts[lettered])].any(axis=0)) if lettered.any() else np.zeros(1, np.int64)
+        return candidates[decode_switching(self.emissions(words, scripts, candidates), words.at, SWITCH)], lettered
+
+    def emissions(self, words, scripts: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Score of each word in each candidate language."""
         trigrams = _trigrams(words)
-        emit = np.empty((len(words.start), len(self.languages)), dtype=np.float32)
-        for k in range(len(self.languages)):
-            total = np.zeros(len(trigrams) + 1)
-            np.cumsum(self.scores[trigrams, k], out=total[1:])
-            emit[:, k] = total[words.end] - total[words.start]
+        emit = np.zeros((len(words.start), len(candidates)), dtype=np.float32)
+        lettered = scripts > 0
+        total = np.zeros(len(trigrams) + 1)
+        for k, language in enumerate(candidates):
+            np.cumsum(self.scores[trigrams, language], out=total[1:])
+            emit[:, k] = np.where(self.allowed[scripts, language], total[words.end] - total[words.start], FORBIDDEN)
         emit[~lettered] = 0
-        emit[lettered] = np.where(self.allowed[scripts[lettered]], emit[lettered], -50.0)
-        return decode(emit, words.at, self.trans), lettered
+        return emit
 
 
 def train(labelled: DataFrame) -> Model:
@@ -151,6 +185,8 @@ def judge(texts: pa.Array, m: Model, with_spans: bool = False):
 
     words = Words(texts, "alnum")
     n, n_languages = len(texts), max(1, len(m.languages))
+    if not n:
+        return [], np.zeros(0), []
     share = np.zeros((n, n_languages))
     spans: list = [[] for _ in range(n)]
     if m.languages and len(words.start):
@@ -190,6 +226,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFram
 
 def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang, score), row by row, for filters that keep all columns."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -208,4 +245,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(crc("doc_id"), F.lit(4)) == 2
     model = train(docs.where(~held_out))
-    return identify(docs, model, with_spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["last"], s["lang"])), ",")
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"))
