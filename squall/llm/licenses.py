@@ -6,9 +6,11 @@ what either allows, ``a and b`` what both allow, ``a with x`` what ``a`` allows.
 
 Distribution: one pass, no shuffle; slices of bounded bytes.
 
-Defined results: a null or empty text has no words, no labels and score 0;
-repeated rows are scanned each for itself; an empty table gives an empty result;
-a malformed expression gives the label ``unparsed``; other columns are ignored.
+Defined results: a null or empty text has no words, no labels and score 0; a very long
+text is scanned as a whole; of phrases that begin or end together all count; repeated
+rows are scanned each for itself; an empty table gives an empty result; a malformed
+expression gives the label ``unparsed``; without a label, ``permissive`` is null; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from squall.llm.common import columns, map_texts, table
 
@@ -179,4 +182,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("permissive", "expressions")
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("expressions", F.array_join("expressions", " | "))
