@@ -22,7 +22,7 @@ QUALITY = rf"""with x as (select doc_id, coalesce(text, '') t, regexp_extract_al
  rep as (select doc_id, count(distinct i + k) n from dup, range(8) t(k) group by doc_id),
  lines as (select doc_id, l, trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) tl from (select doc_id, unnest(string_split(t, chr(10))) l from x) where regexp_matches(l, '{_WORD}')),
  sized as (select *, length(regexp_replace(tl, '[\x20\x09-\x0D]+', '', 'g')) dense, length(regexp_replace(tl, '[^#*$%&|<>{{}}\\^~=_]', '', 'g')) marks from lines),
- judged as (select *, marks * 5 > dense or (dense < 12 and not regexp_matches(tl, '{_q(Q.CLOSING)}')) or regexp_matches(tl, '{_q(Q.NAVIGATION)}') or (dense < 120 and regexp_matches(tl, '{_q(Q.BOILERPLATE)}')) fails from sized),
+ judged as (select *, marks * 5 > dense or (dense < 12 and not regexp_matches(tl, '{_q(Q.CLOSING)}')) or regexp_matches(tl, '{_q(Q.NAVIGATION)}') or (dense < 120 and regexp_matches(lower(tl), '{_q(Q.BOILERPLATE)}')) fails from sized),
  gone as (select doc_id, sum(case when fails then dense else 0 end) lost, count(*) - count(distinct l) dups from judged group by doc_id),
  f as (select x.doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(dups, 0) n_dup_lines,
   coalesce(n, 0) n_repeat_words, coalesce(lost, 0) lost, len([i for i in range(1, len(w)) if w[i] = w[i + 1]]) stutter from x left join rep on x.doc_id = rep.doc_id left join gone on x.doc_id = gone.doc_id),
