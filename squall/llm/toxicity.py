@@ -4,8 +4,10 @@ A character language model (trigrams over all documents) and a channel of
 look-alike characters, separators and repetitions span a lattice of what an odd
 token may stand for; Viterbi finds the likeliest letters.  Odd are tokens that
 mix letters with look-alikes, repeat a letter three times, or are spelt out with
-marks or blanks; all other words stand for themselves.  A lexicon and a logistic
-model over restored words, learned from labelled rows, give the score.
+blanks.  In all other tokens the lattice has a single way besides the written one,
+that of leaving separators and repeated letters out, so those are looked up without
+decoding.  A lexicon and a logistic model over restored words, learned from labelled
+rows, give the score.
 
 Distribution: a pass for the language model (counts of fixed size per task), one
 for the labelled rows, one for scores; no shuffle of texts.  At most
@@ -14,8 +16,11 @@ language model counts every document.
 
 Defined results: a null or empty text gets the score of a text without any
 lexicon word; without labelled rows of both kinds every score is the share of
-toxic rows (0 if there is none); repeated rows are scored each for itself; an
-empty table gives an empty result; other columns are ignored.
+toxic rows (0 if there is none); a document labelled both ways counts as toxic; of equally
+likely readings the one with the later letters in the alphabet stands, and of equally
+telling words the first by code point is kept; a very long text is scored as a whole;
+repeated rows are scored each for itself; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -118,16 +123,41 @@ def restore(token: str, log: np.ndarray) -> str:
 _LETTER = np.zeros(256, dtype=np.int32)
 _LETTER[97:123] = 1
 _ODD = np.zeros(256, dtype=np.int32)
-for _ch in "012345678@$!|+(*#":
-    _ODD[ord(_ch)] = 1
 _SPLIT = np.zeros(256, dtype=np.int32)
-for _ch in ".-_~*/":
+for _ch in LOOKALIKES:
+    _ODD[ord(_ch) if _ch.isascii() else _ch.encode()[-1]] = 1  # a sign of several bytes by its last
+for _ch in SEPARATORS.strip():
     _SPLIT[ord(_ch)] = 1
 _TAIL = np.zeros(256, dtype=bool)
 for _ch in ".,!?;:\"')]|*#$%&<>":
     _TAIL[ord(_ch)] = True
 
 
+def _inside_letters(b: np.ndarray) -> np.ndarray:
+    """1 for last bytes of look-alikes of several bytes that are part of other characters."""
+    out = np.zeros(len(b), dtype=np.int32)
+    for ch in (c.encode() for c in LOOKALIKES if not c.isascii()):
+        at = np.flatnonzero(b == ch[-1])
+        other = np.zeros(len(at), dtype=bool)
+        for k, byte in enumerate(ch[-2::-1], 1):
+            other |= (at < k) | (b[at - k] != byte)
+        out[at[other]] = 1
+    return out
+
+
+def squeezed_tokens(words):
+    """Blank-separated tokens without separators and marks, repeated letters once: (bytes, first, last) of each."""
+    b = words.bytes
+    keep = (_SPLIT[b] == 0) & ~_TAIL[b]
+    kept = np.flatnonzero(keep)
+    # a letter goes if it equals the one kept before it in the same token
+    token = np.searchsorted(words.start, kept, "right")
+    same = np.zeros(len(kept), dtype=bool)
+    same[1:] = (b[kept[1:]] == b[kept[:-1]]) & (token[1:] == token[:-1]) & (_LETTER[b[kept[1:]]] > 0)
+    kept = kept[~same]
+    return b[kept], np.searchsorted(kept, words.start), np.searchsorted(kept, words.end)
+
+
 def odd_tokens(words) -> list[tuple[int, int]]:
     """(first, last) ranges of tokens that may be obfuscated: single ones, or runs of single characters."""
     n = len(words.start)
@@ -145,12 +175,12 @@ def odd_tokens(words) -> list[tuple[int, int]]:
 
     b = words.bytes
     letters = within(_LETTER[b])
-    odd = within(_ODD[b])
+    odd = within(_ODD[b] & ~_inside_letters(b))
     splits = within(_SPLIT[b])
     thrice = np.zeros(len(b), dtype=np.int32)
     thrice[2:] = (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (_LETTER[b[2:]] > 0)
     repeats = within(thrice)
-    single = (letters >= 2) & ((odd > 0) & (odd <= letters + 2) | (repeats > 0) | ((splits >= 2) & (letters >= 4)))
+    single = (letters >= 2) & ((odd > 0) & (odd <= letters + 2) | (repeats > 0) | ((splits >= 2) & (letters >= SHORTEST)))
     short = ((end - start) == 1) & ((letters + odd) == 1)
     row = np.repeat(np.arange(len(words.at) - 1), np.diff(words.at))
     out = [(int(i), int(i) + 1) for i in np.flatnonzero(single)]
@@ -187,6 +217,8 @@ def restored(words, restorer: Restorer):
 
 #: Stems are the first so many bytes of longer words; one counts where it stands twice or more.
 STEMS = (5, 6)
+#: Letters that a word has at least to be looked up without its separators and repeated letters.
+SHORTEST = 4
 _AGAIN = re.compile(r"(.)\1+")
 
 
@@ -279,6 +311,7 @@ def _work(log, weights):
 
         if "restorer" not in state:
             state["restorer"] = Restorer(log)
+            state["squeezed"] = keys_of([w.encode("latin-1") for w in short if len(w) >= SHORTEST])
             state["keys"] = {0: keys_of(list(whole)), **{n: keys_of(list(stems[n])) for n in STEMS}}
         plain = Words(texts, "alnum")
         found: dict[int, Counter] = {}
@@ -299,13 +332,23 @@ def _work(log, weights):
                     if k > 1 or not n:
                         found.setdefault(row, Counter())[w] += k
         odd = Words(texts, "space_lower")
+        known = state["squeezed"]
+        if len(known) and len(odd.start):
+            data, first, last = squeezed_tokens(odd)
+            hashes = span_hashes(data, first, last)
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            for p in np.flatnonzero(known[place] == hashes):
+                w, written = bytes(data[first[p] : last[p]]).decode("latin-1"), odd.word(p).decode("latin-1")
+                full = short.get(w)
+                if full and full not in re.findall("[a-z]+", written):  # as written it has been counted
+                    found.setdefault(int(np.searchsorted(odd.at, p, "right")) - 1, Counter())[full] += 1
         for row, w in restored(odd, state["restorer"]):
             w = squeezed(w)
-            hit = short.get(w)
-            if hit is None:  # spelt out between other single letters
-                hit = next((full for x, full in short.items() if len(x) >= 4 and x in w and (len(w) <= len(x) + 3 or len(w) > 8)), None)
-            if hit:
-                found.setdefault(row, Counter())[hit] += 1
+            hits = [short[w]] if w in short else []
+            if not hits:  # spelt out between other single letters
+                hits = [full for x, full in short.items() if len(x) >= SHORTEST and x in w and (len(w) <= len(x) + 3 or len(w) > 8)]
+            if hits:
+                found.setdefault(row, Counter()).update(hits)
         sizes = np.diff(plain.at)
         return np.array([_features(found[k], weights, int(sizes[k])) if k in found else [0.0] * 4 for k in range(len(texts))]).reshape(len(texts), 4)
 
