@@ -7,7 +7,7 @@ argument ``{"$result": "id"}`` uses the result of another call.
 Calls and results are hash-joined by (conversation, identifier).  Calls are
 ordered topologically by levels: a call whose arguments use no other result has
 level 0, any other is one above the highest it uses; calls in or behind a cycle
-have no level.  Arguments are checked against per-tool schemas.  Messages are
+have no level; every round looks only at uses that are still open.  Arguments are checked against per-tool schemas.  Messages are
 canonical JSON: keys sorted, no blanks, absent fields left out.
 
 Distribution: formatting is row by row; only calls, results and uses are
@@ -15,8 +15,10 @@ shuffled, by (conversation, identifier), and never gathered per conversation.
 
 Defined results: null text or role is the empty string; text that is no JSON
 inside a block counts as an invalid call; for repeated identifiers the earliest
-turn counts; repeated turns are separate messages with the same links; an empty
-table gives an empty result; other columns are ignored.
+turn counts, and of equal turns the least place; repeated turns are separate messages
+with the same links; a null conversation is one of its own; very long texts are kept
+whole; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squall.llm.common import shared_dir, table
+from squall.llm.common import shared_dir, table, written
 
 #: tool -> parameter -> (type as in schema_of_variant, required)
 SCHEMAS = {
@@ -92,25 +94,25 @@ def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
     if uses.isEmpty():
         return ids.select("conv_id", "id", F.lit(0).alias("level"))
     shared_dir(spark)
-    uses = uses.checkpoint()
+    left = uses.checkpoint()
 
-    def without(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select(F.col("conv_id").alias("rc"), F.col("id").alias("ri"))
-        return left.join(right, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("id") == F.col("ri")), "left_anti")
+    def without(some: DataFrame, gone: DataFrame, by: str = "id") -> DataFrame:
+        gone = gone.select(F.col("conv_id").alias("rc"), F.col("id").alias("ri")).distinct()
+        return some.join(gone, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col(by) == F.col("ri")), "left_anti")
 
-    done = without(ids, uses).select("conv_id", "id", F.lit(0).alias("level")).checkpoint()
+    new, _ = written(without(ids, left).select("conv_id", "id", F.lit(0).alias("level")))
+    done = new
     level = 0
     while True:
         level += 1
-        have = done.select(F.col("conv_id").alias("hc"), F.col("id").alias("hi"), "level")
-        ready = uses.join(have, F.col("conv_id").eqNullSafe(F.col("hc")) & (F.col("used") == F.col("hi")), "left")
-        ready = ready.groupBy("conv_id", "id").agg(F.count(F.when(F.col("level").isNull(), 1)).alias("open")).where(F.col("open") == 0)
-        new = without(ready, done).select("conv_id", "id", F.lit(level).alias("level")).checkpoint()
-        if new.isEmpty():
+        still, _ = written(without(left, new, "used"))  # uses of calls that have no level yet
+        ready = without(left.select("conv_id", "id").distinct(), still)
+        new, seen = written(ready.select("conv_id", "id", F.lit(level).alias("level")))
+        left = still
+        if not seen["n"]:
             break
-        done = done.unionByName(new).checkpoint()
-    loop = without(uses, done).select("conv_id", "id").distinct()
-    return done.unionByName(loop.select("conv_id", "id", F.lit(None).cast("int").alias("level")))
+        done = done.unionByName(new)
+    return done.unionByName(left.select("conv_id", "id", F.lit(None).cast("int").alias("level")).distinct())
 
 
 def link(spark: SparkSession, turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
