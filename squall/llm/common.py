@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from squall.shipping import ship
 
 
+#: Rows of an Arrow batch that goes to a Python worker, where the session leaves Spark's default: texts are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Executors can import this package, and batches of texts are small."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc(column: str):
@@ -36,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def map_texts(docs: DataFrame, work, schema: str, text: str = "text") -> DataFrame:
     """Applies work(record batch) to slices of bounded bytes; a long text makes a slice of its own."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches):
         from squall.llm.textcore import slices

@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squall.llm.common import columns, crc, map_texts, table
-from squall.shipping import ship
+from squall.llm.common import columns, crc, map_texts, ready, table
 
 BUCKETS = 1 << 14
 SWITCH = 8.0  # log penalty
@@ -226,7 +225,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFram
 
 def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang, score), row by row, for filters that keep all columns."""
-    ship(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")

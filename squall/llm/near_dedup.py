@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.llm import bloom
-from squall.llm.common import columns, map_texts, shared_dir, table, written
+from squall.llm.common import columns, map_texts, ready, shared_dir, table, written
 from squall.llm.graph import components
 from squall.llm.shingles import N_HASHES, WIDTH
 
@@ -301,8 +301,7 @@ def _component_links(docs: DataFrame, nodes: DataFrame, percent: int, width: int
 
 def linked(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, hubs: int = HUBS) -> DataFrame:
     """One row per document: doc_id, n (size of its set), k1, k2 (the set's key), component_id (least id that it reaches), and best1, best2 (the key of the component's set of that id)."""
-    spark = docs.sparkSession
-    shared_dir(spark)
+    shared_dir(ready(docs.sparkSession))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = map_texts(docs, _sign(width, *banding(percent)), SIGNED).checkpoint()
     linkable = signed.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
@@ -337,7 +336,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = W
     with nothing: those with a null id or without words.
     """
     found = linked(docs, percent, width, block, hubs)
-    shared_dir(docs.sparkSession)
     stays = F.col("best1").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("k1") == F.col("best1")) & (F.col("k2") == F.col("best2")))
     rows = found.groupBy(F.col("doc_id").alias("fd"), "k1", "k2").agg(F.max(stays).alias("stays"), (F.count(F.when(F.col("best1").isNotNull(), 1)) > 1).alias("again"))
     rows = rows.where(~F.col("stays") | F.col("again")).select("fd", "k1", "k2", "stays").checkpoint()

@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squall.llm.common import columns, map_texts, table
-from squall.shipping import ship
+from squall.llm.common import columns, map_texts, ready, table
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 LABELS = ("O", "email", "card", "phone", "id", "secret")
@@ -521,7 +520,7 @@ def redact(docs: DataFrame) -> DataFrame:
     further columns need no join.
     """
     field = train()
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:

@@ -35,8 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squall.llm.common import table
-from squall.shipping import ship
+from squall.llm.common import ready, table
 
 WINDOW = 20
 BLOCK = 10  # any WINDOW words hold a whole block of this size: 2 * BLOCK - 1 <= WINDOW
@@ -284,7 +283,7 @@ def _clean(n_buckets: int):
 
 def remove_repeats(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, at_once: int = AT_ONCE) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by a space)."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("order"))
     bounds, of_nulls, n_chunks = chunk_bounds(docs, chunk_chars, at_once)
     n_buckets = min(MOST_BUCKETS, max(1, n_chunks // 2))
