@@ -225,6 +225,71 @@ def test_chat(spark):
     assert chat_format.format_chat(spark, df.limit(0)).count() == 0
 
 
+def plain_chat(rows):
+    """{(conv_id, turn): (n_calls, n_linked, n_invalid, top_level, ids in order)} by plain dictionaries and recursion."""
+    calls, answered = {}, set()
+    for conv, turn, role, text in rows:
+        for at, raw in enumerate(re.findall(r"(?s)<tool_call>(.*?)</tool_call>", text)):
+            try:
+                calls[conv, turn, at] = json.loads(raw)
+            except ValueError:
+                calls[conv, turn, at] = {}
+        if role == "tool":
+            answered.add((conv, json.loads(text)["tool_call_id"]))
+    uses, ids = {}, {}
+    for (conv, turn, at), c in sorted(calls.items()):
+        if "id" in c and (conv, c["id"]) not in uses:
+            uses[conv, c["id"]] = {v["$result"] for v in c.get("arguments", {}).values() if isinstance(v, dict)}
+    known = set(uses)
+
+    def level(key, seen=()):
+        if key in seen:
+            return None
+        if key not in ids:
+            below = [level((key[0], u), (*seen, key)) for u in uses[key] if (key[0], u) in known]
+            ids[key] = None if None in below else 1 + max(below, default=-1)
+        return ids[key]
+
+    def bad(c):
+        schema = chat_format.SCHEMAS.get(c.get("name"))
+        arguments = c.get("arguments")
+        if schema is None or not isinstance(arguments, dict) or set(arguments) - set(schema):
+            return True
+        kinds = {"STRING": str, "BIGINT": int}
+        return any((k not in arguments and need) or (k in arguments and not isinstance(arguments[k], dict | kinds[kind])) for k, (kind, need) in schema.items())
+
+    out = {}
+    for conv, turn, _, _ in rows:
+        own = [(at, c) for (x, y, at), c in sorted(calls.items()) if (x, y) == (conv, turn)]
+        levels = {at: level((conv, c["id"])) if "id" in c else None for at, c in own}
+        order = sorted(own, key=lambda x: (levels[x[0]] is not None, levels[x[0]] or 0, x[0]))
+        some = [k for k in levels.values() if k is not None]
+        out[conv, turn] = (len(own), sum((conv, c.get("id")) in answered for _, c in own), sum(bad(c) for _, c in own), max(some, default=None), [c.get("id") for _, c in order])
+    return out
+
+
+def test_chat_matches_plain(spark):
+    rng = random.Random(6)
+    rows = []
+    for conv in range(25):
+        names = [f"c{k}" for k in range(rng.randrange(1, 9))]
+        turn = 0
+        for name in names:
+            tool = rng.choice([*chat_format.SCHEMAS, "unknown"])
+            arguments = {k: rng.choice(["x", 3, {"$result": rng.choice(names)}]) for k in (*chat_format.SCHEMAS.get(tool, ()), "more") if rng.random() < (0.15 if k == "more" else 0.8)}
+            text = "say " + call(id=name, name=tool, arguments=arguments) + (call(name="search", arguments={"query": "q"}) if rng.random() < 0.2 else "") + ("<tool_call>{</tool_call>" if rng.random() < 0.1 else "")
+            rows.append((conv, turn, "assistant", text))
+            turn += 1
+            if rng.random() < 0.7:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": name, "content": "done"})))
+                turn += 1
+    want = plain_chat(rows)
+    got = {}
+    for r in chat_format.format_chat(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got[r.conv_id, r.turn] = (r.n_calls, r.n_linked, r.n_invalid, r.top_level, [c.get("id") for c in json.loads(r.message).get("tool_calls", [])])
+    assert {x[3] for x in want.values()} >= {None, 0, 1, 2} and got == want
+
+
 # ---- 3: licences ----
 
 
@@ -257,11 +322,12 @@ def test_licences(spark, empty, clashing, docs):
 
 
 def test_quality(spark, empty, clashing, docs):
-    both = clashing.select(*docs.columns).unionByName(docs)
+    more = {n: F.lit(1) for n in ("n_words", "lost", "kept", "cleaned_text", "_words", "_lines", "_bad", "_text", "base_failed", "whole")}
+    both = clashing.select(*docs.columns).unionByName(docs).withColumns(more)
     got = line_quality.clean_lines(both).collect()
-    assert len(got) == both.count()
+    assert len(got) == both.count() and all(r.whole.n_words == r.whole.kept == 1 for r in got)
     for r in got:
-        t = r.text or ""
+        t = r.whole.text or ""
         w = WORD.findall(t)
         windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
         n = Counter(windows)
@@ -284,6 +350,46 @@ def test_restores_what_is_hidden(spark, docs):
         assert toxicity.squeezed(toxicity.restore(hidden, log)) == plain
 
 
+def test_restore_matches_every_reading(spark):
+    """Viterbi over the lattice against all of its readings."""
+    rng = np.random.default_rng(5)
+    log = np.log(rng.dirichlet(np.ones(27), size=(27, 27)))
+    for token in ("1d1", "a-b", "aab", "b00", "@|1", "s.s5", "zz", "4!a", "x"):
+        readings = {("", 0.0)}
+        for k, ch in enumerate(token):
+            plain = "a" <= ch <= "z"
+            options = ch if plain else toxicity.LOOKALIKES.get(ch, "")
+            cost = 0.0 if plain else toxicity.SUBSTITUTE
+            new = set()
+            for letters, score in readings:
+                a, b = ([0, 0] + [ord(c) - 96 for c in letters])[-2:]
+                for option in options:
+                    new.add((letters + option, score + cost + log[a, b, ord(option) - 96]))
+                if ch in toxicity.SEPARATORS or not options or (k and ch == token[k - 1]):
+                    new.add((letters, score + toxicity.DROP))
+            readings = new
+        ends = {}
+        for letters, score in readings:
+            a, b = ([0, 0] + [ord(c) - 96 for c in letters])[-2:]
+            ends[letters] = max(ends.get(letters, -1e9), score + log[a, b, 0])
+        assert toxicity.restore(token, log) == max(ends, key=ends.get)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    d = "/root/testdata/sf0.01"
+    return toxicity.train(spark, table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def test_every_hidden_form_counts(spark, trained):
+    log, model = trained
+    clean = "the of and to in is on that by for with " * 4
+    forms = ["mo-ron", "id.iot", "idioot", "1d1ot", "i.d.i.o.t", "id10t", "tr@sh", "l'idiot", "i d i o t", "£oser", "m,oron", "i\\diot"]
+    rows = [(k, clean + x) for k, x in enumerate(forms)] + [(100, clean + "the id-card, a self-made l'ami"), (101, clean)]
+    got = {r.doc_id: r.score for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), log, model).collect()}
+    assert [forms[k] for k in range(len(forms)) if got[k] < 0.7] == [] and got[100] == got[101] < 0.3
+
+
 def test_toxicity(spark, odd, empty, clashing):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
