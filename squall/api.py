@@ -20,7 +20,7 @@ from squall.operators import fields
 from squall.operators.fields import MissingData
 from squall.shipping import ship
 from squall.sources import archive, listing, stations
-from squall.streaming import chunk_stream
+from squall.streaming import chunk_stream, feed
 
 # ---- volumes ----
 
@@ -63,6 +63,18 @@ def download_at(spark: SparkSession, root: str, site: str, at: datetime) -> Data
     return load_file(spark, row["path"])
 
 
+def download_object(spark: SparkSession, path: str) -> tuple[bytes, int]:
+    """An object's bytes and when it was last modified; listing.ObjectNotFound without it."""
+    return listing.read_object(spark, path)
+
+
+def download_chunk(spark: SparkSession, root: str, chunk: feed.ChunkName) -> feed.Downloaded:
+    """A real-time chunk, with the time of its upload; listing.ObjectNotFound while it isn't there."""
+    data, modified = listing.read_object(spark, f"{root.rstrip('/')}/{chunk.site}/{chunk.volume}/{chunk.name}")
+    archive.chunk_kind(data)  # an error for anything else
+    return feed.Downloaded(feed.ChunkName(chunk.site, chunk.volume, chunk.prefix, chunk.sequence, chunk.letter, modified), data)
+
+
 # ---- fields ----
 
 
@@ -119,6 +131,11 @@ def stream(spark: SparkSession, path: str, max_files: int | None = None) -> Data
     return chunk_stream.track(chunks.select("site", "volume", "sequence", "chunk_type", F.unix_millis("upload_time").alias("time_ms")))
 
 
+def follow(spark: SparkSession, root: str, site: str, **policies) -> tuple[feed.ChunkFeed, feed.Downloaded, feed.Downloaded | None]:
+    """One site's feed from its newest volume on: (feed, newest chunk, start chunk where that is another one)."""
+    return feed.ChunkFeed.start(ship(spark), root, site, **policies)
+
+
 def with_retries(work: Callable, policy: dict = DOWNLOAD_RETRY, sleep: Callable[[float], None] = time.sleep):
     """work(), again after each failure until the policy's attempts are used up; the last failure is raised."""
     for attempt in range(policy["max_attempts"] + 1):
@@ -135,14 +152,51 @@ def with_retries(work: Callable, policy: dict = DOWNLOAD_RETRY, sleep: Callable[
 
 
 def save_bytes(df: DataFrame, name: str, data: str, folder: str) -> int:
-    """Each row's bytes as a file of its own in a folder of any store, row by row; returns how many."""
-    context = df.sparkSession.sparkContext
+    """Each row's bytes as a file of its own in a folder of any store, written by the executors; returns how many.
+
+    The driver writes, row by row, where only Spark's own file systems reach the store.
+    """
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data"))
+    if not any(folder.startswith(x) for x in ("/", "file:", "hdfs:", "s3:", "gs:")):
+        return _save_by_driver(rows, folder)
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        for batch in batches:
+            for one, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with store.open_output_stream(f"{base}/{one}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return ship(df.sparkSession) and rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _save_by_driver(rows: DataFrame, folder: str) -> int:
+    context = rows.sparkSession.sparkContext
     jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
     count = 0
-    for row in df.select(name, data).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(folder, str(row[0]))
+    for row in rows.toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(folder, row[0])
         out = path.getFileSystem(conf).create(path, True)
         out.write(bytearray(row[1]))
         out.close()
         count += 1
     return count
+
+
+def save_records(volumes: DataFrame, folder: str, opened: bool = True) -> int:
+    """Every record of volumes as a file volume-number, decompressed unless told otherwise; returns how many."""
+    records = archive.split_volumes(volumes)
+    records = archive.open_records(records) if opened else records
+    return save_bytes(records.withColumn("_name", F.format_string("%s-%04d", "volume_id", "record_idx")), "_name", "data", folder)
+
+
+def save_messages(messages: DataFrame, folder: str) -> int:
+    """Every message's payload as a file volume-record-number-type; returns how many."""
+    joined = F.unhex(F.array_join(F.transform("payloads", lambda p: F.hex(p)), ""))
+    named = messages.withColumn("_name", F.format_string("%s-%04d-%06d-%d", "volume_id", "record_idx", "message_idx", "message_type")).withColumn("_data", joined)
+    return save_bytes(named, "_name", "_data", folder)

@@ -91,10 +91,11 @@ def bilinear(v00, v01, v10, v11, fx, fy) -> Column:
     return top + (bottom - top) * _c(fy)
 
 
-def pixel_to_polar(x, y, size: int, max_range_km: float) -> dict[str, Column]:
-    """Azimuth and range of a pixel of a square image; null beyond the range."""
-    center, per_km = size / 2.0, size / 2.0 / max_range_km
-    dx, dy = _c(x) - center, _c(y) - center
+def pixel_to_polar(x, y, size: int, max_range_km: float, height: int | None = None) -> dict[str, Column]:
+    """Azimuth and range of a pixel of an image (square, or size wide and height high); null beyond the range."""
+    height = height or size
+    per_km = max(size, height) / 2.0 / max_range_km
+    dx, dy = _c(x) - size / 2.0, _c(y) - height / 2.0
     range_km = F.sqrt(dx * dx + dy * dy) / per_km
     # The centre itself looks south, as minus zero does; Spark's atan2 drops the sign of zero.
     azimuth = F.when((dx == 0) & (dy == 0), 180.0).otherwise(F.pmod(F.degrees(F.atan2(dx, -dy)) + 360.0, F.lit(360.0)))
@@ -102,7 +103,8 @@ def pixel_to_polar(x, y, size: int, max_range_km: float) -> dict[str, Column]:
     return {"azimuth_deg": F.when(inside, azimuth), "range_km": F.when(inside, range_km)}
 
 
-def polar_to_pixel(azimuth, range_km, size: int, max_range_km: float) -> dict[str, Column]:
-    center, per_km = size / 2.0, size / 2.0 / max_range_km
+def polar_to_pixel(azimuth, range_km, size: int, max_range_km: float, height: int | None = None) -> dict[str, Column]:
+    height = height or size
+    per_km = max(size, height) / 2.0 / max_range_km
     az = F.radians(_c(azimuth))
-    return {"x": F.lit(center) + _c(range_km) * per_km * F.sin(az), "y": F.lit(center) - _c(range_km) * per_km * F.cos(az)}
+    return {"x": F.lit(size / 2.0) + _c(range_km) * per_km * F.sin(az), "y": F.lit(height / 2.0) - _c(range_km) * per_km * F.cos(az)}

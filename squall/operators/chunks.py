@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from squall.functions import timing
+from squall.functions import names, timing
 
 
 def chunk_map(cuts: DataFrame) -> DataFrame:
@@ -75,3 +75,35 @@ def newest_at_most(slots: DataFrame, target=None) -> DataFrame:
     if target is not None:
         have = have.where(F.col("value") <= target)
     return have.groupBy("site").agg(F.max(F.struct("value", "idx")).alias("top")).select("site", F.col("top.idx").alias("idx"), F.col("top.value").alias("value"))
+
+
+def stream_start(chunks: DataFrame) -> DataFrame:
+    """chunks(site, volume, sequence, chunk_type, time_ms): where to join each site's feed.
+
+    (site, volume, sequence, chunk_type, time_ms) of the newest chunk of the newest volume, and whether the volume is joined
+    in its midst, so that its start chunk (sequence 1) has to be fetched too.
+    """
+    newest = F.max(F.struct("time_ms", "volume", "sequence", "chunk_type")).alias("top")
+    out = chunks.groupBy("site").agg(newest).select("site", "top.volume", "top.sequence", "top.chunk_type", "top.time_ms")
+    return out.withColumn("joined_midway", F.col("chunk_type") != "Start")
+
+
+def next_chunks(current: DataFrame, chunk_map_: DataFrame, history_ms: str | None = None) -> DataFrame:
+    """current(site, volume, volume_id, sequence, chunk_type, time_ms) with what follows: next_volume, next_sequence, next_type and expected_ms.
+
+    chunk_map_ has the chunks of each volume_id's pattern.  The wait is the gap between volumes behind a start chunk, else the
+    history where there is one, else the timing model.
+    """
+    along = Window.partitionBy("volume_id").orderBy("sequence")
+    physics = timing.chunk_interval(F.lit(False), F.col("is_first"), F.col("rate"), F.col("chunks_in_sweep"), F.lag("elevation_deg").over(along), F.col("elevation_deg"))
+    waits = chunk_map_.select(F.col("volume_id").alias("_v"), F.col("sequence").alias("_s"), timing.whole_millis(physics).alias("_ms"), F.max("sequence").over(Window.partitionBy("volume_id")).alias("_final"))
+    finals = waits.groupBy("_v").agg(F.first("_final").alias("final_sequence")).withColumnRenamed("_v", "_f")
+    out = current.join(finals, F.col("volume_id") == F.col("_f"), "left").drop("_f")
+    out = out.join(waits.drop("_final"), (F.col("volume_id") == F.col("_v")) & (F.col("sequence") + 1 == F.col("_s")), "left")
+    after = names.next_chunk(F.col("sequence"), F.col("final_sequence"))
+    wait = F.coalesce(F.col(history_ms), F.col("_ms")) if history_ms else F.col("_ms")
+    wait = F.when(F.col("chunk_type") == "Start", F.lit(int(timing.VOLUME_GAP_S * 1000)).cast("long")).otherwise(wait)
+    return out.select(
+        *current.columns, F.when(after["next_volume"], names.next_volume(F.col("volume"))).otherwise(F.col("volume")).alias("next_volume"), after["next_sequence"].alias("next_sequence"),
+        F.when(after["next_volume"], "S").otherwise(after["next_type"]).alias("next_type"), (F.col("time_ms") + wait).alias("expected_ms"),
+    )

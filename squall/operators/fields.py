@@ -39,6 +39,17 @@ class MissingData(ValueError):
     """Something that an operator needs is not there."""
 
 
+#: What a moment of a radial has, whatever its product: one struct column per product.
+MOMENT_FIELDS = ("gate_count", "first_gate_km", "gate_interval_km", "word_size", "scale", "offset", "raw")
+
+
+def moment_columns(product: str) -> dict[str, Column]:
+    """The parts of a product's moment as columns, null where a radial lacks it."""
+    if product not in {p[0] for p in PRODUCTS}:
+        raise InvalidParameter(f"no such product: {product}")
+    return {name: F.col(f"{product}.{name}") for name in MOMENT_FIELDS}
+
+
 def moment_value(raw: Column, scale, offset) -> Column:
     """Decoded value: 0 and 1 are codes, scale 0 means that the raw number is the value."""
     scale, offset = (x if isinstance(x, Column) else F.lit(float(x)) for x in (scale, offset))

@@ -138,3 +138,25 @@ class SweepPipeline:
         for step in self.steps:
             gates = gates.transform(step)
         return gates
+
+
+#: A volume's processor: (gates of all its sweeps, one row per scan with what is known of it) -> gates of the same fields.
+ScanProcessor = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+class ScanPipeline:
+    """Processors that see whole volumes, one after another; every one returns the fields that it was given."""
+
+    def __init__(self, *steps: ScanProcessor):
+        self.steps = list(steps)
+
+    def then(self, step: ScanProcessor) -> ScanPipeline:
+        return ScanPipeline(*self.steps, step)
+
+    def execute(self, gates: DataFrame, scan: DataFrame) -> DataFrame:
+        for step in self.steps:
+            made = step(gates, scan)
+            if set(made.columns) != set(gates.columns):
+                raise InvalidParameter("a processor keeps the columns of gates")
+            gates = made.select(*gates.columns)
+        return gates

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from squall.functions.geo import RadarSite, pixel_to_polar, polar_to_geo
 from squall.operators.fields import FIELD, PRODUCTS, VALID, InvalidParameter
 from squall.operators.sampling import bracketing_radials, grid, radial_axis, sample
 
@@ -74,6 +75,13 @@ def continuous_color(value: Column, stops) -> dict[str, Column]:
     return out
 
 
+def color(value: Column, kind: str, levels) -> dict[str, Column]:
+    """Channels by a scale of either kind: "discrete" steps or "continuous" lines."""
+    if kind not in ("discrete", "continuous"):
+        raise InvalidParameter(f"no such scale: {kind}")
+    return (discrete_color if kind == "discrete" else continuous_color)(value, levels)
+
+
 def to_byte(channel: Column) -> Column:
     """Truncated, not rounded."""
     return F.floor(channel * 255.0).cast("int")
@@ -100,16 +108,15 @@ def pixels(spark: SparkSession, size: int, max_range_km: float) -> DataFrame:
     return _polar_pixels(grid(spark, size, size).withColumnsRenamed({"row": "y", "col": "x"}), size, max_range_km)
 
 
-def _polar_pixels(p: DataFrame, size: int, max_range_km: float) -> DataFrame:
-    per_km, center = size / 2.0 / max_range_km, size / 2.0
-    dx, dy = F.col("x") - center, F.col("y") - center
-    return p.withColumns({"range_km": F.sqrt(dx * dx + dy * dy) / per_km, "azimuth_deg": F.pmod(F.degrees(F.atan2(dx, -dy)) + 360.0, F.lit(360.0))})
+def _polar_pixels(p: DataFrame, size: int, max_range_km: float, height: int | None = None) -> DataFrame:
+    """Pixels with azimuth and range, null beyond the range."""
+    return p.withColumns(pixel_to_polar(F.col("x"), F.col("y"), size, max_range_km, height))
 
 
-def render_sweep(gates: DataFrame, size: int, max_range_km: float, bilinear: bool = False) -> DataFrame:
+def render_sweep(gates: DataFrame, size: int, max_range_km: float, bilinear: bool = False, height: int | None = None) -> DataFrame:
     """Values per pixel of each field: nearest radial within 1.5 spacings, or between four valid gates where there are any."""
-    fields = gates.select(*FIELD).distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
-    p = _polar_pixels(fields.withColumns({"y": F.floor(F.col("_cell") / size).cast("int"), "x": (F.col("_cell") % size).cast("int")}).drop("_cell"), size, max_range_km)
+    fields = gates.select(*FIELD).distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(size * (height or size) - 1))))
+    p = _polar_pixels(fields.withColumns({"y": F.floor(F.col("_cell") / size).cast("int"), "x": (F.col("_cell") % size).cast("int")}).drop("_cell"), size, max_range_km, height)
     p = p.where(F.col("range_km") < max_range_km)
     near = sample(p, gates, max_gap_spacings=1.5).where(F.col("status") == VALID).select(*FIELD, "y", "x", "value")
     if not bilinear:
@@ -138,15 +145,24 @@ def color_pixels(values: DataFrame, product: str, low: float | None = None, high
 
 @dataclass(frozen=True)
 class RenderOptions:
-    """Size, background and sampling of an image; by default opaque black and nearest gates."""
+    """Width, height (as wide, if not given), background, sampling, and where the image lies; by default opaque black and nearest gates."""
 
     size: int
     background: tuple[int, int, int, int] = (0, 0, 0, 255)
     bilinear: bool = False
+    height: int | None = None
+    extent: tuple[float, float, float, float] | None = None  # least latitude and longitude, greatest latitude and longitude
+    site: RadarSite | None = None
 
     def __post_init__(self):
-        if self.size < 1:
+        if self.size < 1 or self.height is not None and self.height < 1:
             raise InvalidParameter("an image needs pixels")
+        if self.extent is not None and not (self.extent[0] <= self.extent[2] and self.extent[1] <= self.extent[3]):
+            raise InvalidParameter("an extent's bounds are in order")
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.size, self.height or self.size
 
     @classmethod
     def native_for(cls, gates: int) -> RenderOptions:
@@ -162,17 +178,47 @@ class RenderOptions:
     def with_bilinear(self) -> RenderOptions:
         return replace(self, bilinear=True)
 
+    def with_interpolation(self, name: str) -> RenderOptions:
+        if name not in ("nearest", "bilinear"):
+            raise InvalidParameter(f"no such interpolation: {name}")
+        return replace(self, bilinear=name == "bilinear")
+
+    def with_size(self, width: int, height: int) -> RenderOptions:
+        return replace(self, size=width, height=height)
+
+    def with_extent(self, extent: tuple[float, float, float, float]) -> RenderOptions:
+        return replace(self, extent=extent)
+
+    def with_coordinate_system(self, site: RadarSite) -> RenderOptions:
+        return replace(self, site=site)
+
+
+def within_extent(values: DataFrame, max_range_km: float, options: RenderOptions) -> DataFrame:
+    """Pixels of the image that lie inside the options' extent; all, if there is none."""
+    if options.extent is None:
+        return values
+    if options.site is None:
+        raise InvalidParameter("an extent needs a coordinate system")
+    width, height = options.shape
+    polar = pixel_to_polar(F.col("x"), F.col("y"), width, max_range_km, height)
+    at = polar_to_geo(polar["azimuth_deg"], polar["range_km"], 0.0, options.site)
+    south, west, north, east = options.extent
+    return values.where(at["latitude"].between(south, north) & at["longitude"].between(west, east))
+
+
+def render_values(gates: DataFrame, max_range_km: float, options: RenderOptions) -> DataFrame:
+    """Values per pixel by the options."""
+    width, height = options.shape
+    return within_extent(render_sweep(gates, width, max_range_km, options.bilinear, height), max_range_km, options)
+
 
 def render_images(gates: DataFrame, product: str, max_range_km: float, options: RenderOptions) -> DataFrame:
     """One PNG per field with the product's own scale."""
-    values = render_sweep(gates, options.size, max_range_km, options.bilinear)
-    return images(color_pixels(values, product), options.size, options.size, options.background)
+    return images(color_pixels(render_values(gates, max_range_km, options), product), *options.shape, options.background)
 
 
 def query_pixel(gates: DataFrame, x: int, y: int, size: int, max_range_km: float, site=None) -> DataFrame:
     """What stands at a pixel of each field: azimuth, range, value, status, and the position if a site is given."""
-    from squall.functions.geo import polar_to_geo
-
     p = gates.groupBy(*FIELD).agg(F.first("elevation_deg").alias("elevation_deg")).withColumns({"x": F.lit(x), "y": F.lit(y)})
     out = sample(_polar_pixels(p, size, max_range_km), gates)
     return out.withColumns(polar_to_geo(F.col("azimuth_deg"), F.col("range_km"), F.col("elevation_deg"), site)) if site else out

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from squall.functions import geo, names, timing, wire
+from squall.functions import display, geo, names, timing, wire
 from squall.operators import chunks as CH
 from squall.operators import summaries
 from squall.plans import adapters as A
@@ -150,8 +150,7 @@ def b12(s, d):
     v = volumes(s, d)
     head = v.select("volume_id", F.lit(0).alias("record_idx"), F.col("content").alias("data"))
     both = head.unionByName(archive.split_volumes(v).where("record_idx > 0").select("volume_id", "record_idx", "data"))
-    kind = F.when(F.substring("data", 1, 3) == F.lit(b"AR2"), "Start").when(F.substring("data", 5, 2) == F.lit(b"BZ"), "IntermediateOrEnd").otherwise(F.raise_error(F.lit("unrecognised chunk format")).cast("string"))
-    return both.select("volume_id", "record_idx", kind.alias("kind"))
+    return archive._rows(both, lambda r: [{"volume_id": r["volume_id"], "record_idx": r["record_idx"], "kind": archive.chunk_kind(r["data"])}], "volume_id string, record_idx int, kind string")
 
 
 @add("c03_volume_block", "select volume_id, round(35.3331::float::double, 6) latitude, round((-97.2778)::float::double, 6) longitude, 380e0 antenna_m, 212 vcp from (values ('v0'), ('v1')) t(volume_id)")
@@ -498,10 +497,25 @@ def c24(s, d):
     return q.join(zones, "key").where("r <= end_range").groupBy("key", "r").agg(F.min_by("op", "end_range").alias("op"))
 
 
-@add("c25_site_position", f"select o_orderkey, round((case when c % 2 = 0 then -1e0 else 1e0 end) * (w % 90 + v % 60 / 60e0 + (c + 0.5e0) / 3600e0), 6) latitude from {WORDS}")
+@add("c25_site_position", f"""select o_orderkey as key, round((case when c % 2 = 0 then -1e0 else 1e0 end) * (w % 90 + v % 60 / 60e0 + (c + 0.5e0) / 3600e0), 6) latitude, round(-1e0 * (v % 180 + w % 60 / 60e0), 6) longitude,
+ 'K' || lpad(c::varchar, 3, '0') site_name, w::bigint ground, (v - 30000)::bigint elevation_min, c * 0.25e0 fuel_10, 13 n_atmos, round(c * 0.5e0, 6) last_v_rnscale, w * 1e0 clock, c * 2e0 alarm_threshold from {WORDS}""")
 def c25(s, d):
-    sign = F.when(F.col("c") % 2 == 0, -1.0).otherwise(1.0)
-    return A.words(s, d).select("o_orderkey", F.round(sign * (F.col("w") % 90 + F.col("v") % 60 / 60.0 + (F.col("c") + 0.5) / 3600.0), 6).alias("latitude"))
+    """Whole adaptation documents, written and decoded: fields from its beginning to its last."""
+
+    def encode(r):
+        c, w, v = r["c"], r["w"], r["v"]
+        return 18, archive.adaptation_bytes({
+            "slatdeg": w % 90, "slatmin": v % 60, "slatsec": c + 0.5, "slatdir": "S" if c % 2 == 0 else "N", "slondeg": v % 180, "slonmin": w % 60, "slonsec": 0.0, "slondir": "W",
+            "site_name": f"K{c:03d}", "site_ground_height": w, "ant_manual_setup_iel_min": v - 30000, "a_fuel_conv": [0.0, c * 0.25], "atmos": [0.5] * 13, "v_rnscale": [0.0] * 12 + [c * 0.5],
+            "dig_rcvr_clock_freq": float(w), "txb_alarm_thresh": c * 2.0,
+        })
+
+    kinds = "site_latitude double, site_longitude double, site_name string, site_ground_height long, ant_manual_setup_iel_min long, a_fuel_conv array<double>, atmos array<double>, v_rnscale array<double>, dig_rcvr_clock_freq double, txb_alarm_thresh double"
+    b = _bodies(s, _word_rows(s, d), encode, kinds)
+    return b.select(
+        "key", F.round("site_latitude", 6).alias("latitude"), F.round("site_longitude", 6).alias("longitude"), "site_name", F.col("site_ground_height").alias("ground"), F.col("ant_manual_setup_iel_min").alias("elevation_min"),
+        F.col("a_fuel_conv")[1].alias("fuel_10"), F.size("atmos").alias("n_atmos"), F.round(F.col("v_rnscale")[12], 6).alias("last_v_rnscale"), F.col("dig_rcvr_clock_freq").alias("clock"), F.col("txb_alarm_thresh").alias("alarm_threshold"),
+    )
 
 
 # ---- E, F, G: streams of messages and chunks ----
@@ -736,18 +750,23 @@ def j08(s, d):
 
 @add("j09_display_site", f"select id || ' (' || city || ', ' || state || ')' shown from {SITES}")
 def j09(s, d):
-    return stations.sites(s).select(F.format_string("%s (%s, %s)", "id", "city", "state").alias("shown"))
+    return stations.sites(s).select(display.site(F.col("id"), F.col("city"), F.col("state")).alias("shown"))
 
 
-@add("j10_text_decode", "select doc_id, length(text) n_chars from documents")
+@add("j10_text_decode", "select doc_id, length(text) n_chars, null::bigint n_broken, length(text) + 2 n_lossy from documents")
 def j10(s, d):
-    return A.read(s, d, "documents").select("doc_id", F.length(F.decode(F.encode("text", "UTF-8"), "UTF-8")).cast("long").alias("n_chars"))
+    """Strict decoding of good and of broken bytes (one byte that is no UTF-8 on either side), and lossy decoding."""
+    good = F.encode("text", "UTF-8")
+    broken = F.concat(F.lit(b"\xff"), good, F.lit(b"\xfe"))
+    length = lambda x: F.length(x).cast("long")
+    r = A.read(s, d, "documents")
+    return r.select("doc_id", length(display.text(good)).alias("n_chars"), length(display.text(broken)).alias("n_broken"), length(display.text(broken, lossy=True)).alias("n_lossy"))
 
 
 @add("j11_trimmed_strings", "select p_partkey, p_brand as brand from part")
 def j11(s, d):
-    padded = F.concat("p_brand", F.lit("  "), F.lit("\0\0"))
-    return A.read(s, d, "part").select("p_partkey", F.rtrim(F.translate(padded, "\0", "")).alias("brand"))
+    padded = F.encode(F.concat("p_brand", F.lit("  "), F.lit("\0\0")), "UTF-8")
+    return A.read(s, d, "part").select("p_partkey", display.trimmed(padded).alias("brand"))
 
 
 @add("j12_binary_digest", "select doc_id, octet_length(encode(text)) n_bytes, sha256(text) sha256, lower(hex(encode(text)[1:4])) head from documents")
@@ -775,11 +794,10 @@ def j14(s, d):
     return c.select(F.from_json("j", "volume_id bigint, cut_no bigint, elevation_deg double, half_degree boolean").alias("x")).select("x.*")
 
 
-@add("j15_hex_dump", "select doc_id, k::int as line, upper(hex(encode(text)[k * 16 + 1 : k * 16 + 16])) dump from documents, range(4) t(k) where octet_length(encode(text)) > k * 16")
+@add("j15_hex_dump", "select doc_id, k::int as line, upper(hex(encode(text)[k * 16 + 1 : k * 16 + 16])) dump from (select doc_id, text, unnest(range((octet_length(encode(text)) + 15) // 16)) k from documents)")
 def j15(s, d):
-    b = F.encode("text", "UTF-8")
-    r = A.read(s, d, "documents").select("doc_id", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("line"))
-    return r.where(F.length("b") > F.col("line") * 16).select("doc_id", "line", F.hex(F.substring("b", F.col("line") * 16 + 1, F.lit(16))).alias("dump"))
+    r = A.read(s, d, "documents").select("doc_id", F.posexplode(display.hex_dump(F.encode("text", "UTF-8"))).alias("line", "dump"))
+    return r.select("doc_id", "line", "dump")
 
 
 # ---- M: streams ----
@@ -787,7 +805,7 @@ def j15(s, d):
 
 @add("m05_tracked_chunks", f"""select site, "sequence"::int "sequence", chunk_type, time_ms, interval_ms, case when n > 0 then (total // n)::bigint end average_ms, n::int n_samples from (select *, count(interval_ms) over w n, sum(interval_ms) over w total from
  (select site::varchar site, "sequence", letter chunk_type, time_ms, time_ms - lag(time_ms) over (partition by site order by time_ms, "sequence") interval_ms from {CHUNKS})
- window w as (partition by site, chunk_type order by time_ms, "sequence" rows between 9 preceding and current row)) where interval_ms is not null or true""")
+ window w as (partition by site, chunk_type order by time_ms, "sequence" rows between 9 preceding and current row))""")
 def m05(s, d):
     from squall.streaming import chunk_stream
 
@@ -801,10 +819,17 @@ def m05(s, d):
 
 
 def _scratch(s) -> str:
-    """A new folder that executors share: beside the checkpoints."""
-    import tempfile
-
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="squall-stream-")
+    """A new folder that executors share: beside the checkpoints; of this machine only where Spark runs on it alone."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        where = s.sparkContext._jsc.sc().getCheckpointDir()
+        base = where.get() if where.isDefined() else None
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="squall-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -821,15 +846,21 @@ def m01(s, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "event_type", "n")
 
 
-@add("m07_assemble_volume", "select 'K-' || k::varchar volume_id, 5 n_records, count(*) n_radials from embeddings, (values (0), (1)) t(k) where label % 2 = k and label // 2 < 4 group by all")
+@add("m07_assemble_volume", """select 'K-' || k volume_id, count(distinct label)::int + 1 - (k = 1)::int n_records, count(*) filter (k = 0 or label <> third) n_radials, (count(distinct label) + 1 - (k = 1)::int)::bigint n_chunks,
+ case when k = 1 then '4' else '' end missing, k = 0 complete from (select *, label % 2 k, max(case when r = 3 then label end) over (partition by label % 2) third from (select *, dense_rank() over (partition by label % 2 order by label) r from embeddings)) group by k""")
 def m07(s, d):
-    """Volumes cut into chunks (a head, then a record each) and put together again; the last record is held back."""
+    """Volumes cut into chunks (the head with the first record, then a record each) and put together again: of volume 1 the
+    fourth chunk never comes, of volume 0 the second comes twice."""
     from squall.streaming import chunk_stream
 
     v = volumes(s, d)
-    records = archive.split_volumes(v).where("record_idx < 5").select(F.substring("volume_id", 2, 1).cast("int").alias("volume"), (F.col("record_idx") + 1).alias("sequence"), "data")
+    records = archive.split_volumes(v).select(F.substring("volume_id", 2, 1).cast("int").alias("volume"), (F.col("record_idx") + 1).alias("sequence"), "data")
     head = v.select(F.substring("volume_id", 2, 1).cast("int").alias("volume"), F.substring("content", 1, L.size(L.VOLUME_HEADER)).alias("head"))
-    c = records.join(head, "volume").select(F.lit("K").alias("site"), "volume", "sequence", F.when(F.col("sequence") == 1, F.concat("head", "data")).otherwise(F.col("data")).alias("data"))
-    whole = chunk_stream.assemble(c)
+    last = records.groupBy("volume").agg(F.max("sequence").alias("end"))
+    kind = F.when(F.col("sequence") == 1, "Start").when(F.col("sequence") == F.col("end"), "End").otherwise("Intermediate")
+    c = records.join(head, "volume").join(last, "volume").select(F.lit("K").alias("site"), "volume", "sequence", kind.alias("chunk_type"), F.when(F.col("sequence") == 1, F.concat("head", "data")).otherwise(F.col("data")).alias("data"))
+    c = c.where("not (volume = 1 and sequence = 4)")
+    whole = chunk_stream.assemble(c.unionByName(c.where("volume = 0 and sequence = 2")))
     n = archive.split_volumes(whole).groupBy("volume_id").agg(F.count(F.lit(1)).cast("int").alias("n_records"))
-    return n.join(archive.scan(whole).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_radials")), "volume_id")
+    told = whole.select("volume_id", "n_chunks", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "complete")
+    return n.join(archive.scan(whole).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_radials")), "volume_id").join(told, "volume_id")

@@ -13,6 +13,7 @@ import gzip
 import json
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,15 @@ def open_record(record: bytes) -> bytes:
         raise RecordError(f"bad bzip2 data: {e}") from e
 
 
+def coverage_pattern(data: bytes) -> dict | None:
+    """The first coverage pattern (type 5) of a start chunk or a volume; None without one."""
+    for _, record in split_records(gunzip(data)[L.size(L.VOLUME_HEADER) :]):
+        for header, _, _, payloads in frame_messages(open_record(record) if is_compressed(record) else record):
+            if header["message_type"] == 5:
+                return decode_body(5, payloads)
+    return None
+
+
 def chunk_kind(data: bytes) -> str:
     """Start (a volume's head) or record, of a real-time chunk."""
     if data[:3] == b"AR2":
@@ -106,7 +116,13 @@ class Segments:
 
 
 def frame_messages(data: bytes, segment_payload: str = "reference"):
-    """Yields (header, offset, size, payloads) of each message.
+    """Yields (header, offset, size, payloads) of each message."""
+    for header, at, size, payloads, _ in walk_messages(data, segment_payload):
+        yield header, at, size, payloads() if callable(payloads) else payloads
+
+
+def walk_messages(data: bytes, segment_payload: str = "reference"):
+    """Yields (header, offset, size, payloads, blocks) of each message; of a radial, payloads is a function and blocks its header and blocks.
 
     Radials (type 31) and messages at the variable-length mark stand alone; all
     others come in frames of 2432 bytes, in one or more segments.  Segments
@@ -121,9 +137,10 @@ def frame_messages(data: bytes, segment_payload: str = "reference"):
         else:
             total = header["segment_size"] * 2
         if header["segment_size"] >= wire.VARIABLE_LENGTH or header["message_type"] == 31:
+            blocks = None
             if header["message_type"] == 31:
                 try:
-                    end = radial_end(data, at + L.HEADER_BYTES)
+                    *blocks, end = _radial_blocks(data, at + L.HEADER_BYTES)
                 except struct.error:
                     return
                 except ValueError:  # a bad message: on to where its size says
@@ -135,7 +152,8 @@ def frame_messages(data: bytes, segment_payload: str = "reference"):
                 end = at + L.HEADER_BYTES + max(0, total - L.HEADER_BYTES)
                 if end > len(data):
                     return
-            yield header, at, end - at, [data[at + L.HEADER_BYTES : end]]
+            begin = at + L.HEADER_BYTES
+            yield header, at, end - at, lambda a=begin, z=end: [data[a:z]], blocks
             at = end
             continue
         count, number = header["segment_count"], header["segment_number"]
@@ -157,7 +175,7 @@ def frame_messages(data: bytes, segment_payload: str = "reference"):
         open_headers.append(header)
         open_payloads.append(payload)
         if len(open_headers) >= expected:
-            yield open_headers[0], first, at - first, open_payloads
+            yield open_headers[0], first, at - first, open_payloads, None
             open_headers, open_payloads = [], []
 
 
@@ -189,20 +207,16 @@ def _radial_blocks(data: bytes, start: int):
     return header, blocks, at
 
 
-def radial_end(data: bytes, start: int) -> int:
-    return _radial_blocks(data, start)[2]
-
-
-def gate_codes(raw: bytes, word_size: int) -> list[int]:
+def gate_codes(raw: bytes, word_size: int) -> np.ndarray:
     """Raw gate numbers: bytes, or big-endian halfwords (an odd byte is dropped)."""
     if word_size == 16:
-        return list(struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]))
-    return list(raw)
+        return np.frombuffer(raw, dtype=">u2", count=len(raw) // 2)
+    return np.frombuffer(raw, dtype=np.uint8)
 
 
-def decode_radial(payload: bytes) -> dict:
-    """Type 31: header, site and radial blocks, moments by name."""
-    header, blocks, _ = _radial_blocks(payload, 0)
+def decode_radial(payload: bytes, parsed=None) -> dict:
+    """Type 31: header, site and radial blocks, moments by name; parsed: header and blocks, where they are known."""
+    header, blocks = parsed or _radial_blocks(payload, 0)[:2]
     out = {"header": header, "moments": {}}
     for name, at in blocks:
         if name == b"VOL":
@@ -310,6 +324,8 @@ def decode_body(message_type: int, payloads: list[bytes]) -> dict | None:
             if at + struct.calcsize(">" + kind) <= len(data):
                 v = struct.unpack_from(">" + kind, data, at)[0]
                 out[name] = L.text(v) if isinstance(v, bytes) else v
+        for name, kind, offsets in L.ADAPTATION_LISTS:
+            out[name] = [struct.unpack_from(">" + kind, data, at)[0] for at in offsets if at + struct.calcsize(">" + kind) <= len(data)]
         if "slondir" in out:
             out["site_latitude"] = L.sexagesimal(out["slatdeg"], out["slatmin"], out["slatsec"], out["slatdir"], "S")
             out["site_longitude"] = L.sexagesimal(out["slondeg"], out["slonmin"], out["slonsec"], out["slondir"], "W")
@@ -369,10 +385,7 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
 
 def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     """Each input row to some output rows, as plain dicts."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = _arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
@@ -416,6 +429,22 @@ def split_volumes(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return _rows(volumes, work, RECORDS)
 
 
+def open_records(records: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """Records with their bytes decompressed; those that never were stay as they are."""
+
+    def work(row):
+        try:
+            data = open_record(row["data"]) if row["compressed"] else row["data"]
+        except RecordError as e:
+            if mode == "FAILFAST":
+                raise
+            yield {**row, "data": None, "_corrupt": str(e)}
+            return
+        yield {**row, "size": len(data), "compressed": False, "data": data}
+
+    return _rows(records, work, RECORDS)
+
+
 def decode_records(records: DataFrame, mode: str = "FAILFAST", segment_payload: str = "reference") -> DataFrame:
     """One row per message of each record."""
 
@@ -439,32 +468,98 @@ def decode_records(records: DataFrame, mode: str = "FAILFAST", segment_payload:
     return _rows(records, work, MESSAGES)
 
 
-def radials(messages: DataFrame, types: tuple[int, ...] = (31, 1)) -> DataFrame:
-    """Radials of digital (31) and legacy (1) messages; those that cannot be decoded are passed over."""
+_NUMBERS = (
+    "time_ms", "azimuth_number", "azimuth_deg", "azimuth_spacing_deg", "radial_status", "elevation_number", "elevation_deg", "latitude", "longitude", "site_height_m",
+    "tower_height_m", "vcp", "nyquist_ms", "unambiguous_range_km", "atmos_db",
+)
 
-    def work(row):
-        try:
-            r = decode_radial(row["payloads"][0]) if row["message_type"] == 31 else decode_legacy_radial(row["payloads"])
-        except (struct.error, ValueError):
-            return
+
+class RadialRows:
+    """Decoded radials, gathered as columns: gates stay numpy arrays until they become one Arrow list column."""
+
+    def __init__(self, schema):
+        self.schema = schema
+        self.clear()
+
+    def clear(self):
+        self.columns = {n: [] for n in ("volume_id", "ordinal", *_NUMBERS)}
+        self.moments = {name: [] for name in L.MOMENTS.values()}
+        self.gates = 0
+
+    def add(self, volume_id, ordinal, r: dict):
         h, v = r["header"], r.get("volume", {})
         if not h["mjd"]:
             raise RecordError("message without a date")
-        yield {
-            "volume_id": row["volume_id"], "ordinal": row["ordinal"], "time_ms": (h["mjd"] - 1) * 86_400_000 + h["ms"], "azimuth_number": h["azimuth_number"],
-            "azimuth_deg": h["azimuth_angle"], "azimuth_spacing_deg": h["azimuth_resolution_spacing"] * 0.5, "radial_status": h["radial_status"],
-            "elevation_number": h["elevation_number"], "elevation_deg": h["elevation_angle"], "latitude": v.get("latitude"), "longitude": v.get("longitude"),
-            "site_height_m": _float(v.get("site_height")), "tower_height_m": _float(v.get("tower_height")), "vcp": v.get("vcp", r.get("vcp")),
-            "nyquist_ms": _scaled(r.get("radial", {}).get("nyquist_velocity"), 100.0), "unambiguous_range_km": _scaled(r.get("radial", {}).get("unambiguous_range"), 1.0),
-            "atmos_db": _scaled(r.get("elevation", {}).get("atmos"), 1000.0),
-            **{name: r["moments"].get(name) for name in L.MOMENTS.values()},
-        }
+        row = (
+            volume_id, ordinal, (h["mjd"] - 1) * 86_400_000 + h["ms"], h["azimuth_number"], h["azimuth_angle"], h["azimuth_resolution_spacing"] * 0.5, h["radial_status"],
+            h["elevation_number"], h["elevation_angle"], v.get("latitude"), v.get("longitude"), _scaled(v.get("site_height"), 1.0), _scaled(v.get("tower_height"), 1.0),
+            v.get("vcp", r.get("vcp")), _scaled(r.get("radial", {}).get("nyquist_velocity"), 100.0), _scaled(r.get("radial", {}).get("unambiguous_range"), 1.0),
+            _scaled(r.get("elevation", {}).get("atmos"), 1000.0),
+        )
+        for column, value in zip(self.columns.values(), row, strict=True):
+            column.append(value)
+        for name, column in self.moments.items():
+            m = r["moments"].get(name)
+            column.append(m)
+            self.gates += len(m["raw"]) if m else 0
+
+    def batch(self):
+        import pyarrow as pa
+
+        arrays = [pa.array(v, self.schema.field(k).type) for k, v in self.columns.items()]
+        arrays += [self._moment(name, column) for name, column in self.moments.items()]
+        made = pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+        self.clear()
+        return made
+
+    def _moment(self, name: str, column: list):
+        import pyarrow as pa
 
-    return _rows(messages.where(F.col("message_type").isin(*types)), work, RADIALS)
+        kind = self.schema.field(name).type
+        raws = [m["raw"] if m else np.zeros(0, np.uint8) for m in column]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int32)
+        values = np.concatenate(raws).astype(np.int32) if raws else np.zeros(0, np.int32)
+        parts = []
+        for field in kind:
+            if field.name == "raw":
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)).cast(field.type))
+            else:
+                parts.append(pa.array([m[field.name] if m else None for m in column], field.type))
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([m is None for m in column]))
+
+
+def _arrow_schema(ddl: str):
+    """On the driver: the Arrow schema that goes to the workers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+#: Gates of a batch of radials, about: some ten megabytes.
+BATCH_GATES = 2_000_000
+
+
+def radials(messages: DataFrame, types: tuple[int, ...] = (31, 1)) -> DataFrame:
+    """Radials of digital (31) and legacy (1) messages; those that cannot be decoded are passed over."""
+    ship(messages.sparkSession)
+    schema = _arrow_schema(RADIALS)
 
+    def run(batches):
+        rows = RadialRows(schema)
+        for batch in batches:
+            for volume_id, ordinal, kind, payloads in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
+                try:
+                    r = decode_radial(payloads[0]) if kind == 31 else decode_legacy_radial(payloads)
+                except (struct.error, ValueError):
+                    continue
+                rows.add(volume_id, ordinal, r)
+                if rows.gates > BATCH_GATES:
+                    yield rows.batch()
+            yield rows.batch()
 
-def _float(x):
-    return None if x is None else float(x)
+    chosen = messages.where(F.col("message_type").isin(*types)).select("volume_id", "ordinal", "message_type", "payloads")
+    return chosen.mapInArrow(run, RADIALS)
 
 
 def _scaled(x, by: float):
@@ -492,12 +587,55 @@ def load(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     return scan(read_volumes(spark, path), mode)
 
 
+def volume_radials(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """Digital radials of volumes, from file to gates in one pass over the bytes."""
+    ship(volumes.sparkSession)
+    schema = _arrow_schema(RADIALS)
+
+    def opened(content: bytes):
+        data = gunzip(content)
+        if len(data) < L.size(L.VOLUME_HEADER):
+            raise RecordError("shorter than a volume header")
+        return split_records(data[L.size(L.VOLUME_HEADER) :])
+
+    def run(batches):
+        rows = RadialRows(schema)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                volume_id = batch.column(0)[k].as_py()
+                try:
+                    records = opened(batch.column(1)[k].as_py())
+                except (RecordError, OSError, EOFError):
+                    if mode == "FAILFAST":
+                        raise
+                    continue
+                for number, (_, record) in enumerate(records):
+                    try:
+                        data = open_record(record) if is_compressed(record) else record
+                    except RecordError:
+                        if mode == "FAILFAST":
+                            raise
+                        continue
+                    for place, (header, _, _, _, blocks) in enumerate(walk_messages(data)):
+                        if header["message_type"] != 31:
+                            continue
+                        try:
+                            r = decode_radial(data, blocks)
+                        except (struct.error, ValueError):
+                            continue
+                        rows.add(volume_id, number * 1_000_000 + place, r)
+                    if rows.gates > BATCH_GATES:
+                        yield rows.batch()
+            yield rows.batch()
+
+    return volumes.select("volume_id", "content").mapInArrow(run, RADIALS)
+
+
 def scan(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Radials of volumes, digital messages only, with sweep_idx."""
     from squall.operators.fields import segment_sweeps
 
-    messages = decode_records(split_volumes(volumes, mode), mode)
-    return segment_sweeps(radials(messages, (31,)), ["ordinal"])
+    return segment_sweeps(volume_radials(volumes, mode), ["ordinal"])
 
 
 # ---- writers -------------------------------------------------------------------
@@ -517,13 +655,27 @@ def message_bytes(message_type: int, payload: bytes, mjd: int = 1, ms: int = 0,
     return out
 
 
-def radial_bytes(header: dict, moments: dict[str, dict], volume: dict | None = None, radial: dict | None = None) -> bytes:
+def adaptation_bytes(values: dict) -> bytes:
+    """A type 18 payload; absent fields are zero."""
+    out = bytearray(L.ADAPTATION_BYTES)
+    out[: L.size(L.ADAPTATION_HEADER)] = L.write(L.ADAPTATION_HEADER, values)
+    places = [(at, kind, values.get(name)) for name, kind, at in L.ADAPTATION_FIELDS]
+    places += [(at, kind, v) for name, kind, offsets in L.ADAPTATION_LISTS for at, v in zip(offsets, values.get(name, ()), strict=False)]
+    for at, kind, v in places:
+        if v is not None:
+            struct.pack_into(">" + kind, out, at, v.encode() if isinstance(v, str) else v)
+    return bytes(out)
+
+
+def radial_bytes(header: dict, moments: dict[str, dict], volume: dict | None = None, radial: dict | None = None, elevation: dict | None = None) -> bytes:
     """A type 31 payload; moments: name to scale, offset, word_size, first_gate_m, gate_interval_m and raw codes."""
     blocks = []
     if volume is not None:
         modern = "zdr_bias" in volume
         body = L.write(L.VOLUME_BLOCK, {**volume, "lrtup": 52 if modern else 44}) + (L.write(L.VOLUME_BLOCK_MORE, volume) if modern else b"")
         blocks.append(b"RVOL" + body)
+    if elevation is not None:
+        blocks.append(b"RELV" + L.write(L.ELEVATION_BLOCK, {**elevation, "lrtup": 12}))
     if radial is not None:
         modern = "horizontal_calibration" in radial
         body = L.write(L.RADIAL_BLOCK, {**radial, "lrtup": 28 if modern else 20}) + (L.write(L.RADIAL_BLOCK_MORE, radial) if modern else b"")

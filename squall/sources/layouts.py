@@ -6,6 +6,7 @@ apart by the length they carry.
 
 from __future__ import annotations
 
+import functools
 import struct
 
 # Fixed values: (field, struct code) in wire order; "_" names padding.
@@ -66,10 +67,48 @@ LOG_HEADER = (("version", "I"), ("identifier", "26s"), ("data_version", "I"), ("
 ADAPTATION_HEADER = (("file_name", "12s"), ("format", "4s"), ("revision", "4s"), ("date", "12s"), ("time", "12s"))
 #: Adaptation fields by byte offset in the document: (field, kind, offset).
 ADAPTATION_FIELDS = (
-    ("lower_pre_limit", "f", 44), ("az_lat", "f", 48), ("upper_pre_limit", "f", 52), ("tfreq_mhz", "I", 1092), ("antenna_gain", "f", 1136), ("slatsec", "f", 1288),
-    ("slonsec", "f", 1292), ("slatdeg", "I", 1300), ("slatmin", "I", 1304), ("slondeg", "I", 1308), ("slonmin", "I", 1312), ("slatdir", "4s", 1316), ("slondir", "4s", 1320),
-    ("clock_mhz", "d", 2500), ("site_name", "4s", 8368), ("site_ground_height", "I", 8388), ("site_radar_height", "I", 8392),
+    ("lower_pre_limit", "f", 44), ("az_lat", "f", 48), ("upper_pre_limit", "f", 52), ("el_lat", "f", 56), ("parkaz", "f", 60), ("parkel", "f", 64),
+    ("a_min_shelter_temp", "f", 112), ("a_max_shelter_temp", "f", 116), ("a_min_shelter_ac_temp_diff", "f", 120), ("a_max_xmtr_air_temp", "f", 124),
+    ("a_max_rad_temp", "f", 128), ("a_max_rad_temp_rise", "f", 132), ("lower_dead_limit", "f", 136), ("upper_dead_limit", "f", 140),
+    ("a_min_gen_room_temp", "f", 148), ("a_max_gen_room_temp", "f", 152), ("spip_5v_reg_lim", "f", 156), ("spip_15v_reg_lim", "f", 160),
+    ("rpg_co_located", "4s", 176), ("spec_filter_installed", "4s", 180), ("tps_installed", "4s", 184), ("rms_installed", "4s", 188), ("a_hvdl_tst_int", "I", 192),
+    ("a_rpg_lt_int", "I", 196), ("a_min_stab_util_pwr_time", "I", 200), ("a_gen_auto_exer_interval", "I", 204), ("a_util_pwr_sw_req_interval", "I", 208),
+    ("a_low_fuel_level", "f", 212), ("config_chan_number", "I", 216), ("redundant_chan_config", "I", 224), ("path_loss_vertical_if_heliax", "f", 668),
+    ("path_loss_2a9a9", "f", 692), ("path_loss_horizontal_if_heliax", "f", 752), ("h_coupler_xmt_loss", "f", 756), ("path_loss_wg02", "f", 768),
+    ("path_loss_waveguide_klystron", "f", 772), ("path_loss_wg06", "f", 780), ("path_loss_wg04", "f", 796), ("path_loss_a6", "f", 800),
+    ("h_coupler_cw_loss", "f", 832), ("v_coupler_xmt_loss", "f", 836), ("v_coupler_cw_loss", "f", 852), ("pwr_sense_bias", "f", 864), ("ame_v_noise_enr", "f", 868),
+    ("v_ts_cw", "f", 936), ("tfreq_mhz", "I", 1092), ("base_data_tcn", "f", 1096), ("refl_data_tover", "f", 1100), ("tar_h_dbz0_lp", "f", 1104),
+    ("tar_v_dbz0_lp", "f", 1108), ("init_phi_dp", "I", 1112), ("norm_init_phi_dp", "I", 1116), ("lx_lp", "f", 1120), ("lx_sp", "f", 1124),
+    ("meteor_param", "f", 1128), ("antenna_gain", "f", 1136), ("vel_degrad_limit", "f", 1152), ("wth_degrad_limit", "f", 1156),
+    ("h_noisetemp_dgrad_limit", "f", 1160), ("h_min_noisetemp", "I", 1164), ("v_noisetemp_dgrad_limit", "f", 1168), ("v_min_noisetemp", "I", 1172),
+    ("kly_degrade_limit", "f", 1176), ("ts_coho", "f", 1180), ("h_ts_cw", "f", 1184), ("ts_stalo", "f", 1196), ("ame_h_noise_enr", "f", 1200),
+    ("xmtr_peak_pwr_high_limit", "f", 1204), ("xmtr_peak_pwr_low_limit", "f", 1208), ("h_dbz0_delta_limit", "f", 1212), ("threshold1", "f", 1216),
+    ("threshold2", "f", 1220), ("clut_supp_dgrad_lim", "f", 1224), ("range0_value", "f", 1232), ("xmtr_pwr_mtr_scale", "f", 1236), ("v_dbz0_delta_limit", "f", 1240),
+    ("tar_h_dbz0_sp", "f", 1244), ("tar_v_dbz0_sp", "f", 1248), ("deltaprf", "I", 1252), ("tau_sp", "I", 1264), ("tau_lp", "I", 1268), ("nc_dead_value", "I", 1272),
+    ("tau_rf_sp", "I", 1276), ("tau_rf_lp", "I", 1280), ("seg1lim", "f", 1284), ("slatsec", "f", 1288), ("slonsec", "f", 1292), ("slatdeg", "I", 1300),
+    ("slatmin", "I", 1304), ("slondeg", "I", 1308), ("slonmin", "I", 1312), ("slatdir", "4s", 1316), ("slondir", "4s", 1320), ("dig_rcvr_clock_freq", "d", 2500),
+    ("coho_freq", "d", 2508), ("az_correction_factor", "f", 8360), ("el_correction_factor", "f", 8364), ("site_name", "4s", 8368),
+    ("ant_manual_setup_iel_min", "i", 8372), ("ant_manual_setup_iel_max", "I", 8376), ("ant_manual_setup_fazvelmax", "I", 8380),
+    ("ant_manual_setup_felvelmax", "I", 8384), ("site_ground_height", "I", 8388), ("site_radar_height", "I", 8392), ("az_pos_sustain_drive", "f", 8396),
+    ("az_neg_sustain_drive", "f", 8400), ("az_inertia", "f", 8456), ("el_inertia", "f", 8460), ("az_stow_angle", "f", 8496), ("el_stow_angle", "f", 8500),
+    ("doppler_range_start", "f", 8764), ("max_el_index", "I", 8768), ("seg2lim", "f", 8772), ("seg3lim", "f", 8776), ("seg4lim", "f", 8780),
+    ("nbr_el_segments", "I", 8784), ("h_noise_long", "f", 8788), ("ant_noise_temp", "f", 8792), ("h_noise_short", "f", 8796), ("h_noise_tolerance", "f", 8800),
+    ("min_h_dyn_range", "f", 8804), ("v_noise_tolerance", "f", 8816), ("min_v_dyn_range", "f", 8820), ("zdr_offset_dgrad_lim", "f", 8824),
+    ("baseline_zdr_offset", "f", 8828), ("v_noise_long", "f", 8844), ("v_noise_short", "f", 8848), ("zdr_data_tover", "f", 8852), ("phi_data_tover", "f", 8856),
+    ("rho_data_tover", "f", 8860), ("stalo_power_dgrad_limit", "f", 8864), ("stalo_power_maint_limit", "f", 8868), ("min_h_pwr_sense", "f", 8872),
+    ("min_v_pwr_sense", "f", 8876), ("h_pwr_sense_offset", "f", 8880), ("v_pwr_sense_offset", "f", 8884), ("ps_gain_ref", "f", 8888),
+    ("rf_pallet_broad_loss", "f", 8892), ("ame_ps_tolerance", "f", 8960), ("ame_max_temp", "f", 8964), ("ame_min_temp", "f", 8968), ("rcvr_mod_max_temp", "f", 8972),
+    ("rcvr_mod_min_temp", "f", 8976), ("bite_mod_max_temp", "f", 8980), ("bite_mod_min_temp", "f", 8984), ("default_polarization", "I", 8988),
+    ("tr_limit_dgrad_limit", "f", 8992), ("tr_limit_fail_limit", "f", 8996), ("rfp_stepper_enabled", "4s", 9000), ("ame_current_tolerance", "f", 9008),
+    ("h_only_polarization", "I", 9012), ("v_only_polarization", "I", 9016), ("sun_bias", "f", 9028), ("a_min_shelter_temp_warn", "f", 9032),
+    ("power_meter_zero", "f", 9036), ("txb_baseline", "f", 9040), ("txb_alarm_thresh", "f", 9044),
 )
+#: Adaptation fields of several values: (field, kind, offsets).
+ADAPTATION_LISTS = (
+    ("a_fuel_conv", "f", tuple(range(68, 112, 4))), ("atten_table", "f", tuple(range(228, 644, 4))), ("h_rnscale", "f", tuple(range(940, 992, 4))),
+    ("atmos", "f", tuple(range(992, 1044, 4))), ("el_index", "f", tuple(range(1044, 1092, 4))), ("v_rnscale", "f", (*range(8700, 8744, 4), 8752, 8756)),
+)
+ADAPTATION_BYTES = 9468
 
 FRAME_BYTES = 2432
 HEADER_BYTES = 28
@@ -78,14 +117,21 @@ MAP_AZIMUTHS = 360
 MOMENTS = {b"REF": "REF", b"VEL": "VEL", b"SW ": "SW", b"ZDR": "ZDR", b"PHI": "PHI", b"RHO": "RHO", b"CFP": "CFP"}
 
 
+@functools.cache
+def compiled(layout) -> tuple[struct.Struct, tuple[str, ...]]:
+    return struct.Struct(">" + "".join(code for _, code in layout)), tuple(name for name, _ in layout)
+
+
 def size(layout) -> int:
-    return struct.calcsize(">" + "".join(code for _, code in layout))
+    return compiled(layout)[0].size
 
 
 def read(layout, data: bytes, at: int = 0) -> dict:
     """Named values at a byte offset; struct.error if the bytes run out."""
-    values = struct.unpack_from(">" + "".join(code for _, code in layout), data, at)
-    return {name: v for (name, _), v in zip(layout, values, strict=True) if name != "_"}
+    codes, names = compiled(layout)
+    out = dict(zip(names, codes.unpack_from(data, at), strict=True))
+    out.pop("_", None)
+    return out
 
 
 def write(layout, values: dict) -> bytes:

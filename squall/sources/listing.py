@@ -58,6 +58,32 @@ def require_site(present: Column, value: Column) -> Column:
     return F.when(present, value).otherwise(F.raise_error(F.lit("missing site")).cast("string"))
 
 
+class ObjectNotFound(MissingData):
+    """There is no object of that name."""
+
+
+def read_object(spark: SparkSession, path: str) -> tuple[bytes, int]:
+    """An object's bytes and its last modification (milliseconds since 1970), from any store that Spark reads; ObjectNotFound without it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        raise ObjectNotFound(path)
+    stream = files.open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)), files.getFileStatus(where).getModificationTime()
+    finally:
+        stream.close()
+
+
+def object_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in one folder, in order; none if there is no such folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
 def cached(spark: SparkSession, source: str, cache: str) -> str:
     """A read-through copy of a volume file: copied into the cache folder unless it is there; returns its path."""
     jvm = spark.sparkContext._jvm

@@ -16,7 +16,7 @@ from squall.functions import names
 from squall.functions.timing import WINDOW
 from squall.shipping import ship
 
-STATE = "site string, volume int, sequence int, chunk_type string, time_ms long, interval_ms long, average_ms long, n_samples int, gap boolean, volume_done boolean"
+STATE = "site string, volume int, sequence int, chunk_type string, time_ms long, interval_ms long, average_ms long, n_samples int, gap boolean, volume_done boolean, late boolean"
 _KEPT = "volume int, sequence int, time_ms long, history string"
 
 
@@ -37,7 +37,7 @@ def parse_chunks(files: DataFrame) -> DataFrame:
 
 
 def _update(key: tuple, frames: Iterator, state) -> Iterator:
-    """One output row per chunk, in order of time."""
+    """One output row per chunk, in order of time; chunks of before the state's time are late."""
     import json
 
     import pandas as pd
@@ -47,6 +47,9 @@ def _update(key: tuple, frames: Iterator, state) -> Iterator:
     rows = pd.concat(list(frames)).sort_values(["time_ms", "volume", "sequence"])
     out = []
     for r in rows.itertuples():
+        if time_ms is not None and not pd.isna(time_ms) and r.time_ms < time_ms:  # told of, but the state stays where it is
+            out.append((key[0], int(r.volume), int(r.sequence), r.chunk_type, int(r.time_ms), None, None, 0, False, r.chunk_type == "End", True))
+            continue
         interval = None if time_ms is None or pd.isna(time_ms) else int(r.time_ms) - int(time_ms)
         own = samples.setdefault(r.chunk_type, [])
         if interval is not None:
@@ -54,10 +57,10 @@ def _update(key: tuple, frames: Iterator, state) -> Iterator:
             del own[:-WINDOW]
         gap = sequence is not None and volume == r.volume and r.sequence != sequence + 1
         average = sum(own) // len(own) if own else None
-        out.append((key[0], int(r.volume), int(r.sequence), r.chunk_type, int(r.time_ms), interval, average, len(own), bool(gap), r.chunk_type == "End"))
+        out.append((key[0], int(r.volume), int(r.sequence), r.chunk_type, int(r.time_ms), interval, average, len(own), bool(gap), r.chunk_type == "End", False))
         volume, sequence, time_ms = int(r.volume), int(r.sequence), int(r.time_ms)
     state.update((volume, sequence, time_ms, json.dumps(samples)))
-    columns = ["site", "volume", "sequence", "chunk_type", "time_ms", "interval_ms", "average_ms", "n_samples", "gap", "volume_done"]
+    columns = ["site", "volume", "sequence", "chunk_type", "time_ms", "interval_ms", "average_ms", "n_samples", "gap", "volume_done", "late"]
     yield pd.DataFrame(out, columns=columns).astype({"interval_ms": "Int64", "average_ms": "Int64"})
 
 
@@ -74,16 +77,22 @@ def session_windows(chunks: DataFrame, delay: str = "10 minutes", gap: str = "5
 
 
 def assemble(chunks: DataFrame) -> DataFrame:
-    """Volumes put together from their chunks, in sequence: (volume_id, content) for the archive reader.
+    """chunks(site, volume, sequence, data and, where there is one, chunk_type): volumes put together from what has arrived, in sequence.
 
-    Volumes without a first chunk, or with a chunk missing in between, are left out.
+    (volume_id, content) for the archive reader, with n_chunks, the missing sequences up to the
+    last one, and complete: nothing is missing and the last one is an End.  Only the start chunk is
+    required; of a chunk that came twice, late or not, the least bytes count.
     """
-    good = chunks.groupBy("site", "volume").agg(
-        F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.countDistinct("sequence").alias("n"), F.array_sort(F.collect_list(F.struct("sequence", "data"))).alias("parts")
-    )
-    good = good.where((F.col("first") == 1) & (F.col("n") == F.col("last")))
+    kind = F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit(None).cast("string")
+    once = chunks.groupBy("site", "volume", "sequence").agg(F.min("data").alias("data"), F.max(kind).alias("kind"))
+    whole = once.groupBy("site", "volume").agg(
+        F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("n_chunks"), F.max_by("kind", "sequence").alias("last_kind"),
+        F.array_sort(F.collect_list(F.struct("sequence", "data"))).alias("parts"),
+    ).where(F.col("first") == 1)
     content = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
-    return good.select(F.concat_ws("-", "site", "volume").alias("volume_id"), content.alias("content"))
+    missing = F.array_except(F.sequence(F.lit(1), F.col("last").cast("int")), F.transform("parts", lambda p: p["sequence"].cast("int")))
+    complete = (F.size(missing) == 0) & F.coalesce(F.col("last_kind") == "End", F.lit(False))
+    return whole.select(F.concat_ws("-", "site", "volume").alias("volume_id"), content.alias("content"), "n_chunks", missing.alias("missing"), complete.alias("complete"))
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):

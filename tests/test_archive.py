@@ -27,8 +27,8 @@ def test_layout_sizes(layout, size):
 def test_radial_round_trip():
     r = A.decode_radial(radial())
     assert r["header"]["azimuth_number"] == 3 and r["volume"]["vcp"] == 212 and "zdr_bias" not in r["volume"]
-    assert r["moments"]["REF"]["raw"] == [0, 1, 50, 100] and r["moments"]["REF"]["first_gate_km"] == pytest.approx(2.125)
-    assert r["moments"]["SW"]["raw"] == [300, 4]
+    assert r["moments"]["REF"]["raw"].tolist() == [0, 1, 50, 100] and r["moments"]["REF"]["first_gate_km"] == pytest.approx(2.125)
+    assert r["moments"]["SW"]["raw"].tolist() == [300, 4]
 
 
 def test_modern_blocks():
@@ -114,7 +114,7 @@ def test_adaptation():
 def test_legacy_radial():
     head = {"ms": 53477, "mjd": 12785, "azimuth_angle": 3992, "elevation_angle": 104, "elevation_number": 1, "surveillance_first": -500, "surveillance_interval": 1000, "surveillance_gates": 4, "ref_pointer": 100, "doppler_resolution": 4}
     r = A.decode_legacy_radial([L.write(L.LEGACY_RADIAL, head) + bytes([0, 1, 66, 100])])
-    assert r["moments"]["REF"]["raw"] == [0, 1, 66, 100] and r["moments"]["REF"]["first_gate_km"] == pytest.approx(0.5)
+    assert r["moments"]["REF"]["raw"].tolist() == [0, 1, 66, 100] and r["moments"]["REF"]["first_gate_km"] == pytest.approx(0.5)
     assert r["header"]["azimuth_angle"] == pytest.approx(21.92871, abs=1e-4) and r["header"]["elevation_angle"] == pytest.approx(0.57128906, abs=1e-5)
 
 
