@@ -525,7 +525,7 @@ class RadialRows:
                 parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)).cast(field.type))
             else:
                 parts.append(pa.array([m[field.name] if m else None for m in column], field.type))
-        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([m is None for m in column]))
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([m is None for m in column], pa.bool_()))
 
 
 def _arrow_schema(ddl: str):
