@@ -24,7 +24,8 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         return e.groupBy(F.lit(0).alias("all")).applyInArrow(_joined, "node long, label long")
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m"))
+        # Written, so that the join behind it is one of two plain tables, in which Spark splits a hub's edges.
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.col("u"), F.min("b")).alias("m")).checkpoint()
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select("a", "b", "m")
