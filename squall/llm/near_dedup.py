@@ -217,11 +217,16 @@ def _tasks(df: DataFrame, task, side: int, band=None) -> DataFrame:
 # ---- nodes, clusters, links ----------------------------------------------------
 
 
-def _gather(width: int):
+def _gather(width: int, members):
+    """Sets of the rows whose id's hash the filter knows."""
+
     def run(batch):
         from squall.llm.shingles import Sets
 
-        ids, texts = columns(batch, "doc_id", "text")
+        hashes = columns(batch, "hash")[0].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        ids, texts = columns(batch.filter(pa.array(members.value.has(hashes))), "doc_id", "text")
+        if not len(ids):
+            return None
         sets = Sets(texts, width)
         k1, k2 = sets.keys()
         blobs = [sets.hashes[a:b].tobytes() for a, b in zip(sets.at[:-1], sets.at[1:], strict=True)]
@@ -233,13 +238,8 @@ def _gather(width: int):
 def _with_sets(docs: DataFrame, members: DataFrame, n: int, width: int) -> DataFrame:
     """n members(doc_id, k1, k2, ...) with the shingles of their texts: only rows that may be members leave their place."""
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("doc_id")), n))
-
-    @F.arrow_udf("boolean")
-    def may_be(keys: pa.Array) -> pa.Array:
-        return pa.array(filter_.value.has(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-
-    near = docs.where(F.col("doc_id").isNotNull()).where(may_be(F.xxhash64("doc_id")))
-    sets = map_texts(near, _gather(width), "g0 long, g1 long, g2 long, shingles binary")
+    hashed = docs.where(F.col("doc_id").isNotNull()).withColumn("hash", F.xxhash64("doc_id"))
+    sets = map_texts(hashed, _gather(width, filter_), "g0 long, g1 long, g2 long, shingles binary")
     same = (F.col("g0") == F.col("doc_id")) & (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2"))
     joined, seen = written(sets.join(members, same).drop("g0", "g1", "g2"))
     # Repeated rows of one id and one set give their set more than once.
