@@ -36,6 +36,8 @@ SLOTS = 1 << 16  # and up to FEWEST more per small source
 FEWEST = 1000
 BUCKET_ROWS = 4096  # of a bucket for prefix sums, about
 GOLDEN = 0.6180339887498949
+#: Up to so many sources (about 60 bytes each) are broadcast to the documents; more are joined by a shuffle.
+FEW_SOURCES = 50_000
 
 _WS = " \t\n\x0b\x0c\r"
 
@@ -121,12 +123,12 @@ def placed(docs: DataFrame, seed: int = 7, bits: int = 10) -> DataFrame:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, slots: int = SLOTS, seed: int = 7) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, slots: int = SLOTS, seed: int = 7, few_sources: int = FEW_SOURCES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, first_slot."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     # Sizes are used three times and targets four: written once, as rows of a few numbers.
     sized, seen = written(sized)
-    targets = source_targets(sized, weights, share, most).checkpoint()
+    targets, told = written(source_targets(sized, weights, share, most))
     # Read twice; as many rows as slots.
     owned = schedule(spark, shared_slots(targets, slots)).checkpoint()
     # Per-source figures ride along with each document: one row per source.
@@ -134,6 +136,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     facts = targets.join(counts, F.col("source").eqNullSafe(F.col("os")), "left").select(
         F.col("source").alias("fs"), "source_size", "target", F.round("target").cast("long").alias("quota"), F.coalesce("slots", F.lit(0)).alias("slots")
     )
+    facts = F.broadcast(facts) if told["n"] <= few_sources else facts.checkpoint()
     at = placed(sized, seed, bucket_bits(seen["n"])).join(facts, F.col("source").eqNullSafe(F.col("fs"))).drop("fs")
     rounds = int(-(-most // 1))
     begin = F.col("start") + F.col("round") * F.col("source_size")
@@ -142,9 +145,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     # Block r of a source: words from r * quota div slots to before (r + 1) * quota div slots.
     lowest, highest = F.expr("((begin + 1) * slots - 1) div quota"), F.expr("least(stop * slots - 1, quota * slots - 1) div quota")
     some = (F.col("size") > 0) & (F.col("slots") > 0) & (F.col("begin") < F.col("quota"))
-    pieces = pieces.withColumn("rank", F.explode(F.when(some, F.sequence(lowest, highest)).otherwise(F.array(F.lit(-1).cast("long")))))
+    nowhere = -1 - F.pmod(F.xxhash64("doc_id", "bucket", "row", "round"), F.lit(1 << 20))  # of no slot, and not all of one key
+    pieces = pieces.withColumn("rank", F.explode(F.when(some, F.sequence(lowest, highest)).otherwise(F.array(nowhere))))
     first, last = F.expr("rank * quota div greatest(slots, 1)"), F.expr("(rank + 1) * quota div greatest(slots, 1)")
-    words = F.least(F.col("stop"), last) - F.greatest(F.col("begin"), first)
+    words = F.when(F.col("rank") >= 0, F.least(F.col("stop"), last) - F.greatest(F.col("begin"), first)).otherwise(F.lit(0).cast("long"))
     pieces = pieces.withColumn("words", F.greatest(words, F.lit(0)))
     owned = owned.select(F.col("source").alias("os"), F.col("rank").alias("orank"), "slot")
     joined = pieces.join(owned, F.col("source").eqNullSafe(F.col("os")) & (F.col("rank") == F.col("orank")), "left")
