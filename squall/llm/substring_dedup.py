@@ -15,8 +15,8 @@ column (four bytes a probe; twelve bytes a twenty-word window near a hit), and o
 bit a hash comes back.  A passage that is in every text is one hash per chunk, so
 no bucket grows with a hot passage.  Chunks grow from 3 to 24 million characters
 with the input and buckets stop at 262,144, so what is sent grows as the input: a row
-holds about 75 hashes at 10 GB, 17 at 10 TB and 14 at 100 TB, where a bucket's rows
-take about 0.5 GB.  The chunks' bounds (8 bytes each, 4 million at most) are the only
+holds about 280 hashes at 10 GB, 31 at 1 TB, 18 at 10 TB and 14 at 100 TB, where a
+bucket's rows take about 0.5 GB.  The chunks' bounds (8 bytes each, 4 million at most) are the only
 thing that is broadcast; they come from percentiles in two levels.
 
 Defined results: null and empty texts have no words and lose none; texts with a null
