@@ -73,7 +73,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def slices(column: pa.Array, most_bytes: int = 2 << 20):
+#: Text bytes of a slice: the arrays that are made of each take about 50 times as much, in every Python worker.
+SLICE_BYTES = 1 << 19
+
+
+def slices(column: pa.Array, most_bytes: int = SLICE_BYTES):
     """(first, last) row ranges of at most so many bytes, one row at least."""
     offsets = text_buffers(column)[1]
     i, n = 0, len(offsets) - 1

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from squall.llm import bloom, chat_format, decontaminate, graph, language, licenses, line_quality, mixing, near_dedup, pii, substring_dedup, textcore, toxicity, viterbi
+from squall.llm import bloom, chat_format, decontaminate, graph, language, licenses, line_quality, mixing, near_dedup, pii, shingles, substring_dedup, textcore, toxicity, viterbi
 from squall.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -82,6 +83,31 @@ def test_slices_cover_all_rows():
     assert got[0][0] == 0 and got[-1][1] == 5 and all(x[1] == y[0] for x, y in zip(got[:-1], got[1:], strict=True))
 
 
+def test_slices_bound_what_a_worker_takes():
+    texts = pa.array([f"call +1 555 010 {k:04} now; " + f"the quick brown Fox jumps over {k} lazy dogs, " * 80 for k in range(1200)], pa.string())
+    field, model = pii.train(), language.Model({"en": np.ones(language.BUCKETS + len(language.SCRIPTS))})
+    works = {
+        "sets": lambda x: [k.tolist() for k in shingles.Sets(x).keys()],
+        "spans": lambda x: [[base, more] for _, base, more in pii.spans_of(x, field)],
+        "language": lambda x: language.judge(x, model)[0],
+    }
+    for name, work in works.items():
+        work(texts[:1])  # what is kept for good isn't counted
+        tracemalloc.start()
+        for i, j in textcore.slices(texts):
+            work(texts.slice(i, j - i))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20, (name, peak)
+        # and the cuts don't show in the results
+        made, large = ([work(texts.slice(i, j - i)) for i, j in textcore.slices(texts, most)] for most in (textcore.SLICE_BYTES, 2 << 20))
+        if name == "sets":
+            made, large = ([[k for part in x for k in part[n]] for n in (0, 1)] for x in (made, large))
+            assert made == large
+        else:
+            assert [x for part in made for x in part] == [x for part in large for x in part]
+
+
 def test_viterbi_matches_plain():
     rng = np.random.default_rng(0)
 
