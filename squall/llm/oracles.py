@@ -57,3 +57,25 @@ LEAKS = rf"""with d as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}')
  it as (select doc_id, count(distinct item_id) n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) s from h group by doc_id)
  select d.doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coalesce(it.n, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
  from d left join hit on d.doc_id = hit.doc_id left join it on d.doc_id = it.doc_id"""
+
+_CRC = """tab(i, k, v) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from tab where k < 8),
+ crc_table as (select list(v order by i) c from tab where k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, by the table c."""
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split_regex({text}, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+TRIE = rf"""with recursive {_CRC},
+ t as (select conv_id, turn, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) x from conversations where conv_id is not null),
+ own as (select conv_id, list(x order by turn nulls first, x) q from t group by conv_id),
+ h as (select own.*, {_crc32('conv_id::varchar')} % 6 h from own, crc_table),
+ built as (select h.conv_id, coalesce(b.q, [])[1:h.h] || h.q[h.h + 1:] q from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100),
+ member as (select conv_id, d, q[1:d] p, d = len(q) last from (select conv_id, q, unnest(range(0, len(q) + 1)) d from built)),
+ node as (select p, d, min(conv_id) c, count(*) n, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '') ends from member group by p, d),
+ kids as (select p[1:d - 1] p, count(*) k from node where d > 0 group by 1),
+ known as (select node.*, coalesce(k, 0) k, case when d = 0 then 0 else (n - 1) * length(p[d].t) end saved from node left join kids using (p)),
+ under as (select p[1:j] p, sum(saved) saved, count(*) filter (k = 0) leaves from (select *, unnest(range(0, d + 1)) j from known) group by 1)
+ select known.c conv_id, known.d depth, up.c parent_conv_id, known.n n_convs, known.k::bigint n_children, leaves::bigint n_leaves, under.saved::bigint saved_tokens, sha256(known.ends) ends_sha256
+ from known join under using (p) left join node up on known.d > 0 and up.p = known.p[1:known.d - 1]"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, substring_dedup, toxicity
+from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, prefix_trie, substring_dedup, toxicity
 
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op9_near_dedup": oracles.NEAR,
     "op10_decontaminate": oracles.LEAKS,
+    "op11_prefix_trie": oracles.TRIE,
 }
