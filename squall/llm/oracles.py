@@ -79,3 +79,15 @@ TRIE = rf"""with recursive {_CRC},
  under as (select p[1:j] p, sum(saved) saved, count(*) filter (k = 0) leaves from (select *, unnest(range(0, d + 1)) j from known) group by 1)
  select known.c conv_id, known.d depth, up.c parent_conv_id, known.n n_convs, known.k::bigint n_children, leaves::bigint n_leaves, under.saved::bigint saved_tokens, sha256(known.ends) ends_sha256
  from known join under using (p) left join node up on known.d > 0 and up.p = known.p[1:known.d - 1]"""
+
+PHRASES = rf"""with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) t from documents),
+ w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') w from p),
+ f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, (values (1), (2), (3)) n(k) where len(w) >= k) group by all),
+ total as (select lang, sum(len(w)) n from w group by lang),
+ cand as (select lang, k, phrase, f a, string_split(phrase, ' ') v from f where k > 1 and f >= 10),
+ cut as (select c.lang, c.phrase, a, x.c cut, l.f l, r.f r, floor(1000000::hugeint * a * a // (l.f::hugeint * r.f)) score from cand c, (values (1), (2)) x(c), f l, f r
+  where x.c < c.k and l.lang = c.lang and r.lang = c.lang and l.phrase = array_to_string(v[1:x.c], ' ') and r.phrase = array_to_string(v[x.c + 1:], ' ')),
+ scored as (select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ inner_ as (select lang, array_to_string(v[i:i + 1], ' ') phrase, max(a) longer from cand, (values (1), (2)) x(i) where k = 3 group by all)
+ select s.lang, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank, s.phrase, a, l, r, n::bigint n, score::bigint score from scored s left join inner_ i on i.lang = s.lang and i.phrase = s.phrase join total t on t.lang = s.lang
+ where longer is null or 100 * longer < 50 * a qualify rank <= 2000"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, prefix_trie, substring_dedup, toxicity
+from squall.llm import chat_format, collocations, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, prefix_trie, substring_dedup, toxicity
 
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_collocations": collocations.op12_collocations,
     "pipeline": pipeline,
 }
 
@@ -34,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op9_near_dedup": oracles.NEAR,
     "op10_decontaminate": oracles.LEAKS,
     "op11_prefix_trie": oracles.TRIE,
+    "op12_collocations": oracles.PHRASES,
 }
