@@ -39,14 +39,21 @@ SUBSTRINGS = rf"""with x as (select doc_id, regexp_extract_all(coalesce(text, ''
  kept as (select doc_id, string_agg(word, ' ' order by p) k from places anti join gp using (doc_id, p) group by doc_id)
  select x.doc_id, len(w)::bigint n_words, coalesce(len(gone.p), 0)::bigint n_removed, sha256(coalesce(k, '')) kept_sha256 from x left join gone on x.doc_id = gone.doc_id left join kept on x.doc_id = kept.doc_id"""
 
-NEAR = rf"""with recursive x as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') w from documents),
- sh as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) i from x where len(w) > 0)),
+
+def _near(width: int, columns: str) -> str:
+    """Components of documents whose shingle sets of this width have a similarity of 0.85 or more."""
+    return rf"""with recursive x as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') w from documents),
+ sh as (select distinct doc_id, case when len(w) < {width} then array_to_string(w, ' ') else array_to_string(w[i:i + {width - 1}], ' ') end g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - {width} + 2))) i from x where len(w) > 0)),
  n as (select doc_id, count(*) n from sh group by doc_id),
  links as (select a, b from (select s.doc_id a, t.doc_id b, count(*) k from sh s join sh t on s.g = t.g and s.doc_id < t.doc_id group by all) p join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * k >= 85 * (na.n + nb.n - k)),
  e as (select a, b from links union select b, a from links),
  reach as (select doc_id a, doc_id b from x union select r.a, e.b from reach r join e on r.b = e.a),
  c as (select a doc_id, min(b) c from reach group by a)
- select c.doc_id, coalesce(n, 0)::bigint n_shingles, c.c component_id, c.doc_id = c.c kept from c left join n using (doc_id)"""
+ select c.doc_id, coalesce(n, 0)::bigint n_shingles, c.c component_id{columns} from c left join n using (doc_id)"""
+
+
+NEAR = _near(3, ", c.doc_id = c.c kept")
+JACCARD = _near(4, "")
 
 LEAKS = rf"""with d as (select doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from documents),
  b as (select item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') w from benchmark),

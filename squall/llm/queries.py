@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squall.llm import chat_format, collocations, decontaminate, language, licenses, line_quality, mixing, near_dedup, oracles, pii, prefix_trie, substring_dedup, toxicity
+from squall.llm import chat_format, collocations, decontaminate, jaccard_join, language, licenses, line_quality, mixing, near_dedup, oracles, pii, prefix_trie, substring_dedup, toxicity
 
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_collocations": collocations.op12_collocations,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
     "pipeline": pipeline,
 }
 
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op10_decontaminate": oracles.LEAKS,
     "op11_prefix_trie": oracles.TRIE,
     "op12_collocations": oracles.PHRASES,
+    "op13_jaccard_join": oracles.JACCARD,
 }
