@@ -20,7 +20,7 @@ from squall.operators import fields
 from squall.operators.fields import MissingData
 from squall.shipping import ship
 from squall.sources import archive, listing, stations
-from squall.streaming import chunk_stream, feed
+from squall.streaming import chunk_stream, feed, site_state
 
 # ---- volumes ----
 
@@ -128,7 +128,7 @@ def site(identifier: str) -> dict | None:
 def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A stream of real-time chunks under a folder, with each site's timing state."""
     chunks = chunk_stream.read_chunks(spark, path, max_files)
-    return chunk_stream.track(chunks.select("site", "volume", "sequence", "chunk_type", F.unix_millis("upload_time").alias("time_ms")))
+    return site_state.track(chunks.select("site", "volume", "sequence", "chunk_type", F.unix_millis("upload_time").alias("time_ms")))
 
 
 def follow(spark: SparkSession, root: str, site: str, **policies) -> tuple[feed.ChunkFeed, feed.Downloaded, feed.Downloaded | None]:

@@ -65,3 +65,10 @@ def processing_wait_ms(is_start: Column, history_ms: Column, attempts: Column, p
     return F.when(is_start, F.lit(int(VOLUME_GAP_S * 1000)).cast("long")).otherwise(
         F.coalesce(history, whole_millis(physics_s), F.when(waveform.isNotNull(), static_wait(waveform, phase).cast("long") * 1000))
     )
+
+
+def next_wait_ms(chunk_type: str, intervals: list[int]) -> int:
+    """Of one chunk, outside of expressions: the gap between volumes behind a start chunk, else the mean of its kind's last intervals, else the fallback."""
+    if chunk_type == "Start":
+        return int(VOLUME_GAP_S * 1000)
+    return sum(intervals) // len(intervals) if intervals else int(FALLBACK_CHUNK_S * 1000)

@@ -803,18 +803,33 @@ def j15(s, d):
 
 
 @add("m05_tracked_chunks", f"""select site, "sequence"::int "sequence", chunk_type, time_ms, interval_ms, case when n > 0 then (total // n)::bigint end average_ms, n::int n_samples from (select *, count(interval_ms) over w n, sum(interval_ms) over w total from
- (select site::varchar site, "sequence", letter chunk_type, time_ms, time_ms - lag(time_ms) over (partition by site order by time_ms, "sequence") interval_ms from {CHUNKS})
+ (select site::varchar site, "sequence", case letter when 'S' then 'Start' when 'E' then 'End' else 'Intermediate' end chunk_type, time_ms, time_ms - lag(time_ms) over (partition by site order by time_ms, "sequence") interval_ms from {CHUNKS})
  window w as (partition by site, chunk_type order by time_ms, "sequence" rows between 9 preceding and current row))""")
 def m05(s, d):
-    from squall.streaming import chunk_stream
+    return _tracked(s, d, None).where("event = 'chunk'").select("site", "sequence", "chunk_type", "time_ms", "interval_ms", "average_ms", "n_samples")
+
 
-    numbered = A.chunks(s, d).select(F.col("site").cast("string").alias("site"), F.lit(1).alias("volume"), "sequence", F.col("letter").alias("chunk_type"), "time_ms")
+def _tracked(s, d, delay):
+    """Every site's chunks through its state, from a stream of files."""
+    from squall.streaming import chunk_stream, site_state
+
+    numbered = A.chunks(s, d).select(F.col("site").cast("string").alias("site"), F.lit(1).alias("volume"), "sequence", wire.label(F.col("letter"), names.CHUNK_TYPES).alias("chunk_type"), "time_ms")
     folder = _scratch(s)
     numbered.write.parquet(f"{folder}/chunks")
     stream = s.readStream.schema(numbered.schema).parquet(f"{folder}/chunks")
-    name = f"tracked_{uuid.uuid4().hex}"
-    out = chunk_stream.run_to_end(chunk_stream.track(stream), name, f"{folder}/state")
-    return out.select("site", "sequence", "chunk_type", "time_ms", "interval_ms", "average_ms", "n_samples")
+    return chunk_stream.run_to_end(site_state.track(stream, delay), f"tracked_{uuid.uuid4().hex}", f"{folder}/state")
+
+
+_WAITING = f"""(select *, case letter when 'S' then 8500 else coalesce((total // nullif(n, 0))::bigint, 4000) end + time_ms expected_ms, lead(time_ms) over (partition by site order by time_ms, "sequence") next_ms from
+ (select *, count(interval_ms) over w n, sum(interval_ms) over w total from (select *, time_ms - lag(time_ms) over (partition by site order by time_ms, "sequence") interval_ms from {CHUNKS})
+ window w as (partition by site, letter order by time_ms, "sequence" rows between 9 preceding and current row)))"""
+
+
+@add("m05_overdue", f"""select site::varchar site, "sequence"::int "sequence", case letter when 'S' then 'Start' when 'E' then 'End' else 'Intermediate' end chunk_type, time_ms, expected_ms from {_WAITING}
+ where next_ms > expected_ms or next_ms is null and expected_ms <= (select max(time_ms) - 600000 from {_WAITING})""")
+def m05o(s, d):
+    """Chunks whose next one came late or not at all, told by timers of event time."""
+    return _tracked(s, d, "10 minutes").where("event = 'overdue'").select("site", "sequence", "chunk_type", "time_ms", "expected_ms")
 
 
 def _scratch(s) -> str:

@@ -1,25 +1,17 @@
-"""Real-time chunks as a stream: a file source, per-site state, and volumes put together.
+"""Real-time chunks as a stream: a plain file source, sessions, and volumes put together from a table.
 
-Chunk files are named SITE/volume/yyyymmdd-hhmmss-nnn-T.  The state of a site
-(volume, sequence, last time, the last ten intervals per kind) lives in Spark's
-state store, so a restart goes on where the checkpoint ends.
+Chunk files are named SITE/volume/yyyymmdd-hhmmss-nnn-T.  ``sources.chunk_source`` follows the
+slots of sites; ``site_state`` and ``assembly`` keep state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.functions import names
-from squall.functions.timing import WINDOW
 from squall.shipping import ship
 
-STATE = "site string, volume int, sequence int, chunk_type string, time_ms long, interval_ms long, average_ms long, n_samples int, gap boolean, volume_done boolean, late boolean"
-_KEPT = "volume int, sequence int, time_ms long, history string"
-
-
 def read_chunks(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A stream of chunk files: site, volume, name, data, upload time."""
     reader = ship(spark).readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
@@ -36,40 +28,6 @@ def parse_chunks(files: DataFrame) -> DataFrame:
     return out.withColumns(names.parse_chunk_name(F.col("name"))).where("is_valid").drop("is_valid")
 
 
-def _update(key: tuple, frames: Iterator, state) -> Iterator:
-    """One output row per chunk, in order of time; chunks of before the state's time are late."""
-    import json
-
-    import pandas as pd
-
-    volume, sequence, time_ms, history = state.get if state.exists else (None, None, None, "{}")
-    samples = json.loads(history)
-    rows = pd.concat(list(frames)).sort_values(["time_ms", "volume", "sequence"])
-    out = []
-    for r in rows.itertuples():
-        if time_ms is not None and not pd.isna(time_ms) and r.time_ms < time_ms:  # told of, but the state stays where it is
-            out.append((key[0], int(r.volume), int(r.sequence), r.chunk_type, int(r.time_ms), None, None, 0, False, r.chunk_type == "End", True))
-            continue
-        interval = None if time_ms is None or pd.isna(time_ms) else int(r.time_ms) - int(time_ms)
-        own = samples.setdefault(r.chunk_type, [])
-        if interval is not None:
-            own.append(interval)
-            del own[:-WINDOW]
-        gap = sequence is not None and volume == r.volume and r.sequence != sequence + 1
-        average = sum(own) // len(own) if own else None
-        out.append((key[0], int(r.volume), int(r.sequence), r.chunk_type, int(r.time_ms), interval, average, len(own), bool(gap), r.chunk_type == "End", False))
-        volume, sequence, time_ms = int(r.volume), int(r.sequence), int(r.time_ms)
-    state.update((volume, sequence, time_ms, json.dumps(samples)))
-    columns = ["site", "volume", "sequence", "chunk_type", "time_ms", "interval_ms", "average_ms", "n_samples", "gap", "volume_done", "late"]
-    yield pd.DataFrame(out, columns=columns).astype({"interval_ms": "Int64", "average_ms": "Int64"})
-
-
-def track(chunks: DataFrame) -> DataFrame:
-    """chunks(site, volume, sequence, chunk_type, time_ms) with intervals, their running mean per kind, gaps and ends of volumes."""
-    ship(chunks.sparkSession)
-    return chunks.groupBy("site").applyInPandasWithState(_update, STATE, _KEPT, "append", "NoTimeout")
-
-
 def session_windows(chunks: DataFrame, delay: str = "10 minutes", gap: str = "5 minutes") -> DataFrame:
     """Chunks per site in sessions of activity; late ones count within the delay."""
     marked = chunks.withWatermark("upload_time", delay)
@@ -87,12 +45,11 @@ def assemble(chunks: DataFrame) -> DataFrame:
     once = chunks.groupBy("site", "volume", "sequence").agg(F.min("data").alias("data"), F.max(kind).alias("kind"))
     whole = once.groupBy("site", "volume").agg(
         F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count(F.lit(1)).alias("n_chunks"), F.max_by("kind", "sequence").alias("last_kind"),
-        F.array_sort(F.collect_list(F.struct("sequence", "data"))).alias("parts"),
+        F.expr("listagg(data) within group (order by sequence)").alias("content"), F.collect_list("sequence").alias("have"),
     ).where(F.col("first") == 1)
-    content = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
-    missing = F.array_except(F.sequence(F.lit(1), F.col("last").cast("int")), F.transform("parts", lambda p: p["sequence"].cast("int")))
+    missing = F.array_sort(F.array_except(F.sequence(F.lit(1), F.col("last").cast("int")), F.col("have").cast("array<int>")))
     complete = (F.size(missing) == 0) & F.coalesce(F.col("last_kind") == "End", F.lit(False))
-    return whole.select(F.concat_ws("-", "site", "volume").alias("volume_id"), content.alias("content"), "n_chunks", missing.alias("missing"), complete.alias("complete"))
+    return whole.select(F.concat_ws("-", "site", "volume").alias("volume_id"), "content", "n_chunks", missing.alias("missing"), complete.alias("complete"))
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):

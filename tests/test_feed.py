@@ -138,27 +138,6 @@ def test_assembly_keeps_what_came(spark):
     assert {(r.volume_id, r.n, r.sweeps) for r in radials} == {("K-1", 24, 2), ("K-2", 8, 2)}
 
 
-def test_late_chunks_do_not_move_the_state():
-    import pandas as pd
-
-    class State:
-        exists, value = False, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.exists, self.value = True, value
-
-    state = State()
-    frame = lambda *rows: pd.DataFrame(rows, columns=["volume", "sequence", "chunk_type", "time_ms"])
-    first = pd.concat(chunk_stream._update(("K",), iter([frame((1, 1, "Start", 1000), (1, 3, "Intermediate", 3000))]), state))
-    second = pd.concat(chunk_stream._update(("K",), iter([frame((1, 2, "Intermediate", 2000), (1, 4, "Intermediate", 4000))]), state))
-    assert list(first.gap) == [False, True] and list(second.late) == [True, False] and list(second.interval_ms.dropna()) == [1000]
-    assert state.value[:3] == (1, 4, 4000)
-
-
 def test_adaptation_document():
     places = [(at, struct.calcsize(">" + kind)) for _, kind, at in L.ADAPTATION_FIELDS] + [(at, 4) for _, _, offsets in L.ADAPTATION_LISTS for at in offsets]
     places.sort()

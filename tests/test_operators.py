@@ -161,23 +161,3 @@ def test_build_numbers(spark):
     got = spark.createDataFrame([(1900,), (190,), (2110,), (113,), (0,)], "raw int").select(wire.build_number(F.col("raw"))).collect()
     assert [r[0] for r in got] == [19.0, 19.0, 21.0, 11.3, 0.0]
 
-
-def test_stream_restarts_where_it_stopped(spark, tmp_path):
-    from squall.streaming import chunk_stream
-
-    schema = "site string, volume int, sequence int, chunk_type string, time_ms long"
-
-    def add(name, rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-
-    def run(k):
-        s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        q = chunk_stream.track(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out")).orderBy("sequence").collect()
-
-    add("a", [("KTLX", 1, 1, "Start", 1000), ("KTLX", 1, 2, "Intermediate", 5000)])
-    assert [r.interval_ms for r in run(1)] == [None, 4000]
-    add("b", [("KTLX", 1, 4, "End", 9000)])
-    last = run(2)[-1]
-    assert last.interval_ms == 4000 and last.gap and last.volume_done
