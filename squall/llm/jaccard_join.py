@@ -8,9 +8,12 @@
    the prefix.  Large sets scan the inverted lists of the prefix shingles of all sets of
    fitting size.  The boundary is the size at which both ways together cost least: subsets of
    the smaller sets, against the rows of the lists that the larger sets would read.
-4. Nodes that share too few keys with others go; the others' clusters are joined in tasks of
-   bounded bytes: a node scans the lists of its task, shared prefix shingles are counted, and a
-   pair with enough of them, of fitting size and not connected yet, is verified on full sets.
+4. Nodes that share too few keys with others go.  The others' full sets are fetched, and their
+   prefixes made anew in a second order, in which all shingles that prefixes shared come last: what
+   only shares passages goes too.
+5. Clusters of nodes that share keys are joined in tasks of bounded bytes: a node scans the lists
+   of its task, shared prefix shingles are counted, and a pair with enough of them, of fitting
+   size and not connected yet, is verified on full sets.
 
 No pairs of a group are made as rows.  In a cluster larger than a task some hubs are compared
 with all nodes first; then nodes outside the largest connected part meet the others in blocks of
@@ -33,22 +36,23 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.llm import bloom
 from squall.llm.common import columns, map_texts, ready, shared_dir, table, written
 from squall.llm.graph import components
-from squall.llm.near_dedup import _with_sets
+from squall.llm.near_dedup import _gather
 
 PERCENT = 85
 WIDTH = 4
 SUBSET = 2
 #: Bytes of sets that a task compares, at most about.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 8 << 20
 HUB_ROUNDS = 2
 #: Counters of the rarity table, and how many of them travel as one row.
 COUNTERS, SEGMENT = 1 << 24, 1 << 16
+#: Tasks whose tables are added up first.
 FAN = 64
 
 
@@ -59,7 +63,12 @@ def least_overlap(size, percent: int):
 
 def depth(size):
     """Shingles that prefixes share at least: two, or more for larger sets."""
-    return np.clip(size // 16, SUBSET, 8)
+    return np.clip(size // 16, SUBSET, 32)
+
+
+def shared_least(size, percent: int):
+    """Prefix shingles that a set of this size shares at least with any set that it links with."""
+    return np.minimum(depth(least_overlap(size, percent)), size)
 
 
 def prefix_length(size, percent: int):
@@ -111,7 +120,7 @@ class Rarity:
 
 def rarity(docs: DataFrame, width: int) -> Rarity:
     """Counts of all documents' shingles: summed by the executors; the driver gets a byte a counter."""
-    parts = docs.select("text").mapInArrow(_count(width), "segment int, counts binary").withColumn("part", F.spark_partition_id() % FAN)
+    parts = docs.select("text").mapInArrow(_count(width), "segment int, counts binary").withColumn("part", F.floor(F.spark_partition_id() / FAN))
     parts = parts.groupBy("segment", "part").applyInArrow(_sum, "segment int, counts binary, total long")
     rows = parts.groupBy("segment").applyInArrow(_sum, "segment int, counts binary, total long").checkpoint()
     mean = (rows.agg(F.sum("total")).first()[0] or 0) / COUNTERS
@@ -132,6 +141,20 @@ def rarity(docs: DataFrame, width: int) -> Rarity:
 SIGNED = "doc_id long, n long, k1 long, k2 long, tokens array<long>, scan double"
 
 
+def _key(width: int):
+    """Without prefixes: (doc_id, n, k1, k2)."""
+
+    def run(batch):
+        from squall.llm.shingles import Sets
+
+        ids, texts = columns(batch, "doc_id", "text")
+        sets = Sets(texts, width)
+        k1, k2 = sets.keys()
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets.sizes()), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+
+    return run
+
+
 def _sign(width: int, percent: int, order):
     def run(batch):
         from squall.llm.jaccard_join import prefix_length
@@ -155,6 +178,26 @@ def _sign(width: int, percent: int, order):
     return run
 
 
+def _prefixes(percent: int, order, common):
+    """(node, n, tokens): prefixes of known sets, with the shingles that the filter knows behind all others."""
+
+    def run(batches):
+        from squall.llm.jaccard_join import prefix_length
+        from squall.llm.textcore import mix
+
+        for batch in batches:
+            nodes, blobs = columns(batch, "node", "shingles")
+            n, tokens = [], []
+            for blob in blobs:
+                h = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+                place = np.lexsort((mix(h), order.value.of(h), common.value.has(h)))
+                n.append(len(h))
+                tokens.append(h[place[: prefix_length(np.int64(len(h)), percent)]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "n", "tokens"])
+
+    return run
+
+
 def size_class(size):
     """Sizes up to 64 by themselves, larger ones by eighths of a doubling: a few hundred classes at most."""
     return F.when(size <= 64, size).otherwise(64 + F.floor(8 * F.log2(size / 64.0))).cast("int")
@@ -176,10 +219,10 @@ def boundary(nodes: DataFrame, percent: int) -> int:
 
 
 def _keys(small: int, percent: int, shared=None):
-    """(key, node, probe) of subsets and list rows; with a filter of shared keys only those of nodes that share enough of them."""
+    """KEYED; with a filter of shared keys only those of nodes that share enough of them."""
 
     def run(batches):
-        from squall.llm.jaccard_join import depth, least_overlap
+        from squall.llm.jaccard_join import least_overlap, shared_least
         from squall.llm.textcore import mix
 
         for batch in batches:
@@ -194,7 +237,7 @@ def _keys(small: int, percent: int, shared=None):
                 own = np.sort(flat[at[some][:, None] + np.arange(size)], axis=1)
                 keys.append(mix(own[:, i] * np.uint64(0x100000001B3) ^ mix(own[:, j])).ravel())
                 rows.append(np.repeat(some, len(i)))
-                probes.append(np.ones(len(rows[-1]), dtype=np.int32))
+                probes.append(np.full(len(rows[-1]), SUBSETS, dtype=np.int32))
             if shared is not None and keys:
                 hit = shared.value.has(np.concatenate(keys))
                 keys, rows, probes = [np.concatenate(keys)[hit]], [np.concatenate(rows)[hit]], [np.concatenate(probes)[hit]]
@@ -204,16 +247,44 @@ def _keys(small: int, percent: int, shared=None):
             if shared is not None:
                 hit = shared.value.has(key)
                 row, key = row[hit], key[hit]
-                enough = np.bincount(row, minlength=len(n)) >= np.minimum(depth(least_overlap(n, percent)), p)
+                enough = np.bincount(row, minlength=len(n)) >= shared_least(n, percent)
                 row, key = row[enough[row]], key[enough[row]]
             keys, rows = np.concatenate([*keys, key]), np.concatenate([*rows, row]).astype(np.int64)
-            probe = np.concatenate([*probes, (n[row] > small).astype(np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[rows]), pa.array(probe)], ["key", "node", "probe"])
+            kind = np.concatenate([*probes, np.where(n[row] > small, PROBES, POSTED).astype(np.int32)])
+            least = shared_least(n, percent).astype(np.int32)[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[rows]), pa.array(kind), pa.array(least)], ["key", "node", "kind", "least"])
 
     return run
 
 
-KEYED = "key long, node long, probe int"
+#: Kinds of keys: list rows of small and of large sets, and subsets.
+POSTED, PROBES, SUBSETS = 0, 1, 2
+KEYED = "key long, node long, kind int, least int"
+
+
+def _cold(keyed: DataFrame) -> DataFrame:
+    """(key, node, kind) of keyed, without the longest lists of each node.
+
+    Two linked sets share at least ``least`` list keys.  Where each leaves out its least - 1 longest
+    lists (of equal ones, by key), the shortest list that both stand in stays with both.
+    """
+    lists = keyed.groupBy(F.col("key").alias("lk")).agg(F.count(F.lit(1)).alias("rows"), F.max("kind").alias("most")).where((F.col("rows") > 1) & (F.col("most") >= PROBES))
+    known = keyed.join(lists, F.col("key") == F.col("lk"))
+    subset = F.col("kind") == SUBSETS
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy(subset, F.desc("rows"), "key"))
+    known = known.withColumn("place", place).withColumn("held", F.count(F.when(~subset, 1)).over(own))
+    kept = known.where(subset | ((F.col("held") >= F.col("least")) & (F.col("place") >= F.col("least"))))
+    return kept.select("key", "node", "kind")
+
+
+def _candidates(own: DataFrame, small: int, percent: int):
+    """own(node, n, tokens) -> (key, node, kind) of the nodes that may link, and a filter of the keys that nodes share."""
+    spark = own.sparkSession
+    rows = own.mapInArrow(_keys(small, percent), KEYED).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("kind").alias("kind"))
+    shared, seen = written(rows.where((F.col("rows") > 1) & (F.col("kind") >= PROBES)).select("key"))
+    common = spark.sparkContext.broadcast(bloom.build(shared, seen["n"]))
+    return _cold(own.mapInArrow(_keys(small, percent, common), KEYED).checkpoint()).checkpoint(), common
 
 
 # ---- comparison ----------------------------------------------------------------
@@ -319,28 +390,40 @@ def _block_tasks(whole: DataFrame, percent: int, hubs=None) -> DataFrame:
     return _links(both[0].unionByName(both[1]), percent)
 
 
-def _cluster_links(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, percent: int, width: int, task_bytes: int) -> DataFrame:
-    """(node, label) of all nodes that are linked; keyed: (key, node, probe)."""
-    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("probe") == 1, F.col("node"))).alias("hub")).where("rows > 1 and hub is not null").select(F.col("key").alias("hk"), "hub")
+def _with_sets(docs: DataFrame, members: DataFrame, n: int, width: int, again: bool) -> DataFrame:
+    """n members with the shingles of their texts: only rows that may be members leave their place.  again: some rows come more than once."""
+    known = docs.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("doc_id")), n))
+    hashed = docs.where(F.col("doc_id").isNotNull()).withColumn("hash", F.xxhash64("doc_id"))
+    sets = map_texts(hashed, _gather(width, known), "g0 long, g1 long, g2 long, shingles binary")
+    same = (F.col("g0") == F.col("doc_id")) & (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2"))
+    joined = sets.join(members, same).drop("g0", "g1", "g2")
+    return (joined.dropDuplicates(["node"]) if again else joined).select("node", "shingles")
+
+
+def _cluster_links(sets: DataFrame, own: DataFrame, keyed: DataFrame, percent: int, task_bytes: int) -> DataFrame:
+    """(node, label) of all nodes that are linked; sets: (node, shingles), own: (node, n, tokens), keyed: (key, node, kind)."""
+    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("kind") >= PROBES, F.col("node"))).alias("hub")).where("rows > 1 and hub is not null").select(F.col("key").alias("hk"), "hub")
     stars = keyed.join(hubs, F.col("key") == F.col("hk")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = components(stars).select(F.col("node").alias("cn"), F.col("label").alias("cluster"))
-    members = nodes.select("node", "doc_id", "k1", "k2", "n", "tokens").join(clusters, F.col("node") == F.col("cn")).drop("cn")
+    members = own.join(clusters, F.col("node") == F.col("cn")).drop("cn")
     sizes = members.groupBy(F.col("cluster").alias("sc")).agg(F.sum(8 * F.col("n")).alias("size")).where(F.col("size") > task_bytes)
     members, seen = written(members.join(sizes, F.col("cluster") == F.col("sc"), "left").drop("sc"), large=F.count("size"))
-    members = _with_sets(docs, members, seen["n"], width).withColumn("label", F.col("node")).withColumn("bytes", 8 * F.col("n"))
-    links = _links(_tasks(members.where("size is null"), (F.col("cluster"), F.lit(0), F.lit(0)), 2), percent)
+    full = members.join(sets.select(F.col("node").alias("sn"), "shingles"), F.col("node") == F.col("sn")).drop("sn").withColumn("label", F.col("node")).withColumn("bytes", 8 * F.col("n"))
+    links = _links(_tasks(full.where("size is null"), (F.col("cluster"), F.lit(0), F.lit(0)), 2), percent)
     if not seen.get("large"):
         return components(links)
+    links = links.checkpoint()
+    large, found = full.where("size is not null").checkpoint(), None
     half = max(1, task_bytes // 2)
-    large, found = members.where("size is not null"), None
+    plain = large
     for k in range(HUB_ROUNDS):
         groups = _outside(large, "cluster", half)
         whole = large.join(groups, F.col("cluster") == F.col("gc"))
         chosen = F.pmod(F.xxhash64(F.lit(10 + k), "node"), F.ceil(F.col("outside") / half)) == 0
         new = _block_tasks(whole, percent, chosen)
         found = (new if found is None else found.unionByName(new)).checkpoint()
-        labels = components(found).select(F.col("node").alias("fn"), F.col("label").alias("found"))
-        large = large.join(labels, F.col("node") == F.col("fn"), "left").withColumn("label", F.coalesce("found", "label")).drop("fn", "found").checkpoint()
+        labels = components(found).select(F.col("node").alias("fn"), F.col("label").alias("found")).checkpoint()
+        large = plain.join(labels, F.col("node") == F.col("fn"), "left").withColumn("label", F.coalesce("found", "label")).drop("fn", "found")
     links = links.unionByName(found)
     by_cluster, seen = written(_outside(large, "cluster", half))
     if not seen["n"]:
@@ -361,17 +444,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(rarity(docs, width))
-    signed = map_texts(docs, _sign(width, percent, order), SIGNED).checkpoint()
-    linkable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    linkable = map_texts(docs.where(F.col("doc_id").isNotNull()), _sign(width, percent, order), SIGNED).where("n > 0")
     nodes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("scan").alias("scan"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    signed = map_texts(docs, _key(width), "doc_id long, n long, k1 long, k2 long").checkpoint()
+    again = not signed.where("n > 0").groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty()
     small = boundary(nodes, percent) if small is None else small
-    own = nodes.select("node", "n", "tokens")
-    shared = own.mapInArrow(_keys(small, percent), KEYED).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("probe").alias("probe")).where("rows > 1 and probe = 1").select("key")
-    shared, seen = written(shared)
-    filter_ = spark.sparkContext.broadcast(bloom.build(shared, seen["n"]))
-    keyed = own.mapInArrow(_keys(small, percent, filter_), KEYED).checkpoint()
-    joined = _cluster_links(docs, nodes, keyed, percent, width, task_bytes).select(F.col("node").alias("jn"), "label")
+    keyed, common = _candidates(nodes.select("node", "n", "tokens"), small, percent)
+    left = keyed.select(F.col("node").alias("cn")).distinct()
+    members, seen = written(nodes.select("node", "doc_id", "k1", "k2").join(left, F.col("node") == F.col("cn")).drop("cn"))
+    sets = _with_sets(docs, members, seen["n"], width, again).checkpoint()
+    own = sets.mapInArrow(_prefixes(percent, order, common), "node long, n long, tokens array<long>").checkpoint()
+    keyed, _ = _candidates(own, small, percent)
+    joined = _cluster_links(sets, own, keyed, percent, task_bytes).select(F.col("node").alias("jn"), "label")
     named = nodes.select("node", "k1", "k2", "doc_id").join(joined, F.col("node") == F.col("jn"), "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy(F.col("label").alias("ll")).agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, F.col("label") == F.col("ll")).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "component_id")
