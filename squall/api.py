@@ -19,7 +19,7 @@ from squall.functions.timing import DOWNLOAD_RETRY
 from squall.operators import fields
 from squall.operators.fields import MissingData
 from squall.shipping import ship
-from squall.sources import archive, listing, stations
+from squall.sources import archive, listing, objects, stations
 from squall.streaming import chunk_stream, feed, site_state
 
 # ---- volumes ----
@@ -152,40 +152,13 @@ def with_retries(work: Callable, policy: dict = DOWNLOAD_RETRY, sleep: Callable[
 
 
 def save_bytes(df: DataFrame, name: str, data: str, folder: str) -> int:
-    """Each row's bytes as a file of its own in a folder of any store, written by the executors; returns how many.
-
-    The driver writes, row by row, where only Spark's own file systems reach the store.
-    """
-    rows = df.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data"))
-    if not any(folder.startswith(x) for x in ("/", "file:", "hdfs:", "s3:", "gs:")):
-        return _save_by_driver(rows, folder)
-
-    def write(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base)
-        for batch in batches:
-            for one, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with store.open_output_stream(f"{base}/{one}") as out:
-                    out.write(content.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return ship(df.sparkSession) and rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
-
-
-def _save_by_driver(rows: DataFrame, folder: str) -> int:
-    context = rows.sparkSession.sparkContext
-    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
-    count = 0
-    for row in rows.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(folder, row[0])
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row[1]))
-        out.close()
-        count += 1
-    return count
+    """Each row's bytes as a file of its own in a folder of any store that executors reach; returns how many.  All appear together, or none."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(data).alias("data")).observe(seen, F.count(F.lit(1)).alias("n"))
+    objects.save(rows, folder)
+    return seen.get.get("n", 0)
 
 
 def save_records(volumes: DataFrame, folder: str, opened: bool = True) -> int:
@@ -197,6 +170,6 @@ def save_records(volumes: DataFrame, folder: str, opened: bool = True) -> int:
 
 def save_messages(messages: DataFrame, folder: str) -> int:
     """Every message's payload as a file volume-record-number-type; returns how many."""
-    joined = F.unhex(F.array_join(F.transform("payloads", lambda p: F.hex(p)), ""))
+    joined = archive.whole_payload(F.col("payloads"))
     named = messages.withColumn("_name", F.format_string("%s-%04d-%06d-%d", "volume_id", "record_idx", "message_idx", "message_type")).withColumn("_data", joined)
     return save_bytes(named, "_name", "_data", folder)

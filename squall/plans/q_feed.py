@@ -16,9 +16,9 @@ from squall.operators import fields as FL
 from squall.plans import adapters as A
 from squall.plans import q_wire as W
 from squall.plans.adapters import CHUNKS, GATES, WORDS, R
-from squall.sources import archive, listing
+from squall.sources import archive, chunk_source, listing, objects
 from squall.sources import layouts as L
-from squall.streaming import chunk_stream, feed
+from squall.streaming import chunk_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,19 +34,29 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
+def _volume_files(s, d):
+    """volume_id, k, name, content: the synthetic volumes by number, with an archive name that has the number as its time of day."""
+    own = F.split("volume_id", "-")
+    v = W.volumes(s, d).withColumn("k", (own[1].cast("long") * 2 + F.substring(own[0], 2, 1).cast("long")).cast("int"))
+    time = F.date_format(F.timestamp_seconds(F.lit(1704153600) + F.col("k") % 86_400), "HHmmss")
+    return v.select("volume_id", "k", F.concat(F.lit("KTLX20240102_"), time, F.lit("_V06")).alias("name"), "content")
+
+
 def _files(s, d) -> str:
     """The synthetic volumes as files yyyy/mm/dd/SITE/name under a new folder."""
     root = W._scratch(s)
-    v = W.volumes(s, d).withColumn("name", F.concat(F.lit("KTLX20240102_00000"), F.substring("volume_id", 2, 1), F.lit("_V06")))
-    api.save_bytes(v, "name", "content", f"{root}/2024/01/02/KTLX")
+    api.save_bytes(_volume_files(s, d), "name", "content", f"{root}/2024/01/02/KTLX")
     return root
 
 
-_PER_SWEEP = """select k::int k, sweep_idx, n_radials from (select label % 2 k, (dense_rank() over (partition by label % 2 order by label) - 1)::int sweep_idx, count(*) n_radials from embeddings group by label)"""
+_K = f"(vec_id // {W.BLOCK} * 2 + label % 2)::int"
+_PER_SWEEP = f"select k, (dense_rank() over (partition by k order by label) - 1)::int sweep_idx, count(*) n_radials from (select {_K} k, label from embeddings) group by k, label"
+_NAME = "'KTLX20240102_' || strftime(timestamp '2024-01-02 00:00:00' + to_seconds(k), '%H%M%S') || '_V06'"
 
 
 def _per_sweep(radials):
-    return radials.groupBy(F.substring("volume_id", 19, 1).cast("int").alias("k"), "sweep_idx").agg(F.count(F.lit(1)).alias("n_radials"))
+    time = names.archive_time(F.col("volume_id"))
+    return radials.groupBy((F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).alias("k"), "sweep_idx").agg(F.count(F.lit(1)).alias("n_radials"))
 
 
 @add("a02_load_file", _PER_SWEEP)
@@ -60,26 +70,35 @@ def a03(s, d):
     return _per_sweep(api.download(s, _files(s, d), "KTLX20240102_000001_V06"))
 
 
-@add("a09_download_object", "select 'v' || k name, true is_same, true has_time from (values (0), (1)) t(k) union all select 'none', false, false")
+@add("a09_download_object", f"select {_NAME} as name, true is_same, true has_time, null as error from (select distinct {_K} k from embeddings) union all select 'none', null, false, 'not found'")
 def a09(s, d):
-    """Objects read back byte by byte; one that isn't there."""
-    root, want = _files(s, d), {r["volume_id"]: bytes(r["content"]) for r in W.volumes(s, d).collect()}  # two rows
-    out = []
-    for k in (0, 1):
-        data, modified = api.download_object(s, f"{root}/2024/01/02/KTLX/KTLX20240102_00000{k}_V06")
-        out.append((f"v{k}", data == want[f"v{k}"], modified > 0))
-    try:
-        api.download_object(s, f"{root}/none")
-    except listing.ObjectNotFound:
-        out.append(("none", False, False))
-    return s.createDataFrame(out, "name string, is_same boolean, has_time boolean")
-
-
-@add("a17_list_folder", "select 'KTLX20240102_00000' || k || '_V06' as name, true has_size from (values (0), (1)) t(k)")
+    """Objects read by the executors and held against what was written; one that isn't there is a row with its error."""
+    root = _files(s, d)
+    want = _volume_files(s, d).select("name", F.sha2("content", 256).alias("want"))
+    paths = want.select("name").unionByName(s.createDataFrame([("none",)], "name string")).withColumn("path", F.concat(F.lit(f"{root}/2024/01/02/KTLX/"), "name"))
+    got = objects.fetch(paths).join(want.withColumnRenamed("name", "w"), F.col("name") == F.col("w"), "left")
+    return got.select("name", (F.sha2("data", 256) == F.col("want")).alias("is_same"), F.col("modified_ms").isNotNull().alias("has_time"), "error")
+
+
+@add("a17_list_folder", f"select {_NAME} as name, true has_size from (select distinct {_K} k from embeddings)")
 def a17(s, d):
     return listing.list_folder(s, _files(s, d)).select("name", (F.col("size") > 0).alias("has_size"))
 
 
+_DAYS = f"(select 'K' || lpad((k % 7)::varchar, 3, 'A') site, strftime(date '2024-01-01' + (k % 40)::int, '%Y-%m-%d') as day, {_NAME} as name from (select distinct {_K} k from embeddings))"
+
+
+@add("a08_objects_by_filter", f"select site, day, name from {_DAYS} where site in ('KAA1', 'KAA4') and day >= '2024-01-02' and day < '2024-02-05'")
+def a08(s, d):
+    """An archive of many sites and days as a data source: only the folders that the filters leave are listed."""
+    root = W._scratch(s)
+    v = _volume_files(s, d).withColumn("site", F.concat(F.lit("K"), F.lpad((F.col("k") % 7).cast("string"), 3, "A")))
+    v = v.withColumn("day", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("k") % 40), "yyyy/MM/dd"))
+    objects.save_under(v.select(F.concat_ws("/", "day", "site").alias("folder"), "name", F.col("content").alias("data")), root)
+    found = objects.objects(s, root).where("site in ('KAA1', 'KAA4') and day >= '2024-01-02' and day < '2024-02-05'")
+    return found.select("site", "day", "name")
+
+
 @add("a18_cached_volume", f"select * from ({_PER_SWEEP}) where k = 0")
 def a18(s, d):
     """Copied into a cache, read from there; the second call finds it."""
@@ -91,7 +110,7 @@ def a18(s, d):
 # ---- records ----
 
 
-@add("b02_record_sizes", "select 'v' || (label % 2) volume_id, count(distinct label) + 1 n_records, true in_order from embeddings group by 1")
+@add("b02_record_sizes", f"select {W.VOLUME} volume_id, count(distinct label) + 1 n_records, true in_order from embeddings group by 1")
 def b02(s, d):
     """Every compressed record begins where the one before it ends."""
     r = archive.split_volumes(W.volumes(s, d))
@@ -118,13 +137,13 @@ def b04(s, d):
     return per.join(b, F.col("volume_id") == F.col("v")).select(F.col("volume_id").cast("long").alias("key"), "n_records", "n_bytes", "j.rda_status", "j.build_number")
 
 
-@add("b05_opened_records", "select 'v' || (label % 2) volume_id, 0 n_compressed, count(distinct label) + 1 n_records, true has_bytes from embeddings group by 1")
+@add("b05_opened_records", f"select {W.VOLUME} volume_id, 0 n_compressed, count(distinct label) + 1 n_records, true has_bytes from embeddings group by 1")
 def b05(s, d):
     r = archive.open_records(archive.split_volumes(W.volumes(s, d)))
     return r.groupBy("volume_id").agg(F.count(F.when(F.col("compressed"), 1)).cast("int").alias("n_compressed"), F.count(F.lit(1)).alias("n_records"), (F.min("size") >= L.FRAME_BYTES).alias("has_bytes"))
 
 
-@add("b06_broken_records", "select 'v' || (label % 2) volume_id, count(distinct label) + 1 n_corrupt from embeddings group by 1")
+@add("b06_broken_records", f"select {W.VOLUME} volume_id, count(distinct label) + 1 n_corrupt from embeddings group by 1")
 def b06(s, d):
     """Records marked as compressed that are not, each with its error."""
     r = archive.open_records(archive.split_volumes(W.volumes(s, d))).withColumn("compressed", F.lit(True))
@@ -238,7 +257,7 @@ def k12(s, d):
 # ---- sinks ----
 
 
-@add("l01_save_records", "select count(distinct label) + 2 n_written, count(distinct label) + 2 n_read, true has_bytes from embeddings")
+@add("l01_save_records", f"select sum(n)::bigint n_written, sum(n)::bigint n_read, true has_bytes from (select count(distinct label) + 1 n from embeddings group by {W.VOLUME})")
 def l01(s, d):
     """Records as files, opened, written by the executors and listed again."""
     folder = W._scratch(s)
@@ -246,7 +265,7 @@ def l01(s, d):
     return listing.list_folder(s, folder).agg(F.lit(n).alias("n_written"), F.count(F.lit(1)).alias("n_read"), (F.min("size") >= L.FRAME_BYTES).alias("has_bytes"))
 
 
-@add("l02_save_messages", "select message_type, n, n n_radials from (select '31' message_type, count(*) n from embeddings union all values ('2', 2), ('5', 2)) t")
+@add("l02_save_messages", f"select message_type, n, n n_radials from (select '31' message_type, count(*) n from embeddings union all select m, count(*) from {W.EVERY_VOLUME}, (values ('2'), ('5')) t(m) group by m) t")
 def l02(s, d):
     folder = W._scratch(s)
     api.save_messages(archive.decode_records(archive.split_volumes(W.volumes(s, d))), folder)
@@ -290,52 +309,61 @@ def m03(s, d):
     return CH.next_chunks(now, CH.chunk_map(cuts)).drop("volume_id", "chunk_type")
 
 
-@add("m04_chunk_iterator", "select k::int as step, k::int + 1 as \"sequence\", case when k = 0 then 'S' else 'I' end letter, k > 0 waits, (18 - k)::int n_remaining from range(5) t(k) union all select 5, null, null, true, 14")
+def _chunk_files(s, d, rows, root: str) -> None:
+    """Chunks of ``W._feed`` as files root/SITE/7/name."""
+    letter = F.substring("chunk_type", 1, 1)
+    name = F.concat(F.lit("20240102-000000-"), F.lpad(F.col("sequence").cast("string"), 3, "0"), F.lit("-"), letter)
+    objects.save_under(rows.dropDuplicates(["site", "sequence"]).select(F.concat(F.col("site"), F.lit("/7")).alias("folder"), name.alias("name"), "data"), root)
+
+
+_KINDS = f"(select volume_id site, count(distinct label) + 1 - lost::int n, lost, max(r) + 1 last from (select *, k = 1 and max(r) over (partition by volume_id) >= 3 lost from {W._PARTS}) group by volume_id, lost)"
+
+
+@add("m01_source_stream", f"""select site, 7 volume, n n_chunks, n n_distinct, 1 first_sequence, case when lost and last = 4 then 3 else last end::int last_sequence, true is_whole from {_KINDS}""")
+def m01s(s, d):
+    """Every site's chunks followed through the data source, over two runs: half of them are there for the first, the rest come before the second."""
+    root, c = W._scratch(s), W._feed(s, d)
+    for run in (0, 1):
+        _chunk_files(s, d, c.where(F.col("sequence") % 2 == run), f"{root}/chunks")
+        stream = chunk_source.chunk_stream(s, f"{root}/chunks", "earliest")
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    got = s.read.parquet(f"{root}/out")
+    want = c.dropDuplicates(["site", "sequence"]).select(F.col("site").alias("s"), F.col("sequence").alias("q"), F.sha2("data", 256).alias("want"))
+    got = got.join(want, (F.col("site") == F.col("s")) & (F.col("sequence") == F.col("q")), "left")
+    whole = F.coalesce(F.min(F.sha2("data", 256) == F.col("want")), F.lit(False))
+    return got.groupBy("site", "volume").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("sequence").alias("n_distinct"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), whole.alias("is_whole"))
+
+
+@add("m04_chunk_iterator", f"select site, 2::bigint n_joined, n - 2 n_after, n n_distinct from {_KINDS}")
 def m04(s, d):
-    """A feed of chunk files that ends in the midst of a volume: joined at its start chunk, then chunk after chunk, then none."""
-    v = archive.split_volumes(W.volumes(s, d).where("volume_id = 'v0'"))
-    head = W.volumes(s, d).where("volume_id = 'v0'").select(F.substring("content", 1, L.size(L.VOLUME_HEADER)).alias("head")).first()["head"]
-    root = W._scratch(s)
-    letter = F.when(F.col("record_idx") == 0, "S").otherwise("I")
-    rows = v.where("record_idx < 5").select(F.concat(F.lit("20240102-000000-"), F.lpad((F.col("record_idx") + 1).cast("string"), 3, "0"), F.lit("-"), letter).alias("name"), F.when(F.col("record_idx") == 0, F.concat(F.lit(bytes(head)), "data")).otherwise(F.col("data")).alias("data"))
-    rows = rows.checkpoint() if s.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows
-    api.save_bytes(rows.where("name like '%-S'"), "name", "data", f"{root}/KTLX/7")
-    one, latest, first = api.follow(s, root, "KTLX")
-    out = [(0, latest.chunk.sequence, latest.chunk.letter, first is not None, len(one.remaining()))]
-    api.save_bytes(rows.where("name not like '%-S'"), "name", "data", f"{root}/KTLX/7")
-    for step in range(1, 6):
-        got = one.try_next()
-        out.append((step, got and got.chunk.sequence, got and got.chunk.letter, one.wait_ms() is not None, len(one.remaining())))
-    return s.createDataFrame(out, "step int, sequence int, letter string, waits boolean, n_remaining int")
-
-
-@add("a11_download_chunk", "select 1 as \"sequence\", 'S' letter, 'Start' kind, true has_time union all select 2, 'I', 'none', false")
+    """Every site joined at its newest chunk (with its start chunk besides), then followed: what the first run gives and what comes after."""
+    root, c = W._scratch(s), W._feed(s, d)
+    for run, there in enumerate((F.col("sequence") <= 2, F.col("sequence") > 2)):
+        _chunk_files(s, d, c.where(there), f"{root}/chunks")
+        stream = chunk_source.chunk_stream(s, f"{root}/chunks", "latest").withColumn("run", F.lit(run))
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    got = s.read.parquet(f"{root}/out")
+    return got.groupBy("site").agg(F.count(F.when(F.col("run") == 0, 1)).alias("n_joined"), F.count(F.when(F.col("run") == 1, 1)).alias("n_after"), F.countDistinct("sequence").alias("n_distinct"))
+
+
+@add("a11_download_chunk", f"select site, q::int as \"sequence\", case when lost and q = 4 or q > last then null when q = 1 then 'Start' else 'IntermediateOrEnd' end kind, case when lost and q = 4 or q > last then 'not found' end error from {_KINDS}, range(1, 12) t(q) where q <= last + 1")
 def a11(s, d):
-    """A chunk that is there, and one that isn't."""
-    root = W._scratch(s)
-    v = W.volumes(s, d).where("volume_id = 'v0'").withColumn("name", F.lit("20240102-000000-001-S"))
-    api.save_bytes(v, "name", "content", f"{root}/KTLX/7")
-    first = feed.ChunkName("KTLX", 7, "20240102-000000", 1, "S")
-    got = api.download_chunk(s, root, first)
-    out = [(1, "S", archive.chunk_kind(got.data), got.chunk.upload_ms > 0)]
-    try:
-        api.download_chunk(s, root, feed.ChunkName("KTLX", 7, "20240102-000000", 2, "I"))
-    except listing.ObjectNotFound:
-        out.append((2, "I", "none", False))
-    return s.createDataFrame(out, "sequence int, letter string, kind string, has_time boolean")
-
-
-@add("m01_chunk_files", "select 'K' site, k::int volume, 1 first_sequence, n::int last_sequence, n n_chunks from (select label % 2 k, count(distinct label) + 1 n from embeddings group by 1)")
+    """Every site's chunks by name, read by the executors; lost ones, and the one behind the last, are rows with an error."""
+    root, c = W._scratch(s), W._feed(s, d)
+    _chunk_files(s, d, c, root)
+    last = archive.split_volumes(W.volumes(s, d)).groupBy(F.col("volume_id").alias("site")).agg(F.max("record_idx").alias("m"))
+    asked = last.select("site", F.lit(7).alias("volume"), F.lit("20240102-000000").alias("prefix"), F.explode(F.sequence(F.lit(1), F.col("m") + 2)).alias("sequence"), "m")
+    letter = F.when(F.col("sequence") == 1, "S").when(F.col("sequence") == F.col("m") + 1, "E").otherwise("I")
+    got = listing.fetch_chunks(asked.withColumn("letter", letter), root)
+    return got.select("site", "sequence", "kind", "error")
+
+
+@add("m01_chunk_files", f"select site, 7 volume, 1 first_sequence, case when lost and last = 4 then 3 else last end::int last_sequence, n n_chunks from {_KINDS}")
 def m01(s, d):
     """Chunk files read as a stream."""
     root = W._scratch(s)
-    v = W.volumes(s, d)
-    r = archive.split_volumes(v).withColumn("last", F.max("record_idx").over(Window.partitionBy("volume_id")))
-    letter = F.when(F.col("record_idx") == 0, "S").when(F.col("record_idx") == F.col("last"), "E").otherwise("I")
-    r = r.withColumn("name", F.concat(F.lit("20240102-000000-"), F.lpad((F.col("record_idx") + 1).cast("string"), 3, "0"), F.lit("-"), letter))
-    for k in (0, 1):
-        api.save_bytes(r.where(F.col("volume_id") == f"v{k}"), "name", "data", f"{root}/chunks/K/{k}")
-    stream = chunk_stream.read_chunks(s, f"{root}/chunks/*/*").groupBy("site", "volume").agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.count(F.lit(1)).alias("n_chunks"))
+    _chunk_files(s, d, W._feed(s, d), f"{root}/chunks")
+    stream = chunk_stream.read_chunks(s, f"{root}/chunks").groupBy("site", "volume").agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.count(F.lit(1)).alias("n_chunks"))
     return chunk_stream.run_to_end(stream, f"files_{uuid.uuid4().hex}", f"{root}/state", "complete")
 
 

@@ -30,12 +30,18 @@ def add(name: str, sql: str | None = None):
     return keep
 
 
-# ---- synthetic volumes: two files of five tilts each, written and read back ----
+# ---- synthetic volumes: files of five tilts and at most 250 vectors, written and read back ----
+
+#: Vectors whose radials make two volumes, at most.
+BLOCK = 250
+VOLUME = f"'v' || (label % 2) || '-' || (vec_id // {BLOCK})"
+VOLUME_R = VOLUME.replace("label", "sweep_idx")
+EVERY_VOLUME = f"(select distinct {VOLUME} volume_id from embeddings)"
 
 
 def volumes(s, d):
-    """volume_id v0 and v1: a metadata record, then a record per tilt."""
-    r = A.radials(s, d).withColumn("file", F.concat(F.lit("v"), (F.col("sweep_idx") % 2).cast("string")))
+    """volume_id v0-0, v1-0, v0-1, ...: a metadata record, then a record per tilt."""
+    r = A.radials(s, d).withColumn("file", F.concat(F.lit("v"), (F.col("sweep_idx") % 2).cast("string"), F.lit("-"), F.floor(F.col("vec_id") / BLOCK).cast("string")))
 
     def build(table):
         import pyarrow as pa
@@ -60,35 +66,35 @@ def volumes(s, d):
     return r.groupBy("file").applyInArrow(build, "volume_id string, content binary")
 
 
-@add("a01_load_volume", f"""with x as (select *, dense_rank() over (partition by sweep_idx % 2 order by sweep_idx) - 1 k from {RAW})
- select 'v' || (sweep_idx % 2) volume_id, k::int sweep_idx, count(distinct az_idx) n_radials, sum(raw)::bigint sum_raw, count(*) n_gates from x group by all""")
+@add("a01_load_volume", f"""select volume_id, k::int sweep_idx, count(distinct vec_id) n_radials, sum(raw)::bigint sum_raw, count(*) n_gates from (select {VOLUME} volume_id,
+ dense_rank() over (partition by {VOLUME} order by label) - 1 k, vec_id, unnest(list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)::int)) raw from embeddings) group by all""")
 def a01(s, d):
     r = archive.scan(volumes(s, d)).select("volume_id", "sweep_idx", "ordinal", F.explode("REF.raw").alias("raw"))
     return r.groupBy("volume_id", "sweep_idx").agg(F.countDistinct("ordinal").alias("n_radials"), F.sum("raw").alias("sum_raw"), F.count(F.lit(1)).alias("n_gates"))
 
 
-@add("a16_volume_header", "select volume_id, 'AR2V0006.' tape_filename, '001' extension, 18000::bigint mjd, 5000::bigint ms, 'KTLX' icao from (values ('v0'), ('v1')) t(volume_id)")
+@add("a16_volume_header", f"select volume_id, 'AR2V0006.' tape_filename, '001' extension, 18000::bigint mjd, 5000::bigint ms, 'KTLX' icao from {EVERY_VOLUME}")
 def a16(s, d):
     return archive.volume_headers(volumes(s, d)).drop("time")
 
 
-@add("b03_split_records", "select 'v' || (label % 2) volume_id, count(distinct label) + 1 n_records, true all_compressed from embeddings group by 1")
+@add("b03_split_records", f"select {VOLUME} volume_id, count(distinct label) + 1 n_records, true all_compressed from embeddings group by 1")
 def b03(s, d):
     return archive.split_volumes(volumes(s, d)).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_records"), F.min("compressed").alias("all_compressed"))
 
 
-@add("b07_decode_messages", """select 'v' || (label % 2) volume_id, 31 message_type, count(*) n from embeddings group by 1 union all select * from (values ('v0', 2, 1), ('v0', 5, 1), ('v1', 2, 1), ('v1', 5, 1)) t""")
+@add("b07_decode_messages", f"select {VOLUME} volume_id, 31 message_type, count(*) n from embeddings group by 1 union all select volume_id, k, 1 from {EVERY_VOLUME}, (values (2), (5)) t(k)")
 def b07(s, d):
     return archive.decode_records(archive.split_volumes(volumes(s, d))).groupBy("volume_id", "message_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("b11_record_radials", f"select 'v' || (sweep_idx % 2) volume_id, elevation_number, count(*) n, min(az_idx) + 1 first_azimuth, max(az_idx) + 1 last_azimuth from {R} group by all")
+@add("b11_record_radials", f"select {VOLUME_R} volume_id, elevation_number, count(*) n, min(az_idx) + 1 first_azimuth, max(az_idx) + 1 last_azimuth from {R} group by all")
 def b11(s, d):
     r = archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d))))
     return r.groupBy("volume_id", "elevation_number").agg(F.count(F.lit(1)).alias("n"), F.min("azimuth_number").alias("first_azimuth"), F.max("azimuth_number").alias("last_azimuth"))
 
 
-@add("c01_radial_moments", f"""select 'v' || (sweep_idx % 2) volume_id, az_idx + 1 azimuth_number, elevation_number, vec_id % 2 = 1 has_phi, 64 n_gates, (18000 - 1) * 86400000::bigint + vec_id * 13 time_ms,
+@add("c01_radial_moments", f"""select {VOLUME_R} volume_id, az_idx + 1 azimuth_number, elevation_number, vec_id % 2 = 1 has_phi, 64 n_gates, (18000 - 1) * 86400000::bigint + vec_id * 13 time_ms,
  list_sum(list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)))::bigint * 100 * (vec_id % 2) sum_phi from {R}""")
 def c01(s, d):
     r = archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d))))
@@ -96,14 +102,14 @@ def c01(s, d):
     return r.select("volume_id", "azimuth_number", "elevation_number", F.col("PHI").isNotNull().alias("has_phi"), F.col("REF.gate_count").alias("n_gates"), "time_ms", total.alias("sum_phi"))
 
 
-@add("c09_status_body", "select volume_id, 16 rda_status, -212 vcp, 1900 build_number, 17 alarm, 'RDAStatusData' type_name from (values ('v0'), ('v1')) t(volume_id)")
+@add("c09_status_body", f"select volume_id, 16 rda_status, -212 vcp, 1900 build_number, 17 alarm, 'RDAStatusData' type_name from {EVERY_VOLUME}")
 def c09(s, d):
     b = archive.bodies(archive.decode_records(archive.split_volumes(volumes(s, d)))).where("message_type = 2")
     j = F.from_json("body", "rda_status int, vcp int, build_number int, alarms array<int>")
     return b.select("volume_id", j.alias("j"), "type_name").select("volume_id", "j.rda_status", "j.vcp", "j.build_number", F.col("j.alarms")[2].alias("alarm"), "type_name")
 
 
-@add("c15_pattern_body", "select volume_id, 212 pattern_number, 3 n_cuts, k cut_no, 1820 elevation_angle, 1 half_degree from (values ('v0'), ('v1')) t(volume_id), (values (0), (1), (2)) c(k)")
+@add("c15_pattern_body", f"select volume_id, 212 pattern_number, 3 n_cuts, k cut_no, 1820 elevation_angle, 1 half_degree from {EVERY_VOLUME}, (values (0), (1), (2)) c(k)")
 def c15(s, d):
     b = archive.bodies(archive.decode_records(archive.split_volumes(volumes(s, d)))).where("message_type = 5")
     j = F.from_json("body", "pattern_number int, n_cuts int, cuts array<struct<elevation_angle:int,super_resolution:int>>")
@@ -111,24 +117,24 @@ def c15(s, d):
     return b.select("volume_id", "pattern_number", "n_cuts", "cut_no", "c.elevation_angle", F.col("c.super_resolution").bitwiseAND(F.lit(1)).alias("half_degree"))
 
 
-@add("l03_trim_volume", "select 'v' || (label % 2) volume_id, (label + 1) elevation_number, count(*) n from embeddings where label in (2, 5) group by all")
+@add("l03_trim_volume", f"select {VOLUME} volume_id, (label + 1) elevation_number, count(*) n from embeddings where label in (2, 5) group by all")
 def l03(s, d):
     return archive.scan(archive.trim(volumes(s, d), {3, 6})).groupBy("volume_id", "elevation_number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("d13_retention", "select 'v' || (label % 2) volume_id, count(distinct label) + 1 n_records from embeddings where label in (2, 4, 5) group by all")
+@add("d13_retention", f"select {VOLUME} volume_id, count(distinct label) filter (label in (2, 4, 5)) + 1 n_records from embeddings group by all")
 def d13(s, d):
     return archive.split_volumes(archive.trim(volumes(s, d), {3, 5, 6})).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-@add("f15_decode_summary", "select 'v' || (label % 2) volume_id, label + 1 elevation_number, count(*) n_ref, count(*) filter (vec_id % 2 = 1) n_phi, 0::bigint n_vel from embeddings group by all")
+@add("f15_decode_summary", f"select {VOLUME} volume_id, label + 1 elevation_number, count(*) n_ref, count(*) filter (vec_id % 2 = 1) n_phi, 0::bigint n_vel from embeddings group by all")
 def f15(s, d):
     r = archive.scan(volumes(s, d))
     return r.groupBy("volume_id", "elevation_number").agg(F.count("REF").alias("n_ref"), F.count("PHI").alias("n_phi"), F.count("VEL").alias("n_vel"))
 
 
-@add("f16_record_summary", f"""select 'v' || (sweep_idx % 2) volume_id, dense_rank() over (partition by sweep_idx % 2 order by sweep_idx)::int record_idx, 'radials' as kind, n, first_elevation from
- (select sweep_idx, count(*) n, min(elevation_number) first_elevation from {R} group by all) union all select v, 0, 'metadata', 2, null from (values ('v0'), ('v1')) t(v)""")
+@add("f16_record_summary", f"""select volume_id, dense_rank() over (partition by volume_id order by sweep_idx)::int record_idx, 'radials' as kind, n, first_elevation from
+ (select {VOLUME_R} volume_id, sweep_idx, count(*) n, min(elevation_number) first_elevation from {R} group by all) union all select volume_id, 0, 'metadata', 2, null from {EVERY_VOLUME}""")
 def f16(s, d):
     m = archive.decode_records(archive.split_volumes(volumes(s, d)))
     r = archive.radials(m).withColumn("record_idx", F.floor(F.col("ordinal") / 1_000_000).cast("int")).groupBy("volume_id", "record_idx").agg(F.min_by("elevation_number", "ordinal").alias("first_elevation"))
@@ -145,7 +151,7 @@ def b01(s, d):
     return r.groupBy("volume_id", "sweep_idx").agg(F.countDistinct("ordinal").alias("n_radials"), F.sum("raw").alias("sum_raw"), F.count(F.lit(1)).alias("n_gates"))
 
 
-@add("b12_chunk_kind", "select volume_id, record_idx, case when record_idx = 0 then 'Start' else 'IntermediateOrEnd' end as kind from (select 'v' || (label % 2) volume_id, (dense_rank() over (partition by label % 2 order by label))::int record_idx from embeddings union select * from (values ('v0', 0), ('v1', 0)) t)")
+@add("b12_chunk_kind", f"select volume_id, record_idx, case when record_idx = 0 then 'Start' else 'IntermediateOrEnd' end as kind from (select {VOLUME} volume_id, (dense_rank() over (partition by {VOLUME} order by label))::int record_idx from embeddings union select volume_id, 0 from {EVERY_VOLUME})")
 def b12(s, d):
     v = volumes(s, d)
     head = v.select("volume_id", F.lit(0).alias("record_idx"), F.col("content").alias("data"))
@@ -153,7 +159,7 @@ def b12(s, d):
     return archive._rows(both, lambda r: [{"volume_id": r["volume_id"], "record_idx": r["record_idx"], "kind": archive.chunk_kind(r["data"])}], "volume_id string, record_idx int, kind string")
 
 
-@add("c03_volume_block", "select volume_id, round(35.3331::float::double, 6) latitude, round((-97.2778)::float::double, 6) longitude, 380e0 antenna_m, 212 vcp from (values ('v0'), ('v1')) t(volume_id)")
+@add("c03_volume_block", f"select volume_id, round(35.3331::float::double, 6) latitude, round((-97.2778)::float::double, 6) longitude, 380e0 antenna_m, 212 vcp from {EVERY_VOLUME}")
 def c03(s, d):
     r = archive.scan(volumes(s, d)).select("volume_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), (F.col("site_height_m") + F.col("tower_height_m")).alias("antenna_m"), "vcp")
     return r.distinct()
@@ -860,21 +866,49 @@ def m01(s, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "event_type", "n")
 
 
-@add("m07_assemble_volume", """select 'K-' || k volume_id, count(distinct label)::int + 1 - (k = 1)::int n_records, count(*) filter (k = 0 or label <> third) n_radials, (count(distinct label) + 1 - (k = 1)::int)::bigint n_chunks,
- case when k = 1 then '4' else '' end missing, k = 0 complete from (select *, label % 2 k, max(case when r = 3 then label end) over (partition by label % 2) third from (select *, dense_rank() over (partition by label % 2 order by label) r from embeddings)) group by k""")
-def m07(s, d):
-    """Volumes cut into chunks (the head with the first record, then a record each) and put together again: of volume 1 the
-    fourth chunk never comes, of volume 0 the second comes twice."""
-    from squall.streaming import chunk_stream
+_PARTS = f"""(select *, dense_rank() over (partition by volume_id order by label) r from (select {VOLUME} volume_id, label % 2 k, vec_id // {BLOCK} * 2 + label % 2 n, label from embeddings))"""
+_ASSEMBLED = f"""(select volume_id || '-1' volume_id, n, (count(distinct label) + 1 - lost::int)::int n_records, count(*) filter (not lost or r <> 3) n_radials, count(distinct label) + 1 - lost::int n_chunks,
+ case when lost and max(r) > 3 then '4' else '' end missing, not lost complete from (select *, k = 1 and max(r) over (partition by volume_id) >= 3 lost from {_PARTS}) group by volume_id, n, lost)"""
+
 
+def _feed(s, d):
+    """Volumes cut into chunks (the head with the first record, then a record each), each a site's: of odd ones the fourth chunk never comes, of others the second comes twice."""
     v = volumes(s, d)
-    records = archive.split_volumes(v).select(F.substring("volume_id", 2, 1).cast("int").alias("volume"), (F.col("record_idx") + 1).alias("sequence"), "data")
-    head = v.select(F.substring("volume_id", 2, 1).cast("int").alias("volume"), F.substring("content", 1, L.size(L.VOLUME_HEADER)).alias("head"))
-    last = records.groupBy("volume").agg(F.max("sequence").alias("end"))
+    own = F.split("volume_id", "-")
+    n = (own[1].cast("long") * 2 + F.substring(own[0], 2, 1).cast("long")).alias("n")
+    records = archive.split_volumes(v).select(F.col("volume_id").alias("site"), n, (F.col("record_idx") + 1).alias("sequence"), "data")
+    head = v.select(F.col("volume_id").alias("v"), F.substring("content", 1, L.size(L.VOLUME_HEADER)).alias("head"))
+    last = records.groupBy(F.col("site").alias("l")).agg(F.max("sequence").alias("end"))
     kind = F.when(F.col("sequence") == 1, "Start").when(F.col("sequence") == F.col("end"), "End").otherwise("Intermediate")
-    c = records.join(head, "volume").join(last, "volume").select(F.lit("K").alias("site"), "volume", "sequence", kind.alias("chunk_type"), F.when(F.col("sequence") == 1, F.concat("head", "data")).otherwise(F.col("data")).alias("data"))
-    c = c.where("not (volume = 1 and sequence = 4)")
-    whole = chunk_stream.assemble(c.unionByName(c.where("volume = 0 and sequence = 2")))
-    n = archive.split_volumes(whole).groupBy("volume_id").agg(F.count(F.lit(1)).cast("int").alias("n_records"))
+    c = records.join(head, F.col("site") == F.col("v")).join(last, F.col("site") == F.col("l"))
+    data = F.when(F.col("sequence") == 1, F.concat("head", "data")).otherwise(F.col("data"))
+    c = c.select("site", F.lit(1).alias("volume"), "sequence", kind.alias("chunk_type"), (F.col("n") * 100_000 + F.col("sequence") * 1000).alias("time_ms"), data.alias("data"))
+    odd = F.substring("site", 2, 1) == "1"
+    return c.where(~(odd & (F.col("sequence") == 4))).unionByName(c.where(~odd & (F.col("sequence") == 2)))
+
+
+def _told(whole):
+    n = archive.split_volumes(whole).groupBy(F.col("volume_id").alias("rv")).agg(F.count(F.lit(1)).cast("int").alias("n_records"))
+    r = archive.scan(whole).groupBy(F.col("volume_id").alias("sv")).agg(F.count(F.lit(1)).alias("n_radials"))
     told = whole.select("volume_id", "n_chunks", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "complete")
-    return n.join(archive.scan(whole).groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_radials")), "volume_id").join(told, "volume_id")
+    return told.join(n, F.col("volume_id") == F.col("rv")).join(r, F.col("volume_id") == F.col("sv")).select("volume_id", "n_records", "n_radials", "n_chunks", "missing", "complete")
+
+
+@add("m07_assemble_volume", f"select * exclude (n) from {_ASSEMBLED}")
+def m07(s, d):
+    """Volumes put together from a table of what has arrived."""
+    from squall.streaming import chunk_stream
+
+    return _told(chunk_stream.assemble(_feed(s, d)))
+
+
+@add("m07_stream_assembly", f"select * exclude (n) from {_ASSEMBLED}")
+def m07s(s, d):
+    """The same from a stream: complete volumes at their End chunk, others by a timer, when time has gone on."""
+    from squall.streaming import assembly, chunk_stream
+
+    folder, c = _scratch(s), _feed(s, d)
+    later = c.agg((F.max("time_ms") + 1_000_000).alias("time_ms")).select(F.lit("later").alias("site"), F.lit(1).alias("volume"), F.lit(1).alias("sequence"), F.lit("Start").alias("chunk_type"), "time_ms", F.lit(b"").alias("data"))
+    c.unionByName(later).repartition(8, F.xxhash64("sequence", "site")).write.parquet(f"{folder}/chunks")
+    stream = s.readStream.schema(c.schema).parquet(f"{folder}/chunks")
+    return _told(chunk_stream.run_to_end(assembly.assemble_stream(stream, "0 seconds", 50_000), f"assembled_{uuid.uuid4().hex}", f"{folder}/state"))

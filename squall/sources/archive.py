@@ -14,7 +14,8 @@ import json
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.functions import wire
@@ -388,8 +389,6 @@ def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     arrow = _arrow_schema(schema)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for row in batch.to_pylist():
                 made = list(work(row))
@@ -504,8 +503,6 @@ class RadialRows:
             self.gates += len(m["raw"]) if m else 0
 
     def batch(self):
-        import pyarrow as pa
-
         arrays = [pa.array(v, self.schema.field(k).type) for k, v in self.columns.items()]
         arrays += [self._moment(name, column) for name, column in self.moments.items()]
         made = pa.RecordBatch.from_arrays(arrays, schema=self.schema)
@@ -513,8 +510,6 @@ class RadialRows:
         return made
 
     def _moment(self, name: str, column: list):
-        import pyarrow as pa
-
         kind = self.schema.field(name).type
         raws = [m["raw"] if m else np.zeros(0, np.uint8) for m in column]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int32)
@@ -582,6 +577,16 @@ def bodies(messages: DataFrame) -> DataFrame:
     return out.withColumn("type_name", wire.label(F.col("message_type"), wire.MESSAGE_TYPES))
 
 
+def whole_payload(payloads: Column) -> Column:
+    """A message's segments as one."""
+
+    @F.arrow_udf("binary")
+    def joined(batch: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else b"".join(p) for p in batch.to_pylist()], pa.binary())
+
+    return joined(payloads)
+
+
 def load(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """Radials of all volumes under a path."""
     return scan(read_volumes(spark, path), mode)

@@ -76,6 +76,22 @@ def read_object(spark: SparkSession, path: str) -> tuple[bytes, int]:
         stream.close()
 
 
+def fetch_chunks(chunks: DataFrame, root: str) -> DataFrame:
+    """chunks(site, volume, prefix, sequence, letter) with what their objects hold: data, modified_ms, error (not found while one isn't there), and kind, which is an error for other content."""
+    from squall.sources import objects
+
+    number = F.lpad(F.col("sequence").cast("string"), 3, "0")
+    name = F.concat_ws("-", "prefix", number, "letter")
+    got = objects.fetch(chunks.withColumn("path", F.concat_ws("/", F.lit(root.rstrip("/")), "site", F.col("volume").cast("string"), name)))
+    return got.withColumn("kind", chunk_kind(F.col("data")))
+
+
+def chunk_kind(data: Column) -> Column:
+    """Start (a volume's head) or a record; anything else is an error."""
+    other = F.raise_error(F.lit("unrecognised chunk format")).cast("string")
+    return F.when(data.isNull(), F.lit(None)).when(F.substring(data, 1, 3) == F.lit(b"AR2"), "Start").when(F.substring(data, 5, 2) == F.lit(b"BZ"), "IntermediateOrEnd").otherwise(other)
+
+
 def object_names(spark: SparkSession, folder: str) -> list[str]:
     """Names in one folder, in order; none if there is no such folder."""
     jvm = spark.sparkContext._jvm

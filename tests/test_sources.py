@@ -175,8 +175,8 @@ def test_task_that_is_tried_again(tmp_path):
     """An attempt that dies in its midst, one that is told of twice: each file once."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"name": ["a", "b"], "data": pa.array([b"1", b"2"], pa.binary())})
-    other = pa.RecordBatch.from_pydict({"name": ["c"], "data": pa.array([b"3"], pa.binary())})
+    batch = pa.RecordBatch.from_pydict({"folder": pa.array([None, ""], pa.string()), "name": ["a", "b"], "data": pa.array([b"1", b"2"], pa.binary())})
+    other = pa.RecordBatch.from_pydict({"folder": ["x/y"], "name": ["c"], "data": pa.array([b"3"], pa.binary())})
     writer = objects.FileWriter({"path": str(tmp_path)})
 
     def dying():
@@ -189,8 +189,8 @@ def test_task_that_is_tried_again(tmp_path):
     messages = [writer.write(iter([batch])), writer.write(iter([other])), writer.write(iter([])), None]
     assert [p.name[:9] for p in tmp_path.iterdir()] == ["_staging-"]
     writer.commit(messages)
-    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"a": b"1", "b": b"2", "c": b"3"}
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {"a": b"1", "b": b"2", "x/y/c": b"3"}
     again = objects.FileWriter({"path": str(tmp_path)})
     again.write(iter([other]))
     again.abort([None])
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "c"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "x"]
