@@ -16,7 +16,7 @@ from squall.operators import fields as FL
 from squall.plans import adapters as A
 from squall.plans import q_wire as W
 from squall.plans.adapters import CHUNKS, GATES, WORDS, R
-from squall.sources import archive, chunk_source, listing, objects
+from squall.sources import archive, chunk_source, frames, listing, objects
 from squall.sources import layouts as L
 from squall.streaming import chunk_stream
 
@@ -151,19 +151,25 @@ def b06(s, d):
     return m.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_corrupt"))
 
 
-@add("b09_segmented_reads", f"select o_orderkey as key, w first_number, v last_number, 5 n_segments from {WORDS}")
+@add("b09_segmented_reads", f"select o_orderkey as key, 1 + c % 2 n_segments, (w + g * v::bigint) % 65536 as number, {L.BYPASS_RADIALS * L.BYPASS_WORDS * 2} n_bytes, sha256(repeat(chr((c + 32 + g)::int), {L.BYPASS_RADIALS * L.BYPASS_WORDS * 2})) digest from {WORDS}, range(2) t(g) where g < 1 + c % 2")
 def b09(s, d):
-    """A bypass map of five elevation segments in many frames, read across their ends."""
+    """Bypass maps of one or two elevation segments in many frames, read across the frames' ends; every row is written, cut, joined and read."""
     import struct
 
+    size = L.BYPASS_RADIALS * L.BYPASS_WORDS * 2
+
     def encode(r):
-        segments = b"".join(struct.pack(">H", (r["w"], 2, 3, 4, r["v"])[k]) + bytes(L.BYPASS_RADIALS * L.BYPASS_WORDS * 2) for k in range(5))
-        return 13, L.write(L.MAP_HEADER, {"map_date": 1, "map_minutes": 2, "n_segments": 5}) + segments
+        n = 1 + r["c"] % 2
+        segments = [struct.pack(">H", (r["w"] + g * r["v"]) % 65536) + bytes([r["c"] + 32 + g]) * size for g in range(n)]
+        return L.write(L.MAP_HEADER, {"map_date": 1, "map_minutes": 2, "n_segments": n}) + b"".join(segments)
+
+    def record(r):
+        data = archive.message_bytes(13, encode(r), 18000, r["key"])
+        yield {"volume_id": str(r["key"]), "record_idx": 0, "offset": 0, "size": len(data), "compressed": False, "data": data, "_corrupt": None}
 
-    rows = W._word_rows(s, d).where("key % 8 = 0")
-    b = W._bodies(s, rows, encode, "segments array<struct<number:int>>")
-    all_ = W._word_rows(s, d).where("key % 8 <> 0").select("key", F.col("w").alias("first_number"), F.col("v").alias("last_number"), F.lit(5).alias("n_segments"))
-    return b.select("key", F.col("segments")[0]["number"].alias("first_number"), F.col("segments")[4]["number"].alias("last_number"), F.size("segments").alias("n_segments")).unionByName(all_)
+    m = archive.decode_records(archive._rows(W._word_rows(s, d), record, archive.RECORDS))
+    got = frames.bypass_segments(m)
+    return got.select(F.col("volume_id").cast("long").alias("key"), "n_segments", "number", F.length("bits").alias("n_bytes"), F.sha2("bits", 256).alias("digest"))
 
 
 # ---- radials with all blocks ----

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from squall.functions import display, geo, names, timing, wire
 from squall.operators import chunks as CH
-from squall.operators import summaries
+from squall.operators import digests, summaries
 from squall.plans import adapters as A
 from squall.plans.adapters import ARCHIVES, CHUNKS, CUTS, MESSAGES, RAW, WORDS, R
 from squall.sources import archive, listing, stations
@@ -237,10 +237,53 @@ def c13(s, d):
     return b.select("key", *[c.alias(n) for n, c in wire.halfword_fields(F.col("halfwords"), layout).items()])
 
 
-@add("b08_reassembled_segments", f"select o_orderkey as key, 3 n_segments, 6000 n_bytes, 13 message_type from {WORDS}")
+@add("b08_reassembled_segments", f"select o_orderkey as key, 3 n_segments, 6000 n_bytes, 13 message_type, sha256(repeat(chr(c + 32), 3000) || repeat(chr(c + 33), 3000)) digest from {WORDS}")
 def b08(s, d):
-    m = _messages(s, _word_rows(s, d), lambda r: (13, bytes(6000)))
-    return m.select(F.col("volume_id").cast("long").alias("key"), "n_segments", F.aggregate("payloads", F.lit(0), lambda a, p: a + F.length(p)).alias("n_bytes"), "message_type")
+    m = _messages(s, _word_rows(s, d), lambda r: (13, bytes([r["c"] + 32]) * 3000 + bytes([r["c"] + 33]) * 3000))
+    payload = archive.whole_payload(F.col("payloads"))
+    return m.select(F.col("volume_id").cast("long").alias("key"), "n_segments", "message_type", payload.alias("p")).select("key", "n_segments", F.length("p").alias("n_bytes"), "message_type", F.sha2("p", 256).alias("digest"))
+
+
+#: Ten frames an order: orphans, restarts, repeated and missing segments, single ones in between.
+_FRAMES = f"(select o_orderkey as key, f, 1 + (o_orderkey // 3 + f * f) % 4 as cnt, 1 + (o_orderkey * 7 + f * (1 + o_orderkey % 3)) % 4 as num, (o_orderkey || '.' || f || ';') payload from {WORDS}, range(10) t(f))"
+
+
+@add("b08_relational_segments", f"""with x as (select *, sum(case when cnt <= 1 or num = 1 then 1 else 0 end) over (partition by key order by f) run from {_FRAMES}),
+ y as (select *, row_number() over (partition by key, run order by f) place, first(cnt) over (partition by key, run order by f) need from x where run > 0)
+ select key, min(f)::int first_frame, count(*)::int n_segments, sha256(string_agg(payload, '' order by f)) digest from y where place <= need group by key, run, need having count(*) = need""")
+def b08r(s, d):
+    """Frames as rows, their messages found by windows."""
+    from squall.sources import frames
+
+    k, f = F.col("key"), F.col("f")
+    rows = A.words(s, d).select(F.col("o_orderkey").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("f"))
+    rows = rows.select(
+        k.cast("string").alias("volume_id"), F.lit(0).alias("record_idx"), f.alias("frame_idx"), F.lit(False).alias("alone"), F.lit(13).alias("message_type"), F.lit(0).alias("channel"), f.alias("sequence"),
+        F.lit(1).alias("mjd"), F.lit(0).cast("long").alias("ms"), (1 + (F.floor(k / 3) + f * f) % 4).cast("int").alias("segment_count"), (1 + (k * 7 + f * (1 + k % 3)) % 4).cast("int").alias("segment_number"),
+        F.encode(F.concat(k.cast("string"), F.lit("."), f.cast("string"), F.lit(";")), "UTF-8").alias("payload"),
+    )
+    m = frames.reassemble(rows)
+    return m.select(F.col("volume_id").cast("long").alias("key"), F.col("sequence").alias("first_frame"), "n_segments", F.sha2(archive.whole_payload(F.col("payloads")), 256).alias("digest"))
+
+
+@add("b03_split_by_sql", ORACLES["b03_split_records"])
+def b03s(s, d):
+    """In SQL, by a table function."""
+    from squall.sources import frames
+
+    frames.register(s)
+    volumes(s, d).createOrReplaceTempView("squall_b03_volumes")
+    return s.sql("select v.volume_id, count(*) as n_records, min(r.compressed) as all_compressed from squall_b03_volumes v, lateral squall_records(v.content) r group by v.volume_id")
+
+
+@add("b07_decode_by_sql", ORACLES["b07_decode_messages"])
+def b07s(s, d):
+    from squall.sources import frames
+
+    frames.register(s)
+    volumes(s, d).createOrReplaceTempView("squall_b07_volumes")
+    return s.sql("""select r.volume_id, m.message_type, count(*) as n from (select v.volume_id, r.data from squall_b07_volumes v, lateral squall_records(v.content) r) r, lateral squall_messages(r.data) m
+     group by r.volume_id, m.message_type""")
 
 
 @add("d03_raw_gate_codes", f"select vec_id as key, list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)::int * 100)::varchar codes from {R}")
@@ -371,9 +414,7 @@ _PLACES = "(select c_custkey, 25e0 + c_custkey % 241 * 0.1e0 lat, -124e0 + c_cus
  from {_PLACES}, {SITES}) group by all""")
 def e07(s, d):
     c = A.read(s, d, "customer").select("c_custkey", (F.lit(25.0) + F.col("c_custkey") % 241 * 0.1).alias("lat"), (F.lit(-124.0) + F.col("c_custkey") % 557 * 0.1).alias("lon"))
-    # The registry is a fixed table: the least of its distances, in generated code, without a join or a shuffle.
-    near = F.least(*[F.struct(geo.distance_squared(F.col("lat"), F.col("lon"), x[3], x[4]).alias("d"), F.lit(i).alias("o"), F.lit(x[0]).alias("id")) for i, x in enumerate(stations.SITES)])
-    return c.select("c_custkey", near["id"].alias("id"))
+    return stations.nearest(c).select("c_custkey", "id")
 
 
 @add("i04_site_distance", f"select c_custkey, round(power(35.3331e0 - lat, 2) + power((-97.2778e0 - lon) * cos(radians((lat + 35.3331e0) * 0.5e0)), 2), 6) d2 from {_PLACES}")
@@ -782,9 +823,9 @@ def j12(s, d):
 
 @add("f17_moment_digest", f"select sweep_idx, sha256(string_agg(lpad(hex(raw), 2, '0'), '' order by az_idx, gate_idx)) digest from {RAW} group by all")
 def f17(s, d):
-    g = A.raw_gates(s, d)
-    codes = F.array_sort(F.collect_list(F.struct("az_idx", "gate_idx", F.lpad(F.hex("raw"), 2, "0").alias("h"))))
-    return g.groupBy("sweep_idx").agg(F.sha2(F.array_join(F.transform(codes, lambda x: x["h"]), ""), 256).alias("digest"))
+    codes = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 400.0).cast("long")), 2, "0"))
+    r = A.radials(s, d).select("sweep_idx", "az_idx", F.encode(F.array_join(codes, ""), "UTF-8").alias("data"))
+    return digests.in_order(r, ["sweep_idx"], ["az_idx"], "data").select("sweep_idx", "digest")
 
 
 @add("j13_timing_json", f"""select volume_id, '{{"volume_id":' || volume_id || ',"n":' || count(*) || ',"first_ms":' || min(first_ms) || '}}' as json from {_SWEEPS} group by volume_id""")

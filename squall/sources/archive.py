@@ -159,11 +159,7 @@ def walk_messages(data: bytes, segment_payload: str = "reference"):
             continue
         count, number = header["segment_count"], header["segment_number"]
         begin = at + L.HEADER_BYTES
-        if count > 1:
-            n = max(0, total - L.HEADER_BYTES) if segment_payload == "reference" else max(0, total - 16)
-            step = max(L.FRAME_BYTES, L.HEADER_BYTES + n)
-        else:
-            n, step = L.FRAME_BYTES - L.HEADER_BYTES, L.FRAME_BYTES
+        n, step = frame_size(header, segment_payload)
         if begin + n > len(data):
             return
         payload, here = data[begin : begin + n], at
@@ -180,6 +176,14 @@ def walk_messages(data: bytes, segment_payload: str = "reference"):
             open_headers, open_payloads = [], []
 
 
+def frame_size(header: dict, segment_payload: str = "reference") -> tuple[int, int]:
+    """Bytes of a frame's payload, and from its begin to the next frame's."""
+    if header["segment_count"] <= 1:
+        return L.FRAME_BYTES - L.HEADER_BYTES, L.FRAME_BYTES
+    n = max(0, header["segment_size"] * 2 - (L.HEADER_BYTES if segment_payload == "reference" else 16))
+    return n, max(L.FRAME_BYTES, L.HEADER_BYTES + n)
+
+
 def _radial_blocks(data: bytes, start: int):
     """(name, offset of the block's content) by ascending pointers, and the end."""
     header = L.read(L.RADIAL_HEADER, data, start)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.functions import names
@@ -38,11 +38,19 @@ def latest(listing: DataFrame, by: list[str]) -> DataFrame:
     return listing.groupBy(*by).agg(F.max("name").alias("name"))
 
 
-def as_of(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """requests(request, site, at) with the last volume of the same site and day at or before that time; null without any."""
-    have = listing.select(F.col("site").alias("_site"), F.to_date("time").alias("_day"), F.col("time").alias("_time"), "name")
-    joined = requests.join(have, (F.col("site") == F.col("_site")) & (F.to_date("at") == F.col("_day")) & (F.col("_time") <= F.col("at")), "left")
-    return joined.groupBy(*requests.columns).agg(F.max_by("name", F.struct("_time", "name")).alias("name"))
+def as_of(requests: DataFrame, listing: DataFrame, parts: int = 8) -> DataFrame:
+    """requests(request, site, at) with the last volume of the same site and day at or before that time; null without any.
+
+    A merge: both in order of time per site and day, and each request takes the last name before it (of equal times the
+    greatest).  Requests of one site and day are dealt over so many parts, with the few volumes of the day in each.
+    """
+    have = listing.where(F.col("site").isNotNull() & F.col("time").isNotNull()).select(F.col("site").alias("_site"), F.col("time").alias("_time"), "name")
+    have = have.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_row", F.lit(None).cast(requests.schema))
+    whole = F.struct(*[F.col(c) for c in requests.columns])
+    asked = requests.select(F.col("site").alias("_site"), F.col("at").cast("timestamp").alias("_time"), F.lit(None).cast("string").alias("name"), F.pmod(F.xxhash64(whole), F.lit(parts)).cast("int").alias("_part"), whole.alias("_row"))
+    both = asked.unionByName(have.withColumn("_time", F.col("_time").cast("timestamp")))
+    along = Window.partitionBy("_site", F.to_date("_time"), "_part").orderBy("_time", F.col("_row").isNotNull(), "name").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("name", F.last("name", ignorenulls=True).over(along)).where(F.col("_row").isNotNull()).select("_row.*", "name")
 
 
 def parse_object_list(xml: DataFrame) -> DataFrame:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from squall.functions import geo
 
 SITE_SCHEMA = "id string, city string, state string, latitude double, longitude double, elevation_m int"
 
@@ -177,3 +184,58 @@ def sites_sql() -> str:
     """The registry as a SQL VALUES list named ``sites``, with its order as ``ord``."""
     rows = ",".join(f"({i},'{a}','{b.replace(chr(39), chr(39) * 2)}','{c}',{d!r}::double,{e!r}::double,{f})" for i, (a, b, c, d, e, f) in enumerate(SITES))
     return f"(values {rows}) sites(ord, id, city, state, latitude, longitude, elevation_m)"
+
+
+# ---- the nearest site -----------------------------------------------------------
+
+#: Degrees of a cell, and the number of cells: 180 by 360 degrees.
+CELL = 2
+_ROWS, _COLUMNS = 180 // CELL, 360 // CELL
+#: The cell of points outside the grid: all sites.
+_OUTSIDE = -1
+
+
+@lru_cache(1)
+def cell_candidates() -> tuple[np.ndarray, np.ndarray]:
+    """For every cell, the sites (by place in the registry) that may be nearest to some point of it: (offsets, sites).
+
+    A site is left out if even its least distance from the cell is more than another's greatest.
+    """
+    lat, lon = (np.array([x[k] for x in SITES])[:, None] for k in (3, 4))
+    cell = np.arange(_ROWS * _COLUMNS)
+    low, west = cell // _COLUMNS * CELL - 90.0, cell % _COLUMNS * CELL - 180.0
+    high, east = low + CELL, west + CELL
+    north = np.maximum(np.maximum(low - lat, lat - high), 0), np.maximum(abs(lat - low), abs(lat - high))
+    across = np.maximum(np.maximum(west - lon, lon - east), 0), np.maximum(abs(lon - west), abs(lon - east))
+    # the cosine at the mean of two latitudes, over the cell: greatest where that mean is nearest to the equator
+    ends = np.cos(np.radians((low + lat) / 2)), np.cos(np.radians((high + lat) / 2))
+    most = np.where((low + lat) * (high + lat) <= 0, 1.0, np.maximum(*ends))
+    nearest = north[0] ** 2 + (across[0] * np.minimum(*ends)) ** 2
+    farthest = north[1] ** 2 + (across[1] * most) ** 2
+    may = nearest <= farthest.min(axis=0) * (1 + 1e-9)
+    place, site = np.nonzero(may.T)
+    return np.searchsorted(place, np.arange(len(cell) + 1)), site
+
+
+def _cells(spark: SparkSession) -> DataFrame:
+    """(cell, sites): one row a cell, 16,200 and one in all, so that it may be broadcast."""
+    at, site = cell_candidates()
+    site = np.concatenate([site, np.arange(len(SITES))])
+    own = [np.array([x[k] for x in SITES])[site] for k in (3, 4)]
+    parts = pa.StructArray.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(site.astype(np.int32)), pa.array([SITES[k][0] for k in site])], ["lat", "lon", "place", "id"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(site)).astype(np.int32)), parts)
+    return spark.createDataFrame(pa.table({"cell": pa.array(np.append(np.arange(len(at) - 1), _OUTSIDE).astype(np.int32)), "sites": lists}))
+
+
+def nearest(points: DataFrame, latitude: str = "lat", longitude: str = "lon", name: str = "id") -> DataFrame:
+    """Points with the identifier of their nearest site (of equally near ones the first in the registry); null where a coordinate is null or no number."""
+    lat, lon = F.col(latitude).cast("double"), F.col(longitude).cast("double")
+    known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    inside = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
+    row, column = F.least(F.floor((lat + 90.0) / CELL), F.lit(_ROWS - 1)), F.least(F.floor((lon + 180.0) / CELL), F.lit(_COLUMNS - 1))
+    cell = F.when(known, F.when(inside, row * _COLUMNS + column).otherwise(_OUTSIDE)).cast("int")
+    whole = F.struct(*[F.col(c) for c in points.columns]).alias("_point")
+    asked = points.select(whole, lat.alias("_lat"), lon.alias("_lon"), cell.alias("_cell"))
+    met = asked.join(F.broadcast(_cells(points.sparkSession)), F.col("_cell") == F.col("cell"), "left")
+    best = F.array_min(F.transform("sites", lambda s: F.struct(geo.distance_squared(F.col("_lat"), F.col("_lon"), s["lat"], s["lon"]).alias("d"), s["place"].alias("place"), s["id"].alias("id"))))
+    return met.select("_point.*", best["id"].alias(name))
