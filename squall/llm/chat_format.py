@@ -15,8 +15,9 @@ shuffled, by (conversation, identifier), and never gathered per conversation.
 
 Defined results: null text or role is the empty string; text that is no JSON
 inside a block counts as an invalid call; for repeated identifiers the earliest
-turn counts, and of equal turns the least place; repeated turns are separate messages
-with the same links; a null conversation is one of its own; very long texts are kept
+turn counts, and of equal turns the least place; rows of one turn with unlike texts are
+separate messages, each with its own calls, and repeated rows are separate messages with the
+same ones; a null conversation is one of its own; very long texts are kept
 whole; an empty table gives an empty result; other columns, whatever their names, are
 ignored.
 """
@@ -61,17 +62,22 @@ def _errors(name, arguments, schemas):
     return F.array_compact(F.array(*found))
 
 
+def _text_key(text):
+    """Tells rows of one turn apart; null for texts without a call."""
+    return F.when(text.contains("<tool_call>"), F.sha2(text, 256))
+
+
 def parse_calls(turns: DataFrame, schemas=SCHEMAS) -> DataFrame:
-    """One row per call: conv_id, turn, at (place in the turn), id, name, arguments (canonical JSON), uses, errors."""
+    """One row per call: conv_id, turn, text_key (of the row's text), at (place in it), id, name, arguments (canonical JSON), uses, errors."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    blocks = turns.where(text.contains("<tool_call>")).select("conv_id", "turn", F.posexplode(F.regexp_extract_all(text, F.lit(_BLOCK), 1)).alias("at", "raw"))
+    blocks = turns.where(text.contains("<tool_call>")).select("conv_id", "turn", _text_key(text).alias("text_key"), F.posexplode(F.regexp_extract_all(text, F.lit(_BLOCK), 1)).alias("at", "raw"))
     calls = blocks.withColumn("call", F.try_parse_json("raw"))
     calls = calls.withColumn("id", F.try_variant_get("call", "$.id", "string")).withColumn("name", F.try_variant_get("call", "$.name", "string"))
     calls = calls.withColumn("given", F.try_variant_get("call", "$.arguments", "variant"))
     calls = calls.withColumn("given", F.when(F.schema_of_variant("given").startswith("OBJECT"), F.col("given")))
     calls = calls.withColumn("arguments", F.to_json("given"))
     return calls.select(
-        "conv_id", "turn", "at", "id", "name", "arguments",
+        "conv_id", "turn", "text_key", "at", "id", "name", "arguments",
         F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(_USES), 1)).alias("uses"),
         _errors(F.col("name"), F.col("given"), schemas).alias("errors"),
     )
@@ -128,12 +134,13 @@ def format_chat(spark: SparkSession, turns: DataFrame, schemas=SCHEMAS) -> DataF
     turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     linked = link(spark, turns, schemas)
     shown = F.struct("arguments", F.array_join("errors", "; ").alias("errors"), "id", "level", "name", "result_turn")
-    per = linked.groupBy("conv_id", "turn", "at").agg(F.min(F.struct(F.when(F.size("errors") > 0, 1).otherwise(0).alias("bad"), F.col("result_turn").alias("answered"), "level", shown.alias("shown"))).alias("c"))
-    per = per.groupBy(F.col("conv_id").alias("pc"), F.col("turn").alias("pt")).agg(
+    per = linked.groupBy("conv_id", "turn", "text_key", "at").agg(F.min(F.struct(F.when(F.size("errors") > 0, 1).otherwise(0).alias("bad"), F.col("result_turn").alias("answered"), "level", shown.alias("shown"))).alias("c"))
+    per = per.groupBy(F.col("conv_id").alias("pc"), F.col("turn").alias("pt"), "text_key").agg(
         F.count(F.lit(1)).alias("n_calls"), F.count("c.answered").alias("n_linked"), F.sum("c.bad").alias("n_invalid"), F.max("c.level").cast("long").alias("top_level"),
         F.transform(F.sort_array(F.collect_list(F.struct("c.level", "at", "c.shown"))), lambda x: x["shown"]).alias("calls"),
     )
-    out = turns.join(per, F.col("conv_id").eqNullSafe(F.col("pc")) & F.col("turn").eqNullSafe(F.col("pt")), "left")
+    own = _text_key(F.col("text")) == F.col("text_key")
+    out = turns.join(per, F.col("conv_id").eqNullSafe(F.col("pc")) & F.col("turn").eqNullSafe(F.col("pt")) & own, "left")
     content = F.regexp_replace("text", _BLOCK, "")
     message = F.to_json(F.struct(content.alias("content"), "conv_id", "role", F.col("calls").alias("tool_calls"), "turn"))
     zero = F.lit(0).cast("long")
