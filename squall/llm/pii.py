@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -431,11 +433,15 @@ _TRIM = " \t\r\n.,;:!?\"'"
 
 
 def field_spans(text: str, raw: bytes, spans: list[tuple[int, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Labelled byte spans as code-point spans, without those that overlap base spans or lack what they need."""
+    """Labelled byte spans (in order) as code-point spans, without those that overlap base spans or lack what they need."""
     out = []
+    taken = sorted((x, y) for _, x, y in taken)
+    starts, reach = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
+    at = place = 0  # so many bytes are so many code points
     for label, a, b in spans:
-        start = len(raw[:a].decode("utf-8", "replace"))
+        start = place + len(raw[at:a].decode("utf-8", "replace"))
         end = start + len(raw[a:b].decode("utf-8", "replace"))
+        at, place = b, end
         while start < end and text[start] in _TRIM:
             start += 1
         while end > start and text[end - 1] in _TRIM:
@@ -443,7 +449,8 @@ def field_spans(text: str, raw: bytes, spans: list[tuple[int, int, int]], taken:
         kind, inner = LABELS[label], text[start:end]
         digits = len(_NOT_DIGIT.sub("", inner))
         sane = {"email": bool(_SPELT.match(inner)) and len(inner) > 5, "phone": 7 <= digits <= 15 and bool(_NUMBER.fullmatch(inner)), "card": 13 <= digits <= 19 and bool(_NUMBER.fullmatch(inner)) and (luhn(_NOT_DIGIT.sub("", inner)) or bool(_CARD_CUE.search(text, max(0, start - 40), start))), "id": digits >= 6, "secret": len(inner) >= 8 if digits else len(inner) >= 16 and bool(_SECRET_CUE.search(text, max(0, start - 40), start))}[kind]
-        if start < end and sane and not any(start < y and x < end for _, x, y in taken):
+        before = bisect_left(starts, end)
+        if start < end and sane and not (before and reach[before - 1] > start):
             out.append((kind, start, end))
     return out
 
