@@ -23,6 +23,7 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ _IS_BREAK[list(_BREAKS)] = True
 TABLES["pieces"] = bytes(32 if c in _BREAKS + b"\t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Words of a shard: its arrays take about 150 bytes a word.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Candidates that one task ranks at most, about.
-RANKED_ROWS = 200_000
+RANKED_ROWS = 50_000
 
 
 class Shard:
@@ -229,9 +230,11 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, most_row
     scored = scored.where(F.col("longer").isNull() | (100 * F.col("longer") < covered_percent * F.col("a"))).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(seen["n"] // RANKED_ROWS + 1))
-    scored = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= most_rows)
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= most_rows)
+    parts = seen["n"] // RANKED_ROWS + 1
+    scored = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    for groups in (parts, math.isqrt(parts), 1):  # the best of parts, then of groups of parts, then of all
+        number = F.row_number().over(Window.partitionBy("lang", F.pmod("part", F.lit(groups))).orderBy(*best))
+        scored = scored.withColumn("rank", number.cast("long")).where(F.col("rank") <= most_rows)
     totals = counts.where("words = 0").select(F.col("lang").alias("tlang"), F.col("f").alias("n"))
     return scored.join(totals, F.col("lang") == F.col("tlang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
