@@ -58,16 +58,32 @@ class ExpressionError(ValueError):
     pass
 
 
+#: Identifiers without a version or a hyphen, in lower case: fixed values.
+PLAIN_IDENTIFIERS = frozenset("mit isc zlib unlicense x11 ncsa curl libpng wtfpl beerware ruby vim gpl lgpl agpl apache bsd mpl epl cddl artistic openssl psf icu json ijg".split())
+
+
+def is_identifier(word: str) -> bool:
+    """A plain identifier, or one with a version or in parts; other words are prose."""
+    low = word.lower()
+    return low in PLAIN_IDENTIFIERS or bool(re.search(r"[a-z]", low) and re.search(r"[0-9]|[a-z]-[a-z0-9]", low))
+
+
 def to_postfix(text: str) -> list[str]:
-    """Shunting-yard: operators ``or`` < ``and`` < ``with``, all left associative."""
+    """Shunting-yard: operators ``or`` < ``and`` < ``with``, all left associative.
+
+    The expression ends before an operator whose right side is a word of prose, and before a word that follows an operand.
+    """
     out: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in _TOKENS.findall(text):
+    tokens = _TOKENS.findall(text)
+    for token, after in zip(tokens, [*tokens[1:], None], strict=True):
         low = token.lower()
         if low in _RANK:
             if operand_next:
                 raise ExpressionError(text)
+            if after is not None and after not in "()" and after.lower() not in _RANK and not is_identifier(after):
+                break  # prose goes on: "MIT and not ..."
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
