@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from squall.functions.geo import RadarSite, polar_to_geo
+from squall.operators.contracts import CELLS, PLACED, checked
 from squall.operators.fields import FIELD, VALID, range_km
 
 
@@ -39,6 +40,7 @@ def label_grid(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
+@checked(gates=CELLS)
 def label_cells(gates: DataFrame, least_dbz: float) -> DataFrame:
     """Gates at or over the threshold with cell (least linear index of the component in its field)."""
 
@@ -57,6 +59,7 @@ def label_cells(gates: DataFrame, least_dbz: float) -> DataFrame:
     return marked.groupBy(*FIELD).applyInArrow(run, schema + ", cell bigint")
 
 
+@checked(gates=PLACED)
 def storm_cells(gates: DataFrame, site: RadarSite, least_dbz: float = 35.0, least_gates: int = 5) -> DataFrame:
     """One row per cell of each field, strongest first by cell_id.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from squall.operators.contracts import KEY, RADIALS, checked, require_moment
+
 FIELD = ["volume_id", "sweep_idx"]
 VALID, BELOW, FOLDED, NO_DATA = "Valid", "BelowThreshold", "RangeFolded", "NoData"
 CFP_STATUS = {0: "FilterNotApplied", 1: "PointClutterFilterApplied", 2: "DualPolOnlyFilterApplied"}
@@ -74,6 +76,7 @@ def cfp_status(raw: Column, scale=None) -> Column:
     return out.otherwise(F.concat(F.lit("Reserved("), raw.cast("string"), F.lit(")")))
 
 
+@checked(radials={"elevation_number": "number"})
 def segment_sweeps(radials: DataFrame, order: list[str], partition: list[str] | None = None) -> DataFrame:
     """Adds sweep_idx: a new sweep begins whenever elevation_number changes in order."""
     along = Window.partitionBy(*(partition or ["volume_id"])).orderBy(*order)
@@ -81,6 +84,7 @@ def segment_sweeps(radials: DataFrame, order: list[str], partition: list[str] |
     return radials.withColumn("_new", changed).withColumn("sweep_idx", F.sum("_new").over(along).cast("int")).drop("_new")
 
 
+@checked(radials={**KEY, "elevation_number": "number", "elevation_deg": "number", "time_ms": "number"})
 def sweep_summary(radials: DataFrame) -> DataFrame:
     """Per sweep: elevation number, median elevation angle, radials and time range."""
     return radials.groupBy(*FIELD).agg(
@@ -89,20 +93,27 @@ def sweep_summary(radials: DataFrame) -> DataFrame:
     )
 
 
+@checked(sweeps={"elevation_deg": "number"})
 def sweeps_at_elevation(sweeps: DataFrame, degrees: float) -> DataFrame:
     return sweeps.where(F.abs(F.col("elevation_deg") - degrees) < 0.05)
 
 
-def merge_sweeps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Radials of two sweeps by azimuth number; differing elevations raise when the rows are read."""
+@checked(a={"azimuth_number": "whole", "elevation_number": "whole"}, b={"azimuth_number": "whole", "elevation_number": "whole"})
+def merge_sweeps(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Radials of two sweeps (or of two per key) by azimuth number; differing elevations raise when the rows are read."""
+    by = by or []
     both = a.unionByName(b)
-    span = both.groupBy().agg(F.min("elevation_number").alias("_lo"), F.max("elevation_number").alias("_hi"))
-    checked = both.join(F.broadcast(span), F.lit(True)).withColumn(
+    span = both.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.min("elevation_number").alias("_lo"), F.max("elevation_number").alias("_hi"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    checked_ = both.join(span if by else F.broadcast(span), same).withColumn(
         "elevation_number", F.when(F.col("_lo") == F.col("_hi"), F.col("elevation_number")).otherwise(F.raise_error(F.lit("elevations differ")).cast("int"))
     )
-    return checked.drop("_lo", "_hi").orderBy("azimuth_number")
+    return checked_.drop("_lo", "_hi", *[f"_{k}" for k in by]).orderBy(*by, "azimuth_number")
 
 
+@checked(radials=RADIALS)
 def extract_field(radials: DataFrame, product: str) -> DataFrame:
     """Gates of one product of every sweep that has it.
 
@@ -111,7 +122,7 @@ def extract_field(radials: DataFrame, product: str) -> DataFrame:
     (array<int>).  Radials are put in azimuth order; rows without the product
     are left out; the first such radial's gate count holds for all.
     """
-    have = radials.where(F.col(product).isNotNull())
+    have = require_moment(radials, product, "extract_field: radials").where(F.col(product).isNotNull())
     along = Window.partitionBy(*FIELD).orderBy("azimuth_deg", "ordinal")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     in_file = Window.partitionBy(*FIELD).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -132,6 +143,7 @@ def extract_field(radials: DataFrame, product: str) -> DataFrame:
     return out.drop("_raw", "_scale", "_offset")
 
 
+@checked(gates=KEY)
 def first_field(gates: DataFrame) -> DataFrame:
     """The field of each volume's first sweep."""
     first = gates.groupBy(F.col("volume_id").alias("_v")).agg(F.min("sweep_idx").alias("_s"))
@@ -155,6 +167,7 @@ def blank_field(spark, azimuths: int, gates: int, spacing: float, first_km: floa
     )
 
 
+@checked(gates={"value": "number", "status": "text"})
 def value_range(gates: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Least and greatest valid value per field; null without any."""
     valid = F.when(F.col("status") == VALID, F.col("value"))

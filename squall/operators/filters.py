@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from squall.operators.contracts import CELLS, checked, require
 from squall.operators.fields import FIELD, NO_DATA, VALID, InvalidGeometry, InvalidParameter
 
 Processor = Callable[[DataFrame], DataFrame]
@@ -21,6 +22,7 @@ def _masked(gates: DataFrame, drop) -> DataFrame:
 def threshold(low: float | None = None, high: float | None = None) -> Processor:
     """Valid gates outside the bounds become no data; the bounds themselves stay."""
 
+    @checked(gates={"value": "number", "status": "text"})
     def run(gates: DataFrame) -> DataFrame:
         out = F.lit(False)
         if low is not None:
@@ -42,6 +44,9 @@ def correlation_mask(correlation: DataFrame, least: float) -> Processor:
     if not 0 < least <= 1:
         raise InvalidParameter("the threshold must be over 0 and at most 1")
 
+    require(correlation, CELLS, "correlation_mask: correlation")
+
+    @checked(gates=CELLS)
     def run(gates: DataFrame) -> DataFrame:
         keys = [*FIELD, "az_idx", "gate_idx"]
         c = correlation.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("_cc"), F.col("status").alias("_cs"))
@@ -60,6 +65,7 @@ def check_same_azimuths(a: DataFrame, b: DataFrame) -> None:
         raise InvalidGeometry("fields differ in their number of azimuths")
 
 
+@checked(gates=CELLS)
 def _stencil(gates: DataFrame, work) -> DataFrame:
     """Applies work(values with NaN where not valid) to each field as a dense array; only valid gates change."""
 

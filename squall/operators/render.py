@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.functions.geo import RadarSite, pixel_to_polar, polar_to_geo
+from squall.operators.contracts import PLACED, checked
 from squall.operators.fields import FIELD, PRODUCTS, VALID, InvalidParameter
 from squall.operators.sampling import bracketing_radials, grid, radial_axis, sample
 
@@ -113,6 +114,7 @@ def _polar_pixels(p: DataFrame, size: int, max_range_km: float, height: int | No
     return p.withColumns(pixel_to_polar(F.col("x"), F.col("y"), size, max_range_km, height))
 
 
+@checked(gates=PLACED)
 def render_sweep(gates: DataFrame, size: int, max_range_km: float, bilinear: bool = False, height: int | None = None) -> DataFrame:
     """Values per pixel of each field: nearest radial within 1.5 spacings, or between four valid gates where there are any."""
     fields = gates.select(*FIELD).distinct().withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(size * (height or size) - 1))))
@@ -136,6 +138,7 @@ def render_sweep(gates: DataFrame, size: int, max_range_km: float, bilinear: boo
     return joined.select(*[F.coalesce(k, f"_{k}").alias(k) for k in [*FIELD, "y", "x"]], F.coalesce("_smooth", "value").alias("value"))
 
 
+@checked(values={"value": "number"})
 def color_pixels(values: DataFrame, product: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Adds r, g, b, a by the product's table (over the product's own range unless one is given)."""
     low, high = (RANGES[product][0] if low is None else low), (RANGES[product][1] if high is None else high)
@@ -206,17 +209,20 @@ def within_extent(values: DataFrame, max_range_km: float, options: RenderOptions
     return values.where(at["latitude"].between(south, north) & at["longitude"].between(west, east))
 
 
+@checked(gates=PLACED)
 def render_values(gates: DataFrame, max_range_km: float, options: RenderOptions) -> DataFrame:
     """Values per pixel by the options."""
     width, height = options.shape
     return within_extent(render_sweep(gates, width, max_range_km, options.bilinear, height), max_range_km, options)
 
 
+@checked(gates=PLACED)
 def render_images(gates: DataFrame, product: str, max_range_km: float, options: RenderOptions) -> DataFrame:
     """One PNG per field with the product's own scale."""
     return images(color_pixels(render_values(gates, max_range_km, options), product), *options.shape, options.background)
 
 
+@checked(gates=PLACED)
 def query_pixel(gates: DataFrame, x: int, y: int, size: int, max_range_km: float, site=None) -> DataFrame:
     """What stands at a pixel of each field: azimuth, range, value, status, and the position if a site is given."""
     p = gates.groupBy(*FIELD).agg(F.first("elevation_deg").alias("elevation_deg")).withColumns({"x": F.lit(x), "y": F.lit(y)})

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.functions.geo import EFFECTIVE_RADIUS_M, RadarSite, geo_to_polar
+from squall.operators.contracts import AXIS, DIRECTIONS, PLACED, POINTS, checked
 from squall.operators.fields import FIELD, VALID, InvalidParameter
 
 _BINS = 360
 
 
+@checked(gates=PLACED)
 def radial_axis(gates: DataFrame) -> DataFrame:
     """One row per radial of each field, with the field's geometry."""
     return gates.groupBy(*FIELD, "az_idx").agg(
@@ -45,6 +47,7 @@ def _dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return turns.withColumn("_bin", F.explode(F.sequence(first, last))).drop("_turn")
 
 
+@checked(points=DIRECTIONS, axis=AXIS)
 def nearest_radial(points: DataFrame, axis: DataFrame) -> DataFrame:
     """points(volume_id, sweep_idx, azimuth_deg in [0, 360), …) with az_idx and distance_deg of the nearest radial; ties go to the lower azimuth."""
     arcs = _ring(axis).withColumns({"_lo": (F.col("_before") + F.col("azimuth_deg")) / 2, "_hi": (F.col("azimuth_deg") + F.col("_after")) / 2})
@@ -57,6 +60,7 @@ def nearest_radial(points: DataFrame, axis: DataFrame) -> DataFrame:
     return joined.withColumn("distance_deg", F.least(gap, 360.0 - gap)).select(*points.columns, "az_idx", "distance_deg")
 
 
+@checked(points=DIRECTIONS, axis=AXIS)
 def bracketing_radials(points: DataFrame, axis: DataFrame, max_gap: float | None = None) -> DataFrame:
     """points with the radials on either side (lo_idx, hi_idx) and the fraction between; arcs over max_gap (1.5 spacings) hold none."""
     arcs = _ring(axis).withColumns({"_lo": F.col("azimuth_deg"), "_hi": F.col("_after")})
@@ -70,6 +74,7 @@ def bracketing_radials(points: DataFrame, axis: DataFrame, max_gap: float | None
     return joined.withColumn("fraction", (F.col("azimuth_deg") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).select(*points.columns, "lo_idx", "hi_idx", "fraction")
 
 
+@checked(points=POINTS, gates=PLACED)
 def sample(points: DataFrame, gates: DataFrame, max_gap_spacings: float | None = None) -> DataFrame:
     """points(volume_id, sweep_idx, azimuth_deg, range_km, …) with az_idx, gate_idx, value and status there.
 
@@ -96,6 +101,7 @@ def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
 
 
+@checked(gates=PLACED)
 def composite(gates: DataFrame, site: RadarSite, extent: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
     """Greatest valid value over all tilts of a volume per cell of a (min lat, min lon, max lat, max lon) grid; row 0 is north.
 
@@ -116,6 +122,7 @@ def composite(gates: DataFrame, site: RadarSite, extent: tuple[float, float, flo
     return found.where(F.col("status") == VALID).groupBy("volume_id", "row", "col").agg(F.max("value").alias("value"))
 
 
+@checked(gates=PLACED)
 def vertical_section(gates: DataFrame, azimuth: float, max_range_km: float, max_altitude_m: float, width: int, height: int) -> DataFrame:
     """Greatest valid value over all tilts per cell of a distance-height grid at one azimuth; row 0 is the top."""
     if max_range_km <= 0 or max_altitude_m <= 0:

@@ -236,11 +236,12 @@ def k03(s, d):
     return w.select("o_orderkey", render.to_byte(steps["r"]).alias("d_r"), render.to_byte(lines["r"]).alias("c_r"))
 
 
-@add("k06_default_scales", "select * from (values ('REF', -32e0, 95e0), ('VEL', -64e0, 64e0), ('SW', 0e0, 30e0)) t(product, low, high)")
+@add("k06_default_scales", "select p_partkey, product, low, high from part join (values (0, 'REF', -32e0, 95e0), (1, 'VEL', -64e0, 64e0), (2, 'SW', 0e0, 30e0)) t(k, product, low, high) on k = p_partkey % 3")
 def k06(s, d):
-    """Every product's own range; three of them pinned."""
-    every = [(p, float(low), float(high)) for p, (low, high) in render.RANGES.items() if p in render.SCALES]
-    return s.createDataFrame(every, "product string, low double, high double").where(F.col("product").isin("REF", "VEL", "SW"))
+    """Every part's product with the range of its default scale; the ranges of three products are pinned."""
+    ranges = s.createDataFrame([(p, float(low), float(high)) for p, (low, high) in render.RANGES.items() if p in render.SCALES], "product string, low double, high double")
+    p = A.read(s, d, "part").select("p_partkey", F.element_at(F.array(F.lit("REF"), F.lit("VEL"), F.lit("SW")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("own"))
+    return p.join(F.broadcast(ranges), F.col("own") == F.col("product")).select("p_partkey", "product", "low", "high")
 
 
 @add("k07_bytes", f"select o_orderkey, floor((v % 1000) / 999e0 * 255e0)::int b from {WORDS}")
@@ -248,10 +249,10 @@ def k07(s, d):
     return A.words(s, d).select("o_orderkey", render.to_byte(F.col("v") % 1000 / 999.0).alias("b"))
 
 
-@add("k12_render_options", f"select sweep_idx, count(*) > 0 is_there, true is_wide, true is_inside from {GATES} where sweep_idx < 2 group by all")
+@add("k12_render_options", f"select sweep_idx, count(*) > 0 is_there, true is_wide, true is_inside from {GATES} group by all")
 def k12(s, d):
     """A wide image cut to an extent: all its pixels lie inside, and it holds fewer than the whole one."""
-    g = A.gates(s, d).where("sweep_idx < 2")
+    g = A.gates(s, d)
     site = RadarSite(35.0, -97.0)
     options = render.RenderOptions(24).with_size(24, 12).with_interpolation("nearest").with_coordinate_system(site).with_extent((35.0, -97.0, 36.0, -96.0))
     cut, whole = render.render_values(g, 18.0, options), render.render_values(g, 18.0, render.RenderOptions(24).with_size(24, 12))
@@ -405,13 +406,17 @@ def j09g(s, d):
     return w.select("o_orderkey", group.alias("grouped"), display.pattern(F.col("c"), F.when(F.col("w") % 2 == 0, "Unknown").otherwise("x")).alias("pattern"))
 
 
-@add("c11_literal_labels", """select * from (values (31, 'RDADigitalRadarDataGenericFormat'), (2, 'RDAStatusData'), (5, 'RDAVolumeCoveragePattern'), (13, 'RDAClutterFilterBypassMap'), (18, 'RDAAdaptationData'), (32, 'RDAPRFData'), (33, 'RDALogData')) t(code, label)""")
+@add("c11_literal_labels", f"""select o_orderkey, code, label from {WORDS} join (values (0, 31, 'RDADigitalRadarDataGenericFormat'), (1, 2, 'RDAStatusData'), (2, 5, 'RDAVolumeCoveragePattern'), (3, 13, 'RDAClutterFilterBypassMap'), (4, 18, 'RDAAdaptationData'), (5, 32, 'RDAPRFData'), (6, 33, 'RDALogData')) t(k, code, label) on k = w % 7""")
 def labels(s, d):
-    """Message types by literal values."""
-    codes = s.createDataFrame([(c,) for c in (31, 2, 5, 13, 18, 32, 33)], "code int")
-    return codes.select("code", wire.label(F.col("code"), wire.MESSAGE_TYPES).alias("label"))
+    """Message types of orders, held against literal values."""
+    codes = F.array(*[F.lit(c) for c in (31, 2, 5, 13, 18, 32, 33)])
+    w = A.words(s, d).select("o_orderkey", F.element_at(codes, (F.col("w") % 7 + 1).cast("int")).alias("code"))
+    return w.select("o_orderkey", "code", wire.label(F.col("code"), wire.MESSAGE_TYPES).alias("label"))
 
 
-@add("a14_literal_sites", "select * from (values ('KTLX', 'Oklahoma City', 'OK'), ('KDMX', 'Des Moines', 'IA'), ('KFWS', 'Dallas/Fort Worth', 'TX')) t(id, city, state)")
+@add("a14_literal_sites", "select s_suppkey, id, city, state from supplier join (values (0, 'KTLX', 'Oklahoma City', 'OK'), (1, 'KDMX', 'Des Moines', 'IA'), (2, 'KFWS', 'Dallas/Fort Worth', 'TX')) t(k, id, city, state) on k = s_suppkey % 3")
 def literal_sites(s, d):
-    return api.sites(s).where(F.col("id").isin("KTLX", "KDMX", "KFWS")).select("id", "city", "state")
+    """Suppliers' sites, held against literal values."""
+    want = F.element_at(F.array(F.lit("KTLX"), F.lit("KDMX"), F.lit("KFWS")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    p = A.read(s, d, "supplier").select("s_suppkey", want.alias("want"))
+    return p.join(F.broadcast(api.sites(s)), F.col("want") == F.col("id")).select("s_suppkey", "id", "city", "state")

@@ -68,9 +68,9 @@ _EXTRACTED = f"""(with r as (select *, vec_id * 7919 % 104729 ordinal, case when
 
 
 @add("d04_extract_field", f"""select sweep_idx, az_idx, gate_idx, case when raw >= 2 then (raw - 66e0) / 2e0 end as value,
- case when raw is null then 'NoData' when raw = 0 then 'BelowThreshold' when raw = 1 then 'RangeFolded' else 'Valid' end status from {_EXTRACTED} where sweep_idx = 3""")
+ case when raw is null then 'NoData' when raw = 0 then 'BelowThreshold' when raw = 1 then 'RangeFolded' else 'Valid' end status from {_EXTRACTED}""")
 def d04(s, d):
-    return fields.extract_field(_radial_structs(s, d).where("sweep_idx = 3"), "REF").select("sweep_idx", "az_idx", "gate_idx", "value", "status")
+    return fields.extract_field(_radial_structs(s, d), "REF").select("sweep_idx", "az_idx", "gate_idx", "value", "status")
 
 
 @add("d06_extract_fields", f"select sweep_idx, count(*) n_gates, (max(az_idx) + 1)::bigint n_radials, (max(gate_idx) + 1)::bigint n_range from {_EXTRACTED} group by all")
@@ -95,9 +95,15 @@ def d09(s, d):
     return A.gates(s, d).transform(filters.threshold(-10.0, 20.0)).select("sweep_idx", "az_idx", "gate_idx", "value", "status")
 
 
-@add("d11_product_table", "select * from (values " + ",".join(f"('{n}', '{label}', '{u}', {lo}::double, {hi}::double)" for n, label, u, lo, hi in fields.PRODUCTS) + ") t(product, label, unit, min_value, max_value)")
+_PRODUCT_ROWS = ",".join(f"({k}, '{n}', '{label}', '{u}', {lo}::double, {hi}::double)" for k, (n, label, u, lo, hi) in enumerate(fields.PRODUCTS))
+
+
+@add("d11_product_table", f"select p_partkey, product, label, unit, p_size between low and high as fits from part join (values {_PRODUCT_ROWS}) t(k, product, label, unit, low, high) on k = p_partkey % 7")
 def d11(s, d):
-    return s.createDataFrame(list(fields.PRODUCTS), "product string, label string, unit string, min_value double, max_value double")
+    """Parts as values of the seven products: what each is called, and whether the value lies in its range."""
+    every = s.createDataFrame([(k, *row) for k, row in enumerate(fields.PRODUCTS)], "k int, product string, label string, unit string, low double, high double")
+    p = A.read(s, d, "part").join(F.broadcast(every), F.col("p_partkey") % 7 == F.col("k"))
+    return p.select("p_partkey", "product", "label", "unit", F.col("p_size").between(F.col("low"), F.col("high")).alias("fits"))
 
 
 @add("d15_blank_field", f"select sweep_idx, status, count(*) n, count(value) n_values from (select sweep_idx, 'NoData' status, null::double as value from {GATES}) group by all")
@@ -105,9 +111,14 @@ def d15(s, d):
     return fields.blank_like(A.gates(s, d)).groupBy("sweep_idx", "status").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"))
 
 
-@add("d15_new_empty", "select (a::int) az_idx, (a * 0.5e0) azimuth_deg, count(*) n from range(720) x(a), range(10) y(g) group by all")
+@add("d15_new_empty", f"select g.az_idx::int az_idx, g.az_idx * 0.5e0 azimuth_deg, count(*) n, count(*) filter (g.status = 'Valid') n_valid_before from (select az_idx, gate_idx, any_value(status) status from {GATES} where sweep_idx = 0 group by all) g group by all")
 def d15b(s, d):
-    return fields.blank_field(s, 720, 10, 0.5, 2.0, 0.25, 0.5).groupBy("az_idx", "azimuth_deg").agg(F.count(F.lit(1)).alias("n"))
+    """A blank field of the first sweep's size, cell by cell beside it."""
+    g = A.gates(s, d).where("sweep_idx = 0").select(F.col("az_idx").alias("a"), F.col("gate_idx").alias("k"), F.col("status").alias("before"))
+    size = g.agg((F.max("a") + 1).alias("a"), (F.max("k") + 1).alias("k")).first()  # one row
+    blank = fields.blank_field(s, size["a"], size["k"], 0.5, 2.0, 0.25, 0.5).where((F.col("status") == fields.NO_DATA) & F.col("value").isNull())
+    both = blank.join(g, (F.col("az_idx") == F.col("a")) & (F.col("gate_idx") == F.col("k")))
+    return both.groupBy("az_idx", "azimuth_deg").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("before") == "Valid", 1)).alias("n_valid_before"))
 
 
 @add("d16_point_access", f"select sweep_idx, value, status from {GATES} where az_idx = 5 and gate_idx = 7")
@@ -284,10 +295,11 @@ def h01(s, d):
     return A.radials(s, d).select("sweep_idx", "vec_id", (F.row_number().over(w) - 1).cast("long").alias("place"))
 
 
-@add("h02_merge_sweeps", f"select azimuth_number, elevation_number from (select az_idx + 1 azimuth_number, elevation_number from {R} where sweep_idx = 2)")
+@add("h02_merge_sweeps", f"select sweep_idx, az_idx + 1 azimuth_number, elevation_number from {R}")
 def h02(s, d):
-    r = A.radials(s, d).where("sweep_idx = 2").select((F.col("az_idx") + 1).alias("azimuth_number"), "elevation_number")
-    return fields.merge_sweeps(r.where("azimuth_number % 2 = 0"), r.where("azimuth_number % 2 = 1"))
+    """Halves of every sweep, merged sweep by sweep."""
+    r = A.radials(s, d).select("sweep_idx", (F.col("az_idx") + 1).alias("azimuth_number"), "elevation_number")
+    return fields.merge_sweeps(r.where("azimuth_number % 2 = 0"), r.where("azimuth_number % 2 = 1"), ["sweep_idx"])
 
 
 @add("h04_top_cells", f"with recursive {_CELLS}, c as (select sweep_idx, cell, max(value) max_dbz, count(*) gate_count from lab join g using (sweep_idx, id) group by all having count(*) >= 2) select * from c order by max_dbz desc, sweep_idx, cell limit 10")
@@ -336,12 +348,12 @@ def i02(s, d):
     return r6(p.select("c_custkey", "azimuth_deg", "range_km"), "azimuth_deg", "range_km")
 
 
-@add("i03_sweep_extent", f"""with p as (select n, az0, n * 10000e0 r, radians(az0) az, 0e0 el from range(1, 24) t(n), (values (0e0), (90e0), (180e0), (270e0)) v(az0)), {_GEO}
- select n * 10e0 range_km, round(max(degrees(la)) filter (az0 = 0), 6) max_latitude, round(max(degrees(lo)) filter (az0 = 90), 6) max_longitude, round(max(degrees(la)) filter (az0 = 180), 6) min_latitude,
+@add("i03_sweep_extent", f"""with p as (select c_custkey n, (c_custkey % 230 + 1) * 1000e0 r, radians(az0) az, 0e0 el, az0 from customer, (values (0e0), (90e0), (180e0), (270e0)) v(az0)), {_GEO}
+ select n c_custkey, round(max(degrees(la)) filter (az0 = 0), 6) max_latitude, round(max(degrees(lo)) filter (az0 = 90), 6) max_longitude, round(max(degrees(la)) filter (az0 = 180), 6) min_latitude,
  round(max(degrees(lo)) filter (az0 = 270), 6) min_longitude from lo group by n""")
 def i03(s, d):
-    p = s.range(1, 24).select((F.col("id") * 10.0).alias("range_km"))
-    return r6(p.withColumns(geo.sweep_extent(F.col("range_km"), SITE)), "max_latitude", "max_longitude", "min_latitude", "min_longitude")
+    p = A.read(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 230 + 1).cast("double").alias("range_km"))
+    return r6(p.withColumns(geo.sweep_extent(F.col("range_km"), SITE)).drop("range_km"), "max_latitude", "max_longitude", "min_latitude", "min_longitude")
 
 
 @add("i05_storm_relative_velocity", f"""select sweep_idx, az_idx, gate_idx, round(value - (15e0 * sin(radians(405e0)) * sin(radians(azimuth_deg)) + 15e0 * cos(radians(405e0)) * cos(radians(azimuth_deg))), 6) as value from {GATES} where status = 'Valid'""")
@@ -361,11 +373,11 @@ def i07(s, d):
     return A.read(s, d, "part").select("p_partkey", (F.col("p_size") * 0.001).alias("range_km"))
 
 
-@add("i09_pixel_to_polar", """with p as (select (c // 40)::int y, (c % 40)::int x from range(1600) t(c)), q as (select *, sqrt((x - 20e0) * (x - 20e0) + (y - 20e0) * (y - 20e0)) / (40 / 2e0 / 18e0) range_km, case when x = 20 and y = 20 then 180e0 else (degrees(atan2(x - 20e0, -(y - 20e0))) + 360e0) % 360e0 end azimuth_deg from p)
- select y, x, case when range_km <= 18e0 then round(range_km, 6) end range_km, case when range_km <= 18e0 then round(azimuth_deg, 6) end azimuth_deg from q""")
+@add("i09_pixel_to_polar", """with p as (select o_orderkey, (o_orderkey // 40 % 40)::int y, (o_orderkey % 40)::int x from orders), q as (select *, sqrt((x - 20e0) * (x - 20e0) + (y - 20e0) * (y - 20e0)) / (40 / 2e0 / 18e0) range_km, case when x = 20 and y = 20 then 180e0 else (degrees(atan2(x - 20e0, -(y - 20e0))) + 360e0) % 360e0 end azimuth_deg from p)
+ select o_orderkey, case when range_km <= 18e0 then round(range_km, 6) end range_km, case when range_km <= 18e0 then round(azimuth_deg, 6) end azimuth_deg from q""")
 def i09(s, d):
-    p = sampling.grid(s, 40, 40).withColumnsRenamed({"row": "y", "col": "x"})
-    return r6(p.withColumns(geo.pixel_to_polar(F.col("x"), F.col("y"), 40, 18.0)), "range_km", "azimuth_deg")
+    p = A.read(s, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 40 % 40).cast("int").alias("y"), (F.col("o_orderkey") % 40).cast("int").alias("x"))
+    return r6(p.withColumns(geo.pixel_to_polar(F.col("x"), F.col("y"), 40, 18.0)).drop("x", "y"), "range_km", "azimuth_deg")
 
 
 @add("i09_polar_to_pixel", f"select p, round(20e0 + range_km * (20e0 / 18e0) * sin(radians(azimuth_deg)), 6) x, round(20e0 - range_km * (20e0 / 18e0) * cos(radians(azimuth_deg)), 6) y from {_POINTS}")
@@ -402,9 +414,12 @@ def k02(s, d):
     return g.select("sweep_idx", "az_idx", "gate_idx", F.round(render.continuous_color(F.col("value"), ((0.0, 0.0, 0.0, 0.0), (30.0, 1.0, 0.0, 0.0), (60.0, 0.5, 0.0, 0.0)))["r"], 6).alias("r"))
 
 
-@add("k04_lookup_table", f"select i::int idx, {_scale_sql('v', 'VEL', 1)} r, {_scale_sql('v', 'VEL', 2)} g, {_scale_sql('v', 'VEL', 3)} b, 255 a from (select i, -64e0 + i / 255e0 * 128e0 v from range(256) t(i))")
+@add("k04_lookup_table", f"select o_orderkey, {_scale_sql('v', 'VEL', 1)} r, {_scale_sql('v', 'VEL', 2)} g, {_scale_sql('v', 'VEL', 3)} b, 255 a from (select o_orderkey, -64e0 + o_orderkey * 7 % 256 / 255e0 * 128e0 v from orders)")
 def k04(s, d):
-    return render.lookup_table(s, render.SCALES["VEL"], -64.0, 64.0).drop("value")
+    """Orders coloured by places of a table of 256 entries."""
+    table = render.lookup_table(s, render.SCALES["VEL"], -64.0, 64.0).drop("value")
+    o = A.read(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7 % 256).cast("int").alias("place"))
+    return o.join(F.broadcast(table), F.col("place") == F.col("idx")).select("o_orderkey", "r", "g", "b", "a")
 
 
 @add("k04_lut_index", f"select sweep_idx, az_idx, gate_idx, greatest(0, least(255, floor((value + 32e0) / 127e0 * 255e0)))::int idx from {GATES} where status = 'Valid'")
@@ -412,10 +427,17 @@ def k04b(s, d):
     return A.gates(s, d).where("status = 'Valid'").select("sweep_idx", "az_idx", "gate_idx", render.lut_index(F.col("value"), -32.0, 95.0).alias("idx"))
 
 
-@add("k05_builtin_scales", "select * from (values " + ",".join(f"('{p}', {k}, {lv[0]}::double, {lv[1]}::double, {lv[2]}::double, {lv[3]}::double)" for p, scale in render.SCALES.items() for k, lv in enumerate(scale)) + ") t(product, place, least, r, g, b)")
+_LEVELS = ",".join(f"({n}, '{p}', {k}, {lv[0]}::double, {lv[1]}::double, {lv[2]}::double, {lv[3]}::double)" for n, (p, scale) in enumerate(render.SCALES.items()) for k, lv in enumerate(scale))
+
+
+@add("k05_builtin_scales", f"select p_partkey, product, max(place) place, arg_max(r, place) r, arg_max(g, place) g, arg_max(b, place) b from part join (values {_LEVELS}) t(n, product, place, least, r, g, b) on n = p_partkey % {len(render.SCALES)} and p_size >= least group by all")
 def k05(s, d):
-    rows = [(p, k, *lv) for p, scale in render.SCALES.items() for k, lv in enumerate(scale)]
-    return s.createDataFrame(rows, "product string, place int, least double, r double, g double, b double")
+    """Parts as values of the built-in scales: the highest level that each reaches."""
+    rows = [(n, p, k, *lv) for n, (p, scale) in enumerate(render.SCALES.items()) for k, lv in enumerate(scale)]
+    levels = s.createDataFrame(rows, "n int, product string, place int, least double, r double, g double, b double")
+    p = A.read(s, d, "part").select("p_partkey", "p_size").join(F.broadcast(levels), (F.col("p_partkey") % len(render.SCALES) == F.col("n")) & (F.col("p_size") >= F.col("least")))
+    top = F.max(F.struct("place", "r", "g", "b")).alias("top")
+    return p.groupBy("p_partkey", "product").agg(top).select("p_partkey", "product", "top.place", "top.r", "top.g", "top.b")
 
 
 _SIZE = 48

@@ -378,9 +378,12 @@ def a13(s, d):
     return CH.newest_at_most(_slots(s, d), F.lit(1705000000000))
 
 
-@add("a14_sites", f"select id, city, state, latitude, longitude, elevation_m from {SITES}")
+@add("a14_sites", f"select c_custkey, id, city, state, latitude, longitude, elevation_m from customer join {SITES} on ord = c_custkey % {len(stations.SITES)}")
 def a14(s, d):
-    return stations.sites(s)
+    """The registry, a site a customer by its place in it."""
+    numbered = stations.sites(s).coalesce(1).withColumn("ord", F.monotonically_increasing_id())  # one partition, so 0, 1, 2, ...
+    c = A.read(s, d, "customer").select("c_custkey", (F.col("c_custkey") % len(stations.SITES)).alias("k"))
+    return c.join(F.broadcast(numbered), F.col("k") == F.col("ord")).drop("k", "ord")
 
 
 @add("a15_require_site", f"select c_custkey, id from (select c_custkey, ['KTLX', 'KDMX', 'KFWS'][(c_custkey % 3 + 1)::int] want from customer) c join {SITES} on id = want")
@@ -716,10 +719,11 @@ def m06(s, d):
     return x.select("event_id", wait.alias("wait_ms"))
 
 
-@add("m08_retry_delays", "select policy, a::int attempt, case when a < most then case when a = 0 then 500 else least(trunc(500e0 * pow(2e0, greatest(a - 1, 0)))::bigint, cap) end end delay_ms from (values ('download', 5, 8000::bigint), ('discovery', 10, 16000::bigint)) p(policy, most, cap), range(12) t(a)")
+@add("m08_retry_delays", "select event_id, policy, case when a < most then case when a = 0 then 500 else least(trunc(500e0 * pow(2e0, greatest(a - 1, 0)))::bigint, cap) end end delay_ms from (select event_id, event_id % 12 a from events), (values ('download', 5, 8000::bigint), ('discovery', 10, 16000::bigint)) p(policy, most, cap)")
 def m08(s, d):
-    a = s.range(12).select(F.col("id").cast("int").alias("attempt"))
-    both = [a.select(F.lit(n).alias("policy"), "attempt", timing.retry_delay_ms(F.col("attempt"), p).alias("delay_ms")) for n, p in (("download", timing.DOWNLOAD_RETRY), ("discovery", timing.DISCOVERY_RETRY))]
+    """Events as attempts: what each policy waits before the next."""
+    a = A.read(s, d, "events").select("event_id", (F.col("event_id") % 12).cast("int").alias("attempt"))
+    both = [a.select("event_id", F.lit(n).alias("policy"), timing.retry_delay_ms(F.col("attempt"), p).alias("delay_ms")) for n, p in (("download", timing.DOWNLOAD_RETRY), ("discovery", timing.DISCOVERY_RETRY))]
     return both[0].unionByName(both[1])
 
 
@@ -794,9 +798,9 @@ def j08(s, d):
     return A.words(s, d).select("o_orderkey", text.alias("description"), shown.alias("shown"))
 
 
-@add("j09_display_site", f"select id || ' (' || city || ', ' || state || ')' shown from {SITES}")
+@add("j09_display_site", f"select c_custkey, id || ' (' || city || ', ' || state || ')' shown from customer join {SITES} on ord = c_custkey % {len(stations.SITES)}")
 def j09(s, d):
-    return stations.sites(s).select(display.site(F.col("id"), F.col("city"), F.col("state")).alias("shown"))
+    return a14(s, d).select("c_custkey", display.site(F.col("id"), F.col("city"), F.col("state")).alias("shown"))
 
 
 @add("j10_text_decode", "select doc_id, length(text) n_chars, null::bigint n_broken, length(text) + 2 n_lossy from documents")
