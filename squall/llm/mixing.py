@@ -32,8 +32,12 @@ from squall.llm.common import table, written
 WEIGHTS = (5.0, 2.0, 1.0)  # in the order of sources, repeating
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's words
-SLOTS = 1 << 16  # and up to FEWEST more per small source
+SLOTS = 1 << 16  # or one per SLOT_WORDS words of the mix, where that is more
+SLOT_WORDS = 1_000_000
+#: A small source has so many slots at least, but never more than SPARE beyond its words: a source with fewer than
+#: a handful could be missed by all points.
 FEWEST = 1000
+SPARE = 8
 BUCKET_ROWS = 4096  # of a bucket for prefix sums, about
 GOLDEN = 0.6180339887498949
 #: Up to so many sources (about 60 bytes each) are broadcast to the documents; more are joined by a shuffle.
@@ -71,11 +75,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def shared_slots(targets: DataFrame, slots: int = SLOTS, fewest: int = FEWEST) -> DataFrame:
-    """Per source with a target: how many slots it is to have, whatever the size of the others."""
+    """Per source with a target: how many slots it is to have, whatever the size of the others: by words, with a least for small ones."""
     positive = targets.where(F.col("target") > 0)
     total = F.sum("target").over(Window.partitionBy())
-    share = F.least(F.lit(float(slots)), total) * F.col("target") / total
-    return positive.select("source", F.greatest(share, F.lit(float(fewest))).alias("wanted"))
+    share = F.least(F.greatest(F.lit(float(slots)), total / SLOT_WORDS), total) * F.col("target") / total
+    return positive.select("source", F.greatest(share, F.least(F.lit(float(fewest)), F.ceil("target") + SPARE)).alias("wanted"))
 
 
 def schedule(spark: SparkSession, wanted: DataFrame) -> DataFrame:
