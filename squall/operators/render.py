@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.functions.geo import RadarSite, pixel_to_polar, polar_to_geo
+from squall.shipping import ship
 from squall.operators.contracts import PLACED, checked
 from squall.operators.fields import FIELD, PRODUCTS, VALID, InvalidParameter
 from squall.operators.sampling import bracketing_radials, grid, radial_axis, sample
@@ -259,3 +260,52 @@ def images(colored: DataFrame, width: int, height: int, background: tuple[int, i
 
     kinds = dict(colored.dtypes)
     return colored.groupBy(*FIELD).applyInArrow(run, f"volume_id {kinds['volume_id']}, sweep_idx {kinds['sweep_idx']}, png binary")
+
+
+def png_pixels(data: bytes):
+    """An array (height, width, 4) of the PNG files that ``png_bytes`` makes: eight-bit RGBA, lines unfiltered; checksums are looked at."""
+    import numpy as np
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise InvalidParameter("no PNG file")
+    at, size, packed = 8, None, b""
+    while at < len(data):
+        (n,), name = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", data, at + 8 + n)[0] != zlib.crc32(name + body):
+            raise InvalidParameter(f"broken part {name!r}")
+        if name == b"IHDR":
+            size = struct.unpack(">IIBBBBB", body)
+        elif name == b"IDAT":
+            packed += body
+        at += 12 + n
+    if size is None or size[2:] != (8, 6, 0, 0, 0):
+        raise InvalidParameter("not eight-bit RGBA")
+    width, height = size[:2]
+    lines = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(height, 1 + width * 4)
+    if lines[:, 0].any():
+        raise InvalidParameter("filtered lines")
+    return lines[:, 1:].reshape(height, width, 4)
+
+
+def image_pixels(images_: DataFrame) -> DataFrame:
+    """Images (volume_id, sweep_idx, png) as rows: volume_id, sweep_idx, y, x, r, g, b, a."""
+    kinds = dict(images_.dtypes)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from squall.operators.render import png_pixels
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pixels_ = png_pixels(batch.column(2)[k].as_py())
+                height, width = pixels_.shape[:2]
+                y, x = np.divmod(np.arange(height * width, dtype=np.int32), np.int32(width))
+                keys = [pa.repeat(batch.column(i)[k], height * width) for i in (0, 1)]
+                channels = [pa.array(pixels_[:, :, c].ravel().astype(np.int32)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(y), pa.array(x), *channels], ["volume_id", "sweep_idx", "y", "x", "r", "g", "b", "a"])
+
+    ddl = f"volume_id {kinds['volume_id']}, sweep_idx {kinds['sweep_idx']}, y int, x int, r int, g int, b int, a int"
+    return ship(images_.sparkSession) and images_.select("volume_id", "sweep_idx", "png").mapInArrow(run, ddl)

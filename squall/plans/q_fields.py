@@ -494,11 +494,19 @@ def k13(s, d):
     return render.render_sweep(A.gates(s, d), _SIZE, 18.0).where("y = 20 and x = 30").select("sweep_idx", "y", "x", "value")
 
 
-@add("k14_png_images")
+@add("k14_png_images", f"""select sweep_idx, {_SIZE * _SIZE}::bigint n_pixels, count(*) n_drawn, sum({_scale_sql('v', 'REF', 1)})::bigint sum_r, sum({_scale_sql('v', 'REF', 2)})::bigint sum_g, sum({_scale_sql('v', 'REF', 3)})::bigint sum_b,
+ count(*) n_same from (select sweep_idx, -32e0 + greatest(0, least(255, floor((value + 32e0) / 127e0 * 255e0))) / 255e0 * 127e0 v from {_RENDERED}) group by sweep_idx""")
 def k14(s, d):
+    """Images decoded again, pixel by pixel, beside what was drawn; the background is black."""
     colored = render.color_pixels(render.render_sweep(A.gates(s, d), _SIZE, 18.0), "REF")
-    out = render.images(colored, _SIZE, _SIZE)
-    return out.select("sweep_idx", F.length("png").alias("n_bytes"), F.hex(F.substring("png", 1, 8)).alias("signature"))
+    drawn = colored.select(F.col("sweep_idx").alias("s"), F.col("y").alias("dy"), F.col("x").alias("dx"), F.struct("r", "g", "b", "a").alias("ink"))
+    p = render.image_pixels(render.images(colored, _SIZE, _SIZE)).withColumn("seen", F.struct("r", "g", "b", "a"))
+    both = p.join(drawn, (F.col("sweep_idx") == F.col("s")) & (F.col("y") == F.col("dy")) & (F.col("x") == F.col("dx")), "left")
+    black = (F.col("r") + F.col("g") + F.col("b") == 0) & (F.col("a") == 255)
+    whole = both.withColumn("ok", F.when(F.col("s").isNull(), black).otherwise(F.to_json("seen") == F.to_json("ink")))
+    return whole.where("ok").groupBy("sweep_idx").agg(
+        F.count(F.lit(1)).alias("n_pixels"), F.count("s").alias("n_drawn"), *[F.sum(c).alias(f"sum_{c}") for c in "rgb"], F.count(F.when(F.col("s").isNotNull(), 1)).alias("n_same")
+    )
 
 
 # ---- N: processors ----
