@@ -72,3 +72,19 @@ def next_wait_ms(chunk_type: str, intervals: list[int]) -> int:
     if chunk_type == "Start":
         return int(VOLUME_GAP_S * 1000)
     return sum(intervals) // len(intervals) if intervals else int(FALLBACK_CHUNK_S * 1000)
+
+
+def cascade_ms(is_start: bool, model_ms: int | None, history, kind: tuple[str, str] | None) -> int | None:
+    """``processing_wait_ms`` of one chunk, outside of expressions; history: (interval, attempts) of its kind, kind: waveform and phase.
+
+    Where the model knows no next chunk of the volume, history doesn't count either.
+    """
+    if is_start:
+        return int(VOLUME_GAP_S * 1000)
+    if model_ms is not None:
+        if history:
+            return sum(ms for ms, _ in history) // len(history) + (int(sum(n for _, n in history) / len(history)) - 1) * 1000
+        return model_ms
+    if kind is None:
+        return None
+    return 1000 * (STATIC_WAIT_S["CS"] if kind[0] == "CS" else STATIC_WAIT_S["ConstantPhase"] if kind[1] == "ConstantPhase" else STATIC_WAIT_S["other"])

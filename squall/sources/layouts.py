@@ -66,6 +66,7 @@ MAP_HEADER = (("map_date", "H"), ("map_minutes", "H"), ("n_segments", "H"))
 LOG_HEADER = (("version", "I"), ("identifier", "26s"), ("data_version", "I"), ("compression", "I"), ("compressed_size", "I"), ("decompressed_size", "I"), ("_", "22s"))
 ADAPTATION_HEADER = (("file_name", "12s"), ("format", "4s"), ("revision", "4s"), ("date", "12s"), ("time", "12s"))
 #: Adaptation fields by byte offset in the document: (field, kind, offset).
+# Fixed values: (field, struct code, byte offset) of the adaptation document, in the order of offsets.
 ADAPTATION_FIELDS = (
     ("lower_pre_limit", "f", 44), ("az_lat", "f", 48), ("upper_pre_limit", "f", 52), ("el_lat", "f", 56), ("parkaz", "f", 60), ("parkel", "f", 64),
     ("a_min_shelter_temp", "f", 112), ("a_max_shelter_temp", "f", 116), ("a_min_shelter_ac_temp_diff", "f", 120), ("a_max_xmtr_air_temp", "f", 124),
@@ -104,6 +105,7 @@ ADAPTATION_FIELDS = (
     ("power_meter_zero", "f", 9036), ("txb_baseline", "f", 9040), ("txb_alarm_thresh", "f", 9044),
 )
 #: Adaptation fields of several values: (field, kind, offsets).
+# Fixed values: (field, struct code, byte offsets) of its lists.
 ADAPTATION_LISTS = (
     ("a_fuel_conv", "f", tuple(range(68, 112, 4))), ("atten_table", "f", tuple(range(228, 644, 4))), ("h_rnscale", "f", tuple(range(940, 992, 4))),
     ("atmos", "f", tuple(range(992, 1044, 4))), ("el_index", "f", tuple(range(1044, 1092, 4))), ("v_rnscale", "f", (*range(8700, 8744, 4), 8752, 8756)),
