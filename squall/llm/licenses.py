@@ -68,10 +68,10 @@ def is_identifier(word: str) -> bool:
     return low in PLAIN_IDENTIFIERS or bool(re.search(r"[a-z]", low) and re.search(r"[0-9]|[a-z]-[a-z0-9]", low))
 
 
-def to_postfix(text: str) -> list[str]:
+def to_postfix(text: str, known=lambda word: True) -> list[str]:
     """Shunting-yard: operators ``or`` < ``and`` < ``with``, all left associative.
 
-    The expression ends before an operator whose right side is a word of prose, and before a word that follows an operand.
+    The expression ends before an operator whose right side is a word that isn't known, and before a word that follows an operand.
     """
     out: list[str] = []
     stack: list[str] = []
@@ -82,7 +82,7 @@ def to_postfix(text: str) -> list[str]:
         if low in _RANK:
             if operand_next:
                 raise ExpressionError(text)
-            if after is not None and after not in "()" and after.lower() not in _RANK and not is_identifier(after):
+            if after is not None and after not in "()" and after.lower() not in _RANK and not known(after):
                 break  # prose goes on: "MIT and not ..."
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
@@ -118,7 +118,7 @@ def evaluate(text: str, allows=is_permissive) -> tuple[list[str], bool]:
     """The identifiers named by an expression, and whether it allows."""
     values: list[bool] = []
     names: list[str] = []
-    postfix = to_postfix(text)
+    postfix = to_postfix(text, is_identifier)
     for k, token in enumerate(postfix):
         if token in _RANK:
             right, left = values.pop(), values.pop()
