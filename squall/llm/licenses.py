@@ -77,7 +77,7 @@ def to_postfix(text: str, known=lambda word: True) -> list[str]:
     stack: list[str] = []
     operand_next = True
     tokens = _TOKENS.findall(text)
-    for token, after in zip(tokens, [*tokens[1:], None], strict=True):
+    for token, after in zip(tokens, [*tokens[1:], None], strict=False):
         low = token.lower()
         if low in _RANK:
             if operand_next:

@@ -14,7 +14,7 @@ def test_prose_is_no_licence(text, names, free):
     assert licenses.evaluate(text) == (names, free)
 
 
-@pytest.mark.parametrize("text", ["MIT OR", "MIT and or ISC", "(MIT and more", "AND MIT", "MIT or )"])
+@pytest.mark.parametrize("text", ["", " ", "MIT OR", "MIT and or ISC", "(MIT and more", "AND MIT", "MIT or )"])
 def test_broken_expressions(text):
     with pytest.raises(licenses.ExpressionError):
         licenses.evaluate(text)
