@@ -17,6 +17,12 @@ from squall.shipping import ship
 FIRST_KM, STEP_KM = 2.0, 0.25
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over all cores: a file of one row group is one task's, however much is made of each row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{d}/{name}.parquet")
 

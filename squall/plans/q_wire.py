@@ -194,13 +194,13 @@ def _bodies(s, rows, encode, schema: str):
 
 
 def _word_rows(s, d):
-    return A.words(s, d).withColumnRenamed("o_orderkey", "key")
+    return A.spread(A.words(s, d).withColumnRenamed("o_orderkey", "key"), "key")
 
 
 @add("c14_console_text", "select p_partkey as key, length(p_name) as size, p_name as text from part")
 def c14(s, d):
     rows = A.read(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    return _bodies(s, rows, lambda r: (4, len(r["p_name"].encode()).to_bytes(2, "big") + r["p_name"].encode()), "size long, text string")
+    return _bodies(s, A.spread(rows, "key"), lambda r: (4, len(r["p_name"].encode()).to_bytes(2, "big") + r["p_name"].encode()), "size long, text string")
 
 
 @add("c19_control_commands", f"select o_orderkey as key, w::bigint state_command, c::bigint local_vcp, (v - 32768)::bigint zdr_bias_estimate from {WORDS}")

@@ -9,6 +9,7 @@ Bad messages inside a good record are passed over in either mode.
 from __future__ import annotations
 
 import bz2
+import functools
 import gzip
 import json
 import struct
@@ -275,6 +276,37 @@ def _legacy_resolution(code: int) -> float:
     return {2: 0.5, 4: 1.0}.get(code, 0.0)
 
 
+@functools.cache
+def _adaptation_layout() -> tuple[struct.Struct, tuple]:
+    """The whole document as one layout: its codes, and (field, places of its values, whether it is a list)."""
+    fields = [(name, kind, (at,), False) for name, kind, at in L.ADAPTATION_FIELDS] + [(name, kind, offsets, True) for name, kind, offsets in L.ADAPTATION_LISTS]
+    codes, place, at = ">", {}, 0
+    for k, (begin, kind) in enumerate(sorted((at, kind) for _, kind, offsets, _ in fields for at in offsets)):
+        codes += f"{begin - at}x{kind}"
+        place[begin], at = k, begin + struct.calcsize(">" + kind)
+    return struct.Struct(codes), tuple((name, tuple(place[x] for x in offsets), many) for name, _, offsets, many in fields)
+
+
+def _adaptation(data: bytes) -> dict:
+    """Type 18: all fields; of a document that ends too soon those that are whole."""
+    out = {k: L.text(v) for k, v in L.read(L.ADAPTATION_HEADER, data).items()}
+    codes, fields = _adaptation_layout()
+    if len(data) >= codes.size:
+        values = [L.text(v) if isinstance(v, bytes) else v for v in codes.unpack_from(data)]
+        out |= {name: [values[k] for k in places] if many else values[places[0]] for name, places, many in fields}
+    else:
+        for name, kind, at in L.ADAPTATION_FIELDS:
+            if at + struct.calcsize(">" + kind) <= len(data):
+                v = struct.unpack_from(">" + kind, data, at)[0]
+                out[name] = L.text(v) if isinstance(v, bytes) else v
+        for name, kind, offsets in L.ADAPTATION_LISTS:
+            out[name] = [struct.unpack_from(">" + kind, data, at)[0] for at in offsets if at + struct.calcsize(">" + kind) <= len(data)]
+    if "slondir" in out:
+        out["site_latitude"] = L.sexagesimal(out["slatdeg"], out["slatmin"], out["slatsec"], out["slatdir"], "S")
+        out["site_longitude"] = L.sexagesimal(out["slondeg"], out["slonmin"], out["slonsec"], out["slondir"], "W")
+    return out
+
+
 def decode_body(message_type: int, payloads: list[bytes]) -> dict | None:
     """Fields of a message other than a radial; None for types that are passed on undecoded."""
     s = Segments(payloads)
@@ -323,18 +355,7 @@ def decode_body(message_type: int, payloads: list[bytes]) -> dict | None:
             out["segments"].append({"number": k + 1, "azimuths": azimuths})
         return out
     if message_type == 18:
-        data = b"".join(payloads)
-        out = {k: L.text(v) for k, v in L.read(L.ADAPTATION_HEADER, data).items()}
-        for name, kind, at in L.ADAPTATION_FIELDS:
-            if at + struct.calcsize(">" + kind) <= len(data):
-                v = struct.unpack_from(">" + kind, data, at)[0]
-                out[name] = L.text(v) if isinstance(v, bytes) else v
-        for name, kind, offsets in L.ADAPTATION_LISTS:
-            out[name] = [struct.unpack_from(">" + kind, data, at)[0] for at in offsets if at + struct.calcsize(">" + kind) <= len(data)]
-        if "slondir" in out:
-            out["site_latitude"] = L.sexagesimal(out["slatdeg"], out["slatmin"], out["slatsec"], out["slatdir"], "S")
-            out["site_longitude"] = L.sexagesimal(out["slondeg"], out["slonmin"], out["slonsec"], out["slondir"], "W")
-        return out
+        return _adaptation(b"".join(payloads))
     if message_type == 32:
         n, _ = struct.unpack(">HH", s.take(4))
         waveforms = []
@@ -388,16 +409,48 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     return ship(spark).read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("volume_id"), "content")
 
 
+#: Bytes and rows, about, of what a Python worker holds as objects at once, coming in or going out.
+HELD_BYTES, HELD_ROWS = 8 << 20, 4096
+
+
+def _plain(batches):
+    """The rows of Arrow batches as dicts, made from slices of bounded bytes."""
+    for batch in batches:
+        names = batch.schema.names
+        step = max(1, min(HELD_ROWS, batch.num_rows * HELD_BYTES // max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            for values in zip(*map(_values, part.columns), strict=True):
+                yield dict(zip(names, values, strict=True))
+
+
+def _values(column: pa.Array) -> list:
+    whole = pa.types.is_integer(column.type) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if whole else column.to_pylist()
+
+
+def _weight(value) -> int:
+    """Bytes of a binary value, or of a list of them."""
+    return sum(map(len, value)) if isinstance(value, list) else len(value or b"")
+
+
 def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     """Each input row to some output rows, as plain dicts."""
     arrow = _arrow_schema(schema)
+    heavy = [f.name for f in arrow if pa.types.is_binary(f.type) or pa.types.is_list(f.type) and pa.types.is_binary(f.type.value_type)]
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                made = list(work(row))
-                if made:
+        made, held = [], 0
+        for row in _plain(batches):
+            for one in work(row):
+                made.append(one)
+                for name in heavy:
+                    held += _weight(one[name])
+                if held >= HELD_BYTES or len(made) >= HELD_ROWS:
                     yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -577,7 +630,7 @@ def bodies(messages: DataFrame) -> DataFrame:
         yield {**base, "body": None if body is None else json.dumps(body)}
 
     other = messages.where(F.col("message_type").isNotNull() & ~F.col("message_type").isin(1, 31))
-    out = _rows(other, work, "volume_id string, ordinal long, message_type int, mjd int, ms long, body string")
+    out = _rows(other.select("volume_id", "ordinal", "message_type", "mjd", "ms", "payloads"), work, "volume_id string, ordinal long, message_type int, mjd int, ms long, body string")
     return out.withColumn("type_name", wire.label(F.col("message_type"), wire.MESSAGE_TYPES))
 
 

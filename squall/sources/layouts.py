@@ -136,13 +136,16 @@ def read(layout, data: bytes, at: int = 0) -> dict:
     return out
 
 
+@functools.cache
+def _absent(layout) -> tuple:
+    """(name, its value where it is absent) of each field."""
+    return tuple((name, b"" if code.endswith("s") else 0) for name, code in layout)
+
+
 def write(layout, values: dict) -> bytes:
     """The inverse: absent fields are zero."""
-    out = []
-    for name, code in layout:
-        given = values.get(name, b"" if code.endswith("s") else 0)
-        out.append(struct.pack(">" + code, given.encode() if isinstance(given, str) else given))
-    return b"".join(out)
+    given = [values.get(name, absent) for name, absent in _absent(layout)]
+    return compiled(layout)[0].pack(*[v.encode() if isinstance(v, str) else v for v in given])
 
 
 def text(raw: bytes) -> str | None:
