@@ -52,8 +52,18 @@ def assemble(chunks: DataFrame) -> DataFrame:
     return whole.select(F.concat_ws("-", "site", "volume").alias("volume_id"), "content", "n_chunks", missing.alias("missing"), complete.alias("complete"))
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Everything that is there into a table in memory, then stops."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Everything that is there into files beside the checkpoint, written by the executors, then stops; in complete mode the last batch's rows are the result."""
+    spark, folder = stream.sparkSession, f"{checkpoint}-{name}"
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", folder).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(folder)
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
