@@ -41,9 +41,13 @@ def list_scans(spark: SparkSession, root: str, site: str, day: str) -> DataFrame
     return found.withColumn("time", names.archive_time(F.col("name"))).orderBy("name")
 
 
-def download(spark: SparkSession, root: str, name: str, mode: str = "FAILFAST") -> DataFrame:
-    """Radials of the volume of that name."""
-    return load_file(spark, f"{root}/{name[4:8]}/{name[8:10]}/{name[10:12]}/{name[:4]}/{name}", mode)
+def download(spark: SparkSession, root: str, name: str | DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """Radials of the volume of that name, or of all that a table's column name has: executors fetch them, and one that isn't there is an error."""
+    if isinstance(name, str):
+        return load_file(spark, f"{root}/{name[4:8]}/{name[8:10]}/{name[10:12]}/{name[:4]}/{name}", mode)
+    n = F.col("name")
+    where = F.concat_ws("/", F.lit(root), F.substring(n, 5, 4), F.substring(n, 9, 2), F.substring(n, 11, 2), F.substring(n, 1, 4), n)
+    return archive.scan(_fetched(name.select(n.alias("volume_id"), where.alias("path"))), mode)
 
 
 def download_latest(spark: SparkSession, root: str, site: str, day: str) -> DataFrame:
@@ -75,6 +79,22 @@ def download_chunk(spark: SparkSession, root: str, chunk: feed.ChunkName) -> fee
     return feed.Downloaded(feed.ChunkName(chunk.site, chunk.volume, chunk.prefix, chunk.sequence, chunk.letter, modified), data)
 
 
+def cache_files(paths: DataFrame, folder: str) -> int:
+    """Read-through copies in a cache folder of the files that a table's column path names, made by the executors; returns how many were made: those that are there stay."""
+    spark = paths.sparkSession
+    wanted = paths.select(F.regexp_extract("path", "([^/]+)$", 1).alias("volume_id"), "path").distinct()
+    if listing.object_names(spark, folder):
+        wanted = wanted.join(listing.list_folder(spark, folder).select(F.col("name").alias("volume_id")), "volume_id", "left_anti")
+    return save_bytes(_fetched(wanted), "volume_id", "content", folder)
+
+
+def _fetched(files: DataFrame) -> DataFrame:
+    """files(volume_id, path) with their content; an error for one that isn't there."""
+    got = objects.fetch(files)
+    missing = F.raise_error(F.concat_ws(": ", "path", "error")).cast("binary")
+    return got.select("volume_id", F.when(F.col("error").isNull(), F.col("data")).otherwise(missing).alias("content"))
+
+
 # ---- fields ----
 
 
