@@ -433,9 +433,11 @@ _LEVELS = ",".join(f"({n}, '{p}', {k}, {lv[0]}::double, {lv[1]}::double, {lv[2]}
 @add("k05_builtin_scales", f"select p_partkey, product, max(place) place, arg_max(r, place) r, arg_max(g, place) g, arg_max(b, place) b from part join (values {_LEVELS}) t(n, product, place, least, r, g, b) on n = p_partkey % {len(render.SCALES)} and p_size >= least group by all")
 def k05(s, d):
     """Parts as values of the built-in scales: the highest level that each reaches."""
-    rows = [(n, p, k, *lv) for n, (p, scale) in enumerate(render.SCALES.items()) for k, lv in enumerate(scale)]
-    levels = s.createDataFrame(rows, "n int, product string, place int, least double, r double, g double, b double")
-    p = A.read(s, d, "part").select("p_partkey", "p_size").join(F.broadcast(levels), (F.col("p_partkey") % len(render.SCALES) == F.col("n")) & (F.col("p_size") >= F.col("least")))
+    # a level holds up to the least value of all that are above it, so that a part meets one of them
+    rows = [(n, p, k, *lv, min((x[0] for x in scale[k + 1 :]), default=float("inf"))) for n, (p, scale) in enumerate(render.SCALES.items()) for k, lv in enumerate(scale)]
+    levels = s.createDataFrame(rows, "n int, product string, place int, least double, r double, g double, b double, below double")
+    p = A.spread(A.read(s, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    p = p.join(F.broadcast(levels), (F.col("p_partkey") % len(render.SCALES) == F.col("n")) & (F.col("p_size") >= F.col("least")) & (F.col("p_size") < F.col("below")))
     top = F.max(F.struct("place", "r", "g", "b")).alias("top")
     return p.groupBy("p_partkey", "product").agg(top).select("p_partkey", "product", "top.place", "top.r", "top.g", "top.b")
 
