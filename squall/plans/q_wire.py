@@ -262,7 +262,7 @@ def b08r(s, d):
         F.lit(1).alias("mjd"), F.lit(0).cast("long").alias("ms"), (1 + (F.floor(k / 3) + f * f) % 4).cast("int").alias("segment_count"), (1 + (k * 7 + f * (1 + k % 3)) % 4).cast("int").alias("segment_number"),
         F.encode(F.concat(k.cast("string"), F.lit("."), f.cast("string"), F.lit(";")), "UTF-8").alias("payload"),
     )
-    m = frames.reassemble(rows)
+    m = frames.reassemble(rows, 10 * A.words(s, d).count())
     return m.select(F.col("volume_id").cast("long").alias("key"), F.col("sequence").alias("first_frame"), "n_segments", F.sha2(archive.whole_payload(F.col("payloads")), 256).alias("digest"))
 
 

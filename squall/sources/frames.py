@@ -59,17 +59,28 @@ def frame_rows(records: DataFrame, segment_payload: str = "reference") -> DataFr
     return archive._rows(records, work, FRAMES)
 
 
-def reassemble(frames: DataFrame) -> DataFrame:
-    """Frames (FRAMES) as messages: the columns of the archive's MESSAGES but for places and errors, payloads in order."""
+#: Frames of a partition, about, where their number is known.
+PART_FRAMES = 500_000
+
+
+def reassemble(frames: DataFrame, n: int | None = None) -> DataFrame:
+    """Frames (FRAMES) as messages: the columns of the archive's MESSAGES but for places and errors, payloads in order.
+
+    n: how many frames there are, about, where that is known; partitions follow it.
+    """
     record = ["volume_id", "record_idx"]
-    along = Window.partitionBy(*record, "alone").orderBy("frame_idx")
+    if n is not None:
+        frames = frames.repartition(max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_FRAMES)), *record)
+    along = Window.partitionBy(*record, "alone").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = (F.col("segment_count") <= 1) | (F.col("segment_number") == 1)
     runs = frames.withColumn("_start", start).withColumn("_run", F.when(F.col("alone"), F.col("frame_idx")).otherwise(F.sum(F.col("_start").cast("int")).over(along)))
-    runs = runs.where(F.col("alone") | (F.col("_run") > 0))
-    own = Window.partitionBy(*record, "alone", "_run")
-    ordered = own.orderBy("frame_idx")
-    runs = runs.withColumn("_place", F.row_number().over(ordered)).withColumn("_need", F.when(F.col("alone"), 1).otherwise(F.greatest(F.lit(1), F.first("segment_count").over(ordered))))
-    held = runs.where(F.col("_place") <= F.col("_need"))
+    # a run's frames follow each other, so its start's row and number of segments are the last ones seen
+    runs = runs.withColumn("_row", F.row_number().over(along))
+    since = F.last(F.when(F.col("_start"), F.col("_row")), ignorenulls=True).over(along)
+    need = F.last(F.when(F.col("_start"), F.greatest(F.lit(1), F.col("segment_count"))), ignorenulls=True).over(along)
+    runs = runs.withColumns({"_since": since, "_need": need}).where(F.col("alone") | (F.col("_run") > 0))
+    place, need = (F.when(F.col("alone"), 1).otherwise(x) for x in (F.col("_row") - F.col("_since") + 1, F.col("_need")))
+    held = runs.withColumn("_need", need).where(place <= F.col("_need"))
     names = ("message_type", "channel", "sequence", "mjd", "ms")
     first = F.min_by(F.struct(*names), "frame_idx").alias("h")
     parts = F.array_sort(F.collect_list(F.struct("frame_idx", "payload")))
