@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,10 @@ def hex_dump(data: Column, width: int = 16) -> Column:
     n = F.ceil(F.length(data) / width).cast("int")
     lines = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     return F.when(n > 0, F.transform(lines, lambda k: F.hex(F.substring(data, k * width + 1, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+
+
+def hex_lines(rows: DataFrame, data: str, width: int = 16) -> DataFrame:
+    """A row per line of the hex dump of each row's bytes, with line (from 0) and dump."""
+    n = F.ceil(F.length(data) / width).cast("int")
+    lines = rows.where(n > 0).withColumn("line", F.explode(F.sequence(F.lit(0), n - 1)))
+    return lines.withColumn("dump", F.hex(F.substring(F.col(data), F.col("line") * width + 1, F.lit(width))))

@@ -846,8 +846,8 @@ def j14(s, d):
 
 @add("j15_hex_dump", "select doc_id, k::int as line, upper(hex(encode(text)[k * 16 + 1 : k * 16 + 16])) dump from (select doc_id, text, unnest(range((octet_length(encode(text)) + 15) // 16)) k from documents)")
 def j15(s, d):
-    r = A.read(s, d, "documents").select("doc_id", F.posexplode(display.hex_dump(F.encode("text", "UTF-8"))).alias("line", "dump"))
-    return r.select("doc_id", "line", "dump")
+    r = A.read(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return display.hex_lines(r, "data").select("doc_id", "line", "dump")
 
 
 # ---- M: streams ----
