@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from squall.operators import chunks as CH
 from squall.operators import digests, summaries
 from squall.plans import adapters as A
 from squall.plans.adapters import ARCHIVES, CHUNKS, CUTS, MESSAGES, RAW, WORDS, R
-from squall.sources import archive, listing, stations
+from squall.sources import archive, columnar, listing, stations
 from squall.sources import layouts as L
 
 QUERIES: dict = {}
@@ -188,9 +189,24 @@ def c08(s, d):
     return r.select(F.col("volume_id").cast("long").alias("key"), "azimuth_number", F.round("azimuth_deg", 6).alias("azimuth_deg"), "elevation_number", F.col("REF.first_gate_km").alias("first_gate_km"), total.alias("sum_raw"), F.col("REF.gate_count").alias("n_gates"))
 
 
-def _bodies(s, rows, encode, schema: str):
-    b = archive.bodies(_messages(s, rows, encode))
-    return b.select(F.col("volume_id").cast("long").alias("key"), F.from_json("body", schema).alias("j")).select("key", "j.*")
+def _records(rows, encode):
+    """A record of one message per row; encode(columns) gives (types, payloads) of all rows."""
+
+    def work(columns):
+        kinds, payloads, *sizes = encode(columns)
+        return columnar.messages(kinds, payloads, 18000, columns["key"], sizes=sizes[0] if sizes else None)
+
+    return archive.message_records(rows, work)
+
+
+def _words(*columns):
+    """Halfwords of a payload, a column each."""
+    return np.stack([np.broadcast_to(x, len(columns[0])) for x in columns], 1).astype(">u2").view(np.uint8)
+
+
+def _bodies(rows, kind: int, encode, schema: str):
+    b = archive.record_bodies(_records(rows, lambda r: (kind, *encode(r))), schema, (kind,))
+    return b.select(F.col("volume_id").cast("long").alias("key"), "body.*")
 
 
 def _word_rows(s, d):
@@ -200,39 +216,41 @@ def _word_rows(s, d):
 @add("c14_console_text", "select p_partkey as key, length(p_name) as size, p_name as text from part")
 def c14(s, d):
     rows = A.read(s, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    return _bodies(s, A.spread(rows, "key"), lambda r: (4, len(r["p_name"].encode()).to_bytes(2, "big") + r["p_name"].encode()), "size long, text string")
+
+    def encode(r):
+        texts = [x.encode() for x in r["p_name"]]
+        sizes = np.array([len(x) for x in texts])
+        return np.concatenate([_words(sizes), np.array(texts, f"S{max(1, sizes.max())}")[:, None].view(np.uint8)], 1), sizes + 2
+
+    return _bodies(A.spread(rows, "key"), 4, encode, "size long, text string")
 
 
 @add("c19_control_commands", f"select o_orderkey as key, w::bigint state_command, c::bigint local_vcp, (v - 32768)::bigint zdr_bias_estimate from {WORDS}")
 def c19(s, d):
-    return _bodies(s, _word_rows(s, d), lambda r: (6, L.write(L.CONTROL_COMMANDS, {"state_command": r["w"], "local_vcp": r["c"], "zdr_bias_estimate": r["v"] - 32768})), "state_command long, local_vcp long, zdr_bias_estimate long")
+    fields = lambda r: {"state_command": r["w"], "local_vcp": r["c"], "zdr_bias_estimate": r["v"] - 32768}
+    return _bodies(_word_rows(s, d), 6, lambda r: (L.write_many(L.CONTROL_COMMANDS, len(r["w"]), fields(r)),), "state_command long, local_vcp long, zdr_bias_estimate long")
 
 
 @add("c22_loopback", f"select o_orderkey as key, 3::bigint as size, lower(lpad(hex(w), 4, '0') || lpad(hex(v), 4, '0')) pattern from {WORDS}")
 def c22(s, d):
-    import struct
-
-    return _bodies(s, _word_rows(s, d), lambda r: (11, struct.pack(">HHH", 3, r["w"], r["v"])), "size long, pattern string")
+    return _bodies(_word_rows(s, d), 11, lambda r: (_words(r["w"] * 0 + 3, r["w"], r["v"]),), "size long, pattern string")
 
 
 @add("c26_prf_data", f"select o_orderkey as key, 2 n_waveforms, [w::bigint, v::bigint]::varchar prfs from {WORDS}")
 def c26(s, d):
-    import struct
-
-    b = _bodies(s, _word_rows(s, d), lambda r: (32, struct.pack(">HHHHIIHH", 2, 0, 1, 2, r["w"], r["v"], 2, 0)), "waveforms array<struct<waveform:int,prfs:array<long>>>")
+    b = _bodies(_word_rows(s, d), 32, lambda r: (_words(r["w"] * 0 + 2, 0, 1, 2, 0, r["w"], 0, r["v"], 2, 0),), "waveforms array<struct<waveform:int,prfs:array<long>>>")
     return b.select("key", F.size("waveforms").alias("n_waveforms"), F.concat(F.lit("["), F.array_join(F.col("waveforms")[0]["prfs"].cast("array<string>"), ", "), F.lit("]")).alias("prfs"))
 
 
 @add("c27_log_data", f"select o_orderkey as key, c::bigint as version, 'LOG' || c identifier, lower(lpad(hex(v), 4, '0')) payload_hex from {WORDS}")
 def c27(s, d):
-    return _bodies(s, _word_rows(s, d), lambda r: (33, L.write(L.LOG_HEADER, {"version": r["c"], "identifier": f"LOG{r['c']}", "compressed_size": 2}) + r["v"].to_bytes(2, "big")), "version long, identifier string, payload_hex string")
+    fields = lambda r: {"version": r["c"], "identifier": np.char.add(b"LOG", r["c"].astype("S")), "compressed_size": 2}
+    return _bodies(_word_rows(s, d), 33, lambda r: (np.concatenate([L.write_many(L.LOG_HEADER, len(r["c"]), fields(r)), _words(r["v"])], 1),), "version long, identifier string, payload_hex string")
 
 
 @add("c13_performance_fields", f"select o_orderkey as key, w first_word, case when v >= 32768 then v - 65536 else v end signed_word, w::bigint * 65536 + v long_word from {WORDS}")
 def c13(s, d):
-    import struct
-
-    b = _bodies(s, _word_rows(s, d), lambda r: (3, struct.pack(">480H", r["w"], r["v"], r["w"], r["v"], *[0] * 476)), "halfwords array<int>")
+    b = _bodies(_word_rows(s, d), 3, lambda r: (np.pad(_words(r["w"], r["v"], r["w"], r["v"]), ((0, 0), (0, 952))),), "halfwords array<int>")
     layout = (("first_word", 1, "u16"), ("signed_word", 2, "i16"), ("long_word", 3, "u32"))
     return b.select("key", *[c.alias(n) for n, c in wire.halfword_fields(F.col("halfwords"), layout).items()])
 
@@ -560,7 +578,12 @@ def c25(s, d):
         })
 
     kinds = "site_latitude double, site_longitude double, site_name string, site_ground_height long, ant_manual_setup_iel_min long, a_fuel_conv array<double>, atmos array<double>, v_rnscale array<double>, dig_rcvr_clock_freq double, txb_alarm_thresh double"
-    b = _bodies(s, _word_rows(s, d), encode, kinds)
+    def work(row):
+        kind, payload = encode(row)
+        data = archive.message_bytes(kind, payload, 18000, row["key"])
+        yield {"volume_id": str(row["key"]), "record_idx": 0, "offset": 0, "size": len(data), "compressed": False, "data": data, "_corrupt": None}
+
+    b = archive.record_bodies(archive._rows(_word_rows(s, d), work, archive.RECORDS), kinds, (18,)).select(F.col("volume_id").cast("long").alias("key"), "body.*")
     return b.select(
         "key", F.round("site_latitude", 6).alias("latitude"), F.round("site_longitude", 6).alias("longitude"), "site_name", F.col("site_ground_height").alias("ground"), F.col("ant_manual_setup_iel_min").alias("elevation_min"),
         F.col("a_fuel_conv")[1].alias("fuel_10"), F.size("atmos").alias("n_atmos"), F.round(F.col("v_rnscale")[12], 6).alias("last_v_rnscale"), F.col("dig_rcvr_clock_freq").alias("clock"), F.col("txb_alarm_thresh").alias("alarm_threshold"),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from squall.functions import wire
 from squall.shipping import ship
+from squall.sources import columnar
 from squall.sources import layouts as L
 
 
@@ -437,25 +438,29 @@ def _weight(value) -> int:
 def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     """Each input row to some output rows, as plain dicts."""
     arrow = _arrow_schema(schema)
-    heavy = [f.name for f in arrow if pa.types.is_binary(f.type) or pa.types.is_list(f.type) and pa.types.is_binary(f.type.value_type)]
 
     def run(batches):
-        made, held = [], 0
-        for row in _plain(batches):
-            for one in work(row):
-                made.append(one)
-                for name in heavy:
-                    held += _weight(one[name])
-                if held >= HELD_BYTES or len(made) >= HELD_ROWS:
-                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
-                    made, held = [], 0
-        if made:
-            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+        yield from _gathered((one for row in _plain(batches) for one in work(row)), arrow)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def _gathered(rows, arrow: pa.Schema):
+    """Rows as batches of bounded bytes."""
+    heavy = [f.name for f in arrow if pa.types.is_binary(f.type) or pa.types.is_list(f.type) and pa.types.is_binary(f.type.value_type)]
+    made, held = [], 0
+    for one in rows:
+        made.append(one)
+        for name in heavy:
+            held += _weight(one[name])
+        if held >= HELD_BYTES or len(made) >= HELD_ROWS:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+            made, held = [], 0
+    if made:
+        yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+
 def volume_headers(volumes: DataFrame) -> DataFrame:
     def work(row):
         data = gunzip(row["content"])
@@ -501,27 +506,83 @@ def open_records(records: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return _rows(records, work, RECORDS)
 
 
+#: Bytes, about, that are walked at once in numpy, and rows that are written at once.
+WALKED_BYTES, WALKED_ROWS = 2 << 20, 1024
+
+
+def _opened(batches, mode: str):
+    """(rows, bytes, starts, ends, error) of RECORDS, opened, in parts of bounded bytes; a row with an error comes alone."""
+    for batch in batches:
+        step = max(1, min(HELD_ROWS, batch.num_rows * WALKED_BYTES // max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            if not part.column("compressed").true_count and part.column("_corrupt").null_count == part.num_rows:
+                yield (part, *columnar.bytes_of(part.column("data")), None)
+                continue
+            held, begin = [], 0
+            for k in range(part.num_rows):
+                try:
+                    if part.column("_corrupt")[k].as_py():
+                        raise RecordError(part.column("_corrupt")[k].as_py())
+                    data = part.column("data")[k].as_py() or b""
+                    held.append(open_record(data) if part.column("compressed")[k].as_py() else data)
+                    error = None
+                except RecordError as e:
+                    if mode == "FAILFAST":
+                        raise
+                    error = str(e)
+                if held and (error or k == part.num_rows - 1 or sum(map(len, held)) >= WALKED_BYTES):
+                    yield (part.slice(begin, len(held)), *_joined(held), None)
+                    held, begin = [], begin + len(held)
+                if error:
+                    yield part.slice(k, 1), *_joined([]), error
+                    begin = k + 1
+
+
+def _joined(pieces: list[bytes]):
+    ends = np.cumsum([len(x) for x in pieces], dtype=np.int64)
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([np.zeros(min(1, len(pieces)), np.int64), ends[:-1]]), ends
+
+
+def _place(part: pa.RecordBatch, walk: columnar.Walk, chosen=slice(None)) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(volume_id, record_idx, ordinal) of the walk's messages."""
+    rec = walk.rec[chosen]
+    number = part.column("record_idx").to_numpy(zero_copy_only=False).astype(np.int64)[rec]
+    return part.column("volume_id").take(pa.array(rec)), number, number * 1_000_000 + walk.idx[chosen]
+
+
 def decode_records(records: DataFrame, mode: str = "FAILFAST", segment_payload: str = "reference") -> DataFrame:
     """One row per message of each record."""
+    arrow = _arrow_schema(MESSAGES)
 
-    def work(row):
-        base = {"volume_id": row["volume_id"], "record_idx": row["record_idx"]}
-        try:
-            if row["_corrupt"]:
-                raise RecordError(row["_corrupt"])
-            data = open_record(row["data"]) if row["compressed"] else row["data"]
-        except RecordError as e:
-            if mode == "FAILFAST":
-                raise
-            yield {**base, "message_idx": -1, "ordinal": None, "offset": 0, "size": 0, "message_type": None, "channel": None, "sequence": None, "mjd": None, "ms": None, "n_segments": 0, "payloads": [], "_corrupt": str(e)}
-            return
-        for k, (h, at, n, payloads) in enumerate(frame_messages(data, segment_payload)):
+    def one_by_one(part, row, data, start, end):
+        volume_id, number = part.column("volume_id")[row].as_py(), part.column("record_idx")[row].as_py()
+        for k, (h, at, n, payloads) in enumerate(frame_messages(data[start[row] : end[row]].tobytes(), segment_payload)):
             yield {
-                **base, "message_idx": k, "ordinal": row["record_idx"] * 1_000_000 + k, "offset": at, "size": n, "message_type": h["message_type"], "channel": h["channel"],
-                "sequence": h["sequence"], "mjd": h["mjd"], "ms": h["ms"], "n_segments": len(payloads), "payloads": payloads, "_corrupt": None,
+                "volume_id": volume_id, "record_idx": number, "message_idx": k, "ordinal": number * 1_000_000 + k, "offset": at, "size": n, "message_type": h["message_type"],
+                "channel": h["channel"], "sequence": h["sequence"], "mjd": h["mjd"], "ms": h["ms"], "n_segments": len(payloads), "payloads": payloads, "_corrupt": None,
             }
 
-    return _rows(records, work, MESSAGES)
+    def run(batches):
+        for part, data, start, end, error in _opened(batches, mode):
+            if error:
+                row = dict.fromkeys(arrow.names) | {"message_idx": -1, "offset": 0, "size": 0, "n_segments": 0, "payloads": [], "_corrupt": error}
+                yield pa.RecordBatch.from_pylist([row | {n: part.column(n)[0].as_py() for n in ("volume_id", "record_idx")}], schema=arrow)
+                continue
+            walk = columnar.Walk(data, start, end)
+            if len(walk.rec):
+                volume_id, number, ordinal = _place(part, walk)
+                h = walk.header
+                made = [
+                    volume_id, number, walk.idx, ordinal, walk.at - start[walk.rec], walk.size, h["message_type"], h["channel"], h["sequence"], h["mjd"], h["ms"],
+                    np.ones(len(number)), walk.payloads(), pa.nulls(len(number)),
+                ]
+                made = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(made, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
+            yield from _gathered((one for row in walk.slow for one in one_by_one(part, row, data, start, end)), arrow)
+
+    ship(records.sparkSession)
+    return records.mapInArrow(run, MESSAGES)
 
 
 _NUMBERS = (
@@ -598,22 +659,82 @@ def radials(messages: DataFrame, types: tuple[int, ...] = (31, 1)) -> DataFrame:
     schema = _arrow_schema(RADIALS)
 
     def run(batches):
-        rows = RadialRows(schema)
         for batch in batches:
-            for volume_id, ordinal, kind, payloads in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
-                try:
-                    r = decode_radial(payloads[0]) if kind == 31 else decode_legacy_radial(payloads)
-                except (struct.error, ValueError):
-                    continue
-                rows.add(volume_id, ordinal, r)
-                if rows.gates > BATCH_GATES:
+            step = max(1, min(HELD_ROWS, batch.num_rows * WALKED_BYTES // max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, step):
+                volume_ids, ordinals, kinds, payloads = batch.slice(first, step).columns
+                digital = kinds.to_numpy(zero_copy_only=False) == 31
+                data, start, end = columnar.bytes_of(payloads.values)
+                place = payloads.offsets.to_numpy()[:-1][digital]
+                yield from _digital(schema, volume_ids.filter(pa.array(digital)), ordinals.filter(pa.array(digital)), data, start[place], end[place])
+                rows = RadialRows(schema)
+                for k in np.flatnonzero(~digital).tolist():
+                    try:
+                        r = decode_legacy_radial(payloads[k].as_py())
+                    except (struct.error, ValueError):
+                        continue
+                    rows.add(volume_ids[k].as_py(), ordinals[k].as_py(), r)
+                if rows.gates:
                     yield rows.batch()
-            yield rows.batch()
 
     chosen = messages.where(F.col("message_type").isin(*types)).select("volume_id", "ordinal", "message_type", "payloads")
     return chosen.mapInArrow(run, RADIALS)
 
 
+def _digital(schema, volume_ids: pa.Array, ordinals: pa.Array, data, start, end):
+    """Batches of digital radials at these places; those that are not sound are passed over."""
+    step = max(1, BATCH_GATES * len(start) // max(1, int((end - start).sum())))
+    for first in range(0, len(start), step):
+        own = slice(first, first + step)
+        numbers, moments, kept, dateless = columnar.radial_columns(data, start[own], end[own])
+        if dateless:
+            raise RecordError("message without a date")
+        kept = pa.array(kept + first)
+        yield columnar.radial_batch(schema, volume_ids.take(kept), ordinals.take(kept), numbers, moments)
+
+
+def _record_radials(schema, part, data, start, end, types):
+    """Batches of the radials of opened records."""
+    walk = columnar.Walk(data, start, end)
+    chosen = np.flatnonzero(walk.header["message_type"] == 31) if 31 in types else np.zeros(0, np.int64)
+    volume_ids, _, ordinals = _place(part, walk, chosen)
+    yield from _digital(schema, volume_ids, pa.array(ordinals), data, walk.at[chosen] + L.HEADER_BYTES, walk.at[chosen] + walk.size[chosen])
+    rows = RadialRows(schema)
+
+    def single():
+        for k in np.flatnonzero(walk.header["message_type"] == 1).tolist() if 1 in types else ():
+            at = int(walk.at[k])
+            yield int(walk.rec[k]), int(walk.idx[k]), 1, [data[at + L.HEADER_BYTES : at + L.FRAME_BYTES].tobytes()]
+        for row in walk.slow.tolist():
+            for k, (h, _, _, payloads) in enumerate(frame_messages(data[start[row] : end[row]].tobytes())):
+                if h["message_type"] in types:
+                    yield row, k, h["message_type"], payloads
+
+    for row, k, kind, payloads in single():
+        try:
+            r = decode_radial(payloads[0]) if kind == 31 else decode_legacy_radial(payloads)
+        except (struct.error, ValueError):
+            continue
+        rows.add(part.column("volume_id")[row].as_py(), part.column("record_idx")[row].as_py() * 1_000_000 + k, r)
+        if len(rows.columns["ordinal"]) >= HELD_ROWS or rows.gates > BATCH_GATES:
+            yield rows.batch()
+    if rows.columns["ordinal"]:
+        yield rows.batch()
+
+
+def record_radials(records: DataFrame, mode: str = "FAILFAST", types: tuple[int, ...] = (31, 1)) -> DataFrame:
+    """``radials`` of ``decode_records``, in one pass over the bytes."""
+    ship(records.sparkSession)
+    schema = _arrow_schema(RADIALS)
+
+    def run(batches):
+        for part, data, start, end, error in _opened(batches, mode):
+            if not error:
+                yield from _record_radials(schema, part, data, start, end, types)
+
+    return records.mapInArrow(run, RADIALS)
+
+
 def _scaled(x, by: float):
     return None if x is None else x / by
 
@@ -634,6 +755,56 @@ def bodies(messages: DataFrame) -> DataFrame:
     return out.withColumn("type_name", wire.label(F.col("message_type"), wire.MESSAGE_TYPES))
 
 
+def record_bodies(records: DataFrame, fields: str, types: tuple[int, ...], mode: str = "FAILFAST") -> DataFrame:
+    """``bodies`` of ``decode_records`` of some types in one pass over the bytes: body is a struct of fields (of decode_body; what a type lacks is null), null for types that are passed on undecoded."""
+    types = tuple(k for k in types if k not in (1, 31))
+    ship(records.sparkSession)
+    schema = f"volume_id string, ordinal long, message_type int, mjd int, ms long, body struct<{fields}>"
+    arrow = _arrow_schema(schema)
+    own = arrow.field("body").type
+
+    def decoded(kind: int, payloads: list[bytes]):
+        try:
+            return True, decode_body(kind, payloads)
+        except (struct.error, ValueError):
+            return False, None
+
+    def one_by_one(part, row, data, start, end):
+        volume_id, number = part.column("volume_id")[row].as_py(), part.column("record_idx")[row].as_py()
+        for k, (h, _, _, payloads) in enumerate(frame_messages(data[start[row] : end[row]].tobytes())):
+            if h["message_type"] in types:
+                sound, body = decoded(h["message_type"], payloads)
+                if sound:
+                    yield {"volume_id": volume_id, "ordinal": number * 1_000_000 + k, "message_type": h["message_type"], "mjd": h["mjd"], "ms": h["ms"], "body": body}
+
+    def run(batches):
+        for part, data, start, end, error in _opened(batches, mode):
+            if error:
+                continue
+            walk = columnar.Walk(data, start, end)
+            kinds = walk.header["message_type"]
+            for kind in types:
+                chosen = np.flatnonzero(kinds == kind)
+                if not len(chosen):
+                    continue
+                at = walk.at[chosen] + L.HEADER_BYTES
+                try:
+                    found, sound = columnar.body_columns(kind, data, at)
+                    body = columnar.body_struct(found, len(at), own)
+                except KeyError:
+                    each = [decoded(kind, [data[x : x + L.FRAME_BYTES - L.HEADER_BYTES].tobytes()]) for x in at.tolist()]
+                    sound, body = np.array([x for x, _ in each]), pa.array([x for _, x in each], own)
+                volume_id, _, ordinal = _place(part, walk, chosen)
+                h = walk.header[chosen]
+                made = [volume_id, pa.array(ordinal), *(pa.array(h[n].astype(f)) for n, f in (("message_type", np.int32), ("mjd", np.int32), ("ms", np.int64))), body]
+                made = pa.RecordBatch.from_arrays(made, schema=arrow)
+                yield made if sound.all() else made.filter(pa.array(sound))
+            yield from _gathered((one for row in walk.slow.tolist() for one in one_by_one(part, row, data, start, end)), arrow)
+
+    out = records.mapInArrow(run, schema)
+    return out.withColumn("type_name", wire.label(F.col("message_type"), wire.MESSAGE_TYPES))
+
+
 def whole_payload(payloads: Column) -> Column:
     """A message's segments as one."""
 
@@ -660,8 +831,7 @@ def volume_radials(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
             raise RecordError("shorter than a volume header")
         return split_records(data[L.size(L.VOLUME_HEADER) :])
 
-    def run(batches):
-        rows = RadialRows(schema)
+    def pieces(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 volume_id = batch.column(0)[k].as_py()
@@ -673,22 +843,25 @@ def volume_radials(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
                     continue
                 for number, (_, record) in enumerate(records):
                     try:
-                        data = open_record(record) if is_compressed(record) else record
+                        yield volume_id, number, open_record(record) if is_compressed(record) else record
                     except RecordError:
                         if mode == "FAILFAST":
                             raise
-                        continue
-                    for place, (header, _, _, _, blocks) in enumerate(walk_messages(data)):
-                        if header["message_type"] != 31:
-                            continue
-                        try:
-                            r = decode_radial(data, blocks)
-                        except (struct.error, ValueError):
-                            continue
-                        rows.add(volume_id, number * 1_000_000 + place, r)
-                    if rows.gates > BATCH_GATES:
-                        yield rows.batch()
-            yield rows.batch()
+
+    def run(batches):
+        held, size = [], 0
+        for piece in pieces(batches):
+            held.append(piece)
+            size += len(piece[2])
+            if size >= WALKED_BYTES:
+                yield from walked(held)
+                held, size = [], 0
+        if held:
+            yield from walked(held)
+
+    def walked(held):
+        part = pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in held], pa.string()), pa.array([n for _, n, _ in held], pa.int64())], ["volume_id", "record_idx"])
+        yield from _record_radials(schema, part, *_joined([x for _, _, x in held]), (31,))
 
     return volumes.select("volume_id", "content").mapInArrow(run, RADIALS)
 
@@ -755,6 +928,28 @@ def radial_bytes(header: dict, moments: dict[str, dict], volume: dict | None = N
     return L.write(L.RADIAL_HEADER, {**header, "data_block_count": len(blocks), "radial_length": at}) + struct.pack(f">{len(pointers)}I", *pointers) + b"".join(blocks)
 
 
+def message_records(rows: DataFrame, encode) -> DataFrame:
+    """A record of one message per row: RECORDS, volume_id is the row's key; encode(columns as numpy arrays) gives a message's bytes a row (``columnar.messages``)."""
+    arrow = _arrow_schema(RECORDS)
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, WALKED_ROWS):
+                part = batch.slice(first, WALKED_ROWS)
+                for name, column in zip(part.schema.names, part.columns, strict=True):
+                    if column.null_count:
+                        raise ValueError(f"{name} of a message is null")
+                data = encode({name: column.to_numpy(zero_copy_only=False) for name, column in zip(part.schema.names, part.columns, strict=True)})
+                n, width = data.shape
+                raw = columnar.binary(data.reshape(-1), np.arange(n) * width, np.full(n, width))
+                same = lambda x, kind: pa.array(np.full(n, x), kind)
+                made = [part.column("key").cast(pa.string()), same(0, pa.int32()), same(0, pa.int64()), same(width, pa.int64()), same(False, pa.bool_()), raw, pa.nulls(n, pa.string())]
+                yield pa.RecordBatch.from_arrays(made, schema=arrow)
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, RECORDS)
+
+
 def volume_bytes(records: list[bytes], header: dict | None = None, compressed: bool = True) -> bytes:
     """A volume file of records (each the bytes of its messages)."""
     out = L.write(L.VOLUME_HEADER, {"tape_filename": "AR2V0006.", "extension": "001", "mjd": 1, "icao": "KTLX", **(header or {})})

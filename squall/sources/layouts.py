@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 import struct
 
+import numpy as np
+
 # Fixed values: (field, struct code) in wire order; "_" names padding.
 VOLUME_HEADER = (("tape_filename", "9s"), ("extension", "3s"), ("mjd", "I"), ("ms", "I"), ("icao", "4s"))
 MESSAGE_HEADER = (
@@ -148,6 +150,36 @@ def write(layout, values: dict) -> bytes:
     return compiled(layout)[0].pack(*[v.encode() if isinstance(v, str) else v for v in given])
 
 
+@functools.cache
+def dtype(layout) -> np.dtype:
+    """A layout as numpy's type of one row; padding has the names _0, _1, ..."""
+    kinds = {"H": ">u2", "h": ">i2", "I": ">u4", "i": ">i4", "B": "u1", "f": ">f4", "d": ">f8"}
+    return np.dtype([(f"_{k}" if name == "_" else name, f"S{code[:-1]}" if code.endswith("s") else kinds[code]) for k, (name, code) in enumerate(layout)])
+
+
+def bytes_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n bytes from each offset, a row each; offsets at equal distances give a view."""
+    step = int(at[1] - at[0]) if len(at) > 1 else n
+    if len(at) and step > 0 and np.all(np.diff(at) == step):
+        return np.lib.stride_tricks.as_strided(data[at[0] :], (len(at), n), (step, 1), writeable=False)
+    return data[at[:, None] + np.arange(n)]
+
+
+def read_many(layout, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``read`` at many offsets of an array of bytes, as a structured array; all of them lie within."""
+    kind = dtype(layout)
+    return np.ascontiguousarray(bytes_at(data, at, kind.itemsize)).view(kind)[:, 0] if len(at) else np.zeros(0, kind)
+
+
+def write_many(layout, n: int, values: dict) -> np.ndarray:
+    """``write`` of n rows, from single values or arrays, as n rows of bytes; absent fields are zero."""
+    out = np.zeros(n, dtype(layout))
+    for name in out.dtype.names:
+        if name in values:
+            out[name] = values[name]
+    return out.view(np.uint8).reshape(n, -1)
+
+
 def text(raw: bytes) -> str | None:
     """UTF-8 text without trailing NULs and blanks; None if it is none."""
     try:
