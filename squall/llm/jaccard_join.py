@@ -400,11 +400,17 @@ def _with_sets(docs: DataFrame, members: DataFrame, n: int, width: int, again: b
     return (joined.dropDuplicates(["node"]) if again else joined).select("node", "shingles")
 
 
+def _stars(keyed: DataFrame) -> DataFrame:
+    """(a, b): of every key with a row that probes, its other nodes and the least node that probes; at most a row for each of keyed, told in one pass along each key."""
+    probes = F.col("kind") >= PROBES
+    along = Window.partitionBy("key").orderBy(F.desc(probes), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = keyed.select("node", F.first("node").over(along).alias("hub"), F.first(probes).over(along).alias("probed"))
+    return first.where(F.col("probed") & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
 def _cluster_links(sets: DataFrame, own: DataFrame, keyed: DataFrame, percent: int, task_bytes: int) -> DataFrame:
     """(node, label) of all nodes that are linked; sets: (node, shingles), own: (node, n, tokens), keyed: (key, node, kind)."""
-    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("kind") >= PROBES, F.col("node"))).alias("hub")).where("rows > 1 and hub is not null").select(F.col("key").alias("hk"), "hub")
-    stars = keyed.join(hubs, F.col("key") == F.col("hk")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    clusters = components(stars).select(F.col("node").alias("cn"), F.col("label").alias("cluster"))
+    clusters = components(_stars(keyed)).select(F.col("node").alias("cn"), F.col("label").alias("cluster"))
     members = own.join(clusters, F.col("node") == F.col("cn")).drop("cn")
     sizes = members.groupBy(F.col("cluster").alias("sc")).agg(F.sum(8 * F.col("n")).alias("size")).where(F.col("size") > task_bytes)
     members, seen = written(members.join(sizes, F.col("cluster") == F.col("sc"), "left").drop("sc"), large=F.count("size"))
