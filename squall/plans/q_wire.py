@@ -37,12 +37,15 @@ def add(name: str, sql: str | None = None):
 BLOCK = 250
 VOLUME = f"'v' || (label % 2) || '-' || (vec_id // {BLOCK})"
 VOLUME_R = VOLUME.replace("label", "sweep_idx")
+FILE = f"concat('v', sweep_idx % 2, '-', floor(vec_id / {BLOCK}))"
+#: Azimuth numbers that a halfword tells apart.
+NUMBERS = 65536
 EVERY_VOLUME = f"(select distinct {VOLUME} volume_id from embeddings)"
 
 
 def volumes(s, d):
     """volume_id v0-0, v1-0, v0-1, ...: a metadata record, then a record per tilt."""
-    r = A.radials(s, d).withColumn("file", F.concat(F.lit("v"), (F.col("sweep_idx") % 2).cast("string"), F.lit("-"), F.floor(F.col("vec_id") / BLOCK).cast("string")))
+    r = A.radials(s, d).withColumn("file", F.expr(FILE))
 
     def build(table):
         import pyarrow as pa
@@ -55,7 +58,7 @@ def volumes(s, d):
         for tilt in sorted({x["sweep_idx"] for x in rows}):
             part = b""
             for x in (x for x in rows if x["sweep_idx"] == tilt):
-                head = {"radar_identifier": "KTLX", "mjd": 18000, "ms": x["vec_id"] * 13, "azimuth_number": x["az_idx"] + 1, "azimuth_angle": x["azimuth_deg"], "azimuth_resolution_spacing": 2, "elevation_number": tilt + 1, "elevation_angle": x["elevation_deg"], "radial_status": 1}
+                head = {"radar_identifier": "KTLX", "mjd": 18000, "ms": x["vec_id"] * 13, "azimuth_number": (x["az_idx"] + 1) % NUMBERS, "azimuth_angle": x["azimuth_deg"], "azimuth_resolution_spacing": 2, "elevation_number": tilt + 1, "elevation_angle": x["elevation_deg"], "radial_status": 1}
                 raw = [int(abs(float(v)) * 400.0) for v in x["embedding"]]
                 moment = {"scale": 2.0, "offset": 66.0, "first_gate_m": 2000, "gate_interval_m": 250, "raw": raw}
                 wide = {"scale": 100.0, "offset": 2.0, "first_gate_m": 2000, "gate_interval_m": 250, "raw": [v * 100 for v in raw], "word_size": 16}
@@ -64,7 +67,15 @@ def volumes(s, d):
             records.append(part)
         return pa.table({"volume_id": [rows[0]["file"]], "content": pa.array([archive.volume_bytes(records, {"mjd": 18000, "ms": 5000})], pa.binary())})
 
-    return r.groupBy("file").applyInArrow(build, "volume_id string, content binary")
+    # dealt over all cores: what a worker holds follows the number of volumes of its part, not how few parts small tables are put into
+    return A.spread(r, "file").groupBy("file").applyInArrow(build, "volume_id string, content binary")
+
+
+def _counted_on(s, d, r):
+    """Radials with azimuth numbers counted on: a number of the wire is a halfword and begins anew after 65,535, so it is taken from the first one of the file's tilt."""
+    first = A.radials(s, d).groupBy(F.expr(FILE).alias("f"), F.col("elevation_number").alias("t")).agg((F.min("az_idx") + 1).alias("first"))
+    r = r.join(first, (F.col("volume_id") == F.col("f")) & (F.col("elevation_number") == F.col("t")))
+    return r.withColumn("azimuth_number", F.col("first") + F.pmod(F.col("azimuth_number") - F.col("first"), F.lit(NUMBERS)))
 
 
 @add("a01_load_volume", f"""select volume_id, k::int sweep_idx, count(distinct vec_id) n_radials, sum(raw)::bigint sum_raw, count(*) n_gates from (select {VOLUME} volume_id,
@@ -91,14 +102,14 @@ def b07(s, d):
 
 @add("b11_record_radials", f"select {VOLUME_R} volume_id, elevation_number, count(*) n, min(az_idx) + 1 first_azimuth, max(az_idx) + 1 last_azimuth from {R} group by all")
 def b11(s, d):
-    r = archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d))))
+    r = _counted_on(s, d, archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d)))))
     return r.groupBy("volume_id", "elevation_number").agg(F.count(F.lit(1)).alias("n"), F.min("azimuth_number").alias("first_azimuth"), F.max("azimuth_number").alias("last_azimuth"))
 
 
 @add("c01_radial_moments", f"""select {VOLUME_R} volume_id, az_idx + 1 azimuth_number, elevation_number, vec_id % 2 = 1 has_phi, 64 n_gates, (18000 - 1) * 86400000::bigint + vec_id * 13 time_ms,
  list_sum(list_transform(embedding, lambda x: floor(abs(x::double) * 400e0)))::bigint * 100 * (vec_id % 2) sum_phi from {R}""")
 def c01(s, d):
-    r = archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d))))
+    r = _counted_on(s, d, archive.radials(archive.decode_records(archive.split_volumes(volumes(s, d)))))
     total = F.aggregate(F.coalesce("PHI.raw", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda a, x: a + x)
     return r.select("volume_id", "azimuth_number", "elevation_number", F.col("PHI").isNotNull().alias("has_phi"), F.col("REF.gate_count").alias("n_gates"), "time_ms", total.alias("sum_phi"))
 
@@ -120,7 +131,7 @@ def c15(s, d):
 
 @add("l03_trim_volume", f"select {VOLUME} volume_id, (label + 1) elevation_number, count(*) n from embeddings where label in (2, 5) group by all")
 def l03(s, d):
-    return archive.scan(archive.trim(volumes(s, d), {3, 6})).groupBy("volume_id", "elevation_number").agg(F.count(F.lit(1)).alias("n"))
+    return archive.scan(volumes(s, d), sweeps={3, 6}).groupBy("volume_id", "elevation_number").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("d13_retention", f"select {VOLUME} volume_id, count(distinct label) filter (label in (2, 4, 5)) + 1 n_records from embeddings group by all")

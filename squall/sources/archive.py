@@ -820,13 +820,13 @@ def load(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     return scan(read_volumes(spark, path), mode)
 
 
-def volume_radials(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    """Digital radials of volumes, from file to gates in one pass over the bytes."""
+def volume_radials(volumes: DataFrame, mode: str = "FAILFAST", sweeps: set[int] | None = None) -> DataFrame:
+    """Digital radials of volumes, from file to gates in one pass over the bytes; sweeps: of the volumes that ``trim`` makes of them, in the same worker."""
     ship(volumes.sparkSession)
     schema = _arrow_schema(RADIALS)
 
     def opened(content: bytes):
-        data = gunzip(content)
+        data = gunzip(content if sweeps is None else trimmed(content, sweeps))
         if len(data) < L.size(L.VOLUME_HEADER):
             raise RecordError("shorter than a volume header")
         return split_records(data[L.size(L.VOLUME_HEADER) :])
@@ -866,11 +866,11 @@ def volume_radials(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return volumes.select("volume_id", "content").mapInArrow(run, RADIALS)
 
 
-def scan(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    """Radials of volumes, digital messages only, with sweep_idx."""
+def scan(volumes: DataFrame, mode: str = "FAILFAST", sweeps: set[int] | None = None) -> DataFrame:
+    """Radials of volumes, digital messages only, with sweep_idx; sweeps: ``scan`` of ``trim``, without a second Python worker a task."""
     from squall.operators.fields import segment_sweeps
 
-    return segment_sweeps(volume_radials(volumes, mode), ["ordinal"])
+    return segment_sweeps(volume_radials(volumes, mode, sweeps), ["ordinal"])
 
 
 # ---- writers -------------------------------------------------------------------
@@ -962,18 +962,18 @@ def volume_bytes(records: list[bytes], header: dict | None = None, compressed: b
     return out
 
 
+def trimmed(content: bytes, sweeps: set[int]) -> bytes:
+    """A volume file with only its first (metadata) record and those that hold a radial of the given elevation numbers."""
+    data, head = gunzip(content), L.size(L.VOLUME_HEADER)
+    kept = []
+    for k, (_, record) in enumerate(split_records(data[head:])):
+        opened = open_record(record) if is_compressed(record) else record
+        has = any(h["message_type"] == 31 and L.read(L.RADIAL_HEADER, p[0])["elevation_number"] in sweeps for h, _, _, p in frame_messages(opened))
+        if k == 0 or has:
+            kept.append(record)
+    return data[:head] + b"".join(kept)
+
+
 def trim(volumes: DataFrame, sweeps: set[int]) -> DataFrame:
     """Volumes with only the first (metadata) record and those records that hold a radial of the given elevation numbers."""
-
-    def work(row):
-        data = gunzip(row["content"])
-        head = L.size(L.VOLUME_HEADER)
-        kept = []
-        for k, (_, record) in enumerate(split_records(data[head:])):
-            opened = open_record(record) if is_compressed(record) else record
-            has = any(h["message_type"] == 31 and L.read(L.RADIAL_HEADER, p[0])["elevation_number"] in sweeps for h, _, _, p in frame_messages(opened))
-            if k == 0 or has:
-                kept.append(record)
-        yield {"volume_id": row["volume_id"], "content": data[:head] + b"".join(kept)}
-
-    return _rows(volumes, work, "volume_id string, content binary")
+    return _rows(volumes, lambda row: [{"volume_id": row["volume_id"], "content": trimmed(row["content"], sweeps)}], "volume_id string, content binary")
