@@ -951,19 +951,14 @@ _ASSEMBLED = f"""(select volume_id || '-1' volume_id, n, (count(distinct label)
 
 
 def _feed(s, d):
-    """Volumes cut into chunks (the head with the first record, then a record each), each a site's: of odd ones the fourth chunk never comes, of others the second comes twice."""
-    v = volumes(s, d)
-    own = F.split("volume_id", "-")
-    n = (own[1].cast("long") * 2 + F.substring(own[0], 2, 1).cast("long")).alias("n")
-    records = archive.split_volumes(v).select(F.col("volume_id").alias("site"), n, (F.col("record_idx") + 1).alias("sequence"), "data")
-    head = v.select(F.col("volume_id").alias("v"), F.substring("content", 1, L.size(L.VOLUME_HEADER)).alias("head"))
-    last = records.groupBy(F.col("site").alias("l")).agg(F.max("sequence").alias("end"))
-    kind = F.when(F.col("sequence") == 1, "Start").when(F.col("sequence") == F.col("end"), "End").otherwise("Intermediate")
-    c = records.join(head, F.col("site") == F.col("v")).join(last, F.col("site") == F.col("l"))
-    data = F.when(F.col("sequence") == 1, F.concat("head", "data")).otherwise(F.col("data"))
-    c = c.select("site", F.lit(1).alias("volume"), "sequence", kind.alias("chunk_type"), (F.col("n") * 100_000 + F.col("sequence") * 1000).alias("time_ms"), data.alias("data"))
+    """Volumes cut into chunks, each a site's: of odd ones the fourth chunk never comes, of others the second comes twice."""
+    c = archive.cut_chunks(volumes(s, d)).withColumnRenamed("volume_id", "site")
+    own = F.split("site", "-")
+    n = own[1].cast("long") * 2 + F.substring(own[0], 2, 1).cast("long")
     odd = F.substring("site", 2, 1) == "1"
-    return c.where(~(odd & (F.col("sequence") == 4))).unionByName(c.where(~odd & (F.col("sequence") == 2)))
+    times = F.when(odd & (F.col("sequence") == 4), 0).when(~odd & (F.col("sequence") == 2), 2).otherwise(1)
+    c = c.withColumn("time", F.explode(F.array_repeat(F.lit(0), times)))
+    return c.select("site", F.lit(1).alias("volume"), "sequence", "chunk_type", (n * 100_000 + F.col("sequence") * 1000).alias("time_ms"), "data")
 
 
 def _told(whole):
@@ -987,7 +982,9 @@ def m07s(s, d):
     from squall.streaming import assembly, chunk_stream
 
     folder, c = _scratch(s), _feed(s, d)
-    later = c.agg((F.max("time_ms") + 1_000_000).alias("time_ms")).select(F.lit("later").alias("site"), F.lit(1).alias("volume"), F.lit(1).alias("sequence"), F.lit("Start").alias("chunk_type"), "time_ms", F.lit(b"").alias("data"))
-    c.unionByName(later).repartition(8, F.xxhash64("sequence", "site")).write.parquet(f"{folder}/chunks")
+    c.repartition(8, F.xxhash64("sequence", "site")).write.parquet(f"{folder}/chunks")
+    written = s.read.schema(c.schema).parquet(f"{folder}/chunks")
+    later = written.agg((F.max("time_ms") + 1_000_000).alias("time_ms")).select(F.lit("later").alias("site"), F.lit(1).alias("volume"), F.lit(1).alias("sequence"), F.lit("Start").alias("chunk_type"), "time_ms", F.lit(b"").alias("data"))
+    later.write.mode("append").parquet(f"{folder}/chunks")
     stream = s.readStream.schema(c.schema).parquet(f"{folder}/chunks")
     return _told(chunk_stream.run_to_end(assembly.assemble_stream(stream, "0 seconds", 50_000), f"assembled_{uuid.uuid4().hex}", f"{folder}/state"))

@@ -405,6 +405,18 @@ RADIALS = (
 HEADER = "volume_id string, tape_filename string, extension string, mjd long, ms long, icao string"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session leaves Spark's default: a row is a record or a file.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _ready(spark: SparkSession) -> SparkSession:
+    """Executors can import this package, and batches of bytes are small."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return ship(spark)
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     """(volume_id, content) of files: local, or any store that Spark reads."""
     return ship(spark).read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("volume_id"), "content")
@@ -442,7 +454,7 @@ def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     def run(batches):
         yield from _gathered((one for row in _plain(batches) for one in work(row)), arrow)
 
-    ship(df.sparkSession)
+    _ready(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -490,6 +502,24 @@ def split_volumes(volumes: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return _rows(volumes, work, RECORDS)
 
 
+CHUNKS = "volume_id string, sequence int, chunk_type string, data binary"
+
+
+def cut_chunks(volumes: DataFrame) -> DataFrame:
+    """Volumes as the chunks of a feed (CHUNKS): the volume header with the first record is the Start, then come Intermediate ones of a record each; the last one is the End."""
+
+    def work(row):
+        data, head = gunzip(row["content"]), L.size(L.VOLUME_HEADER)
+        if len(data) < head:
+            raise RecordError("shorter than a volume header")
+        records = split_records(data[head:])
+        for k, (_, record) in enumerate(records):
+            kind = "Start" if k == 0 else "End" if k == len(records) - 1 else "Intermediate"
+            yield {"volume_id": row["volume_id"], "sequence": k + 1, "chunk_type": kind, "data": data[:head] + record if k == 0 else record}
+
+    return _rows(volumes, work, CHUNKS)
+
+
 def open_records(records: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Records with their bytes decompressed; those that never were stay as they are."""
 
@@ -581,7 +611,7 @@ def decode_records(records: DataFrame, mode: str = "FAILFAST", segment_payload:
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
             yield from _gathered((one for row in walk.slow for one in one_by_one(part, row, data, start, end)), arrow)
 
-    ship(records.sparkSession)
+    _ready(records.sparkSession)
     return records.mapInArrow(run, MESSAGES)
 
 
@@ -655,7 +685,7 @@ BATCH_GATES = 2_000_000
 
 def radials(messages: DataFrame, types: tuple[int, ...] = (31, 1)) -> DataFrame:
     """Radials of digital (31) and legacy (1) messages; those that cannot be decoded are passed over."""
-    ship(messages.sparkSession)
+    _ready(messages.sparkSession)
     schema = _arrow_schema(RADIALS)
 
     def run(batches):
@@ -724,7 +754,7 @@ def _record_radials(schema, part, data, start, end, types):
 
 def record_radials(records: DataFrame, mode: str = "FAILFAST", types: tuple[int, ...] = (31, 1)) -> DataFrame:
     """``radials`` of ``decode_records``, in one pass over the bytes."""
-    ship(records.sparkSession)
+    _ready(records.sparkSession)
     schema = _arrow_schema(RADIALS)
 
     def run(batches):
@@ -758,7 +788,7 @@ def bodies(messages: DataFrame) -> DataFrame:
 def record_bodies(records: DataFrame, fields: str, types: tuple[int, ...], mode: str = "FAILFAST") -> DataFrame:
     """``bodies`` of ``decode_records`` of some types in one pass over the bytes: body is a struct of fields (of decode_body; what a type lacks is null), null for types that are passed on undecoded."""
     types = tuple(k for k in types if k not in (1, 31))
-    ship(records.sparkSession)
+    _ready(records.sparkSession)
     schema = f"volume_id string, ordinal long, message_type int, mjd int, ms long, body struct<{fields}>"
     arrow = _arrow_schema(schema)
     own = arrow.field("body").type
@@ -822,7 +852,7 @@ def load(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
 
 def volume_radials(volumes: DataFrame, mode: str = "FAILFAST", sweeps: set[int] | None = None) -> DataFrame:
     """Digital radials of volumes, from file to gates in one pass over the bytes; sweeps: of the volumes that ``trim`` makes of them, in the same worker."""
-    ship(volumes.sparkSession)
+    _ready(volumes.sparkSession)
     schema = _arrow_schema(RADIALS)
 
     def opened(content: bytes):
@@ -946,7 +976,7 @@ def message_records(rows: DataFrame, encode) -> DataFrame:
                 made = [part.column("key").cast(pa.string()), same(0, pa.int32()), same(0, pa.int64()), same(width, pa.int64()), same(False, pa.bool_()), raw, pa.nulls(n, pa.string())]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    ship(rows.sparkSession)
+    _ready(rows.sparkSession)
     return rows.mapInArrow(run, RECORDS)
 
 

@@ -26,3 +26,39 @@ def test_more_radials_of_a_tilt_than_a_halfword_counts(spark, tmp_path):
     assert got.where("azimuth_number = vec_id + 1").count() == got.count() == n
     first, last = q_wire.b11(spark, str(tmp_path)).agg(F.min("first_azimuth"), F.max("last_azimuth")).first()
     assert (first, last) == (1, n)
+
+
+def test_volumes_are_cut_into_chunks_in_one_pass(spark):
+    plan = q_wire._feed(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == plan.count("MapInArrow") == 1 and "Join" not in plan
+    files = {"a": [b"\0\0\0\3BZ1", b"\xff\xff\xff\xfeBZ"], "b": [b"\0\0\0\3BZ1"], "c": [b"\0\0\0\3BZ1", b"\0\0\0\1x", b"\xff\xff\xff\xfeyz"], "d": []}
+    head = archive.volume_bytes([])
+    rows = [(name, head + b"".join(x)) for name, x in files.items()]
+    got = archive.cut_chunks(spark.createDataFrame(rows, "volume_id string, content binary")).orderBy("volume_id", "sequence").collect()
+    kinds = {"a": ["Start", "End"], "b": ["Start"], "c": ["Start", "Intermediate", "End"], "d": []}
+    want = [(name, k + 1, kinds[name][k], head + x if k == 0 else x) for name, own in files.items() for k, x in enumerate(own)]
+    assert [(r.volume_id, r.sequence, r.chunk_type, bytes(r.data)) for r in got] == want
+
+
+def test_arrow_batches_of_bytes_are_small(spark):
+    """Some fifty MB of volumes in one part come in batches of a few."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        archive.cut_chunks(spark.createDataFrame([], "volume_id string, content binary"))
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+        rows = spark.range(0, 100, 1, 1).select(F.encode(F.repeat(F.lit("x"), 500_000), "UTF-8").alias("data"))
+        most = rows.mapInArrow(sizes, "n long").agg(F.max("n"), F.sum("n")).first()
+        assert most[0] < 2 * archive.BATCH_BYTES and most[1] >= 50_000_000
+        spark.conf.set(key, "32m")
+        archive.cut_chunks(spark.createDataFrame([], "volume_id string, content binary"))
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.set(key, was)
