@@ -958,24 +958,33 @@ def radial_bytes(header: dict, moments: dict[str, dict], volume: dict | None = N
     return L.write(L.RADIAL_HEADER, {**header, "data_block_count": len(blocks), "radial_length": at}) + struct.pack(f">{len(pointers)}I", *pointers) + b"".join(blocks)
 
 
-def message_records(rows: DataFrame, encode) -> DataFrame:
-    """A record of one message per row: RECORDS, volume_id is the row's key; encode(columns as numpy arrays) gives a message's bytes a row (``columnar.messages``)."""
+def record_writer(encode, at_once: int = WALKED_ROWS):
+    """Arrow batches of rows to those of RECORDS, a record of one message per row, volume_id is the row's key; encode(columns as numpy arrays, of at_once rows at most) gives
+    a message's bytes a row (``columnar.messages``); of messages of unlike lengths, a list of (rows of one length, their bytes)."""
     arrow = _arrow_schema(RECORDS)
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, WALKED_ROWS):
-                part = batch.slice(first, WALKED_ROWS)
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
                 for name, column in zip(part.schema.names, part.columns, strict=True):
                     if column.null_count:
                         raise ValueError(f"{name} of a message is null")
-                data = encode({name: column.to_numpy(zero_copy_only=False) for name, column in zip(part.schema.names, part.columns, strict=True)})
-                n, width = data.shape
-                raw = columnar.binary(data.reshape(-1), np.arange(n) * width, np.full(n, width))
-                same = lambda x, kind: pa.array(np.full(n, x), kind)
-                made = [part.column("key").cast(pa.string()), same(0, pa.int32()), same(0, pa.int64()), same(width, pa.int64()), same(False, pa.bool_()), raw, pa.nulls(n, pa.string())]
-                yield pa.RecordBatch.from_arrays(made, schema=arrow)
+                given = encode({name: column.to_numpy(zero_copy_only=False) for name, column in zip(part.schema.names, part.columns, strict=True)})
+                for own, data in given if isinstance(given, list) else [(None, given)]:
+                    n, width = data.shape
+                    raw = columnar.binary(data.reshape(-1), np.arange(n) * width, np.full(n, width))
+                    same = lambda x, kind: pa.array(np.full(n, x), kind)  # noqa: B023, E731
+                    key = part.column("key") if own is None else part.column("key").take(pa.array(own))
+                    made = [key.cast(pa.string()), same(0, pa.int32()), same(0, pa.int64()), same(width, pa.int64()), same(False, pa.bool_()), raw, pa.nulls(n, pa.string())]
+                    yield pa.RecordBatch.from_arrays(made, schema=arrow)
+
+    return run
+
 
+def message_records(rows: DataFrame, encode, at_once: int = WALKED_ROWS) -> DataFrame:
+    """RECORDS of ``record_writer``."""
+    run = record_writer(encode, at_once)
     _ready(rows.sparkSession)
     return rows.mapInArrow(run, RECORDS)
 

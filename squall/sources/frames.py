@@ -11,15 +11,17 @@ cut no run.  Frames of equal number in a record are taken in no defined order.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.functions import wire
 from squall.shipping import ship
-from squall.sources import archive
+from squall.sources import archive, columnar
 from squall.sources import layouts as L
 
 _HEADER = "message_type int, channel int, sequence int, mjd int, ms long, segment_count int, segment_number int"
@@ -95,24 +97,25 @@ def reassemble(frames: DataFrame, n: int | None = None) -> DataFrame:
 MAP_SEGMENTS = "volume_id string, record_idx int, message_idx int, n_segments int, number int, bits binary"
 
 
+def _map_segments(payloads: list[bytes]) -> Iterator[tuple]:
+    """(n_segments, number, bits) of each whole elevation segment of a bypass map."""
+    s = archive.Segments(payloads)
+    try:
+        n = s.read(L.MAP_HEADER)["n_segments"]
+        for _ in range(n):
+            number = struct.unpack(">H", s.take_across(2))[0]
+            yield n, number, s.take_across(L.BYPASS_RADIALS * L.BYPASS_WORDS * 2)
+    except struct.error:
+        return
+
+
 def bypass_segments(messages: DataFrame) -> DataFrame:
     """Elevation segments of bypass maps (type 13), read across the ends of the messages' segments; a map that ends too soon gives those that are whole."""
-    import struct
-
     kinds = archive._arrow_schema(MAP_SEGMENTS)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for volume, record, message, payloads in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                s = archive.Segments(payloads)
-                try:
-                    n = s.read(L.MAP_HEADER)["n_segments"]
-                    for _ in range(n):
-                        number = struct.unpack(">H", s.take_across(2))[0]
-                        rows.append((volume, record, message, n, number, s.take_across(L.BYPASS_RADIALS * L.BYPASS_WORDS * 2)))
-                except struct.error:
-                    continue
+            rows = [(*place, *one) for *place, payloads in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True) for one in _map_segments(payloads)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
@@ -120,6 +123,40 @@ def bypass_segments(messages: DataFrame) -> DataFrame:
     return messages.where("message_type = 13").select("volume_id", "record_idx", "message_idx", "payloads").mapInArrow(run, MAP_SEGMENTS)
 
 
+def record_bypass_segments(records: DataFrame, mode: str = "FAILFAST", segment_payload: str = "reference", writer=None) -> DataFrame:
+    """``bypass_segments`` of ``decode_records`` in one pass over the bytes: of records that are frames throughout, each byte of a map is copied once, from its frame to where it goes.
+
+    writer: what makes RECORDS of the rows' Arrow batches (``archive.record_writer``), in the same worker, where records are not RECORDS yet.
+    """
+    kinds = archive._arrow_schema(MAP_SEGMENTS)
+
+    def one_by_one(part, row, data):
+        place = {n: part.column(n)[row].as_py() for n in ("volume_id", "record_idx")}
+        for k, (h, _, _, payloads) in enumerate(archive.frame_messages(data.tobytes(), segment_payload)):
+            if h["message_type"] == 13:
+                for one in _map_segments(payloads):
+                    yield place | dict(zip(kinds.names[2:], (k, *one), strict=True))
+
+    def run(batches):
+        for part, data, start, end, error in archive._opened(writer(batches) if writer else batches, mode):
+            if error:
+                continue
+            rec, idx, header, count, at, size, slow = columnar.segmented(data, start, end, segment_payload)
+            # a header that doesn't lie in its message's first segment is read one by one
+            late = (header["message_type"] == 13) & (size[np.cumsum(count) - count] < L.size(L.MAP_HEADER))
+            slow = np.union1d(slow, rec[late])
+            maps = (header["message_type"] == 13) & ~np.isin(rec, slow)
+            rec, idx, count, own = rec[maps], idx[maps], count[maps], np.repeat(maps, count)
+            of, number, bits, n = columnar.bypass_maps(data, count, at[own], size[own])
+            i4 = lambda x: pa.array(x.astype(np.int32))
+            volume_id, record_idx = (part.column(c).take(pa.array(rec[of])) for c in ("volume_id", "record_idx"))
+            yield pa.RecordBatch.from_arrays([volume_id, record_idx, i4(idx[of]), i4(n[of]), i4(number), bits], schema=kinds)
+            yield from archive._gathered((one for row in slow.tolist() for one in one_by_one(part, row, data[start[row] : end[row]])), kinds)
+
+    archive._ready(records.sparkSession)
+    return records.mapInArrow(run, MAP_SEGMENTS)
+
+
 # ---- table functions -------------------------------------------------------------
 
 
